@@ -7,7 +7,10 @@ closed-form cutoff, shard lengths from arithmetic instead of summed pieces.
 
 from __future__ import annotations
 
-from corpuspack.plans.queries import BATCH_DOCS, SHARD_TOKENS, TARGETS
+from corpuspack.plans.queries import (
+    BATCH_DOCS, GRAD_ACCUM, MICRO_BATCH, RANKS, SEED, SEQ_LEN, SHARD_TOKENS, SOURCE_ORDER, STEPS, TARGETS,
+    TRAIN_SEQ_LEN,
+)
 
 S = SHARD_TOKENS
 B = BATCH_DOCS
@@ -64,6 +67,114 @@ SELECT k.source, CAST(i AS INTEGER) AS shard_idx,
 FROM ({CUT}) k, range(0, k.n_shards) AS r(i)
 """
 
+IDS = """
+SELECT lang AS source, doc_id AS doc_seq,
+       list_append(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::INTEGER), 256) AS ids
+FROM documents WHERE text IS NOT NULL AND text <> ''
+"""
+
+PIECES = f"""
+WITH o AS ({OFFSETS}), k AS ({CUT}),
+p AS (SELECT o.source, o.doc_seq, o."offset", o.n_tokens, k.kept_tokens,
+             unnest(range(o."offset" // {S}, (least(o."offset" + o.n_tokens, k.kept_tokens) - 1) // {S} + 1)) AS shard_idx
+      FROM o JOIN k ON o.source = k.source WHERE o."offset" < k.kept_tokens),
+q AS (SELECT source, doc_seq, shard_idx, "offset",
+             greatest("offset", shard_idx * {S}) AS lo,
+             least(least("offset" + n_tokens, kept_tokens), (shard_idx + 1) * {S}) AS hi
+      FROM p)
+SELECT q.source, CAST(q.shard_idx AS INTEGER) AS shard_idx, CAST(q.lo - q.shard_idx * {S} AS BIGINT) AS pos,
+       q.doc_seq, CAST(q.hi - q.lo AS BIGINT) AS n_tokens,
+       list_slice(i.ids, q.lo - q."offset" + 1, q.hi - q."offset") AS t
+FROM q JOIN ({IDS}) i ON i.source = q.source AND i.doc_seq = q.doc_seq
+"""
+
+SEGMENTS = f"""
+SELECT source, shard_idx, pos, doc_seq, n_tokens, t[1] AS first_id, t[-1] AS last_id,
+       CAST(list_sum(t) AS BIGINT) AS id_sum, array_to_string(t, ',') AS tokens_csv
+FROM ({PIECES}) x
+"""
+
+AUDIT = f"""
+WITH o AS ({OFFSETS}), k AS ({CUT})
+SELECT o.source,
+       CAST(count(*) FILTER (WHERE o."offset" + o.n_tokens <= k.kept_tokens) AS BIGINT) AS docs_kept,
+       CAST(count(*) FILTER (WHERE o."offset" < k.kept_tokens AND o."offset" + o.n_tokens > k.kept_tokens) AS BIGINT)
+         AS docs_cut,
+       CAST(0 AS BIGINT) AS docs_differ
+FROM o JOIN k ON o.source = k.source
+WHERE o."offset" < k.kept_tokens
+GROUP BY o.source
+"""
+
+PER_SOURCE = f"""
+SELECT source, CAST(count(*) AS BIGINT) AS n_shards, CAST(sum(n_tokens) AS BIGINT) AS n_tokens
+FROM ({SHARDS}) s GROUP BY source
+"""
+
+WEIGHTS = f"""
+SELECT source, n_shards, n_tokens,
+       n_shards / sum(n_shards) OVER () AS shard_weight,
+       n_tokens / sum(n_tokens) OVER () AS token_share
+FROM ({PER_SOURCE}) p
+"""
+
+_TPS = MICRO_BATCH * GRAD_ACCUM * RANKS * TRAIN_SEQ_LEN
+_TRAINED = STEPS * _TPS
+EPOCHS = f"""
+WITH p AS ({PER_SOURCE})
+SELECT source, n_shards, n_tokens, CAST({_TPS} AS BIGINT) AS tokens_per_step, CAST({STEPS} AS BIGINT) AS steps,
+       CAST({_TRAINED} AS BIGINT) AS trained_tokens,
+       ({_TRAINED} * n_shards) / (sum(n_shards) OVER () * n_tokens) AS epochs
+FROM p
+UNION ALL
+SELECT '*', CAST(sum(n_shards) AS BIGINT), CAST(sum(n_tokens) AS BIGINT), CAST({_TPS} AS BIGINT),
+       CAST({STEPS} AS BIGINT), CAST({_TRAINED} AS BIGINT), {_TRAINED} / sum(n_tokens)
+FROM p
+"""
+
+_ORDER_VALUES = ", ".join(f"('{s}', {i})" for i, s in enumerate(SOURCE_ORDER))
+L = SEQ_LEN
+DRAWS = f"""
+WITH sh AS (SELECT source, shard_idx, n_tokens FROM ({SHARDS}) s),
+ord AS (SELECT * FROM (VALUES {_ORDER_VALUES}) AS o(source, ord)),
+per AS (SELECT sh.source, ord.ord, count(*) AS n FROM sh JOIN ord ON sh.source = ord.source GROUP BY sh.source, ord.ord),
+base AS (SELECT source, coalesce(sum(n) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base,
+                sum(n) OVER () AS total FROM per),
+num AS (SELECT base.base + sh.shard_idx AS shard_no, sh.source, sh.shard_idx, sh.n_tokens AS shard_len, base.total
+        FROM sh JOIN base ON sh.source = base.source),
+cnt AS (SELECT CAST(sum(n_tokens) // {L} AS BIGINT) AS n_samples FROM sh),
+d AS (SELECT r.i AS sample_id FROM cnt, range(0, cnt.n_samples) AS r(i)),
+dr AS (SELECT sample_id,
+              ('0x' || substr(md5('{SEED}:' || sample_id || ':shard'), 1, 15))::BIGINT % (SELECT max(total) FROM num)
+                AS shard_no
+       FROM d)
+SELECT dr.sample_id, num.source, num.shard_idx, num.shard_len,
+       ('0x' || substr(md5('{SEED}:' || dr.sample_id || ':start'), 1, 15))::BIGINT
+         % greatest(num.shard_len - {L} - 1, 1) AS start
+FROM dr JOIN num ON dr.shard_no = num.shard_no
+"""
+
+WINDOW_TOKENS = f"""
+WITH tok AS (
+  SELECT source, shard_idx, pos + generate_subscripts(t, 1) - 1 AS p, unnest(t) AS id FROM ({PIECES}) x),
+d AS ({DRAWS})
+SELECT d.sample_id, d.source, d.shard_idx, d.start,
+       array_to_string(list(tok.id ORDER BY tok.p) FILTER (WHERE tok.p < d.start + {L}), ',') AS x,
+       array_to_string(list(tok.id ORDER BY tok.p) FILTER (WHERE tok.p > d.start), ',') AS y
+FROM d JOIN tok ON tok.source = d.source AND tok.shard_idx = d.shard_idx
+  AND tok.p >= d.start AND tok.p <= d.start + {L}
+GROUP BY d.sample_id, d.source, d.shard_idx, d.start
+"""
+
+_PER_RANK = MICRO_BATCH * GRAD_ACCUM
+_PER_STEP = _PER_RANK * RANKS
+LAYOUT = f"""
+SELECT sample_id, source, shard_idx, start,
+       sample_id // {_PER_STEP} AS step, (sample_id % {_PER_STEP}) // {_PER_RANK} AS rank,
+       (sample_id % {_PER_RANK}) // {MICRO_BATCH} AS micro, sample_id % {MICRO_BATCH} AS slot
+FROM ({DRAWS}) d
+"""
+
 SQL: dict[str, str] = {
     "docs_nonempty": DOCS,
     "token_counts": COUNTS,
@@ -71,4 +182,11 @@ SQL: dict[str, str] = {
     "budget_cutoff": CUT,
     "shard_inventory": f"SELECT source, shard_idx, n_tokens FROM ({SHARDS}) s",
     "shard_progress": f"SELECT source, shard_idx, n_tokens, written, target FROM ({SHARDS}) s",
+    "packed_segments": SEGMENTS,
+    "roundtrip_audit": AUDIT,
+    "mix_weights": WEIGHTS,
+    "mix_epochs": EPOCHS,
+    "window_draws": DRAWS,
+    "window_tokens": WINDOW_TOKENS,
+    "rank_layout": LAYOUT,
 }

@@ -12,7 +12,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuspack.operators import packing
+from corpuspack.functions.tokens import ByteTokenizer
+from corpuspack.operators import mixture, packing, windows
 from corpuspack.sources.registry import fixture_docs
 
 # Fixture parameters: small batches so the stop rule is exercised, budgets that
@@ -22,6 +23,15 @@ SHARD_TOKENS = 65_536
 TARGETS = {"en": 800_000, "de": 200_000, "fr": 100_000, "es": 300_000}
 BUCKET_DOCS = 64  # small on purpose: the fixtures then take the two-level prefix-sum path
 
+# Training-side parameters (as in the 1.7B run config: 8 × 6 × 4 ranks; 86,500 steps).
+SEQ_LEN = 1024
+BLOCK_TOKENS = 2048
+SEED = 1337
+SOURCE_ORDER = ["en", "de", "fr", "es"]
+MICRO_BATCH, GRAD_ACCUM, RANKS = 8, 6, 4
+STEPS = 86_500
+TRAIN_SEQ_LEN = 2048
+
 
 def docs_nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.nonempty(fixture_docs(spark, sf_dir))
@@ -64,6 +74,77 @@ def shard_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(spark, sf_dir).progress()
 
 
+def packed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seg = packed(spark, sf_dir).segments()
+    return seg.select(
+        "source", "shard_idx", "pos", "doc_seq", "n_tokens",
+        F.element_at("tokens", 1).alias("first_id"),
+        F.element_at("tokens", -1).alias("last_id"),
+        F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"),
+        F.array_join("tokens", ",").alias("tokens_csv"),
+    )
+
+
+def roundtrip_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rebuild each document from its packed pieces and compare with the source text."""
+    p = packed(spark, sf_dir)
+    tok = ByteTokenizer()
+    seg = p.segments()
+    per_doc = seg.groupBy("source", "doc_seq").agg(
+        F.array_sort(F.collect_list(F.struct("shard_idx", "tokens"))).alias("parts"),
+        F.sum("n_tokens").alias("got"),
+    )
+    rebuilt = per_doc.select(
+        "source", "doc_seq", "got", F.flatten(F.transform("parts", lambda x: x["tokens"])).alias("ids")
+    )
+    docs = p.offsets.select("source", "doc_seq", "n_tokens").join(
+        packing.nonempty(fixture_docs(spark, sf_dir)), ["source", "doc_seq"]
+    )
+    j = rebuilt.join(docs, ["source", "doc_seq"])
+    complete = F.col("got") == F.col("n_tokens")
+    eos_once = (F.element_at("ids", -1) == tok.eos_id) & (F.size(F.filter("ids", lambda x: x == tok.eos_id)) == 1)
+    same = eos_once & (tok.decode("ids") == F.col("text"))
+    return j.groupBy("source").agg(
+        F.count(F.when(complete, 1)).cast("bigint").alias("docs_kept"),
+        F.count(F.when(~complete, 1)).cast("bigint").alias("docs_cut"),
+        F.count(F.when(complete & ~same, 1)).cast("bigint").alias("docs_differ"),
+    )
+
+
+def mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix_weights(packed(spark, sf_dir).inventory())
+
+
+def mix_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix_epochs(packed(spark, sf_dir).inventory(), STEPS, MICRO_BATCH, GRAD_ACCUM, RANKS, TRAIN_SEQ_LEN)
+
+
+def _draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = packed(spark, sf_dir)
+    kept = p.cut.agg(F.sum("kept_tokens")).first()[0] or 0
+    n_samples = int(kept) // SEQ_LEN  # one epoch of windows: grows with the corpus
+    return windows.draw_windows(spark, p.inventory(), n_samples, SEQ_LEN, SEED, SOURCE_ORDER)
+
+
+def window_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _draws(spark, sf_dir)
+
+
+def window_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = packed(spark, sf_dir)
+    blocks = windows.to_blocks(p.segments(), BLOCK_TOKENS)
+    w = windows.cut_windows(_draws(spark, sf_dir), blocks, SEQ_LEN, BLOCK_TOKENS)
+    return w.select(
+        "sample_id", "source", "shard_idx", "start",
+        F.array_join("x", ",").alias("x"), F.array_join("y", ",").alias("y"),
+    )
+
+
+def rank_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _draws(spark, sf_dir).select("sample_id", "source", "shard_idx", "start")
+    return windows.batch_layout(d, MICRO_BATCH, GRAD_ACCUM, RANKS)
+
+
 QUERIES = {
     "docs_nonempty": docs_nonempty,
     "token_counts": token_counts,
@@ -71,4 +152,11 @@ QUERIES = {
     "budget_cutoff": budget_cutoff,
     "shard_inventory": shard_inventory,
     "shard_progress": shard_progress,
+    "packed_segments": packed_segments,
+    "roundtrip_audit": roundtrip_audit,
+    "mix_weights": mix_weights,
+    "mix_epochs": mix_epochs,
+    "window_draws": window_draws,
+    "window_tokens": window_tokens,
+    "rank_layout": rank_layout,
 }
