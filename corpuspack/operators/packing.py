@@ -69,22 +69,24 @@ def tokenize(docs: DataFrame, tokenizer: Tokenizer | None = None, guard: bool =
 def exclusive_prefix_sums(
     df: DataFrame,
     keys: list[str],
-    order: str,
+    order: str | list[str],
     weights: Mapping[str, Column],
     bucket_size: int = DEFAULT_BUCKET_DOCS,
     levels: int = 2,
 ) -> DataFrame:
     """For each ``name → weight``, add ``name`` = sum of ``weight`` over earlier rows of the key.
 
-    ``order`` must be an integer column, unique within ``keys``. With ``levels`` = 1 this is
-    a plain window over the whole key. With more levels, rows are bucketed by
-    ``order div bucket_size``; the bucket totals recurse one level down and are joined back,
-    so each window holds at most ``bucket_size`` rows (plus the top level, which holds
-    ``rows / bucket_size ** (levels - 1)``).
+    ``order`` is an integer column (or a list whose first item is one, the rest breaking
+    ties); together unique within ``keys``. With ``levels`` = 1 this is a plain window over
+    the whole key. With more levels, rows are bucketed by ``order div bucket_size``; the
+    bucket totals recurse one level down and are joined back, so each window holds the rows of
+    one bucket (plus the top level, which holds ``rows / bucket_size ** (levels - 1)``).
     """
     names = list(weights)
+    orders = [order] if isinstance(order, str) else list(order)
+    order = orders[0]
     if levels <= 1:
-        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        w = Window.partitionBy(*keys).orderBy(*orders).rowsBetween(Window.unboundedPreceding, -1)
         return df.select(
             "*", *[F.coalesce(F.sum(weights[n]).over(w), F.lit(0)).cast("bigint").alias(n) for n in names]
         )
@@ -96,7 +98,7 @@ def exclusive_prefix_sums(
     base = exclusive_prefix_sums(
         sums, keys, bucket, {f"_base_{n}": F.col(t) for n, t in zip(names, tmp)}, bucket_size, levels - 1
     ).drop(*tmp)
-    w = Window.partitionBy(*keys, bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*keys, bucket).orderBy(*orders).rowsBetween(Window.unboundedPreceding, -1)
     inner = b.select("*", *[F.coalesce(F.sum(t).over(w), F.lit(0)).alias(f"_in_{n}") for n, t in zip(names, tmp)])
     joined = inner.join(base, on=[*keys, bucket], how="inner")
     return joined.select(

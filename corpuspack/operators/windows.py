@@ -33,19 +33,37 @@ def with_shuffle_key(df: DataFrame, seed: int, id_col: str, name: str = "shuffle
     return df.withColumn(name, hash_draw(F.lit(seed), F.col(id_col)))
 
 
-def take_shuffled(df: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
-    """the first ``n`` rows of the seeded permutation (top-k, no full sort).
+# Shuffle keys are uniform on [0, 2^60): buckets of 2^40 give at most 2^20 equal-sized groups.
+_KEY_BUCKET = 1 << 40
+
+
+def with_positions(df: DataFrame, seed: int, id_col: str, position: str = "position") -> DataFrame:
+    """F1 with explicit positions: ``position`` = rank of the row in the seeded permutation.
+
+    Exact and distributed: the uniform shuffle key is cut into equal buckets, bucket counts
+    are summed in order (a table of at most 2^20 rows), and only one bucket's rows are ordered
+    together. No global sort, no single task.
+    """
+    from corpuspack.operators.packing import exclusive_prefix_sums
+
+    keyed = with_shuffle_key(df, seed, id_col)
+    return exclusive_prefix_sums(
+        keyed, [], ["shuffle_key", id_col], {position: F.lit(1)}, bucket_size=_KEY_BUCKET, levels=2
+    )
+
+
+def take_shuffled(df: DataFrame, n: int, seed: int, id_col: str, position: str = "position") -> DataFrame:
+    """the first ``n`` rows of the seeded permutation, with their positions.
 
     ``n`` = 0 gives no rows; ``n`` larger than the table is an error, as upstream.
     """
     if n < 0:
         raise ValueError("n must be >= 0")
-    if n == 0:
-        return df.limit(0)
-    total = df.count()
-    if n > total:
-        raise ValueError(f"cannot take {n} rows from a table of {total}")
-    return seeded_shuffle(df, seed, id_col).limit(n)
+    if n > 0:
+        total = df.count()
+        if n > total:
+            raise ValueError(f"cannot take {n} rows from a table of {total}")
+    return with_positions(df, seed, id_col, position).filter(F.col(position) < F.lit(n))
 
 
 # --------------------------------------------------------------------------- F3 / F4

@@ -7,9 +7,11 @@ closed-form cutoff, shard lengths from arithmetic instead of summed pieces.
 
 from __future__ import annotations
 
+from corpuspack.functions.text import WHITESPACE
+from corpuspack.operators.scores import DEFAULT_TASKS, TAGS
 from corpuspack.plans.queries import (
-    BATCH_DOCS, GRAD_ACCUM, MICRO_BATCH, RANKS, SEED, SEQ_LEN, SHARD_TOKENS, SOURCE_ORDER, STEPS, TARGETS,
-    TRAIN_SEQ_LEN,
+    BATCH_DOCS, GRAD_ACCUM, MICRO_BATCH, RANKS, SEED, SEED_EN, SEED_KO, SEED_MIX, SEQ_LEN, SHARD_TOKENS,
+    SOURCE_ORDER, STEPS, TARGETS, TRAIN_SEQ_LEN,
 )
 
 S = SHARD_TOKENS
@@ -175,6 +177,135 @@ SELECT sample_id, source, shard_idx, start,
 FROM ({DRAWS}) d
 """
 
+# --------------------------------------------------------------------------- instruction data
+
+WS = "(" + " || ".join(f"chr({ord(c)})" for c in WHITESPACE) + ")"
+NL = "chr(10)"
+
+
+def clean(x: str) -> str:
+    return f"trim(coalesce({x}, ''), {WS})"
+
+
+def hkey(seed: int, key: str) -> str:
+    return f"('0x' || substr(md5('{seed}:' || {key}), 1, 15))::BIGINT"
+
+
+def chat_json(user: str, assistant: str) -> str:
+    return f"to_json([{{'role': 'user', 'content': {user}}}, {{'role': 'assistant', 'content': {assistant}}}])"
+
+
+def render(parts: list[tuple[str, str]], open_turn: bool = False) -> str:
+    body = " || ".join(f"'<|im_start|>{r}' || {NL} || {c} || '<|im_end|>' || {NL}" for r, c in parts)
+    return body + (f" || '<|im_start|>assistant' || {NL}" if open_turn else "")
+
+
+ROWS = """
+SELECT conv_id,
+       arg_min(text, turn) FILTER (WHERE role = 'user') AS instruction,
+       arg_min(text, turn) FILTER (WHERE role = 'system') AS input,
+       arg_min(text, turn) FILTER (WHERE role = 'assistant') AS output,
+       arg_max(text, turn) FILTER (WHERE role = 'assistant') AS response
+FROM conversations GROUP BY conv_id
+"""
+
+STRIP = f"""
+SELECT conv_id, turn, {clean('text')} AS stripped, {clean('text')} <> coalesce(text, '') AS changed
+FROM conversations
+"""
+
+
+def _seed_part(part: int, seed: int, limit: str) -> str:
+    return f"""
+SELECT {part} AS part, position, conv_id,
+       CASE WHEN x = '' THEN i ELSE i || {NL} || {NL} || x END AS prompt
+FROM (SELECT conv_id, {clean('instruction')} AS i, {clean('input')} AS x,
+             row_number() OVER (ORDER BY {hkey(seed, 'conv_id')}, conv_id) - 1 AS position
+      FROM ({ROWS}) r) s
+WHERE position < {limit} AND i <> ''
+"""
+
+
+SEEDS = f"""
+{_seed_part(0, SEED_KO, f"(SELECT count(*) FROM ({ROWS}) c)")}
+UNION ALL
+{_seed_part(1, SEED_EN, f"(SELECT count(*) // 2 FROM ({ROWS}) c)")}
+"""
+
+_USER = f"CASE WHEN {clean('input')} = '' THEN {clean('instruction')} ELSE {clean('instruction')} || {NL} || {NL} || {clean('input')} END"
+_ASSISTANT = "trim(coalesce(nullif(output, ''), nullif(response, ''), ''), " + WS + ")"
+ROW_CHATS = f"SELECT conv_id, {chat_json(_USER, _ASSISTANT)} AS messages_json FROM ({ROWS}) r"
+
+TURN_CHATS = """
+SELECT conv_id, CAST(count(*) AS INTEGER) AS n_turns,
+       to_json(list({'role': role, 'content': text} ORDER BY turn)) AS messages_json
+FROM conversations GROUP BY conv_id
+"""
+
+RENDER = f"""
+SELECT c.conv_id,
+       string_agg('<|im_start|>' || c.role || {NL} || c.text || '<|im_end|>' || {NL}, '' ORDER BY c.turn) AS rendered,
+       {render([("user", "coalesce(any_value(r.instruction), '')")], open_turn=True)} AS prompt
+FROM conversations c JOIN ({ROWS}) r ON r.conv_id = c.conv_id
+GROUP BY c.conv_id
+"""
+
+MIX = f"""
+WITH u AS (
+  SELECT 'chats' AS origin, conv_id AS id, messages_json FROM ({TURN_CHATS}) t
+  UNION ALL
+  SELECT 'rows' AS origin, conv_id AS id, messages_json FROM ({ROW_CHATS}) r)
+SELECT origin, id,
+       row_number() OVER (ORDER BY {hkey(SEED_MIX, "origin || ':' || id")}, origin || ':' || id) - 1 AS position,
+       messages_json
+FROM u
+"""
+
+MIX_COUNTS = f"SELECT origin, CAST(count(*) AS BIGINT) AS n_examples FROM ({MIX}) m GROUP BY origin"
+
+DISTILLED = f"""
+WITH p AS ({SEEDS}),
+r AS (SELECT conv_id, {clean('output')} AS resp FROM ({ROWS}) x)
+SELECT p.part, p.position, p.conv_id, {chat_json('p.prompt', 'r.resp')} AS messages_json
+FROM p JOIN r ON p.conv_id = r.conv_id
+WHERE r.resp <> ''
+"""
+
+_CHOSEN = render([("user", "prompt"), ("assistant", "output")])
+_REJECTED = render([("user", "prompt"), ("assistant", "response")])
+PREFS = f"""
+WITH d AS (SELECT conv_id AS pair_id, coalesce(instruction, '') AS prompt, output, response
+           FROM ({ROWS}) r WHERE output IS NOT NULL AND output <> response),
+x AS (SELECT pair_id, {_CHOSEN} AS c, {_REJECTED} AS j FROM d)
+SELECT pair_id,
+       CAST(octet_length(encode(c)) AS BIGINT) AS chosen_tokens,
+       CAST(least(octet_length(encode(c)), 2048) AS BIGINT) AS chosen_kept,
+       octet_length(encode(c)) > 2048 AS chosen_truncated,
+       CAST(octet_length(encode(j)) AS BIGINT) AS rejected_tokens,
+       CAST(least(octet_length(encode(j)), 2048) AS BIGINT) AS rejected_kept,
+       octet_length(encode(j)) > 2048 AS rejected_truncated,
+       md5(c) AS chosen_md5, md5(j) AS rejected_md5
+FROM x
+"""
+
+_TASKS = ", ".join(f"'{t}'" for t in DEFAULT_TASKS)
+_TAGS = ", ".join(f"'{t}'" for t in TAGS)
+SCORES = f"""
+WITH s AS (
+  SELECT tg.tag, tk.task, b.item_id,
+         CAST(('0x' || substr(md5(tg.tag || ':' || tk.task || ':' || b.item_id), 1, 2))::INTEGER % 3 <> 0 AS INTEGER)
+           AS correct
+  FROM benchmark b, (SELECT unnest([{_TASKS}]) AS task) tk, (SELECT unnest([{_TAGS}]) AS tag) tg
+  WHERE NOT (tk.task = 'haerae' AND tg.tag = 'baseline'))
+SELECT task,
+       avg(correct) FILTER (WHERE tag = 'run') AS run,
+       avg(correct) FILTER (WHERE tag = 'baseline') AS baseline,
+       avg(correct) FILTER (WHERE tag = 'run') - avg(correct) FILTER (WHERE tag = 'baseline') AS delta,
+       CAST(count(correct) FILTER (WHERE tag = 'run') AS BIGINT) AS n_run,
+       CAST(count(correct) FILTER (WHERE tag = 'baseline') AS BIGINT) AS n_baseline
+FROM s GROUP BY task
+"""
+
 SQL: dict[str, str] = {
     "docs_nonempty": DOCS,
     "token_counts": COUNTS,
@@ -189,4 +320,14 @@ SQL: dict[str, str] = {
     "window_draws": DRAWS,
     "window_tokens": WINDOW_TOKENS,
     "rank_layout": LAYOUT,
+    "strip_text": STRIP,
+    "seed_prompts": SEEDS,
+    "rows_to_chats": ROW_CHATS,
+    "chats_from_turns": TURN_CHATS,
+    "render_chats": RENDER,
+    "tuning_mix": MIX,
+    "tuning_mix_counts": MIX_COUNTS,
+    "distilled_pairs": DISTILLED,
+    "preference_pairs": PREFS,
+    "score_table": SCORES,
 }

@@ -12,9 +12,10 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuspack.functions import text as T
 from corpuspack.functions.tokens import ByteTokenizer
-from corpuspack.operators import mixture, packing, windows
-from corpuspack.sources.registry import fixture_docs
+from corpuspack.operators import instruct, mixture, packing, scores, windows
+from corpuspack.sources.registry import BENCHMARK_SCHEMA, CONVERSATIONS_SCHEMA, fixture_docs, table
 
 # Fixture parameters: small batches so the stop rule is exercised, budgets that
 # stop en / de / fr and leave es to end in a tail shard at sf0.01.
@@ -32,6 +33,9 @@ MICRO_BATCH, GRAD_ACCUM, RANKS = 8, 6, 4
 STEPS = 86_500
 TRAIN_SEQ_LEN = 2048
 
+# Instruction-data parameters: seeds 0 (Korean prompts), 1 (English prompts), 42 (tuning set).
+SEED_KO, SEED_EN, SEED_MIX = 0, 1, 42
+
 
 def docs_nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.nonempty(fixture_docs(spark, sf_dir))
@@ -145,6 +149,104 @@ def rank_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.batch_layout(d, MICRO_BATCH, GRAD_ACCUM, RANKS)
 
 
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations", CONVERSATIONS_SCHEMA)
+
+
+def strip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B4 / B5 on every turn: Python-equal strip, null as ''."""
+    t = _turns(spark, sf_dir)
+    return t.select("conv_id", "turn", T.clean("text").alias("stripped"),
+                    (T.clean("text") != F.coalesce("text", F.lit(""))).alias("changed"))
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return instruct.instruction_rows(_turns(spark, sf_dir))
+
+
+def seed_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1: Korean-style rows (instruction, input) in full, then English-style rows
+    (instruction, context) — half of them, the take-n feature."""
+    rows = _rows(spark, sf_dir)
+    n = rows.count()
+    ko = instruct.seed_prompts(rows, n, SEED_KO, "conv_id", "input", part=0)
+    en_rows = rows.withColumnRenamed("input", "context")
+    en = instruct.seed_prompts(en_rows, n // 2, SEED_EN, "conv_id", "context", part=1)
+    return ko.unionByName(en)
+
+
+def rows_to_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = instruct.rows_to_chats(_rows(spark, sf_dir))
+    return chats.select("conv_id", T.messages_json("messages").alias("messages_json"))
+
+
+def chats_from_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = instruct.chats_from_turns(_turns(spark, sf_dir))
+    return chats.select("conv_id", F.size("messages").alias("n_turns"),
+                        T.messages_json("messages").alias("messages_json"))
+
+
+def render_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chat rendered, and the first user turn as an open prompt."""
+    chats = instruct.chats_from_turns(_turns(spark, sf_dir))
+    rows = _rows(spark, sf_dir)
+    j = chats.join(rows.select("conv_id", "instruction"), "conv_id")
+    return j.select(
+        "conv_id",
+        T.render_chat("messages").alias("rendered"),
+        T.render_chat(T.single_turn_chat(F.coalesce("instruction", F.lit(""))), add_generation_prompt=True)
+        .alias("prompt"),
+    )
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return instruct.tuning_mix(
+        chats=instruct.chats_from_turns(_turns(spark, sf_dir)), rows=_rows(spark, sf_dir), seed=SEED_MIX
+    )
+
+
+def tuning_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).select("origin", "id", "position", T.messages_json("messages").alias("messages_json"))
+
+
+def tuning_mix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return instruct.mix_counts(_mix(spark, sf_dir))
+
+
+def distilled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1 + G2: seed prompts joined to responses (first assistant turn per conversation)."""
+    prompts = seed_prompts(spark, sf_dir)
+    responses = instruct.first_by_role(_turns(spark, sf_dir), "assistant").withColumnRenamed("assistant", "response")
+    chats = instruct.attach_responses(prompts, responses, "conv_id")
+    return chats.select("part", "position", "conv_id", T.messages_json("messages").alias("messages_json"))
+
+
+def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = instruct.pairs_from_turns(_turns(spark, sf_dir))
+    out = instruct.preference_pairs(pairs)
+    return out.select(
+        "pair_id", "chosen_tokens", "chosen_kept", "chosen_truncated",
+        "rejected_tokens", "rejected_kept", "rejected_truncated",
+        F.md5("chosen_text").alias("chosen_md5"), F.md5("rejected_text").alias("rejected_md5"),
+    )
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item-level scores stand-in: every benchmark item under each task and tag, ``correct``
+    from md5; ``haerae`` has no ``baseline`` rows (a task missing from one tag)."""
+    items = table(spark, sf_dir, "benchmark", BENCHMARK_SCHEMA).select("item_id")
+    s = items.select(
+        "item_id", F.explode(F.array(*[F.lit(t) for t in scores.DEFAULT_TASKS])).alias("task")
+    ).select("item_id", "task", F.explode(F.array(*[F.lit(t) for t in scores.TAGS])).alias("tag"))
+    s = s.filter(~((F.col("task") == "haerae") & (F.col("tag") == "baseline")))
+    bit = F.conv(F.substring(F.md5(F.concat_ws(":", "tag", "task", "item_id")), 1, 2), 16, 10).cast("int")
+    return s.select("tag", "task", "item_id", (bit % 3 != 0).cast("int").alias("correct"))
+
+
+def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.score_table(_scores(spark, sf_dir))
+
+
 QUERIES = {
     "docs_nonempty": docs_nonempty,
     "token_counts": token_counts,
@@ -159,4 +261,14 @@ QUERIES = {
     "window_draws": window_draws,
     "window_tokens": window_tokens,
     "rank_layout": rank_layout,
+    "strip_text": strip_text,
+    "seed_prompts": seed_prompts,
+    "rows_to_chats": rows_to_chats,
+    "chats_from_turns": chats_from_turns,
+    "render_chats": render_chats,
+    "tuning_mix": tuning_mix,
+    "tuning_mix_counts": tuning_mix_counts,
+    "distilled_pairs": distilled_pairs,
+    "preference_pairs": preference_pairs,
+    "score_table": score_table,
 }
