@@ -306,6 +306,11 @@ SELECT task,
 FROM s GROUP BY task
 """
 
+STREAM_TOTALS = f"""
+SELECT source, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n_tokens) AS BIGINT) AS n_tokens
+FROM ({COUNTS}) c GROUP BY source
+"""
+
 SQL: dict[str, str] = {
     "docs_nonempty": DOCS,
     "token_counts": COUNTS,
@@ -330,4 +335,6 @@ SQL: dict[str, str] = {
     "distilled_pairs": DISTILLED,
     "preference_pairs": PREFS,
     "score_table": SCORES,
+    "stream_totals": STREAM_TOTALS,
+    "stream_shards": f"SELECT source, shard_idx, n_tokens FROM ({SHARDS}) s",
 }

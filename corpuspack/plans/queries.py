@@ -247,6 +247,38 @@ def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.score_table(_scores(spark, sf_dir))
 
 
+def _doc_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuspack.sources.registry import DOCUMENTS_SCHEMA
+    from corpuspack.streaming.incremental import read_doc_stream
+
+    raw = read_doc_stream(spark, f"{sf_dir.rstrip('/')}/documents.parquet", DOCUMENTS_SCHEMA)
+    return raw.select(F.col("lang").alias("source"), F.col("doc_id").alias("doc_seq"), "text")
+
+
+def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 + S2: the documents file as a stream; running totals per source (complete mode)."""
+    import uuid
+
+    from corpuspack.streaming.incremental import start_totals, token_stream
+
+    name = f"stream_totals_{uuid.uuid4().hex[:8]}"
+    q = start_totals(token_stream(_doc_stream(spark, sf_dir)), name)
+    q.awaitTermination()
+    return spark.table(name)
+
+
+def stream_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: shards appended by a foreachBatch sink with carried offsets; their inventory."""
+    import uuid
+
+    from corpuspack.session import scratch_dir
+    from corpuspack.streaming.incremental import stream_pack
+
+    out = f"{scratch_dir(spark)}/stream-pack-{uuid.uuid4().hex[:8]}"
+    seg = stream_pack(spark, _doc_stream(spark, sf_dir), out, SHARD_TOKENS, TARGETS, BATCH_DOCS, BUCKET_DOCS)
+    return packing.shard_inventory(seg)
+
+
 QUERIES = {
     "docs_nonempty": docs_nonempty,
     "token_counts": token_counts,
@@ -271,4 +303,6 @@ QUERIES = {
     "distilled_pairs": distilled_pairs,
     "preference_pairs": preference_pairs,
     "score_table": score_table,
+    "stream_totals": stream_totals,
+    "stream_shards": stream_shards,
 }
