@@ -14,8 +14,10 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 
 def _c(c: Column | str) -> Column:
@@ -108,9 +110,6 @@ class JsonTokenizer(Tokenizer):
         self._bc = self.spark.sparkContext.broadcast(self.definition)
 
     def encode(self, text: Column | str) -> Column:
-        import pandas as pd
-        from pyspark.sql.functions import pandas_udf
-
         bc = self._bc
 
         @pandas_udf("array<int>")
@@ -123,9 +122,6 @@ class JsonTokenizer(Tokenizer):
         return _encode(_c(text))
 
     def decode(self, tokens: Column | str) -> Column:
-        import pandas as pd
-        from pyspark.sql.functions import pandas_udf
-
         bc = self._bc
 
         @pandas_udf("string")
