@@ -31,7 +31,6 @@ def main() -> None:
     from corpuspack.plans.queries import QUERIES, SOURCE_ORDER
     from corpuspack.session import local_session, scratch_dir
     from corpuspack.sources.registry import fixture_docs
-    from corpuspack.sources.sinks import write_packed
 
     spark = local_session(CPUS, shuffle_partitions=int(CPUS) * 2, app="corpuspack-bench")
     times: dict[str, float] = {}
@@ -59,7 +58,7 @@ def main() -> None:
 
     def pack_all():
         p = packing.pack(fixture_docs(spark, SF_DIR), shard_tokens=shard, targets=None, batch_docs=1000)
-        write_packed(p.segments(), out)
+        p.write(out)
 
     timed("pack_all", pack_all)
     thr["pack_tok_per_s"] = round(total_tokens / times["pack_all"])

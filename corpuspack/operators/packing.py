@@ -66,6 +66,56 @@ def tokenize(docs: DataFrame, tokenizer: Tokenizer | None = None, guard: bool =
 # --------------------------------------------------------------------------- D1 / D2
 
 
+def _bucket(order: str, bucket_size: int) -> Column:
+    return F.expr(f"`{order}` div {int(bucket_size)}")
+
+
+def bucket_bases(
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    weights: Mapping[str, Column],
+    bucket_size: int = DEFAULT_BUCKET_DOCS,
+    levels: int = 2,
+    bucket_col: str = "_bucket",
+) -> DataFrame:
+    """Per ``(keys, bucket)`` with ``bucket = order div bucket_size``: for each weight, the sum
+    over all earlier buckets of the key (columns ``_base_<name>``). A table ``bucket_size``
+    times smaller than ``df``, itself summed with ``levels - 1`` levels."""
+    names = list(weights)
+    b = df.select(*keys, _bucket(order, bucket_size).alias(bucket_col),
+                  *[weights[n].cast("bigint").alias(f"_w_{n}") for n in names])
+    sums = b.groupBy(*keys, bucket_col).agg(*[F.sum(f"_w_{n}").alias(f"_w_{n}") for n in names])
+    return exclusive_prefix_sums(
+        sums, keys, bucket_col, {f"_base_{n}": F.col(f"_w_{n}") for n in names}, bucket_size, levels - 1
+    ).drop(*[f"_w_{n}" for n in names])
+
+
+def apply_bucket_bases(
+    df: DataFrame,
+    keys: list[str],
+    order: str | list[str],
+    weights: Mapping[str, Column],
+    bases: DataFrame,
+    bucket_size: int,
+    bucket_col: str = "_bucket",
+) -> DataFrame:
+    """Finish the prefix sums: a window inside each ``(keys, bucket)`` plus the bucket's base.
+
+    ``df`` is shuffled once by ``(keys, bucket)`` for the window; the join with ``bases`` uses
+    the same keys, so the (possibly wide) rows of ``df`` do not move again.
+    """
+    names = list(weights)
+    orders = [order] if isinstance(order, str) else list(order)
+    b = df.select("*", _bucket(orders[0], bucket_size).alias(bucket_col))
+    w = Window.partitionBy(*keys, bucket_col).orderBy(*orders).rowsBetween(Window.unboundedPreceding, -1)
+    inner = b.select("*", *[F.coalesce(F.sum(weights[n]).over(w), F.lit(0)).alias(f"_in_{n}") for n in names])
+    joined = inner.join(bases, on=[*keys, bucket_col], how="inner")
+    return joined.select(
+        *df.columns, *[(F.col(f"_base_{n}") + F.col(f"_in_{n}")).cast("bigint").alias(n) for n in names]
+    )
+
+
 def exclusive_prefix_sums(
     df: DataFrame,
     keys: list[str],
@@ -84,26 +134,19 @@ def exclusive_prefix_sums(
     """
     names = list(weights)
     orders = [order] if isinstance(order, str) else list(order)
-    order = orders[0]
     if levels <= 1:
         w = Window.partitionBy(*keys).orderBy(*orders).rowsBetween(Window.unboundedPreceding, -1)
         return df.select(
             "*", *[F.coalesce(F.sum(weights[n]).over(w), F.lit(0)).cast("bigint").alias(n) for n in names]
         )
-    bucket = f"_bucket{levels}"
-    tmp = [f"_w_{n}" for n in names]
-    b = df.select("*", F.expr(f"`{order}` div {int(bucket_size)}").alias(bucket),
-                  *[weights[n].cast("bigint").alias(t) for n, t in zip(names, tmp)])
-    sums = b.groupBy(*keys, bucket).agg(*[F.sum(t).alias(t) for t in tmp])
-    base = exclusive_prefix_sums(
-        sums, keys, bucket, {f"_base_{n}": F.col(t) for n, t in zip(names, tmp)}, bucket_size, levels - 1
-    ).drop(*tmp)
-    w = Window.partitionBy(*keys, bucket).orderBy(*orders).rowsBetween(Window.unboundedPreceding, -1)
-    inner = b.select("*", *[F.coalesce(F.sum(t).over(w), F.lit(0)).alias(f"_in_{n}") for n, t in zip(names, tmp)])
-    joined = inner.join(base, on=[*keys, bucket], how="inner")
-    return joined.select(
-        *df.columns, *[(F.col(f"_base_{n}") + F.col(f"_in_{n}")).cast("bigint").alias(n) for n in names]
-    )
+    col = f"_bucket{levels}"
+    bases = bucket_bases(df, keys, orders[0], weights, bucket_size, levels, col)
+    return apply_bucket_bases(df, keys, orders, weights, bases, bucket_size, col)
+
+
+def offset_weights() -> dict[str, Column]:
+    """Documents before (``rank``) and tokens before (``offset``)."""
+    return {"rank": F.lit(1), "offset": F.col("n_tokens")}
 
 
 def running_offsets(
@@ -111,21 +154,19 @@ def running_offsets(
     batch_docs: int = DEFAULT_BATCH_DOCS,
     bucket_docs: int = DEFAULT_BUCKET_DOCS,
     levels: int = 2,
+    bases: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``rank`` (documents before), ``offset`` (tokens before) and ``batch``.
 
     ``counts`` needs ``source, doc_seq, n_tokens``; ``doc_seq`` unique within a source.
+    ``bases`` (from ``bucket_bases``) may be passed when already computed.
     """
     if batch_docs <= 0:
         raise ValueError("batch_docs must be positive")
-    out = exclusive_prefix_sums(
-        counts,
-        ["source"],
-        "doc_seq",
-        {"rank": F.lit(1), "offset": F.col("n_tokens")},
-        bucket_docs,
-        levels,
-    )
+    if bases is not None:
+        out = apply_bucket_bases(counts, ["source"], "doc_seq", offset_weights(), bases, bucket_docs)
+    else:
+        out = exclusive_prefix_sums(counts, ["source"], "doc_seq", offset_weights(), bucket_docs, levels)
     return out.withColumn("batch", F.expr(f"rank div {int(batch_docs)}"))
 
 
@@ -269,6 +310,8 @@ class PackResult:
     shard_tokens: int
     tokenizer: Tokenizer
     cut_checked: bool = False  # cut row count checked against MAX_BROADCAST_SOURCES
+    bases: DataFrame | None = None  # per (source, bucket): tokens and documents before it
+    bucket_docs: int = DEFAULT_BUCKET_DOCS
 
     def _with_cut(self, df: DataFrame) -> DataFrame:
         small = self.cut.select("source", "kept_tokens")
@@ -287,21 +330,40 @@ class PackResult:
         return shard_progress(self.inventory(), cut, self.shard_tokens)
 
     def segments(self) -> DataFrame:
-        """Packed segments: ``source, shard_idx, pos, doc_seq, n_tokens, tokens`` (D4 with ids)."""
-        kept = self._with_cut(self.offsets).filter(F.col("offset") < F.col("kept_tokens"))
-        kept = kept.select("source", "doc_seq", "offset", "n_tokens", "kept_tokens")
-        if "tokens" in self.docs.columns:
-            wide = self.docs.select("source", "doc_seq", "tokens")
+        """Packed segments: ``source, shard_idx, pos, doc_seq, n_tokens, tokens`` (D4 with ids).
+
+        The documents (text, or token arrays for a non-native tokenizer) are shuffled once,
+        by ``(source, bucket)``: the within-bucket running sum is a window on that
+        partitioning and the bucket bases join on the same keys, so the text does not move
+        again. Output rows stay grouped by bucket, i.e. by stream position.
+        """
+        has_tokens = "tokens" in self.docs.columns
+        payload = "tokens" if has_tokens else "text"
+        wide = with_token_counts(self.docs.select("source", "doc_seq", payload), self.tokenizer)
+        if self.bases is not None:
+            with_off = apply_bucket_bases(
+                wide, ["source"], "doc_seq", {"offset": F.col("n_tokens")},
+                self.bases.select("source", "_bucket", "_base_offset"), self.bucket_docs,
+            )
         else:
-            wide = self.docs.select("source", "doc_seq", self.tokenizer.encode_with_eos("text").alias("tokens"))
-        joined = kept.join(wide, ["source", "doc_seq"], "inner")
-        p = shard_pieces(joined, self.shard_tokens)
+            with_off = wide.join(self.offsets.select("source", "doc_seq", "offset"), ["source", "doc_seq"])
+        kept = self._with_cut(with_off).filter(F.col("offset") < F.col("kept_tokens"))
+        ids = F.col("tokens") if has_tokens else self.tokenizer.encode_with_eos("text")
+        kept = kept.select("source", "doc_seq", "offset", "n_tokens", "kept_tokens", ids.alias("tokens"))
+        p = shard_pieces(kept, self.shard_tokens)
         return p.select(
             "source", "shard_idx", "pos", "doc_seq",
             F.col("length").alias("n_tokens"),
             F.slice("tokens", (F.col("start") + 1).cast("int"), F.col("length").cast("int")).alias("tokens"),
         )
 
+    def write(self, path: str) -> None:
+        """A8 for this plan: segments are already grouped by stream position, so a local sort
+        replaces the shuffle by shard (files per shard ≈ shard size / bucket size + 1)."""
+        from corpuspack.sources.sinks import write_packed
+
+        write_packed(self.segments(), path, shuffle=False)
+
 
 def small_table(df: DataFrame, name: str, max_rows: int = MAX_BROADCAST_SOURCES) -> DataFrame:
     """Materialize a per-source table and check it is small enough to broadcast."""
@@ -338,12 +400,16 @@ def pack(
         docs = materialize(tokenize(docs, tokenizer), "tokenized_docs")
     counts = with_token_counts(docs.select("source", "doc_seq", *(["tokens"] if "tokens" in docs.columns else ["text"])), tokenizer)
     counts = counts.select("source", "doc_seq", "n_tokens")
-    offsets = running_offsets(counts, batch_docs, bucket_docs, levels)
+    bases = bucket_bases(counts, ["source"], "doc_seq", offset_weights(), bucket_docs, levels)
+    if persist:
+        bases = materialize(bases, "bucket_bases")
+    offsets = running_offsets(counts, batch_docs, bucket_docs, levels, bases=bases)
     if persist:
         offsets = materialize(offsets, "offsets")
     cut = budget_cutoff(offsets, shard_tokens, targets, batch_docs)
     if persist:
         cut = small_table(cut, "cut")
     return PackResult(
-        offsets=offsets, cut=cut, docs=docs, shard_tokens=shard_tokens, tokenizer=tokenizer, cut_checked=persist
+        offsets=offsets, cut=cut, docs=docs, shard_tokens=shard_tokens, tokenizer=tokenizer, cut_checked=persist,
+        bases=bases, bucket_docs=bucket_docs,
     )

@@ -26,17 +26,20 @@ def is_prepared(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def write_packed(segments: DataFrame, path: str) -> None:
+def write_packed(segments: DataFrame, path: str, shuffle: bool = True) -> None:
     """Write packed segments under ``path/source=…/shard_idx=…/``.
 
-    Rows are shuffled by ``(source, shard_idx)`` so each shard is written by one task (at most
-    ``shard_tokens`` ids, whatever the data size), and sorted by position inside it. The whole
-    path is overwritten (static mode), so a smaller re-run leaves no stale shards behind.
+    With ``shuffle`` rows are shuffled by ``(source, shard_idx)`` so each shard is written by
+    one task (at most ``shard_tokens`` ids, whatever the data size). Without it (segments
+    already clustered by stream position, as ``PackResult.write`` gives them) only a local
+    sort runs. The whole path is overwritten (static mode), so a smaller re-run leaves no
+    stale shards behind.
     """
+    seg = segments.select("source", "shard_idx", "pos", "doc_seq", "n_tokens", "tokens")
+    if shuffle:
+        seg = seg.repartition("source", "shard_idx")
     (
-        segments.select("source", "shard_idx", "pos", "doc_seq", "n_tokens", "tokens")
-        .repartition("source", "shard_idx")
-        .sortWithinPartitions("source", "shard_idx", "pos")
+        seg.sortWithinPartitions("source", "shard_idx", "pos")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "static")
         .partitionBy("source", "shard_idx")
