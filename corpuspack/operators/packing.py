@@ -365,6 +365,20 @@ class PackResult:
         write_packed(self.segments(), path, shuffle=False)
 
 
+def auto_bucket_docs(docs: DataFrame, per_core: int = 4, cap: int = DEFAULT_BUCKET_DOCS) -> int:
+    """Bucket size giving about ``per_core`` buckets per core, never above ``cap`` documents.
+
+    Reads only ``doc_seq`` (min / max), so the sizing pass is cheap even on a huge corpus;
+    at scale the cap decides (bounded buckets), on small inputs the core count does.
+    """
+    lo, hi = docs.agg(F.min("doc_seq"), F.max("doc_seq")).first()
+    if lo is None:
+        return 1
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    span = int(hi) - int(lo) + 1
+    return int(max(1, min(cap, -(-span // (per_core * cores)))))
+
+
 def small_table(df: DataFrame, name: str, max_rows: int = MAX_BROADCAST_SOURCES) -> DataFrame:
     """Materialize a per-source table and check it is small enough to broadcast."""
     out = materialize(df, name)
@@ -381,25 +395,30 @@ def pack(
     shard_tokens: int = DEFAULT_SHARD_TOKENS,
     targets: Targets = DEFAULT_TARGET,
     batch_docs: int = DEFAULT_BATCH_DOCS,
-    bucket_docs: int = DEFAULT_BUCKET_DOCS,
+    bucket_docs: int | None = None,
     levels: int = 2,
     tokenizer: Tokenizer | None = None,
     persist: bool = True,
 ) -> PackResult:
     """Plan the packing of ``docs`` (``source, doc_seq, text``; empty texts are dropped).
 
-    With ``persist`` the per-document offsets (narrow: six integers per document) and the
-    per-source cut are written to the shared scratch folder, so the three consumers
-    (cut, inventory, segments) do not recompute the scan and the prefix sums, and a lost
-    executor recomputes from those tables. A non-native tokenizer always persists its
+    With ``persist`` the per-document counts and offsets (narrow: a few integers per
+    document), the bucket bases and the per-source cut are written to the shared scratch
+    folder: the text is scanned twice in all (counting, then splitting), the consumers (cut,
+    inventory, segments) do not recompute the prefix sums, and a lost executor recomputes from
+    those tables, not from the source scan. A non-native tokenizer always persists its
     token arrays first: it is the expensive step and must run once.
     """
     tokenizer = tokenizer or ByteTokenizer()
+    if bucket_docs is None:
+        bucket_docs = auto_bucket_docs(docs)
     docs = nonempty(docs)
     if not tokenizer.native:
         docs = materialize(tokenize(docs, tokenizer), "tokenized_docs")
     counts = with_token_counts(docs.select("source", "doc_seq", *(["tokens"] if "tokens" in docs.columns else ["text"])), tokenizer)
     counts = counts.select("source", "doc_seq", "n_tokens")
+    if persist:
+        counts = materialize(counts, "token_counts")  # the one counting scan of the text
     bases = bucket_bases(counts, ["source"], "doc_seq", offset_weights(), bucket_docs, levels)
     if persist:
         bases = materialize(bases, "bucket_bases")
