@@ -309,7 +309,7 @@ class PackResult:
     docs: DataFrame  # the documents packed (text or tokens)
     shard_tokens: int
     tokenizer: Tokenizer
-    cut_checked: bool = False  # cut row count checked against MAX_BROADCAST_SOURCES
+    cut_checked: bool = False  # cut materialized and within MAX_BROADCAST_SOURCES rows: broadcast it
     bases: DataFrame | None = None  # per (source, bucket): tokens and documents before it
     bucket_docs: int = DEFAULT_BUCKET_DOCS
 
@@ -379,15 +379,13 @@ def auto_bucket_docs(docs: DataFrame, per_core: int = 4, cap: int = DEFAULT_BUCK
     return int(max(1, min(cap, -(-span // (per_core * cores)))))
 
 
-def small_table(df: DataFrame, name: str, max_rows: int = MAX_BROADCAST_SOURCES) -> DataFrame:
-    """Materialize a per-source table and check it is small enough to broadcast."""
+def small_table(df: DataFrame, name: str, max_rows: int = MAX_BROADCAST_SOURCES) -> tuple[DataFrame, bool]:
+    """Materialize a per-source table; report whether it is small enough to broadcast.
+
+    Beyond ``max_rows`` rows callers fall back to a shuffle join (AQE still checks sizes).
+    """
     out = materialize(df, name)
-    n = out.count()
-    if n > max_rows:
-        raise ValueError(
-            f"{name}: {n} sources; `source` must name registry sources (at most {max_rows})"
-        )
-    return out
+    return out, out.count() <= max_rows
 
 
 def pack(
@@ -426,9 +424,10 @@ def pack(
     if persist:
         offsets = materialize(offsets, "offsets")
     cut = budget_cutoff(offsets, shard_tokens, targets, batch_docs)
+    small = False
     if persist:
-        cut = small_table(cut, "cut")
+        cut, small = small_table(cut, "cut")
     return PackResult(
-        offsets=offsets, cut=cut, docs=docs, shard_tokens=shard_tokens, tokenizer=tokenizer, cut_checked=persist,
+        offsets=offsets, cut=cut, docs=docs, shard_tokens=shard_tokens, tokenizer=tokenizer, cut_checked=small,
         bases=bases, bucket_docs=bucket_docs,
     )
