@@ -72,7 +72,8 @@ class ByteTokenizer(Tokenizer):
         """Ids → text; ids >= 256 (EOS) are skipped. A cut inside a character decodes to U+FFFD."""
         t = _c(tokens)
         latin = F.array_join(F.transform(F.filter(t, lambda x: x < 256), lambda x: F.chr(x)), "")
-        return F.decode(F.encode(latin, "ISO-8859-1"), "UTF-8")
+        # the bytes as a string without validation, then invalid sequences → U+FFFD
+        return F.make_valid_utf8(F.encode(latin, "ISO-8859-1").cast("string"))
 
 
 _LOADED: dict[str, object] = {}
@@ -132,6 +133,13 @@ class JsonTokenizer(Tokenizer):
         return _decode(_c(tokens))
 
 
+def detokenize(tokens: Column | str, tokenizer: Tokenizer | None = None) -> Column:
+    """Ids → text with special ids skipped, then Python-equal strip."""
+    from corpuspack.functions.text import strip_ws
+
+    return strip_ws((tokenizer or ByteTokenizer()).decode(tokens))
+
+
 def get_tokenizer(name: str = "byte", **kwargs) -> Tokenizer:
     if name == "byte":
         return ByteTokenizer()

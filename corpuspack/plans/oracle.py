@@ -192,7 +192,8 @@ def hkey(seed: int, key: str) -> str:
 
 
 def chat_json(user: str, assistant: str) -> str:
-    return f"to_json([{{'role': 'user', 'content': {user}}}, {{'role': 'assistant', 'content': {assistant}}}])"
+    return (f"CAST(to_json([{{'role': 'user', 'content': {user}}}, {{'role': 'assistant', 'content': {assistant}}}])"
+            " AS VARCHAR)")
 
 
 def render(parts: list[tuple[str, str]], open_turn: bool = False) -> str:
@@ -238,7 +239,7 @@ ROW_CHATS = f"SELECT conv_id, {chat_json(_USER, _ASSISTANT)} AS messages_json FR
 
 TURN_CHATS = """
 SELECT conv_id, CAST(count(*) AS INTEGER) AS n_turns,
-       to_json(list({'role': role, 'content': text} ORDER BY turn)) AS messages_json
+       CAST(to_json(list({'role': role, 'content': text} ORDER BY turn)) AS VARCHAR) AS messages_json
 FROM conversations GROUP BY conv_id
 """
 

@@ -7,8 +7,6 @@ They run the library operators on the fixture tables (see FIXTURES.md for the st
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,13 +47,14 @@ def running_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.running_offsets(token_counts(spark, sf_dir), BATCH_DOCS, BUCKET_DOCS)
 
 
-_PACKS: dict[tuple[int, str], packing.PackResult] = {}
+_PACKS: dict[tuple[str, str], packing.PackResult] = {}
 
 
 def packed(spark: SparkSession, sf_dir: str) -> packing.PackResult:
-    """The fixture packing plan; offsets and cut are materialized once per session and dir."""
-    key = (id(spark), sf_dir)
-    if key not in _PACKS:
+    """The fixture packing plan; counts, offsets and cut are materialized once per session and dir."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    cached = _PACKS.get(key)
+    if cached is None or cached.offsets.sparkSession is not spark:
         _PACKS[key] = packing.pack(
             fixture_docs(spark, sf_dir),
             shard_tokens=SHARD_TOKENS,

@@ -139,3 +139,11 @@ def test_shard_invariants_on_fixture(spark):
     # es never reaches its budget at sf0.01: it ends in a short tail shard
     assert not cut["es"].reached and by["es"][-1][1] < Q.SHARD_TOKENS
     assert cut["en"].reached and cut["en"].kept_tokens >= Q.TARGETS["en"]
+
+
+def test_decode_tolerates_a_cut_inside_a_character(spark):
+    tok = ByteTokenizer()
+    ids = spark.createDataFrame([("é漢\u0000x",)], "s string").select(tok.encode("s").alias("ids")).first().ids
+    assert ids == [195, 169, 230, 188, 162, 0, 120]
+    cut = spark.createDataFrame([(ids[1:] + [256],)], "ids array<int>")
+    assert cut.select(tok.decode("ids").alias("d")).first().d == bytes(ids[1:]).decode("utf-8", "replace")
