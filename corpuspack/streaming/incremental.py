@@ -77,7 +77,7 @@ class ShardAppender:
     shard_tokens: int = packing.DEFAULT_SHARD_TOKENS
     targets: packing.Targets = packing.DEFAULT_TARGET
     batch_docs: int = packing.DEFAULT_BATCH_DOCS
-    bucket_docs: int = packing.DEFAULT_BUCKET_DOCS
+    bucket_docs: int | None = None  # None: sized per micro-batch from its doc_seq span
     tokenizer: Tokenizer = field(default_factory=ByteTokenizer)
 
     # ------------------------------------------------------------------ paths and state
@@ -127,9 +127,8 @@ class ShardAppender:
         state, staged, _ = self._state(spark, batch_id)
         state = F.broadcast(state)  # one row per source
         docs = packing.with_token_counts(packing.nonempty(batch.select("source", "doc_seq", "text")), self.tokenizer)
-        local = packing.exclusive_prefix_sums(
-            docs, ["source"], "doc_seq", {"rank": F.lit(1), "offset": F.col("n_tokens")}, self.bucket_docs
-        )
+        bucket = self.bucket_docs or packing.auto_bucket_docs(docs)
+        local = packing.exclusive_prefix_sums(docs, ["source"], "doc_seq", packing.offset_weights(), bucket)
         fresh = (
             local.join(state.select("source", F.col("n_docs").alias("_r0"), F.col("n_tokens").alias("_o0"),
                                     F.col("reached").alias("_done")), "source", "left")
@@ -226,7 +225,7 @@ def stream_pack(
     shard_tokens: int,
     targets: Mapping[str, int] | int | None,
     batch_docs: int,
-    bucket_docs: int = packing.DEFAULT_BUCKET_DOCS,
+    bucket_docs: int | None = None,
 ) -> DataFrame:
     """Run S3 to the end of the available input, close it, return the segments."""
     app = ShardAppender(out_dir, shard_tokens, targets, batch_docs, bucket_docs)
