@@ -74,13 +74,14 @@ def read_source(
     spark: SparkSession,
     name: str,
     path: str,
-    split: str | None = None,
+    split: str | None = "train",
     fmt: str = "parquet",
     registry: dict[str, SourceSpec] | None = None,
 ) -> DataFrame:
     """A2 + B1: scan a registered corpus at ``path`` into ``raw_docs``.
 
-    ``split`` is a sub-folder (``path/split``) when given. The text field is the registry's;
+    ``split`` is a sub-folder (``path/split``, default ``train``; None reads ``path`` itself).
+    The text field is the registry's;
     a file without it yields null text (dropped later by the non-empty filter).
     """
     spec = lookup(name, registry)

@@ -147,3 +147,26 @@ def test_decode_tolerates_a_cut_inside_a_character(spark):
     assert ids == [195, 169, 230, 188, 162, 0, 120]
     cut = spark.createDataFrame([(ids[1:] + [256],)], "ids array<int>")
     assert cut.select(tok.decode("ids").alias("d")).first().d == bytes(ids[1:]).decode("utf-8", "replace")
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None)
+@given(
+    S=st.integers(1, 64),
+    batch=st.integers(1, 8),
+    cases=st.lists(
+        st.tuples(st.lists(st.integers(1, 30), min_size=1, max_size=40), st.integers(1, 400)), min_size=1, max_size=25
+    ),
+)
+def test_cutoff_property(spark, S, batch, cases):
+    rows = [(f"c{c}", i, n) for c, (lengths, _) in enumerate(cases) for i, n in enumerate(lengths)]
+    counts = spark.createDataFrame(rows, "source string, doc_seq bigint, n_tokens bigint")
+    targets = {f"c{c}": t for c, (_, t) in enumerate(cases)}
+    offsets = packing.running_offsets(counts, batch_docs=batch, bucket_docs=3)
+    cut = {r.source: (r.kept_tokens, r.n_shards) for r in packing.budget_cutoff(offsets, S, targets, batch).collect()}
+    for c, (lengths, t) in enumerate(cases):
+        want = loop_model(lengths, S, t, batch)
+        assert cut[f"c{c}"] == (sum(want), len(want))
