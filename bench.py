@@ -16,6 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+os.environ.setdefault("CORPUSPACK_DRIVER_MEMORY", "6g")
 CPUS = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 4))
 
 

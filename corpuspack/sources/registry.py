@@ -55,16 +55,25 @@ def spread_small_input(df: DataFrame, key: str = "doc_seq") -> DataFrame:
     return df.repartition(cores, key)
 
 
+# The per-file table (path, row count) is broadcast up to this many files (~100 bytes each).
+MAX_BROADCAST_FILES = 500_000
+
+
 def with_stream_order(df: DataFrame) -> DataFrame:
     """Add ``doc_seq``: files in path order, rows in file order, numbered from 0.
 
     ``df`` must come straight from a file scan (it reads the hidden ``_metadata`` column).
+    Per-file row counts (one row per file) are summed in path order and joined back. The file
+    count is known on the driver before any job runs; up to ``MAX_BROADCAST_FILES`` the table
+    is broadcast, so the documents are not shuffled at all; beyond that it is a shuffle join.
     """
     meta = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     per_file = meta.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
     # One row per file: the file list is metadata-sized, so one ordered window is fine.
     w = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     bases = per_file.select("_file", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_base"))
+    if len(df.inputFiles()) <= MAX_BROADCAST_FILES:
+        bases = F.broadcast(bases)
     return meta.join(bases, "_file").withColumn("doc_seq", (F.col("_base") + F.col("_row")).cast("bigint")).drop(
         "_file", "_row", "_base"
     )
