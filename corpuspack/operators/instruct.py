@@ -101,7 +101,10 @@ def tuning_mix(
     Output: ``origin, id, position, messages``.
     """
     if jsonl is not None:
-        parts = [jsonl.select(F.lit("jsonl").alias("origin"), F.col("id").cast("bigint").alias("id"), "messages")]
+        # a JSONL set has only ``messages``: its id is a hash of the content (stable on retry;
+        # identical lines are interchangeable, so their relative order does not matter)
+        jid = F.col("id") if "id" in jsonl.columns else hash_draw(T.messages_json("messages"))
+        parts = [jsonl.select(F.lit("jsonl").alias("origin"), jid.cast("bigint").alias("id"), "messages")]
     else:
         parts = []
         if chats is not None:

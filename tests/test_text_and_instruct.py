@@ -82,6 +82,10 @@ def test_tuning_mix_sources(spark):
     jsonl = spark.createDataFrame([(7, [("user", "x"), ("assistant", "y")])], f"id bigint, messages {T.MESSAGES_TYPE}")
     only = instruct.tuning_mix(chats=chats, rows=rows, jsonl=jsonl)  # a JSONL set replaces both
     assert [r.origin for r in only.collect()] == ["jsonl"]
+    lines = spark.createDataFrame([([("user", f"q{i}"), ("assistant", "a")],) for i in range(5)],
+                                  f"messages {T.MESSAGES_TYPE}")
+    from_file = instruct.tuning_mix(jsonl=lines).collect()
+    assert sorted(r.position for r in from_file) == list(range(5)) and len({r.id for r in from_file}) == 5
 
 
 def test_preference_cap(spark):
