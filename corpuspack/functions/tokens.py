@@ -12,6 +12,7 @@ broadcast variable and is parsed once per Python worker.
 from __future__ import annotations
 
 import hashlib
+import os
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -76,6 +77,9 @@ class ByteTokenizer(Tokenizer):
         return F.make_valid_utf8(F.encode(latin, "ISO-8859-1").cast("string"))
 
 
+# One tokenizer call per Arrow batch and one batch per core: no extra threads per call.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 _LOADED: dict[str, object] = {}
 
 
