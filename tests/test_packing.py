@@ -170,3 +170,18 @@ def test_cutoff_property(spark, S, batch, cases):
     for c, (lengths, t) in enumerate(cases):
         want = loop_model(lengths, S, t, batch)
         assert cut[f"c{c}"] == (sum(want), len(want))
+
+
+def test_segments_layout_independent(spark):
+    from corpuspack.plans import queries as Q
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(
+        F.col("lang").alias("source"), F.col("doc_id").alias("doc_seq"), "text")
+    cols = ["source", "shard_idx", "pos", "doc_seq", "n_tokens", "tokens"]
+    runs = []
+    for parts, bucket in [(1, 1 << 16), (16, 3), (5, None)]:
+        p = packing.pack(docs.repartition(parts), shard_tokens=4096, targets=Q.TARGETS, batch_docs=7,
+                         bucket_docs=bucket)
+        runs.append(p.segments().select(cols))
+    for other in runs[1:]:
+        assert runs[0].exceptAll(other).count() == 0 and other.exceptAll(runs[0]).count() == 0
