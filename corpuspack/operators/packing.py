@@ -380,12 +380,13 @@ def auto_bucket_docs(docs: DataFrame, per_core: int = 4, cap: int = DEFAULT_BUCK
 
 
 def small_table(df: DataFrame, name: str, max_rows: int = MAX_BROADCAST_SOURCES) -> tuple[DataFrame, bool]:
-    """Materialize a per-source table; report whether it is small enough to broadcast.
-
-    Beyond ``max_rows`` rows callers fall back to a shuffle join (AQE still checks sizes).
-    """
-    out = materialize(df, name)
-    return out, out.count() <= max_rows
+    """Bring a per-source table to the driver when it has at most ``max_rows`` rows (checked
+    with a bounded ``limit``), as a local relation that broadcasts for free. Beyond the bound
+    it is materialized in the scratch folder instead and callers use a shuffle join."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) <= max_rows:
+        return df.sparkSession.createDataFrame(rows, df.schema), True
+    return materialize(df, name), False
 
 
 def pack(
