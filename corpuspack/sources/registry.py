@@ -45,9 +45,10 @@ def lookup(name: str, registry: dict[str, SourceSpec] | None = None) -> SourceSp
 def spread_small_input(df: DataFrame, key: str = "doc_seq") -> DataFrame:
     """Hash-spread rows over the cores when the scan has fewer files than cores.
 
-    A Parquet row group is read by one task, so a small input of one or two files would be
-    tokenized by one or two tasks. Large inputs (many files) are left untouched: no shuffle.
-    Hash partitioning on ``key`` keeps a retried task's input identical.
+    A Parquet row group is read by one task, so a job over one or two files with no shuffle of
+    its own (tokenizing only) would run on one or two cores. Large inputs (many files) are left
+    untouched. The packing job does not need it: its own shuffle spreads the work. Hash
+    partitioning on ``key`` keeps a retried task's input identical.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if len(df.inputFiles()) >= cores:
@@ -98,7 +99,7 @@ def read_source(
     raw = spark.read.format(fmt).load(location)
     text = F.col(spec.text_field).cast("string") if spec.text_field in raw.columns else F.lit(None).cast("string")
     ordered = with_stream_order(raw.select(text.alias("text")))
-    return spread_small_input(ordered.select(F.lit(spec.name).alias("source"), "doc_seq", "text"))
+    return ordered.select(F.lit(spec.name).alias("source"), "doc_seq", "text")
 
 
 # --------------------------------------------------------------------------- fixture stand-ins
@@ -118,7 +119,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, schema: str | None = None
 def fixture_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as ``raw_docs``: ``lang`` plays the source, ``doc_id`` the stream order."""
     docs = table(spark, sf_dir, "documents", DOCUMENTS_SCHEMA)
-    return spread_small_input(docs.select(F.col("lang").alias("source"), F.col("doc_id").alias("doc_seq"), "text"))
+    return docs.select(F.col("lang").alias("source"), F.col("doc_id").alias("doc_seq"), "text")
 
 
 # --------------------------------------------------------------------------- A3-A6
