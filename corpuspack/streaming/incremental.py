@@ -118,6 +118,10 @@ class ShardAppender:
         """Close the stream: the staged documents form the short last batch."""
         done = self._done_batches()
         next_id = (done[-1] + 1) if done else 0
+        if done:
+            _, staged, _ = self._state(spark, next_id)
+            if staged.limit(1).count() == 0:
+                return  # every received document is committed: no short batch to close
         empty = spark.createDataFrame([], "source STRING, doc_seq BIGINT, text STRING")
         self._step(empty, next_id, final=True)
 
@@ -138,7 +142,8 @@ class ShardAppender:
                     (F.col("offset") + F.coalesce("_o0", F.lit(0))).alias("offset"))
         )
         live = staged.unionByName(fresh)
-        live = packing.materialize(live, f"stream-live-{batch_id}")
+        # used three times below; a failed batch is replayed by the stream, so a cache suffices
+        live = live.persist()
 
         # Per source: received totals, first reaching batch end, last complete batch end.
         t_round = F.expr(f"((target + {S - 1}) div {S}) * {S}")
@@ -174,7 +179,9 @@ class ShardAppender:
             F.when(F.coalesce(F.col("_r"), F.lit(False)), F.col("_k"))
             .when(reached_now, kept_now).cast("bigint").alias("kept"),
         )
-        new_state = packing.materialize(new_state, f"stream-state-{batch_id}")
+        new_state, small = packing.small_table(new_state, f"stream-state-{batch_id}")
+        if not small:
+            raise ValueError("too many sources for the streaming manifest")
 
         # Write the pieces between the old and the new committed position.
         bounds = F.broadcast(new_state.select("source", F.col("committed").alias("kept_tokens")))
@@ -192,7 +199,8 @@ class ShardAppender:
         hold.select("source", "doc_seq", "text", "n_tokens", "rank", "offset").write.mode("overwrite").parquet(
             self._path("staging", batch_id)
         )
-        new_state.write.mode("overwrite").parquet(self._path("manifest", batch_id))
+        new_state.coalesce(1).write.mode("overwrite").parquet(self._path("manifest", batch_id))
+        live.unpersist()
 
     # ------------------------------------------------------------------ results
 
