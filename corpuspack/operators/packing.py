@@ -417,7 +417,7 @@ def pack(
     counts = with_token_counts(docs.select("source", "doc_seq", *(["tokens"] if "tokens" in docs.columns else ["text"])), tokenizer)
     counts = counts.select("source", "doc_seq", "n_tokens")
     if persist:
-        counts = materialize(counts, "token_counts")  # the one counting scan of the text
+        counts = materialize(counts, "token_counts", rebalance=True)  # the one counting scan of the text
     bases = bucket_bases(counts, ["source"], "doc_seq", offset_weights(), bucket_docs, levels)
     if persist:
         bases = materialize(bases, "bucket_bases")

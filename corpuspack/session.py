@@ -54,14 +54,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, rebalance: bool = False) -> DataFrame:
     """Write ``df`` as Parquet under the shared scratch folder and read it back.
 
     Cuts lineage (a lost executor recomputes from the written table, not from the
     source scan), and unlike ``DataFrame.checkpoint`` keeps column pruning and
-    predicate pushdown on the stored result.
+    predicate pushdown on the stored result. ``rebalance`` lets AQE size the output
+    files (advisory partition size) when ``df`` keeps the partitioning of a huge scan
+    but is much narrower than it, which would otherwise leave one tiny file per input
+    split.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite").parquet(path)
+    (df.hint("rebalance") if rebalance else df).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
