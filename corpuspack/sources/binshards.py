@@ -95,10 +95,20 @@ class _BinReader(DataSourceReader):
         return parts
 
     def read(self, partition: _Range):
-        for lo in range(partition.start, partition.stop, self.block):
-            hi = min(partition.stop, lo + self.block)
-            ids = np.fromfile(partition.path, dtype=DTYPE, count=hi - lo, offset=lo * DTYPE.itemsize)
-            yield (partition.source, partition.shard_idx, lo, ids.astype(np.int32).tolist())
+        """One Arrow record batch per partition: a row per block, ids as ``list<int32>``."""
+        import pyarrow as pa
+
+        n = partition.stop - partition.start
+        ids = np.fromfile(partition.path, dtype=DTYPE, count=n, offset=partition.start * DTYPE.itemsize)
+        starts = np.arange(partition.start, partition.stop, self.block, dtype=np.int64)
+        offsets = np.append(starts - partition.start, n).astype(np.int32)
+        tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
+        k = len(starts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([partition.source] * k, pa.string()), pa.array([partition.shard_idx] * k, pa.int32()),
+             pa.array(starts), tokens],
+            names=["source", "shard_idx", "pos", "tokens"],
+        )
 
 
 class BinShardSource(DataSource):
