@@ -4,7 +4,6 @@ import pytest
 
 tokenizers = pytest.importorskip("tokenizers")
 
-from pyspark.sql import functions as F  # noqa: E402
 
 from corpuspack.functions.tokens import JsonTokenizer  # noqa: E402
 from corpuspack.operators import packing  # noqa: E402

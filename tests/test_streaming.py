@@ -4,7 +4,6 @@ import os
 
 from pyspark.sql import functions as F
 
-from corpuspack.operators import packing
 from corpuspack.plans import queries as Q
 from corpuspack.sources.registry import DOCUMENTS_SCHEMA
 from corpuspack.streaming.incremental import ShardAppender, read_doc_stream, stream_pack
