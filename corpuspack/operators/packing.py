@@ -366,17 +366,20 @@ class PackResult:
 
 
 def auto_bucket_docs(docs: DataFrame, per_core: int = 4, cap: int = DEFAULT_BUCKET_DOCS) -> int:
-    """Bucket size giving about ``per_core`` buckets per core, never above ``cap`` documents.
+    """Bucket width (in ``doc_seq`` units) for ``K = max(per_core * cores, n / cap)`` buckets.
 
-    Reads only ``doc_seq`` (min / max), so the sizing pass is cheap even on a huge corpus;
-    at scale the cap decides (bounded buckets), on small inputs the core count does.
+    One pass over ``doc_seq`` only (count, min, max). Dense keys get buckets of at most ``cap``
+    documents; sparse keys (gaps, hashed ids) get the same number of buckets spread over their
+    range instead of one bucket per document, so the bucket table stays ``cap`` times smaller
+    than the documents.
     """
-    lo, hi = docs.agg(F.min("doc_seq"), F.max("doc_seq")).first()
-    if lo is None:
+    n, lo, hi = docs.agg(F.count("doc_seq"), F.min("doc_seq"), F.max("doc_seq")).first()
+    if not n:
         return 1
     cores = docs.sparkSession.sparkContext.defaultParallelism
+    buckets = max(per_core * cores, -(-int(n) // cap))
     span = int(hi) - int(lo) + 1
-    return int(max(1, min(cap, -(-span // (per_core * cores)))))
+    return int(max(1, -(-span // buckets)))
 
 
 def small_table(df: DataFrame, name: str, max_rows: int = MAX_BROADCAST_SOURCES) -> tuple[DataFrame, bool]:

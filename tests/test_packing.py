@@ -185,3 +185,16 @@ def test_segments_layout_independent(spark):
         runs.append(p.segments().select(cols))
     for other in runs[1:]:
         assert runs[0].exceptAll(other).count() == 0 and other.exceptAll(runs[0]).count() == 0
+
+
+def test_sparse_doc_seq(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    dense = docs.select(F.col("lang").alias("source"), F.col("doc_id").alias("doc_seq"), "text")
+    sparse = docs.select(F.col("lang").alias("source"), (F.col("doc_id") * 1_000_000_007 + 13).alias("doc_seq"), "text")
+    b = packing.auto_bucket_docs(sparse)
+    n_buckets = sparse.select(F.expr(f"doc_seq div {b}")).distinct().count()
+    assert n_buckets <= 4 * spark.sparkContext.defaultParallelism + 1  # not one bucket per document
+    a = packing.pack(dense, shard_tokens=4096, targets=None, batch_docs=7).offsets
+    c = packing.pack(sparse, shard_tokens=4096, targets=None, batch_docs=7).offsets
+    c = c.withColumn("doc_seq", ((F.col("doc_seq") - 13) / 1_000_000_007).cast("bigint"))
+    assert a.exceptAll(c.select(a.columns)).count() == 0 and c.select(a.columns).exceptAll(a).count() == 0
