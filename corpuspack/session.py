@@ -67,4 +67,4 @@ def materialize(df: DataFrame, name: str, rebalance: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     (df.hint("rebalance") if rebalance else df).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # known schema: no footer-reading job
