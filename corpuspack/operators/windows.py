@@ -110,9 +110,12 @@ def draw_windows(
     ``shards``: ``(source, shard_idx, n_tokens)``. Returns ``sample_id, source, shard_idx,
     shard_len, start``.
     """
+    from corpuspack.session import materialize
+
+    # one row per shard (total tokens / shard size): written once, then checked, counted, joined
+    numbered = materialize(number_shards(shards, source_order), "shards")
     if check:
-        check_shards_long_enough(shards, seq_len)
-    numbered = number_shards(shards, source_order)
+        check_shards_long_enough(numbered.withColumnRenamed("shard_len", "n_tokens"), seq_len)
     total = numbered.agg(F.max("n_shards_total")).first()[0]
     if not total:
         raise FileNotFoundError("no shards to draw from")
