@@ -4,6 +4,7 @@
         --scale validate --out /shared/packed
     python -m corpuspack.plans.jobs windows --packed /shared/packed --out /shared/windows \\
         --seq-len 2048 --epochs 1 --micro-batch 8 --grad-accum 6 --ranks 4
+    python -m corpuspack.plans.jobs windows --bin-dirs /shared/bin/fineweb-edu,/shared/bin/the-stack ...
 
 Both run on whatever cluster the session belongs to; every folder must be shared storage.
 """
@@ -52,7 +53,7 @@ def prepare_corpus(
 
 def export_windows(
     spark: SparkSession,
-    packed: str,
+    packed: str | Sequence[str],
     out: str,
     seq_len: int,
     n_samples: int | None = None,
@@ -66,11 +67,17 @@ def export_windows(
 ) -> int:
     """Draw training windows from packed shards and write them per rank.
 
-    ``n_samples`` defaults to ``epochs`` passes over the unique tokens. ``source_order`` (the
-    upstream ``data_dirs`` order) numbers the shards; by default sources sort by name.
+    ``packed`` is a packed Parquet folder, or a list of ``.bin`` shard folders (A7: the
+    folder order numbers the shards, as the upstream loader's ``data_dirs`` do).
+    ``n_samples`` defaults to ``epochs`` passes over the unique tokens. ``source_order``
+    numbers the shards of a Parquet folder; by default sources sort by name.
     Returns the number of windows written.
     """
-    seg = sinks.read_packed(spark, packed)
+    if isinstance(packed, str):
+        seg = sinks.read_packed(spark, packed)
+    else:
+        seg = binshards.read_bin(spark, list(packed)).withColumn("n_tokens", F.size("tokens").cast("bigint"))
+        source_order = source_order or [d.rstrip("/").rsplit("/", 1)[-1] for d in packed]
     inventory = packing.shard_inventory(seg)
     per_source = inventory.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()  # one row per source
     if not per_source:
@@ -107,7 +114,9 @@ def main(argv: Sequence[str] | None = None) -> None:
     p.add_argument("--bin-dir", default=None)
     p.add_argument("--force", action="store_true")
     w = sub.add_parser("windows")
-    w.add_argument("--packed", required=True)
+    src = w.add_mutually_exclusive_group(required=True)
+    src.add_argument("--packed", help="packed Parquet folder")
+    src.add_argument("--bin-dirs", help="comma-separated .bin shard folders, in data_dirs order")
     w.add_argument("--out", required=True)
     w.add_argument("--seq-len", type=int, default=2048)
     w.add_argument("--samples", type=int, default=None)
@@ -132,7 +141,8 @@ def main(argv: Sequence[str] | None = None) -> None:
                 print(f"{r.source}: {r.kept_tokens:,} / {r.target or 0:,} tokens in {r.n_shards} shard(s)")
     else:
         order = args.source_order.split(",") if args.source_order else None
-        n = export_windows(spark, args.packed, args.out, args.seq_len, args.samples, args.epochs, args.seed,
+        packed = args.bin_dirs.split(",") if args.bin_dirs else args.packed
+        n = export_windows(spark, packed, args.out, args.seq_len, args.samples, args.epochs, args.seed,
                            args.micro_batch, args.grad_accum, args.ranks, source_order=order)
         print(f"wrote {n:,} windows to {args.out}")
 

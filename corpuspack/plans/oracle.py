@@ -308,8 +308,12 @@ FROM s GROUP BY task
 """
 
 STREAM_TOTALS = f"""
-SELECT source, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n_tokens) AS BIGINT) AS n_tokens
-FROM ({COUNTS}) c GROUP BY source
+WITH t AS (SELECT * FROM (VALUES {_TARGETS_VALUES}) AS t(source, target)),
+a AS (SELECT source, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n_tokens) AS BIGINT) AS n_tokens
+      FROM ({COUNTS}) c GROUP BY source)
+SELECT a.source, a.n_docs, a.n_tokens, CAST(t.target AS BIGINT) AS target,
+       coalesce(a.n_tokens >= t.target, false) AS target_reached
+FROM a LEFT JOIN t ON a.source = t.source
 """
 
 SQL: dict[str, str] = {

@@ -261,7 +261,7 @@ def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuspack.streaming.incremental import start_totals, token_stream
 
     name = f"stream_totals_{uuid.uuid4().hex[:8]}"
-    q = start_totals(token_stream(_doc_stream(spark, sf_dir)), name)
+    q = start_totals(token_stream(_doc_stream(spark, sf_dir)), name, targets=TARGETS)
     q.awaitTermination()
     return spark.table(name)
 

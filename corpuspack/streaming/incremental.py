@@ -53,18 +53,23 @@ def token_stream(docs: DataFrame, tokenizer: Tokenizer | None = None) -> DataFra
     return packing.with_token_counts(packing.nonempty(docs), tokenizer)
 
 
-def totals(counts: DataFrame) -> DataFrame:
-    """Documents and tokens per source so far."""
-    return counts.groupBy("source").agg(
+def totals(counts: DataFrame, targets: packing.Targets = None) -> DataFrame:
+    """Documents and tokens per source so far, against the source's target (if any)."""
+    agg = counts.groupBy("source").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_docs"), F.sum("n_tokens").cast("bigint").alias("n_tokens")
     )
+    return agg.withColumn("target", packing.target_column(targets, None)).withColumn(
+        "target_reached", F.coalesce(F.col("n_tokens") >= F.col("target"), F.lit(False))
+    )
 
 
-def start_totals(counts: DataFrame, name: str, checkpoint: str | None = None) -> StreamingQuery:
+def start_totals(
+    counts: DataFrame, name: str, checkpoint: str | None = None, targets: packing.Targets = None
+) -> StreamingQuery:
     """Run S2 into an in-memory table ``name`` (per-source rows; bounded by the sources)."""
     checkpoint = checkpoint or f"{scratch_dir(counts.sparkSession)}/stream-{name}"
     return (
-        totals(counts).writeStream.outputMode("complete").format("memory").queryName(name)
+        totals(counts, targets).writeStream.outputMode("complete").format("memory").queryName(name)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 

@@ -60,5 +60,7 @@ def test_replaying_a_batch_changes_nothing(spark, tmp_out):
 
 
 def test_stream_totals_match_fixture_facts(spark):
-    got = {r.source: (r.n_docs, r.n_tokens) for r in Q.stream_totals(spark, SF).collect()}
+    rows = Q.stream_totals(spark, SF).collect()
+    assert {r.source: r.target_reached for r in rows} == {"de": True, "en": True, "es": False, "fr": True}
+    got = {r.source: (r.n_docs, r.n_tokens) for r in rows}
     assert got == {"de": (129, 343_588), "en": (620, 1_472_661), "es": (106, 270_761), "fr": (145, 386_448)}
