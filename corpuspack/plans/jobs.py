@@ -22,6 +22,54 @@ from corpuspack.operators import mixture, packing, windows
 from corpuspack.sources import binshards, registry, sinks
 
 
+def budget_prefix(
+    spark: SparkSession,
+    name: str,
+    files: Sequence[str],
+    target: int | None,
+    shard_tokens: int,
+    batch_docs: int,
+    tokenizer: Tokenizer,
+    first_files: int = 1,
+    fmt: str = "parquet",
+) -> list[str]:
+    """The stream-order prefix of ``files`` that decides the source's budget cut.
+
+    The stream stops at the first document-batch end whose running total reaches
+    ``ceil(T / S) * S``; that end lies at most ``batch_docs`` documents after the document
+    that crosses the rounded target. So files are counted in groups that double in size (one
+    distributed job per group: per-group tokens and documents, no rows to the driver) until the
+    total has crossed it and ``batch_docs`` more documents have been read. Packing that prefix
+    gives the same shards as packing the whole source, and at most about twice the needed
+    text is read instead of all of it. Without a target every file is needed.
+    """
+    if target is None:
+        return list(files)
+    S = int(shard_tokens)
+    rounded = -(-int(target) // S) * S
+    read, size, total, after = 0, max(1, first_files), 0, None
+    while read < len(files):
+        group = list(files[read:read + size])
+        docs = spark.read.format(fmt).load(group)
+        field = registry.lookup(name).text_field
+        if field not in docs.columns:
+            n_tok, n_docs = 0, 0
+        else:
+            t = packing.nonempty(docs.select(F.col(field).cast("string").alias("text")))
+            n_tok, n_docs = t.agg(F.sum(tokenizer.count("text")), F.count(F.lit(1))).first()
+        read += len(group)
+        size *= 2
+        if after is not None:
+            after += int(n_docs or 0)
+        total += int(n_tok or 0)
+        if after is None and total >= rounded:
+            after = 0  # crossed inside this group: the stopping batch end may still be ahead
+            continue
+        if after is not None and after >= batch_docs:
+            break
+    return list(files[:read])
+
+
 def prepare_corpus(
     spark: SparkSession,
     sources: Mapping[str, str],
@@ -33,17 +81,27 @@ def prepare_corpus(
     tokenizer: Tokenizer | None = None,
     bin_dir: str | None = None,
     force: bool = False,
+    early_stop: bool = True,
 ) -> DataFrame | None:
     """Read registered sources (name → path), pack them in one job under per-source budgets and
     write ``out/source=…/shard_idx=…``. Skipped when ``out`` already holds a finished write
     (``_SUCCESS``), unless ``force``. Returns the per-source cut table (None when skipped).
-    With ``bin_dir`` the shards are also exported as flat ``uint32`` files."""
+    With ``early_stop`` each source is read only up to the file that decides its cut
+    (``budget_prefix``), as a stream would stop. With ``bin_dir`` the shards are also
+    exported as flat ``uint32`` files."""
     if not force and sinks.is_prepared(spark, out):
         return None
-    frames = [registry.read_source(spark, name, path, split) for name, path in sources.items()]
+    tokenizer = tokenizer or ByteTokenizer()
+    frames = []
+    for name, path in sources.items():
+        files = registry.source_files(spark, path, split)
+        if early_stop:
+            target = targets.get(name, packing.DEFAULT_TARGET) if isinstance(targets, Mapping) else targets
+            files = budget_prefix(spark, name, files, target, shard_tokens, batch_docs, tokenizer)
+        frames.append(registry.read_source(spark, name, path, split, files=files))
     plan = packing.pack(
         mixture.union_sources(frames), shard_tokens=shard_tokens, targets=targets, batch_docs=batch_docs,
-        tokenizer=tokenizer or ByteTokenizer(),
+        tokenizer=tokenizer,
     )
     plan.write(out)
     if bin_dir:

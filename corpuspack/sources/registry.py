@@ -80,6 +80,12 @@ def with_stream_order(df: DataFrame) -> DataFrame:
     )
 
 
+def source_files(spark: SparkSession, path: str, split: str | None = "train", fmt: str = "parquet") -> list[str]:
+    """The files of a source in stream order (sorted by path), from the file listing."""
+    location = f"{path.rstrip('/')}/{split}" if split else path
+    return sorted(spark.read.format(fmt).load(location).inputFiles())
+
+
 def read_source(
     spark: SparkSession,
     name: str,
@@ -87,16 +93,19 @@ def read_source(
     split: str | None = "train",
     fmt: str = "parquet",
     registry: dict[str, SourceSpec] | None = None,
+    files: list[str] | None = None,
 ) -> DataFrame:
     """A2 + B1: scan a registered corpus at ``path`` into ``raw_docs``.
 
     ``split`` is a sub-folder (``path/split``, default ``train``; None reads ``path`` itself).
+    ``files`` restricts the read to a stream-order prefix of the source's files.
     The text field is the registry's;
     a file without it yields null text (dropped later by the non-empty filter).
     """
     spec = lookup(name, registry)
     location = f"{path.rstrip('/')}/{split}" if split else path
-    raw = spark.read.format(fmt).load(location)
+    # ``files``: a prefix of ``source_files`` in stream order (doc_seq then equals the full read's)
+    raw = spark.read.format(fmt).load(files) if files is not None else spark.read.format(fmt).load(location)
     text = F.col(spec.text_field).cast("string") if spec.text_field in raw.columns else F.lit(None).cast("string")
     ordered = with_stream_order(raw.select(text.alias("text")))
     return ordered.select(F.lit(spec.name).alias("source"), "doc_seq", "text")

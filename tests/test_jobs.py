@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from corpuspack.operators import packing
 from corpuspack.plans import jobs
 from corpuspack.sources import sinks
 
@@ -39,3 +40,30 @@ def test_prepare_then_windows(spark, tmp_out):
     w2 = spark.read.parquet(f"{tmp_out}/win2")
     cols = ["sample_id", "source", "shard_idx", "start", "x", "y", "rank", "step"]
     assert n2 == n and w.select(cols).exceptAll(w2.select(cols)).count() == 0
+
+
+def test_early_stop_reads_a_prefix_and_packs_the_same(spark, tmp_out):
+    from pyspark.sql import Window
+
+    from corpuspack.functions.tokens import ByteTokenizer
+    from corpuspack.sources import registry
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter(F.col("lang") == "en")
+    docs = docs.withColumn("_f", F.ntile(20).over(Window.orderBy("doc_id")))
+    for k in range(1, 21):
+        part = docs.filter(F.col("_f") == k).orderBy("doc_id").select("text")
+        part.coalesce(1).write.parquet(f"{tmp_out}/fwe/train/g{k:02d}")
+    sources = {"fineweb-edu": f"{tmp_out}/fwe"}
+    files = registry.source_files(spark, f"{tmp_out}/fwe", "train/*")
+    assert len(files) == 20
+    prefix = jobs.budget_prefix(spark, "fineweb-edu", files, 300_000, 65_536, 10, ByteTokenizer())
+    assert 0 < len(prefix) < 20
+    a = jobs.prepare_corpus(spark, sources, f"{tmp_out}/a", 300_000, 65_536, 10, split="train/*", early_stop=True)
+    b = jobs.prepare_corpus(spark, sources, f"{tmp_out}/b", 300_000, 65_536, 10, split="train/*", early_stop=False)
+    assert a.collect()[0].kept_tokens == b.collect()[0].kept_tokens
+    ia = packing.shard_inventory(sinks.read_packed(spark, f"{tmp_out}/a"))
+    ib = packing.shard_inventory(sinks.read_packed(spark, f"{tmp_out}/b"))
+    assert ia.exceptAll(ib).count() == 0 and ib.exceptAll(ia).count() == 0
+    sa = sinks.read_packed(spark, f"{tmp_out}/a").drop("source", "shard_idx")
+    sb = sinks.read_packed(spark, f"{tmp_out}/b").drop("source", "shard_idx")
+    assert sa.exceptAll(sb).count() == 0 and sb.exceptAll(sa).count() == 0
