@@ -84,6 +84,7 @@ class ShardAppender:
     batch_docs: int = packing.DEFAULT_BATCH_DOCS
     bucket_docs: int | None = None  # None: sized per micro-batch from its doc_seq span
     tokenizer: Tokenizer = field(default_factory=ByteTokenizer)
+    all_reached: bool = False  # every budgeted source reached its target: later input is moot
 
     # ------------------------------------------------------------------ paths and state
 
@@ -206,6 +207,9 @@ class ShardAppender:
         )
         new_state.coalesce(1).write.mode("overwrite").parquet(self._path("manifest", batch_id))
         live.unpersist()
+        if isinstance(self.targets, Mapping) and self.targets:
+            reached = {r.source for r in new_state.filter("reached").select("source").collect()}
+            self.all_reached = set(self.targets) <= reached
 
     # ------------------------------------------------------------------ results
 
@@ -240,9 +244,14 @@ def stream_pack(
     batch_docs: int,
     bucket_docs: int | None = None,
 ) -> DataFrame:
-    """Run S3 to the end of the available input, close it, return the segments."""
+    """Run S3 to the end of the available input (or until every budgeted source has reached
+    its target, when the query is stopped: the rest would be ignored), close it, return the
+    segments."""
     app = ShardAppender(out_dir, shard_tokens, targets, batch_docs, bucket_docs)
     q = run_shard_stream(docs_stream, app, f"{out_dir.rstrip('/')}/_checkpoint")
-    q.awaitTermination()
+    while not q.awaitTermination(1):
+        if app.all_reached:
+            q.stop()
+            break
     app.finish(spark)
     return app.segments(spark)

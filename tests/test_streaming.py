@@ -64,3 +64,27 @@ def test_stream_totals_match_fixture_facts(spark):
     assert {r.source: r.target_reached for r in rows} == {"de": True, "en": True, "es": False, "fr": True}
     got = {r.source: (r.n_docs, r.n_tokens) for r in rows}
     assert got == {"de": (129, 343_588), "en": (620, 1_472_661), "es": (106, 270_761), "fr": (145, 386_448)}
+
+
+def test_stream_stops_once_every_budget_is_reached(spark, tmp_out):
+    parts = _split_in_order(spark, tmp_out + "/src", n_files=10)
+    flat = tmp_out + "/flat"
+    os.makedirs(flat)
+    for k, p in enumerate(parts):
+        f = [x for x in os.listdir(p) if x.endswith(".parquet")][0]
+        os.link(f"{p}/{f}", f"{flat}/{k:03d}.parquet")
+    small = {"en": 70_000, "de": 70_000, "fr": 70_000, "es": 70_000}
+    out = tmp_out + "/out"
+    seg = stream_pack(spark, _stream_of(spark, flat), out, 65_536, small, Q.BATCH_DOCS, 64)
+    app = ShardAppender(out)
+    last = app._done_batches()[-1]
+    received = spark.read.parquet(app._path("manifest", last)).agg(F.sum("n_docs")).first()[0]
+    assert received < 1000  # stopped before reading every file (1,000 documents in all)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(
+        F.col("lang").alias("source"), F.col("doc_id").alias("doc_seq"), "text")
+    from corpuspack.operators import packing
+
+    batch = packing.pack(docs, shard_tokens=65_536, targets=small, batch_docs=Q.BATCH_DOCS).segments()
+    cols = ["source", "shard_idx", "pos", "doc_seq", "n_tokens", "tokens"]
+    assert seg.select(cols).exceptAll(batch.select(cols)).count() == 0
+    assert batch.select(cols).exceptAll(seg.select(cols)).count() == 0
