@@ -309,7 +309,7 @@ class PackResult:
     docs: DataFrame  # the documents packed (text or tokens)
     shard_tokens: int
     tokenizer: Tokenizer
-    cut_checked: bool = False  # cut materialized and within MAX_BROADCAST_SOURCES rows: broadcast it
+    cut_checked: bool = False  # cut checked to hold at most MAX_BROADCAST_SOURCES rows: broadcast it
     bases: DataFrame | None = None  # per (source, bucket): tokens and documents before it
     bucket_docs: int = DEFAULT_BUCKET_DOCS
 
