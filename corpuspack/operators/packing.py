@@ -365,21 +365,30 @@ class PackResult:
         write_packed(self.segments(), path, shuffle=False)
 
 
-def auto_bucket_docs(docs: DataFrame, per_core: int = 4, cap: int = DEFAULT_BUCKET_DOCS) -> int:
-    """Bucket width (in ``doc_seq`` units) for ``K = max(per_core * cores, n / cap)`` buckets.
-
-    One pass over ``doc_seq`` only (count, min, max). Dense keys get buckets of at most ``cap``
-    documents; sparse keys (gaps, hashed ids) get the same number of buckets spread over their
-    range instead of one bucket per document, so the bucket table stays ``cap`` times smaller
-    than the documents.
+def auto_buckets(docs: DataFrame, per_core: int = 4, cap: int = DEFAULT_BUCKET_DOCS) -> tuple[int, int]:
+    """Bucket width and number of prefix-sum levels, from one pass over ``doc_seq``.
+
+    The width is the ``doc_seq`` span over ``per_core * cores`` (so small inputs still spread
+    over the cores), never above ``cap``. As keys are unique integers, a width of at most
+    ``cap`` means no bucket holds more than ``cap`` documents and no level holds more than
+    ``cap`` buckets per group, whatever the key distribution: sparse or clustered keys only
+    add levels, which are added until the top level has at most ``cap`` entries too.
     """
-    n, lo, hi = docs.agg(F.count("doc_seq"), F.min("doc_seq"), F.max("doc_seq")).first()
-    if not n:
-        return 1
+    lo, hi = docs.agg(F.min("doc_seq"), F.max("doc_seq")).first()
+    if lo is None:
+        return 1, 2
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    buckets = max(per_core * cores, -(-int(n) // cap))
     span = int(hi) - int(lo) + 1
-    return int(max(1, -(-span // buckets)))
+    width = int(max(1, min(cap, -(-span // (per_core * cores)))))
+    levels = 2
+    while width > 1 and -(-span // width ** (levels - 1)) > cap:
+        levels += 1
+    return width, levels
+
+
+def auto_bucket_docs(docs: DataFrame, per_core: int = 4, cap: int = DEFAULT_BUCKET_DOCS) -> int:
+    """The bucket width of ``auto_buckets``."""
+    return auto_buckets(docs, per_core, cap)[0]
 
 
 def small_table(df: DataFrame, name: str, max_rows: int = MAX_BROADCAST_SOURCES) -> tuple[DataFrame, bool]:
@@ -398,7 +407,7 @@ def pack(
     targets: Targets = DEFAULT_TARGET,
     batch_docs: int = DEFAULT_BATCH_DOCS,
     bucket_docs: int | None = None,
-    levels: int = 2,
+    levels: int | None = None,
     tokenizer: Tokenizer | None = None,
     persist: bool = True,
 ) -> PackResult:
@@ -413,7 +422,9 @@ def pack(
     """
     tokenizer = tokenizer or ByteTokenizer()
     if bucket_docs is None:
-        bucket_docs = auto_bucket_docs(docs)
+        bucket_docs, auto_levels = auto_buckets(docs)
+        levels = levels or auto_levels
+    levels = levels or 2
     docs = nonempty(docs)
     if not tokenizer.native:
         docs = materialize(tokenize(docs, tokenizer), "tokenized_docs")

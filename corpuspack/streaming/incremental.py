@@ -137,8 +137,8 @@ class ShardAppender:
         state, staged, _ = self._state(spark, batch_id)
         state = F.broadcast(state)  # one row per source
         docs = packing.with_token_counts(packing.nonempty(batch.select("source", "doc_seq", "text")), self.tokenizer)
-        bucket = self.bucket_docs or packing.auto_bucket_docs(docs)
-        local = packing.exclusive_prefix_sums(docs, ["source"], "doc_seq", packing.offset_weights(), bucket)
+        bucket, levels = (self.bucket_docs, 2) if self.bucket_docs else packing.auto_buckets(docs)
+        local = packing.exclusive_prefix_sums(docs, ["source"], "doc_seq", packing.offset_weights(), bucket, levels)
         fresh = (
             local.join(state.select("source", F.col("n_docs").alias("_r0"), F.col("n_tokens").alias("_o0"),
                                     F.col("reached").alias("_done")), "source", "left")

@@ -191,9 +191,11 @@ def test_sparse_doc_seq(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     dense = docs.select(F.col("lang").alias("source"), F.col("doc_id").alias("doc_seq"), "text")
     sparse = docs.select(F.col("lang").alias("source"), (F.col("doc_id") * 1_000_000_007 + 13).alias("doc_seq"), "text")
-    b = packing.auto_bucket_docs(sparse)
-    n_buckets = sparse.select(F.expr(f"doc_seq div {b}")).distinct().count()
-    assert n_buckets <= 4 * spark.sparkContext.defaultParallelism + 1  # not one bucket per document
+    width, levels = packing.auto_buckets(sparse, cap=16)
+    assert width <= 16 and levels >= 3  # sparse keys: narrow buckets, more levels
+    span = 199 * 1_000_000_007 + 1
+    assert -(-span // width ** (levels - 1)) <= 16  # top level bounded as well
+    assert packing.auto_buckets(dense) == (-(-200 // (4 * spark.sparkContext.defaultParallelism)), 2)
     a = packing.pack(dense, shard_tokens=4096, targets=None, batch_docs=7).offsets
     c = packing.pack(sparse, shard_tokens=4096, targets=None, batch_docs=7).offsets
     c = c.withColumn("doc_seq", ((F.col("doc_seq") - 13) / 1_000_000_007).cast("bigint"))
