@@ -150,19 +150,31 @@ def to_blocks(segments: DataFrame, block_tokens: int) -> DataFrame:
 
 
 def cut_windows(draws: DataFrame, blocks: DataFrame, seq_len: int, block_tokens: int) -> DataFrame:
-    """``seq_len + 1`` ids from ``start``; ``x`` = all but the last, ``y`` = all but the first."""
+    """``seq_len + 1`` ids from ``start``; ``x`` = all but the last, ``y`` = all but the first.
+
+    Each joined piece is trimmed to its overlap with ``[start, start + seq_len]`` before the
+    per-sample gather, so that shuffle moves exactly ``seq_len + 1`` ids per window, however
+    large the blocks are.
+    """
     B, L = int(block_tokens), int(seq_len)
     want = draws.select(
-        "*",
+        "sample_id", "source", "shard_idx", "start",
         F.explode(F.sequence(F.expr(f"start div {B}"), F.expr(f"(start + {L}) div {B}"))).alias("block"),
     )
     joined = want.join(blocks, ["source", "shard_idx", "block"])
-    gathered = joined.groupBy("sample_id", "source", "shard_idx", "start").agg(
-        F.array_sort(F.collect_list(F.struct("piece_pos", "piece"))).alias("_pieces"),
-        F.min("piece_pos").alias("_first"),
+    lo = F.greatest(F.col("piece_pos"), F.col("start"))
+    hi = F.least(F.col("piece_pos") + F.size("piece"), F.col("start") + F.lit(L + 1))
+    trimmed = joined.select(
+        "sample_id", "source", "shard_idx", "start", lo.alias("_lo"), hi.alias("_hi"), "piece", "piece_pos"
+    ).filter(F.col("_hi") > F.col("_lo")).select(
+        "sample_id", "source", "shard_idx", "start", F.col("_lo").alias("piece_pos"),
+        F.slice("piece", (F.col("_lo") - F.col("piece_pos") + 1).cast("int"), (F.col("_hi") - F.col("_lo")).cast("int"))
+        .alias("piece"),
+    )
+    gathered = trimmed.groupBy("sample_id", "source", "shard_idx", "start").agg(
+        F.array_sort(F.collect_list(F.struct("piece_pos", "piece"))).alias("_pieces")
     )
-    flat = F.flatten(F.transform("_pieces", lambda p: p["piece"]))
-    chunk = F.slice(flat, (F.col("start") - F.col("_first") + 1).cast("int"), L + 1)
+    chunk = F.flatten(F.transform("_pieces", lambda p: p["piece"]))
     out = gathered.select("sample_id", "source", "shard_idx", "start", chunk.alias("_chunk"))
     return out.select(
         "sample_id", "source", "shard_idx", "start",
