@@ -340,6 +340,7 @@ SQL: dict[str, str] = {
     "distilled_pairs": DISTILLED,
     "preference_pairs": PREFS,
     "score_table": SCORES,
+    "bin_shards": f"SELECT source, shard_idx, n_tokens FROM ({SHARDS}) s",
     "stream_totals": STREAM_TOTALS,
     "stream_shards": f"SELECT source, shard_idx, n_tokens FROM ({SHARDS}) s",
 }

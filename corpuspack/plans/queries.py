@@ -246,6 +246,21 @@ def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.score_table(_scores(spark, sf_dir))
 
 
+def bin_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8 + A7: export the packed shards as flat uint32 files, read them back through the
+    byte-range data source (folders in source order), and take their inventory (D7)."""
+    import uuid
+
+    from corpuspack.session import scratch_dir
+    from corpuspack.sources import binshards
+
+    out = f"{scratch_dir(spark)}/bin-{uuid.uuid4().hex[:8]}"
+    binshards.export_bin(packed(spark, sf_dir).segments(), out).write.format("noop").mode("overwrite").save()
+    dirs = [f"{out}/{s}" for s in SOURCE_ORDER]
+    blocks = binshards.read_bin(spark, dirs, block_tokens=BLOCK_TOKENS)
+    return packing.shard_inventory(blocks.withColumn("n_tokens", F.size("tokens")))
+
+
 def _doc_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuspack.sources.registry import DOCUMENTS_SCHEMA
     from corpuspack.streaming.incremental import read_doc_stream
@@ -302,6 +317,7 @@ QUERIES = {
     "distilled_pairs": distilled_pairs,
     "preference_pairs": preference_pairs,
     "score_table": score_table,
+    "bin_shards": bin_shards,
     "stream_totals": stream_totals,
     "stream_shards": stream_shards,
 }
