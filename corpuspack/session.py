@@ -39,18 +39,26 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+_LOCAL_SCRATCH: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for materialized tables and checkpoints.
 
-    Reads ``spark.checkpoint.dir`` from the session; only when it is unset (tests, local
-    runs) a fresh temporary folder is created and registered under that key.
+    Reads ``spark.checkpoint.dir`` from the session (a cluster names a shared folder there).
+    Only when it is unset (tests, local runs) a fresh temporary folder is made, once per
+    application; it is registered with ``SparkContext.setCheckpointDir`` (the config itself
+    cannot be changed on a running session).
     """
-    current = spark.conf.get(_CHECKPOINT_KEY, None)
+    sc = spark.sparkContext
+    current = spark.conf.get(_CHECKPOINT_KEY, None) or sc.getConf().get(_CHECKPOINT_KEY, None)
     if not current:
-        current = tempfile.mkdtemp(prefix="corpuspack-ckpt-")
-        spark.conf.set(_CHECKPOINT_KEY, current)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(current)
+        current = _LOCAL_SCRATCH.get(sc.applicationId)
+        if current is None:
+            current = tempfile.mkdtemp(prefix="corpuspack-ckpt-")
+            _LOCAL_SCRATCH[sc.applicationId] = current
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(current)
     return current.rstrip("/")
 
 
