@@ -67,3 +67,19 @@ def test_early_stop_reads_a_prefix_and_packs_the_same(spark, tmp_out):
     sa = sinks.read_packed(spark, f"{tmp_out}/a").drop("source", "shard_idx")
     sb = sinks.read_packed(spark, f"{tmp_out}/b").drop("source", "shard_idx")
     assert sa.exceptAll(sb).count() == 0 and sb.exceptAll(sa).count() == 0
+
+
+def test_cli_prepare_and_windows(spark, tmp_out, capsys):
+    _write_source(spark, f"{tmp_out}/fwe", "en", "text")
+    out, bins = f"{tmp_out}/packed", f"{tmp_out}/bin"
+    jobs.main(["prepare", "--source", f"fineweb-edu={tmp_out}/fwe", "--split", "train", "--out", out,
+               "--target-tokens", "50000", "--shard-tokens", "8192", "--batch-docs", "10", "--bin-dir", bins])
+    assert "fineweb-edu:" in capsys.readouterr().out
+    jobs.main(["prepare", "--source", f"fineweb-edu={tmp_out}/fwe", "--split", "train", "--out", out])
+    assert "already prepared" in capsys.readouterr().out
+    jobs.main(["windows", "--bin-dirs", f"{bins}/fineweb-edu", "--out", f"{tmp_out}/w", "--seq-len", "128",
+               "--ranks", "2"])
+    assert "windows to" in capsys.readouterr().out
+    summary = packing.inventory_summary(packing.shard_inventory(sinks.read_packed(spark, out))).first()
+    assert summary.total_tokens >= 50_000 and summary.total_tokens % 8192 == 0
+    assert spark.read.parquet(f"{tmp_out}/w").count() == summary.total_tokens // 128
