@@ -61,10 +61,14 @@ class ByteTokenizer(Tokenizer):
 
     def encode(self, text: Column | str) -> Column:
         t = _c(text)
-        latin = F.decode(F.encode(t, "UTF-8"), "ISO-8859-1")
+        return F.when(t == "", F.array().cast("array<int>")).otherwise(self.encode_bytes(F.encode(t, "UTF-8")))
+
+    def encode_bytes(self, data: Column) -> Column:
+        """UTF-8 bytes (a binary column, possibly a cut inside a character) → ids."""
+        latin = F.decode(data, "ISO-8859-1")
         ids = F.transform(F.split(latin, ""), lambda ch: F.ascii(ch))
-        # split('') of an empty string yields one empty piece; an empty text has no bytes.
-        return F.when(t == "", F.array().cast("array<int>")).otherwise(ids)
+        # split('') of an empty string yields one empty piece; no bytes means no ids.
+        return F.when(F.octet_length(data) == 0, F.array().cast("array<int>")).otherwise(ids)
 
     def count(self, text: Column | str) -> Column:
         return (F.octet_length(F.encode(_c(text), "UTF-8")) + F.lit(1)).cast("bigint")

@@ -242,31 +242,37 @@ def budget_cutoff(
 # --------------------------------------------------------------------------- D4
 
 
-def shard_pieces(docs: DataFrame, shard_tokens: int) -> DataFrame:
+def shard_pieces(docs: DataFrame, shard_tokens: int, piece_tokens: int | None = None) -> DataFrame:
     """Cut documents at shard boundaries.
 
     ``docs`` needs ``offset, n_tokens, kept_tokens``; documents starting at or after
     ``kept_tokens`` are dropped, the document that crosses it is cut. Adds
     ``shard_idx, pos`` (position in the shard), ``start`` (position in the document) and
-    ``length``; every other column is carried along.
+    ``length``; every other column is carried along. With ``piece_tokens`` (a divisor of the
+    shard size) pieces are also cut at its multiples inside a shard, which bounds every row.
     """
     S = int(shard_tokens)
+    U = int(piece_tokens or S)
+    if S % U:
+        raise ValueError("piece_tokens must divide shard_tokens")
     end = F.least(F.col("offset") + F.col("n_tokens"), F.col("kept_tokens"))
     live = docs.filter(F.col("offset") < F.col("kept_tokens"))
     exploded = live.select(
         "*",
         F.explode(
-            F.sequence(F.expr(f"offset div {S}"), F.expr(f"(least(offset + n_tokens, kept_tokens) - 1) div {S}"))
-        ).alias("shard_idx"),
+            F.sequence(F.expr(f"offset div {U}"), F.expr(f"(least(offset + n_tokens, kept_tokens) - 1) div {U}"))
+        ).alias("_unit"),
     )
-    lo = F.greatest(F.col("offset"), F.col("shard_idx") * F.lit(S))
-    hi = F.least(end, (F.col("shard_idx") + 1) * F.lit(S))
+    lo = F.greatest(F.col("offset"), F.col("_unit") * F.lit(U))
+    hi = F.least(end, (F.col("_unit") + 1) * F.lit(U))
+    shard = F.expr(f"_unit div {S // U}")
     return exploded.select(
         "*",
-        (lo - F.col("shard_idx") * F.lit(S)).alias("pos"),
+        shard.cast("int").alias("shard_idx"),
+        (lo - shard * F.lit(S)).alias("pos"),
         (lo - F.col("offset")).alias("start"),
         (hi - lo).alias("length"),
-    ).withColumn("shard_idx", F.col("shard_idx").cast("int"))
+    ).drop("_unit")
 
 
 # --------------------------------------------------------------------------- D6 / D7
@@ -312,6 +318,7 @@ class PackResult:
     cut_checked: bool = False  # cut checked to hold at most MAX_BROADCAST_SOURCES rows: broadcast it
     bases: DataFrame | None = None  # per (source, bucket): tokens and documents before it
     bucket_docs: int = DEFAULT_BUCKET_DOCS
+    piece_tokens: int | None = None  # also cut pieces at multiples of this (divides shard_tokens)
 
     def _with_cut(self, df: DataFrame) -> DataFrame:
         small = self.cut.select("source", "kept_tokens")
@@ -348,9 +355,22 @@ class PackResult:
         else:
             with_off = wide.join(self.offsets.select("source", "doc_seq", "offset"), ["source", "doc_seq"])
         kept = self._with_cut(with_off).filter(F.col("offset") < F.col("kept_tokens"))
+        if not has_tokens and isinstance(self.tokenizer, ByteTokenizer):
+            # byte ids are the UTF-8 bytes: cut the bytes per piece and encode only the piece,
+            # so no row ever holds more than one piece's ids (plus EOS on the last piece)
+            kept = kept.select("source", "doc_seq", "offset", "n_tokens", "kept_tokens",
+                               F.encode("text", "UTF-8").alias("_bytes"))
+            p = shard_pieces(kept, self.shard_tokens, self.piece_tokens)
+            body_end = F.least(F.col("start") + F.col("length"), F.col("n_tokens") - 1)
+            piece = F.substring("_bytes", (F.col("start") + 1).cast("int"), (body_end - F.col("start")).cast("int"))
+            ids = self.tokenizer.encode_bytes(piece)
+            with_eos = F.when(F.col("start") + F.col("length") == F.col("n_tokens"),
+                              F.array_append(ids, F.lit(self.tokenizer.eos_id))).otherwise(ids)
+            return p.select("source", "shard_idx", "pos", "doc_seq", F.col("length").alias("n_tokens"),
+                            with_eos.alias("tokens"))
         ids = F.col("tokens") if has_tokens else self.tokenizer.encode_with_eos("text")
         kept = kept.select("source", "doc_seq", "offset", "n_tokens", "kept_tokens", ids.alias("tokens"))
-        p = shard_pieces(kept, self.shard_tokens)
+        p = shard_pieces(kept, self.shard_tokens, self.piece_tokens)
         return p.select(
             "source", "shard_idx", "pos", "doc_seq",
             F.col("length").alias("n_tokens"),
@@ -410,6 +430,7 @@ def pack(
     levels: int | None = None,
     tokenizer: Tokenizer | None = None,
     persist: bool = True,
+    piece_tokens: int | None = None,
 ) -> PackResult:
     """Plan the packing of ``docs`` (``source, doc_seq, text``; empty texts are dropped).
 
@@ -444,5 +465,5 @@ def pack(
         cut, small = small_table(cut, "cut")
     return PackResult(
         offsets=offsets, cut=cut, docs=docs, shard_tokens=shard_tokens, tokenizer=tokenizer, cut_checked=small,
-        bases=bases, bucket_docs=bucket_docs,
+        bases=bases, bucket_docs=bucket_docs, piece_tokens=piece_tokens,
     )

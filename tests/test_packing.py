@@ -200,3 +200,22 @@ def test_sparse_doc_seq(spark):
     c = packing.pack(sparse, shard_tokens=4096, targets=None, batch_docs=7).offsets
     c = c.withColumn("doc_seq", ((F.col("doc_seq") - 13) / 1_000_000_007).cast("bigint"))
     assert a.exceptAll(c.select(a.columns)).count() == 0 and c.select(a.columns).exceptAll(a).count() == 0
+
+
+def test_piece_tokens_bounds_rows_and_keeps_the_stream(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(
+        F.col("lang").alias("source"), F.col("doc_id").alias("doc_seq"), "text")
+    whole = packing.pack(docs, shard_tokens=8192, targets=None, batch_docs=5).segments()
+    cut = packing.pack(docs, shard_tokens=8192, targets=None, batch_docs=5, piece_tokens=512).segments()
+    assert cut.agg(F.max("n_tokens")).first()[0] <= 512
+    assert cut.filter(F.size("tokens") != F.col("n_tokens")).count() == 0
+
+    def streams(seg):
+        out = {}
+        for r in seg.orderBy("source", "shard_idx", "pos").collect():
+            out.setdefault((r.source, r.shard_idx), []).extend(r.tokens)
+        return out
+
+    assert streams(whole) == streams(cut)
+    with pytest.raises(ValueError):
+        packing.shard_pieces(docs, 8192, 1000)
