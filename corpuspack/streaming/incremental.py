@@ -192,10 +192,19 @@ class ShardAppender:
         # Write the pieces between the old and the new committed position.
         bounds = F.broadcast(new_state.select("source", F.col("committed").alias("kept_tokens")))
         writable = live.join(bounds, "source")
-        seg = packing.shard_pieces(writable.withColumn("tokens", self.tokenizer.encode_with_eos("text")), S)
+        if isinstance(self.tokenizer, ByteTokenizer):
+            # as in the batch split: cut the UTF-8 bytes per piece, encode only the piece
+            seg = packing.shard_pieces(writable.withColumn("_bytes", F.encode("text", "UTF-8")), S)
+            body_end = F.least(F.col("start") + F.col("length"), F.col("n_tokens") - 1)
+            ids = self.tokenizer.encode_bytes(
+                F.substring("_bytes", (F.col("start") + 1).cast("int"), (body_end - F.col("start")).cast("int")))
+            tokens = F.when(F.col("start") + F.col("length") == F.col("n_tokens"),
+                            F.array_append(ids, F.lit(self.tokenizer.eos_id))).otherwise(ids)
+        else:
+            seg = packing.shard_pieces(writable.withColumn("_ids", self.tokenizer.encode_with_eos("text")), S)
+            tokens = F.slice("_ids", (F.col("start") + 1).cast("int"), F.col("length").cast("int"))
         seg.select(
-            "source", "shard_idx", "pos", "doc_seq", F.col("length").alias("n_tokens"),
-            F.slice("tokens", (F.col("start") + 1).cast("int"), F.col("length").cast("int")).alias("tokens"),
+            "source", "shard_idx", "pos", "doc_seq", F.col("length").alias("n_tokens"), tokens.alias("tokens"),
         ).write.mode("overwrite").parquet(self._path("segments", batch_id))
 
         # Stage what is not committed yet; then record the state (last: marks the batch done).
