@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuspack.llm import attribution, packing
+from corpuspack.llm import attribution, packing, quality_rules
 from corpuspack.llm.common import documents
 
 
@@ -20,9 +20,14 @@ def op9_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.col("section").cast("int").alias("line"), "start", "end", F.col("n_tokens").cast("long").alias("n_tokens"), "n_crossing")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op9_token_attribution": op9_token_attribution,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 SQL: dict[str, str] = {}
