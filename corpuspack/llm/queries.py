@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuspack.llm import attribution, packing, quality_rules
+from corpuspack.llm import attribution, fingerprints, packing, quality_rules
 from corpuspack.llm.common import documents
 
 
@@ -13,6 +13,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op8_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(documents(spark, sf_dir))
+
+
 def op9_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document; a crossing token goes where most of its bytes are."""
     text = F.col("text")
@@ -26,6 +30,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op8_imatch_fingerprints": op8_imatch_fingerprints,
     "op9_token_attribution": op9_token_attribution,
     "op10_quality_rules": op10_quality_rules,
 }
