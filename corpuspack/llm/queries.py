@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuspack.llm import attribution, fingerprints, packing, quality_rules
+from corpuspack.llm import attribution, fingerprints, mixing, near_dedup, packing, quality_rules
 from corpuspack.llm.common import documents
 
 
+def op2_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources mixed to weights of their characters to the power 0.7, as large as the corpus."""
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "source", "text", "copy", "shuffle_key")
+
+
+def op3_lsh_forest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), percent=85)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
@@ -19,9 +28,9 @@ def op8_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document; a crossing token goes where most of its bytes are."""
-    text = F.col("text")
-    counted = attribution.token_counts(documents(spark, sf_dir), text, attribution.line_sections(text))
-    return counted.select("doc_id", F.col("section").cast("int").alias("line"), "start", "end", F.col("n_tokens").cast("long").alias("n_tokens"), "n_crossing")
+    counted = attribution.token_counts(documents(spark, sf_dir), F.col("text"))
+    tokens = F.col("n_tokens").cast("long").alias("n_tokens")
+    return counted.select("doc_id", F.col("section").cast("int").alias("line"), "start", "end", tokens, "n_crossing")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,10 +38,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_poisson_mixing": op2_poisson_mixing,
+    "op3_lsh_forest_dedup": op3_lsh_forest_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_imatch_fingerprints": op8_imatch_fingerprints,
     "op9_token_attribution": op9_token_attribution,
     "op10_quality_rules": op10_quality_rules,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_poisson_mixing": mixing.MIX_SQL,
+}
