@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuspack.llm import attribution, fingerprints, mixing, near_dedup, packing, quality_rules
-from corpuspack.llm.common import documents
+from corpuspack.llm import attribution, fingerprints, mixing, near_dedup, packing, quality_rules, ranking, toxicity
+from corpuspack.llm.common import documents, labels
 
 
 def op2_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,10 +18,20 @@ def op3_lsh_forest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), percent=85)
 
 
+def op4_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op7_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ranking.quality(documents(spark, sf_dir), labels(spark, sf_dir))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(documents(spark, sf_dir))
 
@@ -40,7 +50,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_poisson_mixing": op2_poisson_mixing,
     "op3_lsh_forest_dedup": op3_lsh_forest_dedup,
+    "op4_counterfactual_toxicity": op4_counterfactual_toxicity,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_bradley_terry_quality": op7_bradley_terry_quality,
     "op8_imatch_fingerprints": op8_imatch_fingerprints,
     "op9_token_attribution": op9_token_attribution,
     "op10_quality_rules": op10_quality_rules,
