@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuspack.llm import attribution, fingerprints, mixing, near_dedup, packing, quality_rules, ranking, toxicity
-from corpuspack.llm.common import documents, labels
+from corpuspack.llm import attribution, fingerprints, mixing, near_dedup, packing, quality_rules, ranking, toxicity, warc
+from corpuspack.llm.common import documents, labels, pages
+
+
+def op1_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(pages(spark, sf_dir))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +53,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_capture_index": op1_warc_capture_index,
     "op2_poisson_mixing": op2_poisson_mixing,
     "op3_lsh_forest_dedup": op3_lsh_forest_dedup,
     "op4_counterfactual_toxicity": op4_counterfactual_toxicity,
@@ -59,5 +65,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op1_warc_capture_index": warc.ROUND_TRIP_SQL,
     "op2_poisson_mixing": mixing.MIX_SQL,
 }
