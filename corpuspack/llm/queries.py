@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuspack.llm import attribution, fingerprints, mixing, near_dedup, packing, quality_rules, ranking, toxicity, warc
+from corpuspack.llm import attribution, fingerprints, main_text, mixing, near_dedup, packing, quality_rules, ranking, toxicity, warc
 from corpuspack.llm.common import documents, labels, pages
 
 
@@ -32,6 +32,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op6_line_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(pages(spark, sf_dir))
+
+
 def op7_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = ranking.quality(documents(spark, sf_dir), labels(spark, sf_dir))
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -58,6 +62,7 @@ QUERIES = {
     "op3_lsh_forest_dedup": op3_lsh_forest_dedup,
     "op4_counterfactual_toxicity": op4_counterfactual_toxicity,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_line_block_text": op6_line_block_text,
     "op7_bradley_terry_quality": op7_bradley_terry_quality,
     "op8_imatch_fingerprints": op8_imatch_fingerprints,
     "op9_token_attribution": op9_token_attribution,
