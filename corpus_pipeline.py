@@ -1,22 +1,54 @@
-"""The corpus pipeline: the stages in order, each a function ``(spark, docs, sf_dir) -> DataFrame``."""
+"""The corpus pipeline: the stages in order, each a function ``(spark, docs, sf_dir) -> DataFrame``.
+
+``run`` applies them to ``documents``; each stage's result is written as Parquet to the shared folder and
+read again as the next one's documents. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuspack.llm import packing
-from corpuspack.llm.common import documents
+from corpuspack.llm import mixing, near_dedup, packing, quality_rules, toxicity
+from corpuspack.llm.common import documents, labels
 from corpuspack.session import materialize
 
 
-def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as training sequences: operator 5."""
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: the documents that the classifier does not call toxic."""
+    scored = toxicity.toxicity(docs, labels(spark, sf_dir), labelled=documents(spark, sf_dir))
+    return scored.filter("predicted = 0").select(*docs.columns)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: the documents that the quality rules keep."""
+    return quality_rules.keep_good(docs)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: one document of each group of near-duplicates (similarity 0.8 or more)."""
+    return near_dedup.keep_one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: sources replicated to their target weights and shuffled."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: the documents' pieces packed into training sequences."""
     return packing.pack_documents(docs)
 
 
-STAGES = [("best_fit_packing", best_fit_packing)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality_rules", keep_good),
+    ("near_dedup", keep_one_of_each),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
-#: Tokens and learned scores are not SQL; tests hold the pipeline against a brute-force version.
+#: Learned scores, similarity on shingles and tokens are not SQL; tests hold the pipeline against a
+#: brute-force version.
 ORACLE_SQL = None
 
 

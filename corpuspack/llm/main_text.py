@@ -184,7 +184,8 @@ def page_lines(page: str) -> tuple[list[str], np.ndarray, bool]:
             words.append(" ")
         elif name in BLOCKS:
             end_line()
-            if name in CONTAINERS:
+            if name in CONTAINERS:  # two borders in a row are as wide as a window and part runs
+                gap()
                 gap()
     end_line()
     return lines, np.array(lengths, dtype=np.int64), named

@@ -248,14 +248,14 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     return docs.withColumn("score", score(F.col("text").cast("string")))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, labelled: DataFrame | None = None) -> DataFrame:
     """``docs`` with ``held_out boolean``, ``score double`` and ``predicted int`` (1: toxic).
 
-    Labels of held-out rows are not learned from; a label other than 0 or 1, or without a ``doc_id``,
+    The labels are of the texts of ``labelled`` (default: ``docs``). Those of held-out rows are not learned from; a label other than 0 or 1, or without a ``doc_id``,
     counts as none, and repeated labels count as often as they come. Without labels of both kinds
     every text has the same score. Repeated rows of ``docs`` have equal scores; columns named like a
     result are replaced; an empty table gives an empty one.
     """
-    model = train(training_rows(docs, labels, "toxic", FOLDS, HELD_OUT, max_rows))
+    model = train(training_rows(docs if labelled is None else labelled, labels, "toxic", FOLDS, HELD_OUT, max_rows))
     scored = scores(docs, model).withColumn("held_out", held_out(FOLDS, HELD_OUT))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
