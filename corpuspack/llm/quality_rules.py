@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from corpuspack.llm.common import SPACES
 from corpuspack.session import materialize
 
-SUPPORT = 0.75
+SUPPORT = 0.5
 STEPS = 4
 PRIOR = 50.0
 #: Rejected beyond this chi-square quantile (degrees of freedom: the statistics).
