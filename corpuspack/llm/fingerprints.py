@@ -37,8 +37,8 @@ TABLE_TERMS = 1 << 18
 
 def term_hashes(text: Column) -> Column:
     """The distinct terms of a text (lower case, closing marks removed) as hashes; null text: none."""
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), SPACES)
-    bare = F.transform(F.array_remove(parts, ""), lambda w: F.xxhash64(F.rtrim(w, F.lit(".,;:!?"))))
+    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), f"[.,;:!?]*(?:{SPACES}|$)")
+    bare = F.transform(F.array_remove(parts, ""), lambda w: F.xxhash64(w))
     return F.array_distinct(bare)
 
 
@@ -60,7 +60,7 @@ def _table(lexicon_terms: list[int]) -> tuple[Column, int]:
 
 
 def with_kept_terms(rows: DataFrame, terms: dict[str, str], lexicon_table: DataFrame, table_terms: int = TABLE_TERMS) -> DataFrame:
-    """``rows`` with, for each ``text column: new column``, the sorted kept terms of the text."""
+    """``rows`` with, for each ``text column: new column``, the kept terms of the text (``placed_terms``)."""
     n = lexicon_table.count()
     hashed = rows.withColumns({new: term_hashes(F.col(text)) for text, new in terms.items()})
     if n <= table_terms:
@@ -74,23 +74,35 @@ def with_kept_terms(rows: DataFrame, terms: dict[str, str], lexicon_table: DataF
             found = long.join(lexicon_table.select("term"), "term").groupBy("_row").agg(F.collect_list("term").alias(f"_in_{new}"))
             hashed = hashed.join(found, "_row", "left")
         hashed = hashed.drop("_row")
-    kept = lambda new: F.sort_array(F.when(F.size(f"_in_{new}") > 0, F.col(f"_in_{new}")).otherwise(F.col(new)))
+    kept = lambda new: placed_terms(F.when(F.size(f"_in_{new}") > 0, F.col(f"_in_{new}")).otherwise(F.col(new)))
     return hashed.withColumns({new: kept(new) for new in terms.values()}).drop(*[f"_in_{new}" for new in terms.values()])
 
 
-def subset_hashes(kept: Column) -> Column:
-    """The hashes of the terms in each random subset (0: no term), as ``array<int>``.
+def placed_terms(kept: Column) -> Column:
+    """The kept terms with the random subset that each lies in, as ascending numbers.
 
     A term lies in one subset of one level: half the terms in the first level, a quarter in the
     second and so on; the last level takes the rest.
     """
     place = lambda t: F.xxhash64(t, F.lit("subset"))
     level = lambda p: F.least(F.lit(LEVELS - 1), F.bit_count(p.bitwiseXOR(p - 1)) - 1)  # noqa: E731  trailing zeros
-    cell = lambda t: level(place(t)) * CELLS + F.shiftright(place(t), 50).bitwiseAND(CELLS - 1)
-    placed = F.transform(kept, lambda t: F.struct(cell(t).cast("int").alias("c"), t.alias("t")))
-    own = lambda k: F.transform(F.filter(placed, lambda x: x["c"] == k), lambda x: x["t"])
+    cell = lambda p: (level(p) * CELLS + F.shiftright(p, 50).bitwiseAND(CELLS - 1)).cast("long")
+    # A term as one number: its subset above the upper bits of its hash.
+    return F.sort_array(F.transform(kept, lambda t: F.shiftleft(cell(place(t)), 57).bitwiseOR(F.shiftrightunsigned(t, 7))))
+
+
+def subset_hashes(placed: str) -> Column:
+    """The hashes of the terms in each random subset (0: no term), as ``array<int>``.
+
+    ``placed``: a column of ``placed_terms``. The second mention of it keeps the optimizer from
+    evaluating its expression anew for every level.
+    """
+    levels, cells = F.array(*[F.lit(k) for k in range(LEVELS)]), F.array(*[F.lit(k) for k in range(CELLS)])
+    by_level = F.transform(levels, lambda k: F.filter(F.col(placed), lambda t: F.shiftrightunsigned(t, 60) == k))
     hashed = lambda ts: F.when(F.size(ts) == 0, 0).otherwise(F.greatest(F.lit(1), F.shiftrightunsigned(F.xxhash64(ts), 33).cast("int")))
-    return F.transform(F.array(*[F.lit(k) for k in range(LEVELS * CELLS)]), lambda k: hashed(own(k)))
+    own = lambda ts, k: F.filter(ts, lambda t: F.shiftrightunsigned(t, 57).bitwiseAND(CELLS - 1) == k)
+    hashes = F.flatten(F.transform(by_level, lambda ts: F.transform(cells, lambda k: hashed(own(ts, k)))))
+    return F.when(F.size(placed) > 0, hashes).otherwise(F.array_repeat(F.lit(0), LEVELS * CELLS))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -113,7 +125,7 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, table_terms:
     """
     terms = lexicon(docs.select("text"), band)
     df = with_kept_terms(docs, {"text": "_kept"}, terms, table_terms)
-    return df.withColumn("hashes", subset_hashes(F.col("_kept"))).withColumn("fingerprint", as_text(F.col("hashes"))).drop("_kept")
+    return df.withColumn("hashes", subset_hashes("_kept")).withColumn("fingerprint", as_text(F.col("hashes"))).drop("_kept")
 
 
 def compare_with_edits(docs: DataFrame, band: tuple[float, float] = BAND, table_terms: int = TABLE_TERMS) -> DataFrame:
@@ -141,7 +153,7 @@ def compare_with_edits(docs: DataFrame, band: tuple[float, float] = BAND, table_
         heads = [(True, 0, 0)]
     firsts = F.from_json(F.lit(json.dumps([{"has": k[0], "id": k[1], "hash": k[2]} for k in heads[1:]])), "array<struct<has:boolean,id:bigint,hash:bigint>>")
     table = lexicon(docs.select("text"), band)
-    own = with_kept_terms(keyed, {"text": "_kept"}, table, table_terms).withColumn("hashes", subset_hashes(F.col("_kept"))).drop("_kept")
+    own = with_kept_terms(keyed, {"text": "_kept"}, table, table_terms).withColumn("hashes", subset_hashes("_kept")).drop("_kept")
     # A key's range: how many heads of later ranges are not below it.
     dealt = own.withColumn("part", F.size(F.filter(firsts, lambda f: f >= F.col("key")))).withColumn("ghost", F.lit(False))
     follows = spark.createDataFrame(
@@ -150,7 +162,7 @@ def compare_with_edits(docs: DataFrame, band: tuple[float, float] = BAND, table_
     ids = sorted({k[1] for k in heads})
     near = keyed.filter(F.col("doc_id").isin(ids) | F.col("doc_id").isNull())
     first_rows = near.join(F.broadcast(follows), "key").dropDuplicates(["part"])
-    ghosts = with_kept_terms(first_rows, {"text": "_kept"}, table, table_terms).withColumn("hashes", subset_hashes(F.col("_kept")))
+    ghosts = with_kept_terms(first_rows, {"text": "_kept"}, table, table_terms).withColumn("hashes", subset_hashes("_kept"))
     ghosts = ghosts.select(*own.columns, "part", F.lit(True).alias("ghost"))
     order = Window.partitionBy("part").orderBy("ghost", F.col("key").desc())
     placed = dealt.unionByName(ghosts).withColumns({"next_text": F.lead("text").over(order), "next_hashes": F.lead("hashes").over(order)})
@@ -159,7 +171,7 @@ def compare_with_edits(docs: DataFrame, band: tuple[float, float] = BAND, table_
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
     placed = placed.select("doc_id", n.cast("long").alias("n_chars"), "hashes", "next_hashes", edited.alias("edited"))
-    placed = with_kept_terms(placed, {"edited": "_kept"}, table, table_terms).withColumn("edited_hashes", subset_hashes(F.col("_kept")))
+    placed = with_kept_terms(placed, {"edited": "_kept"}, table, table_terms).withColumn("edited_hashes", subset_hashes("_kept"))
     return placed.select(
         "doc_id", "n_chars",
         F.sha2(F.col("edited"), 256).alias("edited_sha256"),
