@@ -27,26 +27,13 @@ from corpuspack.llm import bpe
 RULES = ("first", "last", "most", "split")
 
 
-def line_sections(text: Column) -> Column:
-    """The lines of a text as sections that leave no gap: a line's end belongs to it.
+def line_spans(raw: np.ndarray) -> np.ndarray:
+    """The lines of a text as byte spans that leave no gap: a line's end belongs to it.
 
-    ``array<struct<section:string, start:int, end:int>>`` in characters; the section is the line's
-    number. An empty text has one empty line, a null text none.
+    An empty text has one empty line.
     """
-    lines = F.split(text, "\n")
-    spans = F.aggregate(
-        lines,
-        F.array().cast("array<int>"),
-        lambda ends, line: F.array_append(ends, F.coalesce(F.try_element_at(ends, F.lit(-1)), F.lit(0)) + F.length(line) + 1),
-    )
-    return F.transform(
-        spans,
-        lambda end, i: F.struct(
-            i.cast("string").alias("section"),
-            F.when(i == 0, 0).otherwise(F.get(spans, i - 1)).alias("start"),
-            F.least(end, F.length(text)).alias("end"),
-        ),
-    )
+    ends = np.append(np.flatnonzero(raw == 10) + 1, len(raw))
+    return np.stack([np.append(0, ends[:-1]), ends], axis=1)
 
 
 def field_sections(names: list[str], separator: str = "\n") -> tuple[Column, Column]:
@@ -97,43 +84,54 @@ def attribute(starts: np.ndarray, ends: np.ndarray, token_ends: np.ndarray, rule
     return counts, crossing
 
 
-def token_counts(docs: DataFrame, text: Column, sections: Column, rule: str = "most", tokenizer_path: str | None = None) -> DataFrame:
+def token_counts(
+    docs: DataFrame, text: Column, sections: Column | None = None, rule: str = "most", tokenizer_path: str | None = None
+) -> DataFrame:
     """A row for each section: ``doc_id, section, start, end, n_tokens double, n_crossing long``.
 
-    ``sections`` (see ``line_sections``) must be ascending and disjoint; null or an empty array
-    gives no row. A null text has no tokens. ``start`` and ``end`` are characters. A null
-    ``doc_id`` stays null, repeated rows give their rows again, other columns of ``docs`` are
-    ignored. ``n_crossing`` counts the section's tokens that reach over a boundary.
+    ``sections`` is ``array<struct<section:string, start:int, end:int>>`` in characters, ascending
+    and disjoint; null or an empty array gives no row. Without ``sections`` they are the lines of the
+    text, named by their numbers (see ``line_spans``), and a null text gives no row. ``start`` and
+    ``end`` are characters. A null text has no tokens. A null ``doc_id`` stays null, repeated rows
+    give their rows again, other columns of ``docs`` are ignored. ``n_crossing`` counts the section's
+    tokens that reach over a boundary.
     """
     if rule not in RULES:
         raise ValueError(f"unknown rule {rule!r}")
     definition = bpe.broadcast_definition(docs.sparkSession, tokenizer_path or bpe.default_path())
     names = ["doc_id", "section", "start", "end", "n_tokens", "n_crossing"]
+    lines = sections is None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.load(definition.value)
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for doc_id, body, spans in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if not spans:
+            out: list[list] = [[], [], []]
+            numbers: list[list[np.ndarray]] = [[], [], [], []]
+            for i, doc_id in enumerate(batch.column(0).to_pylist()):
+                body = batch.column(1)[i].as_py()
+                spans = None if lines else batch.column(2)[i].as_py()
+                if (body is None) if lines else not spans:
                     continue
                 body = body or ""
-                chars = np.array([(s["start"], s["end"]) for s in spans], dtype=np.int64)
-                at = chars
-                if not body.isascii():  # characters to bytes
-                    raw = np.frombuffer(body.encode(), dtype=np.uint8)
-                    firsts = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
-                    at = firsts[chars]
+                raw = np.frombuffer(body.encode(), dtype=np.uint8)
+                firsts = None if body.isascii() else np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+                if lines:
+                    at = line_spans(raw)
+                    chars = at if firsts is None else np.searchsorted(firsts, at)
+                    out[1] += map(str, range(len(at)))
+                else:
+                    chars = np.array([(s["start"], s["end"]) for s in spans], dtype=np.int64)
+                    at = chars if firsts is None else firsts[chars]
+                    out[1] += [s["section"] for s in spans]
                 ends = np.cumsum(encoder.lengths[encoder.encode(body)])
-                counts, crossing = attribute(at[:, 0], at[:, 1], ends, rule)
-                out[0] += [doc_id] * len(spans)
-                out[1] += [s["section"] for s in spans]
-                out[2] += chars[:, 0].tolist()
-                out[3] += chars[:, 1].tolist()
-                out[4] += counts.tolist()
-                out[5] += crossing.tolist()
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=names)
-
-    frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), sections.alias("sections"))
+                out[0] += [doc_id] * len(at)
+                for kept, values in zip(numbers, (chars[:, 0], chars[:, 1], *attribute(at[:, 0], at[:, 1], ends, rule))):
+                    kept.append(values)
+            columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string())]
+            for kept, kind in zip(numbers, (np.int64, np.int64, np.float64, np.int64)):
+                columns.append(pa.array(np.concatenate([np.zeros(0, kind), *kept]).astype(kind)))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    chosen = [] if lines else [sections.alias("sections")]
+    frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *chosen)
     return frame.mapInArrow(count, "doc_id long, section string, start long, end long, n_tokens double, n_crossing long")

@@ -71,12 +71,12 @@ def test_rules_on_crossing_tokens(spark, docs_of, reference, rule):
 
 def test_odd_rows(docs_of, spark):
     df = docs_of([(1, None), (2, ""), (None, "a\nb"), (3, "x y"), (3, "x y"), (4, "w " * 40000)], extra=("sections", "section", "start"))
-    rows = attribution.token_counts(df, F.col("text"), attribution.line_sections(F.col("text"))).collect()
+    rows = attribution.token_counts(df, F.col("text")).collect()
     assert [r["doc_id"] for r in rows].count(1) == 0 and [r["n_tokens"] for r in rows if r["doc_id"] == 2] == [0.0]
     assert len([r for r in rows if r["doc_id"] is None]) == 2 and len([r for r in rows if r["doc_id"] == 3]) == 2
-    assert attribution.token_counts(docs_of([]), F.col("text"), attribution.line_sections(F.col("text"))).count() == 0
+    assert attribution.token_counts(docs_of([]), F.col("text")).count() == 0
     with pytest.raises(ValueError):
-        attribution.token_counts(df, F.col("text"), attribution.line_sections(F.col("text")), "other")
+        attribution.token_counts(df, F.col("text"), None, "other")
 
 
 def test_fields(spark, docs_of, reference):
