@@ -34,7 +34,7 @@ def main() -> None:
     from corpuspack.operators import packing, windows
     from corpuspack.plans.queries import QUERIES, SOURCE_ORDER
     from corpuspack.session import local_session, scratch_dir
-    from corpuspack.sources.registry import fixture_docs, spread_small_input
+    from corpuspack.sources.registry import fixture_docs
 
     spark = local_session(CPUS, shuffle_partitions=int(CPUS) * 2, app="corpuspack-bench")
     times: dict[str, float] = {}
@@ -55,9 +55,8 @@ def main() -> None:
             if record:
                 times[name] = round(time.perf_counter() - t0, 3)
 
-        # 1. tokenize every document (ids + EOS as arrays), no budget; a one-file input is
-        #    spread over the cores first (tokenizing has no shuffle of its own)
-        tok = packing.tokenize(packing.nonempty(spread_small_input(docs)))
+        # 1. tokenize every document (ids + EOS as arrays), no budget: the plan a job runs
+        tok = packing.tokenize(packing.nonempty(docs))
         run("tokenize_all", lambda: _force(tok.select(F.size("tokens"))))
 
         # 2. pack every token into 1 Mi-token shards and write them (counts, offsets, cut, split, write)

@@ -70,13 +70,14 @@ def render_chat(
     add_generation_prompt: bool = False,
     generation_prompt: str = GENERATION_PROMPT,
 ) -> Column:
-    """Messages → one prompt string. ``template`` holds ``{role}`` and ``{content}``."""
+    """Messages → one prompt string. ``template`` holds ``{role}`` and ``{content}``. A null role or
+    content counts as empty, so no message is lost."""
     before, rest = template.split("{role}", 1)
     middle, after = rest.split("{content}", 1)
     body = F.array_join(
         F.transform(
             _c(messages),
-            lambda m: F.concat(F.lit(before), m["role"], F.lit(middle), m["content"], F.lit(after)),
+            lambda m: F.concat(F.lit(before), null_to_empty(m["role"]), F.lit(middle), null_to_empty(m["content"]), F.lit(after)),
         ),
         "",
     )

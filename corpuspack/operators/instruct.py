@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpuspack.functions import text as T
 from corpuspack.functions.tokens import ByteTokenizer, Tokenizer
-from corpuspack.operators.windows import hash_draw, take_shuffled, with_positions
+from corpuspack.operators.windows import take_shuffled, with_positions
 
 MAX_LENGTH = 2048  # tokens per example in both tuning stages
 
@@ -92,25 +92,30 @@ def tuning_mix(
     rows: DataFrame | None = None,
     jsonl: DataFrame | None = None,
     seed: int = 42,
-    chats_id: str = "conv_id",
-    rows_id: str = "conv_id",
+    chats_id: str | None = None,
+    rows_id: str | None = None,
 ) -> DataFrame:
     """The tuning set. A JSONL chat set, if given, replaces both sources; else chats ∪
-    converted instruction rows. Then a seeded permutation (``position``); neither → error.
+    converted instruction rows. Then a seeded permutation (``position``); neither → error. The id
+    columns are those of the scans (``id``) unless named otherwise.
 
     Output: ``origin, id, position, messages``.
     """
     if jsonl is not None:
-        # a JSONL set has only ``messages``: its id is a hash of the content (stable on retry;
-        # identical lines are interchangeable, so their relative order does not matter)
-        jid = F.col("id") if "id" in jsonl.columns else hash_draw(T.messages_json("messages"))
-        parts = [jsonl.select(F.lit("jsonl").alias("origin"), jid.cast("bigint").alias("id"), "messages")]
+        if "id" not in jsonl.columns:  # a set that did not come from a scan
+            from corpuspack.sources.registry import with_row_id
+
+            jsonl = with_row_id(jsonl.select("messages"), F.coalesce(T.messages_json("messages"), F.lit("")))
+        parts = [jsonl.select(F.lit("jsonl").alias("origin"), F.col("id").cast("bigint").alias("id"), "messages")]
     else:
         parts = []
+        named = lambda df, given: given or ("id" if "id" in df.columns else "conv_id")
         if chats is not None:
+            chats_id = named(chats, chats_id)
             parts.append(chats.select(F.lit("chats").alias("origin"), F.col(chats_id).cast("bigint").alias("id"),
                                       "messages"))
         if rows is not None:
+            rows_id = named(rows, rows_id)
             conv = rows_to_chats(rows)
             parts.append(conv.select(F.lit("rows").alias("origin"), F.col(rows_id).cast("bigint").alias("id"),
                                      "messages"))
@@ -131,6 +136,20 @@ def mix_counts(mix: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- B12 / B13 / G6
 
 
+def capped_examples(
+    mix: DataFrame, tokenizer: Tokenizer | None = None, max_length: int = MAX_LENGTH
+) -> DataFrame:
+    """B12 + B13 on the tuning set: each chat rendered and its ids cut at ``max_length``.
+
+    Adds ``n_tokens`` (of the whole example), ``truncated`` and ``ids``.
+    """
+    tokenizer = tokenizer or ByteTokenizer()
+    rendered = mix.withColumn("_rendered", T.render_chat("messages"))
+    n, _, cut = capped_length(F.col("_rendered"), tokenizer, max_length)
+    ids = F.slice(tokenizer.encode("_rendered"), 1, max_length)
+    return rendered.select(*mix.columns, n.alias("n_tokens"), cut.alias("truncated"), ids.alias("ids"))
+
+
 def capped_length(rendered, tokenizer: Tokenizer | None = None, max_length: int = MAX_LENGTH):
     """B13 on a rendered string: ``(n_tokens, kept, truncated)`` expressions."""
     tokenizer = tokenizer or ByteTokenizer()
@@ -165,7 +184,3 @@ def pairs_from_turns(turns: DataFrame, conv: str = "conv_id") -> DataFrame:
         T.user_assistant_chat(prompt, "output").alias("chosen"),
         T.user_assistant_chat(prompt, "response").alias("rejected"),
     )
-
-
-def shuffle_key(df: DataFrame, seed: int, id_col: str) -> DataFrame:
-    return df.withColumn("shuffle_key", hash_draw(F.lit(seed), F.col(id_col)))

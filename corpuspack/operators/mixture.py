@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Token budgets per mixture part and scale.
@@ -23,11 +23,6 @@ def mixture_budgets(scale: str = "full", parts: dict[str, str] | None = None) ->
     return {source: budget[part] for source, part in parts.items()}
 
 
-def mix_table(spark: SparkSession, budgets: dict[str, int]) -> DataFrame:
-    """The budgets as a ``mix(source, target)`` table (one row per configured source)."""
-    return spark.createDataFrame(list(budgets.items()), "source STRING, target BIGINT")
-
-
 def union_sources(frames: Sequence[DataFrame]) -> DataFrame:
     """The mixture is the union of its sources (UNION ALL by column name)."""
     if not frames:

@@ -57,7 +57,7 @@ def tokenize(docs: DataFrame, tokenizer: Tokenizer | None = None, guard: bool =
     """``(source, doc_seq, text)`` → ``(source, doc_seq, n_tokens, tokens)``, EOS appended."""
     tokenizer = tokenizer or ByteTokenizer()
     tokens = tokenizer.encode_with_eos("text")
-    if guard:
+    if guard or not tokenizer.native:  # an outside tokenizer's ids are checked before they are written
         tokens = tokenizer.guard(tokens)
     out = docs.select("source", "doc_seq", tokens.alias("tokens"))
     return out.select("source", "doc_seq", F.size("tokens").cast("bigint").alias("n_tokens"), "tokens")
@@ -173,18 +173,23 @@ def running_offsets(
 # --------------------------------------------------------------------------- D3 / D5
 
 
-def target_column(targets: Targets, default: int | None = DEFAULT_TARGET) -> Column:
-    """Per-source token target as a column (a literal map lookup for a dict)."""
+def target_column(targets: Targets) -> Column:
+    """Per-source token target as a column (a literal map lookup for a dict).
+
+    ``None``, for all sources or as a source's value, means no budget: everything is kept. A
+    source that a dict does not name is an error when its rows are read.
+    """
     if isinstance(targets, Mapping):
         for k, v in targets.items():
             if v is not None and v <= 0:
                 raise ValueError(f"target for {k!r} must be positive")
+        stop = F.raise_error(F.concat(F.lit("no target is given for source "), F.coalesce("source", F.lit("null"))))
         if not targets:
-            looked = F.lit(None).cast("bigint")
-        else:
-            pairs = [x for k, v in targets.items() for x in (F.lit(k), F.lit(v).cast("bigint"))]
-            looked = F.element_at(F.create_map(*pairs), F.col("source"))
-        return F.coalesce(looked, F.lit(default).cast("bigint"))
+            return stop.cast("bigint")
+        pairs = [x for k, v in targets.items() for x in (F.lit(k), F.lit(v).cast("bigint"))]
+        known = F.create_map(*pairs)
+        source = F.coalesce("source", F.lit(""))
+        return F.when(F.map_contains_key(known, source), F.try_element_at(known, source)).otherwise(stop.cast("bigint"))
     if targets is not None and targets <= 0:
         raise ValueError("target must be positive")
     return F.lit(targets).cast("bigint")
@@ -202,7 +207,8 @@ def budget_cutoff(
     running total C_b satisfies ``floor(C_b / S) * S >= T``; it keeps ``floor(C_b / S) * S``
     tokens. If no batch does, all tokens are kept and the last shard is short. Because C_b
     grows with b, the first such batch is the one with the smallest batch-end total that is
-    at least ``ceil(T / S) * S``: a min-aggregate, no ordering.
+    at least ``ceil(T / S) * S``: a min-aggregate, no ordering. ``last_seq`` is the ``doc_seq``
+    behind which no document has a kept token, so later ones need not be read again.
     """
     if shard_tokens <= 0:
         raise ValueError("shard_tokens must be positive")
@@ -221,6 +227,8 @@ def budget_cutoff(
         F.max("t_round").alias("t_round"),
         F.min(F.when(hit, F.col("end"))).alias("hit_end"),
         F.min(F.when(hit, F.col("batch"))).alias("hit_batch"),
+        F.min(F.when(hit, F.col("doc_seq"))).alias("hit_seq"),
+        F.max("doc_seq").alias("max_seq"),
         F.max("batch").alias("last_batch"),
     )
     reached = F.col("t_round").isNotNull() & (F.col("total_tokens") >= F.col("t_round"))
@@ -236,6 +244,7 @@ def budget_cutoff(
         reached.alias("reached"),
         F.when(reached, F.coalesce("hit_batch", "last_batch")).otherwise(F.col("last_batch"))
         .cast("bigint").alias("stop_batch"),
+        F.when(reached, F.coalesce("hit_seq", "max_seq")).otherwise(F.col("max_seq")).alias("last_seq"),
     ).withColumn("n_shards", F.expr(f"(kept_tokens + {S - 1}) div {S}"))
 
 
@@ -342,11 +351,16 @@ class PackResult:
         The documents (text, or token arrays for a non-native tokenizer) are shuffled once,
         by ``(source, bucket)``: the within-bucket running sum is a window on that
         partitioning and the bucket bases join on the same keys, so the text does not move
-        again. Output rows stay grouped by bucket, i.e. by stream position.
+        again. Documents behind the budget's last one (``last_seq``) are dropped before that
+        shuffle, by a join with the small per-source cut. Output rows stay grouped by bucket, i.e. by stream position.
         """
         has_tokens = "tokens" in self.docs.columns
         payload = "tokens" if has_tokens else "text"
-        wide = with_token_counts(self.docs.select("source", "doc_seq", payload), self.tokenizer)
+        docs = self.docs.select("source", "doc_seq", payload)
+        if self.cut_checked:
+            docs = docs.join(F.broadcast(self.cut.select("source", "last_seq")), "source")
+            docs = docs.filter(F.col("doc_seq") <= F.col("last_seq")).drop("last_seq")
+        wide = with_token_counts(docs, self.tokenizer)
         if self.bases is not None:
             with_off = apply_bucket_bases(
                 wide, ["source"], "doc_seq", {"offset": F.col("n_tokens")},
@@ -385,8 +399,10 @@ class PackResult:
         write_packed(self.segments(), path, shuffle=False)
 
 
-def auto_buckets(docs: DataFrame, per_core: int = 4, cap: int = DEFAULT_BUCKET_DOCS) -> tuple[int, int]:
-    """Bucket width and number of prefix-sum levels, from one pass over ``doc_seq``.
+def auto_buckets(
+    docs: DataFrame, per_core: int = 4, cap: int = DEFAULT_BUCKET_DOCS, width: int | None = None
+) -> tuple[int, int]:
+    """Bucket width (unless given) and number of prefix-sum levels, from one pass over ``doc_seq``.
 
     The width is the ``doc_seq`` span over ``per_core * cores`` (so small inputs still spread
     over the cores), never above ``cap``. As keys are unique integers, a width of at most
@@ -396,21 +412,16 @@ def auto_buckets(docs: DataFrame, per_core: int = 4, cap: int = DEFAULT_BUCKET_D
     """
     lo, hi = docs.agg(F.min("doc_seq"), F.max("doc_seq")).first()
     if lo is None:
-        return 1, 2
+        return width or 1, 2
     cores = docs.sparkSession.sparkContext.defaultParallelism
     span = int(hi) - int(lo) + 1
-    width = int(max(1, min(cap, -(-span // (per_core * cores)))))
+    width = int(width or max(1, min(cap, -(-span // (per_core * cores)))))
     levels = 2
     while width > 1 and -(-span // width ** (levels - 1)) > cap:
         levels += 1
     return width, levels
 
 
-def auto_bucket_docs(docs: DataFrame, per_core: int = 4, cap: int = DEFAULT_BUCKET_DOCS) -> int:
-    """The bucket width of ``auto_buckets``."""
-    return auto_buckets(docs, per_core, cap)[0]
-
-
 def small_table(df: DataFrame, name: str, max_rows: int = MAX_BROADCAST_SOURCES) -> tuple[DataFrame, bool]:
     """Bring a per-source table to the driver when it has at most ``max_rows`` rows (checked
     with a bounded ``limit``), as a local relation that broadcasts for free. Beyond the bound
@@ -442,10 +453,9 @@ def pack(
     token arrays first: it is the expensive step and must run once.
     """
     tokenizer = tokenizer or ByteTokenizer()
-    if bucket_docs is None:
-        bucket_docs, auto_levels = auto_buckets(docs)
+    if levels is None or bucket_docs is None:
+        bucket_docs, auto_levels = auto_buckets(docs, width=bucket_docs)
         levels = levels or auto_levels
-    levels = levels or 2
     docs = nonempty(docs)
     if not tokenizer.native:
         docs = materialize(tokenize(docs, tokenizer), "tokenized_docs")

@@ -24,11 +24,6 @@ def hash_draw(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint")
 
 
-def seeded_shuffle(df: DataFrame, seed: int, id_col: str) -> DataFrame:
-    """a full permutation keyed by ``(seed, id)``; a distributed range sort."""
-    return df.orderBy(hash_draw(F.lit(seed), F.col(id_col)), F.col(id_col))
-
-
 def with_shuffle_key(df: DataFrame, seed: int, id_col: str, name: str = "shuffle_key") -> DataFrame:
     return df.withColumn(name, hash_draw(F.lit(seed), F.col(id_col)))
 

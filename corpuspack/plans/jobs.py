@@ -40,8 +40,9 @@ def budget_prefix(
     that crosses the rounded target. So files are counted in groups that double in size (one
     distributed job per group: per-group tokens and documents, no rows to the driver) until the
     total has crossed it and ``batch_docs`` more documents have been read. Packing that prefix
-    gives the same shards as packing the whole source, and at most about twice the needed
-    text is read instead of all of it. Without a target every file is needed.
+    gives the same shards as packing the whole source. As groups double and one more may follow the
+    crossing, the prefix holds up to about four times the needed text (if files are even), and is
+    scanned once here and twice by the packing. Without a target every file is needed.
     """
     if target is None:
         return list(files)
@@ -50,13 +51,9 @@ def budget_prefix(
     read, size, total, after = 0, max(1, first_files), 0, None
     while read < len(files):
         group = list(files[read:read + size])
-        docs = spark.read.format(fmt).load(group)
-        field = registry.lookup(name).text_field
-        if field not in docs.columns:
-            n_tok, n_docs = 0, 0
-        else:
-            t = packing.nonempty(docs.select(F.col(field).cast("string").alias("text")))
-            n_tok, n_docs = t.agg(F.sum(tokenizer.count("text")), F.count(F.lit(1))).first()
+        docs = registry.text_scan(spark, registry.lookup(name), group, fmt)
+        t = packing.nonempty(docs.select("text"))
+        n_tok, n_docs = t.agg(F.sum(tokenizer.count("text")), F.count(F.lit(1))).first()
         read += len(group)
         size *= 2
         if after is not None:
@@ -82,31 +79,41 @@ def prepare_corpus(
     bin_dir: str | None = None,
     force: bool = False,
     early_stop: bool = True,
+    fmt: str = "parquet",
 ) -> DataFrame | None:
     """Read registered sources (name → path), pack them in one job under per-source budgets and
-    write ``out/source=…/shard_idx=…``. Skipped when ``out`` already holds a finished write
-    (``_SUCCESS``), unless ``force``. Returns the per-source cut table (None when skipped).
-    With ``early_stop`` each source is read only up to the file that decides its cut
-    (``budget_prefix``), as a stream would stop. With ``bin_dir`` the shards are also
-    exported as flat ``uint32`` files."""
-    if not force and sinks.is_prepared(spark, out):
-        return None
-    tokenizer = tokenizer or ByteTokenizer()
-    frames = []
-    for name, path in sources.items():
-        files = registry.source_files(spark, path, split)
-        if early_stop:
-            target = targets.get(name, packing.DEFAULT_TARGET) if isinstance(targets, Mapping) else targets
-            files = budget_prefix(spark, name, files, target, shard_tokens, batch_docs, tokenizer)
-        frames.append(registry.read_source(spark, name, path, split, files=files))
-    plan = packing.pack(
-        mixture.union_sources(frames), shard_tokens=shard_tokens, targets=targets, batch_docs=batch_docs,
-        tokenizer=tokenizer,
-    )
-    plan.write(out)
+    write ``out/source=…/shard_idx=…``. A source whose own folder already holds a finished write
+    (``_SUCCESS``) is skipped, unless ``force``. Returns the cut table of the sources packed now
+    (None when there was nothing left to do). With ``early_stop`` each source is read only up to
+    the file that decides its cut (``budget_prefix``), as a stream would stop. With ``bin_dir``
+    the shards are also exported as flat ``uint32`` files, for the sources not yet exported.
+    ``targets`` as a mapping must name every source; None is no budget. ``fmt``: ``parquet`` or
+    ``json`` (JSON lines)."""
+    if isinstance(targets, Mapping) and (missing := sorted(set(sources) - set(targets))):
+        raise ValueError(f"no target is given for {', '.join(missing)}")
+    todo = [name for name in sources if force or not sinks.is_prepared(spark, out, name)]
+    cut = None
+    if todo:
+        tokenizer = tokenizer or ByteTokenizer()
+        frames = []
+        for name in todo:
+            files = registry.source_files(spark, sources[name], split, fmt)
+            if early_stop:
+                target = targets[name] if isinstance(targets, Mapping) else targets
+                files = budget_prefix(spark, name, files, target, shard_tokens, batch_docs, tokenizer, fmt=fmt)
+            frames.append(registry.read_source(spark, name, sources[name], split, fmt, files=files))
+        plan = packing.pack(
+            mixture.union_sources(frames), shard_tokens=shard_tokens, targets=targets, batch_docs=batch_docs,
+            tokenizer=tokenizer,
+        )
+        plan.write(out)
+        cut = plan.cut
     if bin_dir:
-        binshards.export_bin(sinks.read_packed(spark, out), bin_dir).write.format("noop").mode("overwrite").save()
-    return plan.cut
+        export = [name for name in sources if name in todo or not binshards.is_exported(spark, bin_dir, name)]
+        if export:
+            binshards.export_bin(sinks.read_packed(spark, out, export), bin_dir, export)
+            cut = cut if cut is not None else spark.createDataFrame([], "source STRING, kept_tokens BIGINT, target BIGINT, n_shards BIGINT")
+    return cut
 
 
 def export_windows(
@@ -133,10 +140,12 @@ def export_windows(
     """
     if isinstance(packed, str):
         seg = sinks.read_packed(spark, packed)
+        inventory = packing.shard_inventory(seg)
     else:
-        seg = binshards.read_bin(spark, list(packed)).withColumn("n_tokens", F.size("tokens").cast("bigint"))
-        source_order = source_order or [d.rstrip("/").rsplit("/", 1)[-1] for d in packed]
-    inventory = packing.shard_inventory(seg)
+        files = binshards.bin_files(spark, list(packed))
+        inventory = files.drop("path")  # lengths from the manifests or file sizes: no ids are read
+        seg = binshards.read_blocks(files, block_tokens or max(seq_len, 8192)).withColumn("n_tokens", F.size("tokens").cast("bigint"))
+        source_order = source_order or binshards.source_names(packed)
     per_source = inventory.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()  # one row per source
     if not per_source:
         raise FileNotFoundError(f"no shards under {packed}")
@@ -170,6 +179,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     p.add_argument("--shard-tokens", type=int, default=packing.DEFAULT_SHARD_TOKENS)
     p.add_argument("--batch-docs", type=int, default=packing.DEFAULT_BATCH_DOCS)
     p.add_argument("--bin-dir", default=None)
+    p.add_argument("--format", default="parquet", choices=["parquet", "json"])
     p.add_argument("--force", action="store_true")
     w = sub.add_parser("windows")
     src = w.add_mutually_exclusive_group(required=True)
@@ -191,12 +201,13 @@ def main(argv: Sequence[str] | None = None) -> None:
         sources = _kv(args.source)
         targets = mixture.mixture_budgets(args.scale) if args.scale else args.target_tokens
         cut = prepare_corpus(spark, sources, args.out, targets, args.shard_tokens, args.batch_docs, args.split,
-                             bin_dir=args.bin_dir, force=args.force)
+                             bin_dir=args.bin_dir, force=args.force, fmt=args.format)
         if cut is None:
             print(f"already prepared: {args.out}")
         else:
             for r in cut.orderBy("source").collect():
-                print(f"{r.source}: {r.kept_tokens:,} / {r.target or 0:,} tokens in {r.n_shards} shard(s)")
+                budget = "no budget" if r.target is None else f"budget {r.target:,}"
+                print(f"{r.source}: {r.n_shards} shards, {r.kept_tokens:,} ids ({budget})")
     else:
         order = args.source_order.split(",") if args.source_order else None
         packed = args.bin_dirs.split(",") if args.bin_dirs else args.packed

@@ -7,16 +7,21 @@ closed-form cutoff, shard lengths from arithmetic instead of summed pieces.
 
 from __future__ import annotations
 
-from corpuspack.functions.text import WHITESPACE
 from corpuspack.operators.scores import DEFAULT_TASKS, TAGS
 from corpuspack.plans.queries import (
-    BATCH_DOCS, GRAD_ACCUM, MICRO_BATCH, RANKS, SEED, SEED_EN, SEED_KO, SEED_MIX, SEQ_LEN, SHARD_TOKENS,
-    SOURCE_ORDER, STEPS, TARGETS, TRAIN_SEQ_LEN,
+    BATCH_DOCS, BLOCK_TOKENS, DIRTY_PADS, GRAD_ACCUM, MICRO_BATCH, RANKS, PARTIAL_TARGETS, SEED, SEED_EN, SEED_KO, SEED_MIX, SEQ_LEN,
+    SHARD_TOKENS, SMALL_TARGETS, SOURCE_ORDER, STEPS, TARGETS, TRAIN_SEQ_LEN,
 )
 
 S = SHARD_TOKENS
 B = BATCH_DOCS
-_TARGETS_VALUES = ", ".join(f"('{k}', {v})" for k, v in TARGETS.items())
+
+
+def target_values(targets: dict) -> str:
+    return ", ".join(f"('{k}', CAST({'NULL' if v is None else v} AS BIGINT))" for k, v in targets.items())
+
+
+_TARGETS_VALUES = target_values(TARGETS)
 
 DOCS = "SELECT lang AS source, doc_id AS doc_seq, text FROM documents WHERE text IS NOT NULL AND text <> ''"
 
@@ -34,9 +39,10 @@ FROM ({COUNTS}) c
 WINDOW w AS (PARTITION BY source ORDER BY doc_seq)
 """
 
-CUT = f"""
+def cut_sql(targets: dict) -> str:
+    return f"""
 WITH o AS ({OFFSETS}),
-t AS (SELECT * FROM (VALUES {_TARGETS_VALUES}) AS t(source, target)),
+t AS (SELECT * FROM (VALUES {target_values(targets)}) AS t(source, target)),
 b AS (SELECT source, batch, sum(n_tokens) AS bt FROM o GROUP BY source, batch),
 c AS (SELECT b.source, b.batch, t.target,
              CAST(sum(b.bt) OVER (PARTITION BY b.source ORDER BY b.batch) AS BIGINT) AS cb
@@ -61,22 +67,30 @@ SELECT source,
 FROM k
 """
 
-SHARDS = f"""
+
+CUT = cut_sql(TARGETS)
+
+def shards_sql(cut: str) -> str:
+    return f"""
 SELECT k.source, CAST(i AS INTEGER) AS shard_idx,
        CAST(least({S}, k.kept_tokens - i * {S}) AS BIGINT) AS n_tokens,
        CAST(least((i + 1) * {S}, k.kept_tokens) AS BIGINT) AS written,
        k.target
-FROM ({CUT}) k, range(0, k.n_shards) AS r(i)
+FROM ({cut}) k, range(0, k.n_shards) AS r(i)
 """
 
+
+SHARDS = shards_sql(CUT)
+
 IDS = """
 SELECT lang AS source, doc_id AS doc_seq,
        list_append(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::INTEGER), 256) AS ids
 FROM documents WHERE text IS NOT NULL AND text <> ''
 """
 
-PIECES = f"""
-WITH o AS ({OFFSETS}), k AS ({CUT}),
+def pieces_sql(cut: str) -> str:
+    return f"""
+WITH o AS ({OFFSETS}), k AS ({cut}),
 p AS (SELECT o.source, o.doc_seq, o."offset", o.n_tokens, k.kept_tokens,
              unnest(range(o."offset" // {S}, (least(o."offset" + o.n_tokens, k.kept_tokens) - 1) // {S} + 1)) AS shard_idx
       FROM o JOIN k ON o.source = k.source WHERE o."offset" < k.kept_tokens),
@@ -90,6 +104,9 @@ SELECT q.source, CAST(q.shard_idx AS INTEGER) AS shard_idx, CAST(q.lo - q.shard_
 FROM q JOIN ({IDS}) i ON i.source = q.source AND i.doc_seq = q.doc_seq
 """
 
+
+PIECES = pieces_sql(CUT)
+
 SEGMENTS = f"""
 SELECT source, shard_idx, pos, doc_seq, n_tokens, t[1] AS first_id, t[-1] AS last_id,
        CAST(list_sum(t) AS BIGINT) AS id_sum, array_to_string(t, ',') AS tokens_csv
@@ -179,7 +196,9 @@ FROM ({DRAWS}) d
 
 # --------------------------------------------------------------------------- instruction data
 
-WS = "(" + " || ".join(f"chr({ord(c)})" for c in WHITESPACE) + ")"
+# Every character with the Unicode White_Space property, and the four separators U+001C to U+001F.
+_SPACES = [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+WS = "(" + " || ".join(f"chr({n})" for n in _SPACES) + ")"
 NL = "chr(10)"
 
 
@@ -316,6 +335,82 @@ SELECT a.source, a.n_docs, a.n_tokens, CAST(t.target AS BIGINT) AS target,
 FROM a LEFT JOIN t ON a.source = t.source
 """
 
+STREAM_SEGMENTS = "SELECT source, shard_idx, pos, doc_seq, array_to_string(t, ',') AS tokens_csv FROM ({pieces}) x"
+
+BIN_BLOCKS = f"""
+WITH tok AS (
+  SELECT source, shard_idx, pos + generate_subscripts(t, 1) - 1 AS p, unnest(t) AS id FROM ({PIECES}) x)
+SELECT source, shard_idx, CAST(p // {BLOCK_TOKENS} * {BLOCK_TOKENS} AS BIGINT) AS pos,
+       array_to_string(list(id ORDER BY p), ',') AS tokens_csv
+FROM tok GROUP BY source, shard_idx, p // {BLOCK_TOKENS}
+"""
+
+SCAN_JSON = """
+SELECT 'the-stack' AS source, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS doc_seq, text FROM documents
+"""
+
+
+def copy_ids(rows: str, content: str, columns: str) -> str:
+    """Rows with the id of a scan: the hash of the content and of the number of the copy."""
+    return f"""
+SELECT ('0x' || substr(md5({content} || ':' || (row_number() OVER (PARTITION BY {content}) - 1)), 1, 15))::BIGINT AS id, {columns}
+FROM ({rows}) c
+"""
+
+
+SCAN_CHATS = copy_ids(TURN_CHATS, "messages_json", "messages_json")
+
+SCAN_PREFS = f"""
+WITH d AS (SELECT conv_id AS pair_id, coalesce(instruction, '') AS prompt, output, response
+           FROM ({ROWS}) r WHERE output IS NOT NULL AND output <> response)
+SELECT pair_id, prompt, {chat_json('prompt', 'output')} AS chosen_json, {chat_json('prompt', 'response')} AS rejected_json FROM d
+"""
+
+
+def placed(rows: str) -> str:
+    key = "origin || ':' || id"
+    return f"SELECT origin, id, row_number() OVER (ORDER BY {hkey(SEED_MIX, key)}, {key}) - 1 AS position, messages_json FROM ({rows}) u"
+
+
+_ROW_JSON = "CAST(to_json({'instruction': instruction, 'input': input, 'output': output, 'response': response}) AS VARCHAR)"
+MIX_SCANNED = placed(f"""
+SELECT 'chats' AS origin, id, messages_json FROM ({SCAN_CHATS}) s
+UNION ALL
+SELECT 'rows' AS origin, id, messages_json
+FROM ({copy_ids(f"SELECT {_ROW_JSON} AS content, {chat_json(_USER, _ASSISTANT)} AS messages_json FROM ({ROWS}) r", "content", "messages_json")}) s
+""")
+
+_TWICE = f"SELECT messages_json FROM ({TURN_CHATS}) a UNION ALL SELECT messages_json FROM ({TURN_CHATS}) b WHERE conv_id % 5 = 0"
+MIX_JSONL = placed(f"SELECT 'jsonl' AS origin, id, messages_json FROM ({copy_ids(_TWICE, 'messages_json', 'messages_json')}) s")
+
+CAPPED = f"""
+WITH r AS (
+  SELECT 'chats' AS origin, conv_id AS id, rendered FROM ({RENDER}) a
+  UNION ALL
+  SELECT 'rows', conv_id, {render([("user", _USER), ("assistant", _ASSISTANT)])} FROM ({ROWS}) b)
+SELECT m.origin, m.id, m.position, CAST(octet_length(encode(r.rendered)) AS BIGINT) AS n_tokens,
+       octet_length(encode(r.rendered)) > 2048 AS truncated,
+       array_to_string(list_slice(list_transform(regexp_extract_all(hex(encode(r.rendered)), '..'), lambda h: ('0x' || h)::INTEGER), 1, 2048), ',')
+         AS ids_csv
+FROM ({MIX}) m JOIN r ON r.origin = m.origin AND r.id = m.id
+"""
+
+_PADS = "[" + ", ".join("(" + " || ".join(f"chr({ord(c)})" for c in pad) + ")" for pad in DIRTY_PADS) + "]"
+DIRTY = f"""
+WITH k AS (SELECT conv_id, turn, text, conv_id * 10 + turn AS key FROM conversations),
+p AS (SELECT *, {_PADS}[key % {len(DIRTY_PADS)} + 1] AS pad FROM k),
+d AS (SELECT *, CASE key % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN pad ELSE pad || text || pad END AS dirty FROM p)
+SELECT conv_id, turn, dirty IS NOT NULL AND dirty <> '' AS nonempty, md5(coalesce(dirty, '')) AS filled,
+       {clean('dirty')} AS stripped, md5(coalesce(nullif(dirty, ''), nullif(text, ''), '')) AS truthy, {clean('dirty')} <> '' AS kept
+FROM d
+"""
+
+RENDER_DIRTY = f"""
+SELECT conv_id, string_agg('<|im_start|>' || role || {NL} || CASE WHEN (conv_id + turn) % 3 = 0 THEN '' ELSE text END
+                           || '<|im_end|>' || {NL}, '' ORDER BY turn) AS rendered
+FROM conversations GROUP BY conv_id
+"""
+
 SQL: dict[str, str] = {
     "docs_nonempty": DOCS,
     "token_counts": COUNTS,
@@ -340,7 +435,17 @@ SQL: dict[str, str] = {
     "distilled_pairs": DISTILLED,
     "preference_pairs": PREFS,
     "score_table": SCORES,
-    "bin_shards": f"SELECT source, shard_idx, n_tokens FROM ({SHARDS}) s",
+    "bin_shards": BIN_BLOCKS,
     "stream_totals": STREAM_TOTALS,
-    "stream_shards": f"SELECT source, shard_idx, n_tokens FROM ({SHARDS}) s",
+    "stream_shards": STREAM_SEGMENTS.format(pieces=PIECES),
+    "bin_rerun_smaller": f"SELECT source, shard_idx, n_tokens FROM ({shards_sql(cut_sql(SMALL_TARGETS))}) s",
+    "stream_shards_partial_targets": STREAM_SEGMENTS.format(pieces=pieces_sql(cut_sql(PARTIAL_TARGETS))),
+    "scan_corpus_json": SCAN_JSON,
+    "scan_chats": SCAN_CHATS,
+    "scan_prefs": SCAN_PREFS,
+    "tuning_mix_from_scans": MIX_SCANNED,
+    "tuning_mix_jsonl": MIX_JSONL,
+    "capped_ids": CAPPED,
+    "dirty_text": DIRTY,
+    "render_dirty": RENDER_DIRTY,
 }

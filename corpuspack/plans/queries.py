@@ -7,19 +7,26 @@ They run the library operators on the fixture tables (see FIXTURES.md for the st
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuspack.functions import text as T
 from corpuspack.functions.tokens import ByteTokenizer
 from corpuspack.operators import instruct, mixture, packing, scores, windows
-from corpuspack.sources.registry import BENCHMARK_SCHEMA, CONVERSATIONS_SCHEMA, fixture_docs, table
+from corpuspack.session import scratch_dir
+from corpuspack.sources import binshards, registry, sinks
+from corpuspack.sources.registry import BENCHMARK_SCHEMA, CONVERSATIONS_SCHEMA, DOCUMENTS_SCHEMA, fixture_docs, table
+from corpuspack.streaming import incremental
 
 # Fixture parameters: small batches so the stop rule is exercised, budgets that
 # stop en / de / fr and leave es to end in a tail shard at sf0.01.
 BATCH_DOCS = 50
 SHARD_TOKENS = 65_536
 TARGETS = {"en": 800_000, "de": 200_000, "fr": 100_000, "es": 300_000}
+SMALL_TARGETS = {k: v // 4 for k, v in TARGETS.items()}
+PARTIAL_TARGETS = {"de": 20_000, "en": None, "fr": None, "es": None}  # None: no budget
 BUCKET_DOCS = 64  # small on purpose: the fixtures then take the two-level prefix-sum path
 
 # Training-side parameters (as in the 1.7B run config: 8 × 6 × 4 ranks; 86,500 steps).
@@ -31,6 +38,8 @@ MICRO_BATCH, GRAD_ACCUM, RANKS = 8, 6, 4
 STEPS = 86_500
 TRAIN_SEQ_LEN = 2048
 
+DIRTY_PADS = ["\u3000", "\u00a0 \t", "\u2028\n", "\u001f\u0085", " "]
+
 # Instruction-data parameters: seeds 0 (Korean prompts), 1 (English prompts), 42 (tuning set).
 SEED_KO, SEED_EN, SEED_MIX = 0, 1, 42
 
@@ -44,29 +53,24 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def running_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.running_offsets(token_counts(spark, sf_dir), BATCH_DOCS, BUCKET_DOCS)
-
-
-_PACKS: dict[tuple[str, str], packing.PackResult] = {}
+    counts = token_counts(spark, sf_dir)
+    _, levels = packing.auto_buckets(counts, width=BUCKET_DOCS)
+    return packing.running_offsets(counts, BATCH_DOCS, BUCKET_DOCS, levels)
 
 
 def packed(spark: SparkSession, sf_dir: str) -> packing.PackResult:
-    """The fixture packing plan; counts, offsets and cut are materialized once per session and dir."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    cached = _PACKS.get(key)
-    if cached is None or cached.offsets.sparkSession is not spark:
-        _PACKS[key] = packing.pack(
-            fixture_docs(spark, sf_dir),
-            shard_tokens=SHARD_TOKENS,
-            targets=TARGETS,
-            batch_docs=BATCH_DOCS,
-            bucket_docs=BUCKET_DOCS,
-        )
-    return _PACKS[key]
+    """The packing plan of the tables in ``sf_dir``, planned anew by each query."""
+    return packing.pack(
+        fixture_docs(spark, sf_dir),
+        shard_tokens=SHARD_TOKENS,
+        targets=TARGETS,
+        batch_docs=BATCH_DOCS,
+        bucket_docs=BUCKET_DOCS,
+    )
 
 
 def budget_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(spark, sf_dir).cut
+    return packed(spark, sf_dir).cut.drop("last_seq")
 
 
 def shard_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +93,9 @@ def packed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roundtrip_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rebuild each document from its packed pieces and compare with the source text."""
+    """Rebuild each document from its packed pieces and compare with the source text.
+
+    A kept document must be its whole text and one EOS; a cut one a prefix of its bytes."""
     p = packed(spark, sf_dir)
     tok = ByteTokenizer()
     seg = p.segments()
@@ -105,12 +111,14 @@ def roundtrip_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     j = rebuilt.join(docs, ["source", "doc_seq"])
     complete = F.col("got") == F.col("n_tokens")
+    head = F.substring(F.encode("text", "UTF-8"), F.lit(1), F.size("ids"))
+    prefix = tok.decode("ids") == F.make_valid_utf8(head.cast("string"))
     eos_once = (F.element_at("ids", -1) == tok.eos_id) & (F.size(F.filter("ids", lambda x: x == tok.eos_id)) == 1)
     same = eos_once & (tok.decode("ids") == F.col("text"))
     return j.groupBy("source").agg(
         F.count(F.when(complete, 1)).cast("bigint").alias("docs_kept"),
         F.count(F.when(~complete, 1)).cast("bigint").alias("docs_cut"),
-        F.count(F.when(complete & ~same, 1)).cast("bigint").alias("docs_differ"),
+        F.count(F.when(F.when(complete, ~same).otherwise(~prefix), 1)).cast("bigint").alias("docs_differ"),
     )
 
 
@@ -122,21 +130,20 @@ def mix_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix_epochs(packed(spark, sf_dir).inventory(), STEPS, MICRO_BATCH, GRAD_ACCUM, RANKS, TRAIN_SEQ_LEN)
 
 
-def _draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = packed(spark, sf_dir)
+def _draws(spark: SparkSession, p: packing.PackResult) -> DataFrame:
     kept = p.cut.agg(F.sum("kept_tokens")).first()[0] or 0
     n_samples = int(kept) // SEQ_LEN  # one epoch of windows: grows with the corpus
     return windows.draw_windows(spark, p.inventory(), n_samples, SEQ_LEN, SEED, SOURCE_ORDER)
 
 
 def window_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _draws(spark, sf_dir)
+    return _draws(spark, packed(spark, sf_dir))
 
 
 def window_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = packed(spark, sf_dir)
     blocks = windows.to_blocks(p.segments(), BLOCK_TOKENS)
-    w = windows.cut_windows(_draws(spark, sf_dir), blocks, SEQ_LEN, BLOCK_TOKENS)
+    w = windows.cut_windows(_draws(spark, p), blocks, SEQ_LEN, BLOCK_TOKENS)
     return w.select(
         "sample_id", "source", "shard_idx", "start",
         F.array_join("x", ",").alias("x"), F.array_join("y", ",").alias("y"),
@@ -144,7 +151,7 @@ def window_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rank_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _draws(spark, sf_dir).select("sample_id", "source", "shard_idx", "start")
+    d = _draws(spark, packed(spark, sf_dir)).select("sample_id", "source", "shard_idx", "start")
     return windows.batch_layout(d, MICRO_BATCH, GRAD_ACCUM, RANKS)
 
 
@@ -246,51 +253,159 @@ def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.score_table(_scores(spark, sf_dir))
 
 
-def bin_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A8 + A7: export the packed shards as flat uint32 files, read them back through the
-    byte-range data source (folders in source order), and take their inventory (D7)."""
-    import uuid
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
 
-    from corpuspack.session import scratch_dir
-    from corpuspack.sources import binshards
 
-    out = f"{scratch_dir(spark)}/bin-{uuid.uuid4().hex[:8]}"
-    binshards.export_bin(packed(spark, sf_dir).segments(), out).write.format("noop").mode("overwrite").save()
-    dirs = [f"{out}/{s}" for s in SOURCE_ORDER]
-    blocks = binshards.read_bin(spark, dirs, block_tokens=BLOCK_TOKENS)
-    return packing.shard_inventory(blocks.withColumn("n_tokens", F.size("tokens")))
+def _blocks(spark: SparkSession, out: str) -> DataFrame:
+    blocks = binshards.read_bin(spark, [f"{out}/{s}" for s in SOURCE_ORDER], block_tokens=BLOCK_TOKENS)
+    return blocks.select("source", "shard_idx", "pos", F.array_join("tokens", ",").alias("tokens_csv"))
 
 
-def _doc_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corpuspack.sources.registry import DOCUMENTS_SCHEMA
-    from corpuspack.streaming.incremental import read_doc_stream
-
-    raw = read_doc_stream(spark, f"{sf_dir.rstrip('/')}/documents.parquet", DOCUMENTS_SCHEMA)
+def bin_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8 + A7: export the packed shards as flat uint32 files and read them back in blocks of ids."""
+    out = _fresh(spark, "bin")
+    binshards.export_bin(packed(spark, sf_dir).segments(), out)
+    return _blocks(spark, out)
+
+
+def bin_rerun_smaller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second export with a quarter of each budget replaces the first; none of its shards stay."""
+    out = _fresh(spark, "bin")
+    binshards.export_bin(packed(spark, sf_dir).segments(), out)
+    small = packing.pack(fixture_docs(spark, sf_dir), SHARD_TOKENS, SMALL_TARGETS, BATCH_DOCS, BUCKET_DOCS)
+    binshards.export_bin(small.segments(), out)
+    files = binshards.bin_files(spark, [f"{out}/{s}" for s in SOURCE_ORDER])
+    return files.select("source", "shard_idx", "n_tokens")
+
+
+def _ordered_files(spark: SparkSession, sf_dir: str, n: int = 4) -> str:
+    """``documents`` written by Spark as ``n`` files, one after the other in ``doc_id`` order."""
+    docs = table(spark, sf_dir, "documents", DOCUMENTS_SCHEMA)
+    cuts = docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.0)
+    out, low = _fresh(spark, "stream-src"), None
+    for high in [*cuts, None]:
+        part = docs.filter(F.lit(True) if low is None else F.col("doc_id") > low)
+        part = part.filter(F.lit(True) if high is None else F.col("doc_id") <= high)
+        part.coalesce(1).sortWithinPartitions("doc_id").write.mode("append").parquet(out)
+        low = high
+    return out
+
+
+def _doc_stream(spark: SparkSession, folder: str) -> DataFrame:
+    raw = incremental.read_doc_stream(spark, folder, DOCUMENTS_SCHEMA)
     return raw.select(F.col("lang").alias("source"), F.col("doc_id").alias("doc_seq"), "text")
 
 
 def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S1 + S2: the documents file as a stream; running totals per source (complete mode)."""
-    import uuid
-
-    from corpuspack.streaming.incremental import start_totals, token_stream
-
+    """S1 + S2: four files as a stream of four triggers; running totals per source (complete mode)."""
     name = f"stream_totals_{uuid.uuid4().hex[:8]}"
-    q = start_totals(token_stream(_doc_stream(spark, sf_dir)), name, targets=TARGETS)
-    q.awaitTermination()
+    counts = incremental.token_stream(_doc_stream(spark, _ordered_files(spark, sf_dir)))
+    incremental.start_totals(counts, name, targets=TARGETS).awaitTermination()
     return spark.table(name)
 
 
+def _streamed(spark: SparkSession, sf_dir: str, targets) -> DataFrame:
+    out = _fresh(spark, "stream-pack")
+    docs = _doc_stream(spark, _ordered_files(spark, sf_dir))
+    seg = incremental.stream_pack(spark, docs, out, SHARD_TOKENS, targets, BATCH_DOCS, BUCKET_DOCS)
+    return seg.select("source", "shard_idx", "pos", "doc_seq", F.array_join("tokens", ",").alias("tokens_csv"))
+
+
 def stream_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S3: shards appended by a foreachBatch sink with carried offsets; their inventory."""
-    import uuid
+    """S3: shards appended over four micro-batches with carried offsets, with their ids."""
+    return _streamed(spark, sf_dir, TARGETS)
+
+
+def stream_shards_partial_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 where one source has a small budget and the others none: those are kept whole."""
+    return _streamed(spark, sf_dir, PARTIAL_TARGETS)
+
+
+def scan_corpus_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2 + B1: the documents as JSON lines in ordered files, scanned with their stream order."""
+    out = _fresh(spark, "corpus-json")
+    docs = spark.read.parquet(_ordered_files(spark, sf_dir)).select(F.col("text").alias("content"), "doc_id")
+    docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.json(f"{out}/train")
+    scanned = registry.read_source(spark, "the-stack", out, fmt="json")
+    return scanned.select("source", "doc_seq", "text")
+
+
+def _write_chats(spark: SparkSession, sf_dir: str) -> str:
+    """The conversations as a chat set: Parquet (with extra fields), JSON lines with every fifth line twice."""
+    out = _fresh(spark, "chats")
+    chats = instruct.chats_from_turns(_turns(spark, sf_dir))
+    chats.withColumn("note", F.lit("x")).write.parquet(f"{out}/train_sft")
+    twice = chats.filter("conv_id % 5 = 0")
+    sinks.write_chat_jsonl(chats.unionByName(twice), f"{out}/jsonl")
+    return out
+
+
+def scan_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: the chat set's split, with the id that the scan gives each chat."""
+    chats = registry.read_chats(spark, _write_chats(spark, sf_dir))
+    return chats.select("id", T.messages_json("messages").alias("messages_json"))
+
+
+def scan_prefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6 + G6: preference pairs written as JSON lines and scanned."""
+    out = _fresh(spark, "prefs")
+    instruct.pairs_from_turns(_turns(spark, sf_dir)).write.json(f"{out}/train_prefs")
+    pairs = registry.read_preference_pairs(spark, out)
+    side = lambda c: T.messages_json(c).alias(f"{c}_json")
+    return pairs.select("pair_id", "prompt", side("chosen"), side("rejected"))
+
+
+def _scanned_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _write_chats(spark, sf_dir)
+    rows = _rows(spark, sf_dir).select("instruction", F.col("input").alias("context"), "output", "response")
+    rows.write.option("ignoreNullFields", "false").json(f"{out}/rows")
+    scanned = registry.read_instruction_rows(spark, f"{out}/rows", rename={"context": "input"})
+    return instruct.tuning_mix(chats=registry.read_chats(spark, out), rows=scanned, seed=SEED_MIX)
+
+
+def tuning_mix_from_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3 + A4 into G3: the tuning set of a scanned chat set and scanned instruction rows."""
+    mix = _scanned_mix(spark, sf_dir)
+    return mix.select("origin", "id", "position", T.messages_json("messages").alias("messages_json"))
+
+
+def tuning_mix_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5 into G3: the tuning set of a JSONL chat set in which lines repeat."""
+    scanned = registry.read_chat_jsonl(spark, f"{_write_chats(spark, sf_dir)}/jsonl")
+    mix = instruct.tuning_mix(jsonl=scanned, seed=SEED_MIX)
+    return mix.select("origin", "id", "position", T.messages_json("messages").alias("messages_json"))
+
+
+def capped_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B12 + B13 on the tuning set: rendered examples cut at 2,048 ids, with the ids."""
+    capped = instruct.capped_examples(_mix(spark, sf_dir))
+    return capped.select("origin", "id", "position", "n_tokens", "truncated", F.array_join("ids", ",").alias("ids_csv"))
+
+
+def dirty_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B2, B4, B5, B6, B8 on turns made dirty by their numbers: nulls, empty and blank texts, Unicode padding.
+
+    Every rule changes or drops rows here."""
+    t = _turns(spark, sf_dir)
+    key = F.col("conv_id") * 10 + F.col("turn")
+    pad = F.element_at(F.array(*[F.lit(p) for p in DIRTY_PADS]), (key % len(DIRTY_PADS) + 1).cast("int"))
+    padded = F.concat(pad, F.col("text"), pad)
+    made = F.when(key % 7 == 0, F.lit(None).cast("string")).when(key % 7 == 1, F.lit("")).when(key % 7 == 2, pad).otherwise(padded)
+    dirty = t.select("conv_id", "turn", "text", made.alias("dirty"))
+    kept = packing.nonempty(dirty, "dirty").select("conv_id", "turn", F.lit(True).alias("nonempty"))
+    out = dirty.join(kept, ["conv_id", "turn"], "left").select(
+        "conv_id", "turn", F.coalesce("nonempty", F.lit(False)).alias("nonempty"), T.null_to_empty("dirty").alias("filled"),
+        T.clean("dirty").alias("stripped"), T.first_truthy("dirty", "text").alias("truthy"), (T.clean("dirty") != "").alias("kept"),
+    )
+    return out.withColumns({c: F.md5(c) for c in ("filled", "truthy")})
 
-    from corpuspack.session import scratch_dir
-    from corpuspack.streaming.incremental import stream_pack
 
-    out = f"{scratch_dir(spark)}/stream-pack-{uuid.uuid4().hex[:8]}"
-    seg = stream_pack(spark, _doc_stream(spark, sf_dir), out, SHARD_TOKENS, TARGETS, BATCH_DOCS, BUCKET_DOCS)
-    return packing.shard_inventory(seg)
+def render_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B12 on chats in which every third message has no content: no message is lost."""
+    t = _turns(spark, sf_dir).withColumn("text", F.when((F.col("conv_id") + F.col("turn")) % 3 != 0, F.col("text")))
+    chats = instruct.chats_from_turns(t)
+    return chats.select("conv_id", T.render_chat("messages").alias("rendered"))
 
 
 QUERIES = {
@@ -320,4 +435,14 @@ QUERIES = {
     "bin_shards": bin_shards,
     "stream_totals": stream_totals,
     "stream_shards": stream_shards,
+    "bin_rerun_smaller": bin_rerun_smaller,
+    "stream_shards_partial_targets": stream_shards_partial_targets,
+    "scan_corpus_json": scan_corpus_json,
+    "scan_chats": scan_chats,
+    "scan_prefs": scan_prefs,
+    "tuning_mix_from_scans": tuning_mix_from_scans,
+    "tuning_mix_jsonl": tuning_mix_jsonl,
+    "capped_ids": capped_ids,
+    "dirty_text": dirty_text,
+    "render_dirty": render_dirty,
 }

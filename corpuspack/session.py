@@ -2,7 +2,8 @@
 
 On a cluster the session is built by the platform; the only thing we read from it is
 ``spark.checkpoint.dir`` (a shared folder every executor can reach). Tests and local runs
-leave it unset, and ``scratch_dir`` then picks a fresh temporary folder once per session.
+leave it unset, and ``scratch_dir`` then picks a fresh temporary folder once per session; on any
+other master an unset folder is an error, as no machine-local one reaches the executors.
 """
 
 from __future__ import annotations
@@ -46,15 +47,17 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for materialized tables and checkpoints.
 
     Reads ``spark.checkpoint.dir`` from the session (a cluster names a shared folder there).
-    Only when it is unset (tests, local runs) a fresh temporary folder is made, once per
-    application; it is registered with ``SparkContext.setCheckpointDir`` (the config itself
-    cannot be changed on a running session).
+    Only when it is unset on a ``local`` master (tests, single-machine runs) a fresh temporary
+    folder is made, once per application; it is registered with
+    ``SparkContext.setCheckpointDir`` (the config itself cannot be changed on a running session).
     """
     sc = spark.sparkContext
     current = spark.conf.get(_CHECKPOINT_KEY, None) or sc.getConf().get(_CHECKPOINT_KEY, None)
     if not current:
         current = _LOCAL_SCRATCH.get(sc.applicationId)
         if current is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder that all executors share")
             current = tempfile.mkdtemp(prefix="corpuspack-ckpt-")
             _LOCAL_SCRATCH[sc.applicationId] = current
     if sc.getCheckpointDir() is None:
@@ -62,6 +65,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """The Hadoop file system of ``path`` and the path in it (any scheme that Spark reads)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def materialize(df: DataFrame, name: str, rebalance: bool = False) -> DataFrame:
     """Write ``df`` as Parquet under the shared scratch folder and read it back.
 

@@ -10,11 +10,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from corpuspack.functions.text import MESSAGES_TYPE
+from corpuspack.functions.text import MESSAGES_TYPE, messages_json
+from corpuspack.operators.windows import hash_draw
+from corpuspack.session import materialize
 
 
 @dataclass(frozen=True)
@@ -42,48 +44,47 @@ def lookup(name: str, registry: dict[str, SourceSpec] | None = None) -> SourceSp
     return registry[name]
 
 
-def spread_small_input(df: DataFrame, key: str = "doc_seq") -> DataFrame:
-    """Hash-spread rows over the cores when the scan has fewer files than cores.
+def text_scan(spark: SparkSession, spec: SourceSpec, location: str | list[str], fmt: str = "parquet") -> DataFrame:
+    """The registry's text field by an explicit schema: ``text`` and each row's place in the stream.
 
-    A Parquet row group is read by one task, so a job over one or two files with no shuffle of
-    its own (tokenizing only) would run on one or two cores. Large inputs (many files) are left
-    untouched. The packing job does not need it: its own shuffle spreads the work. Hash
-    partitioning on ``key`` keeps a retried task's input identical.
+    ``_file, _part, _row``: rows of a Parquet file are placed by their number; a JSON-lines file may
+    be read in splits (``_part``), whose rows come in order. A Parquet source without the field, an
+    unknown format and a malformed JSON line are errors; a row without the field has a null text.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores, key)
-
-
-# The per-file table (path, row count) is broadcast up to this many files (~100 bytes each).
-MAX_BROADCAST_FILES = 500_000
-
-
-def with_stream_order(df: DataFrame) -> DataFrame:
-    """Add ``doc_seq``: files in path order, rows in file order, numbered from 0.
-
-    ``df`` must come straight from a file scan (it reads the hidden ``_metadata`` column).
-    Per-file row counts (one row per file) are summed in path order and joined back. The file
-    count is known on the driver before any job runs; up to ``MAX_BROADCAST_FILES`` the table
-    is broadcast, so the documents are not shuffled at all; beyond that it is a shuffle join.
+    paths = [location] if isinstance(location, str) else list(location)
+    schema = StructType([StructField(spec.text_field, StringType())])
+    file = F.col("_metadata.file_path").alias("_file")
+    if fmt == "parquet":
+        if spec.text_field not in spark.read.parquet(*paths).columns:
+            raise ValueError(f"{spec.name}: there is no column {spec.text_field!r}")
+        raw = spark.read.schema(schema).parquet(*paths)
+        return raw.select(F.col(spec.text_field).alias("text"), file, F.lit(0).alias("_part"), F.col("_metadata.row_index").alias("_row"))
+    if fmt != "json":
+        raise ValueError(f"unknown format {fmt!r}")
+    raw = spark.read.text(paths).select("value", file, F.col("_metadata.file_block_start").alias("_part"), F.monotonically_increasing_id().alias("_row"))
+    parsed = F.from_json("value", schema, {"mode": "FAILFAST"})
+    return raw.select(F.when(F.trim("value") != "", parsed[spec.text_field]).alias("text"), "_file", "_part", "_row")
+
+
+def with_stream_order(scan: DataFrame) -> DataFrame:
+    """``doc_seq`` for a ``text_scan``: files in path order, rows in file order, numbered from 0.
+
+    Row counts by file or split (metadata-sized: a row for each) are summed in path order, written,
+    and joined back; the planner broadcasts them if their written size allows it.
     """
-    meta = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    per_file = meta.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per file: the file list is metadata-sized, so one ordered window is fine.
-    w = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    bases = per_file.select("_file", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_base"))
-    if len(df.inputFiles()) <= MAX_BROADCAST_FILES:
-        bases = F.broadcast(bases)
-    return meta.join(bases, "_file").withColumn("doc_seq", (F.col("_base") + F.col("_row")).cast("bigint")).drop(
-        "_file", "_row", "_base"
-    )
+    parts = scan.groupBy("_file", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    w = Window.orderBy("_file", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.select("_file", "_part", "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_base"))
+    bases = materialize(bases, "stream-order")
+    seq = (F.col("_base") + F.col("_row") - F.col("_first")).cast("bigint")
+    return scan.join(bases, ["_file", "_part"]).select(seq.alias("doc_seq"), "text")
 
 
 def source_files(spark: SparkSession, path: str, split: str | None = "train", fmt: str = "parquet") -> list[str]:
     """The files of a source in stream order (sorted by path), from the file listing."""
     location = f"{path.rstrip('/')}/{split}" if split else path
-    return sorted(spark.read.format(fmt).load(location).inputFiles())
+    reader = spark.read.schema("value STRING").format("text" if fmt == "json" else fmt)  # a listing needs no schema of the data
+    return sorted(reader.load(location).inputFiles())
 
 
 def read_source(
@@ -99,15 +100,12 @@ def read_source(
 
     ``split`` is a sub-folder (``path/split``, default ``train``; None reads ``path`` itself).
     ``files`` restricts the read to a stream-order prefix of the source's files.
-    The text field is the registry's;
-    a file without it yields null text (dropped later by the non-empty filter).
+    The text field is the registry's (see ``text_scan``).
     """
     spec = lookup(name, registry)
     location = f"{path.rstrip('/')}/{split}" if split else path
     # ``files``: a prefix of ``source_files`` in stream order (doc_seq then equals the full read's)
-    raw = spark.read.format(fmt).load(files) if files is not None else spark.read.format(fmt).load(location)
-    text = F.col(spec.text_field).cast("string") if spec.text_field in raw.columns else F.lit(None).cast("string")
-    ordered = with_stream_order(raw.select(text.alias("text")))
+    ordered = with_stream_order(text_scan(spark, spec, files if files is not None else location, fmt))
     return ordered.select(F.lit(spec.name).alias("source"), "doc_seq", "text")
 
 
@@ -133,6 +131,26 @@ def fixture_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- A3-A6
 
+INSTRUCTION_FIELDS = ("instruction", "input", "output", "response")
+
+
+#: Copies of one row are made again in groups of this many.
+COPY_GROUP = 1 << 16
+
+
+def with_row_id(rows: DataFrame, content: Column, name: str = "id") -> DataFrame:
+    """A stable id from the content and the number of the copy: the same however the files are split.
+
+    Equal rows are counted (pre-aggregated by task) and made again from one of them with the numbers
+    0, 1, …; which copy gets which number does not matter. No key ever holds all copies of a row.
+    """
+    columns = rows.columns
+    counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    groups = counted.withColumn("_group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_n - 1) div {COPY_GROUP}"))))
+    last = F.least(F.col("_n"), (F.col("_group") + 1) * COPY_GROUP) - 1
+    copies = groups.repartition(content, "_group").withColumn("_copy", F.explode(F.sequence(F.col("_group") * COPY_GROUP, last)))
+    return copies.select(hash_draw(content, F.col("_copy")).alias(name), *columns)
+
 
 def read_instruction_rows(
     spark: SparkSession,
@@ -141,20 +159,22 @@ def read_instruction_rows(
     rename: dict[str, str] | None = None,
     id_col: str | None = None,
 ) -> DataFrame:
-    """A3: flat instruction rows with common columns ``instruction, input, output, response``.
+    """A3: flat instruction rows ``id, instruction, input, output, response`` by an explicit schema.
 
-    ``rename`` maps upstream names to ours (e.g. ``{"context": "input"}``); absent columns
-    become null, as ``ex.get`` does upstream.
+    ``rename`` maps upstream names to ours (e.g. ``{"context": "input"}``); absent fields become
+    null. ``id`` is the ``id_col`` of the file, or else made from the row (``with_row_id``). A malformed
+    JSON line is an error.
     """
-    raw = spark.read.format(fmt).load(path)
-    rename = rename or {}
-    cols = {rename.get(c, c): c for c in raw.columns}
-    out = []
-    for name in ("instruction", "input", "output", "response"):
-        out.append((F.col(cols[name]).cast("string") if name in cols else F.lit(None).cast("string")).alias(name))
+    upstream = {ours: theirs for theirs, ours in (rename or {}).items()}
+    fields = [StructField(upstream.get(f, f), StringType()) for f in INSTRUCTION_FIELDS]
+    if id_col:
+        fields.insert(0, StructField(id_col, LongType()))
+    reader = spark.read.schema(StructType(fields)).format(fmt)
+    raw = (reader.option("mode", "FAILFAST") if fmt == "json" else reader).load(path)
+    rows = raw.select(*([F.col(id_col).alias("id")] if id_col else []), *[F.col(upstream.get(f, f)).alias(f) for f in INSTRUCTION_FIELDS])
     if id_col:
-        out.insert(0, F.col(id_col).alias("id"))
-    return raw.select(*out)
+        return rows
+    return with_row_id(rows, F.to_json(F.struct(*INSTRUCTION_FIELDS), {"ignoreNullFields": "false"})).select("id", *INSTRUCTION_FIELDS)
 
 
 CHAT_SCHEMA = StructType(
@@ -167,16 +187,20 @@ CHAT_SCHEMA = StructType(
 )
 
 
+def _chats(raw: DataFrame) -> DataFrame:
+    chats = raw.select(F.col("messages").cast(MESSAGES_TYPE).alias("messages"))
+    return with_row_id(chats, F.coalesce(messages_json("messages"), F.lit(""))).select("id", "messages")
+
+
 def read_chat_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """A5: one JSON object per line; only ``messages`` is kept."""
-    return spark.read.schema(CHAT_SCHEMA).json(path).select("messages")
+    """A5: ``id, messages`` of one JSON object per line; other fields are ignored, a malformed line is an error."""
+    return _chats(spark.read.schema(CHAT_SCHEMA).option("mode", "FAILFAST").json(path))
 
 
 def read_chats(spark: SparkSession, path: str, split: str = "train_sft", fmt: str = "parquet") -> DataFrame:
-    """A4: a chat set split; only ``messages`` is kept."""
-    return spark.read.format(fmt).load(f"{path.rstrip('/')}/{split}").select(
-        F.col("messages").cast(MESSAGES_TYPE).alias("messages")
-    )
+    """A4: ``id, messages`` of a chat set's split; other fields are ignored."""
+    reader = spark.read.schema(CHAT_SCHEMA).format(fmt)
+    return _chats((reader.option("mode", "FAILFAST") if fmt == "json" else reader).load(f"{path.rstrip('/')}/{split}"))
 
 
 PREFS_SCHEMA = StructType(
@@ -190,5 +214,12 @@ PREFS_SCHEMA = StructType(
 
 
 def read_preference_pairs(spark: SparkSession, path: str, split: str = "train_prefs", fmt: str = "json") -> DataFrame:
-    """The ``train_prefs`` split of a chosen / rejected set."""
-    return spark.read.schema(PREFS_SCHEMA).format(fmt).load(f"{path.rstrip('/')}/{split}")
+    """The ``train_prefs`` split of a chosen / rejected set; a malformed JSON line is an error.
+
+    A row without ``pair_id`` gets one from its content.
+    """
+    reader = spark.read.schema(PREFS_SCHEMA).format(fmt)
+    raw = (reader.option("mode", "FAILFAST") if fmt == "json" else reader).load(f"{path.rstrip('/')}/{split}")
+    content = F.to_json(F.struct("prompt", "chosen", "rejected"))
+    made = with_row_id(raw, content, "_made")
+    return made.select(F.coalesce("pair_id", "_made").alias("pair_id"), "prompt", "chosen", "rejected")

@@ -2,56 +2,65 @@
 
 from __future__ import annotations
 
-import os
+import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuspack.session import hadoop_path
+
 PACKED_SCHEMA = "source STRING, shard_idx INT, pos BIGINT, doc_seq BIGINT, n_tokens BIGINT, tokens ARRAY<INT>"
 
 
-def _hadoop_path(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf), p
+def source_folder(path: str, source: str) -> str:
+    """The folder of one source under ``path`` (a partition folder, as Spark names it)."""
+    name = re.sub(r"[\x00-\x1f\"#%'*/:=?\\\x7f{\[\]^]", lambda m: f"%{ord(m[0]):02X}", source)
+    return f"{path.rstrip('/')}/source={name}"
 
 
-def is_prepared(spark: SparkSession, path: str) -> bool:
-    """A10: a source counts as prepared only when its folder holds a ``_SUCCESS`` marker.
+def is_prepared(spark: SparkSession, path: str, source: str) -> bool:
+    """A10: a source counts as prepared only when its own folder holds a ``_SUCCESS`` marker.
 
     A half-written folder (a job killed mid-write) has no marker and is prepared again.
     """
-    fs, p = _hadoop_path(spark, path.rstrip("/") + "/_SUCCESS")
+    fs, p = hadoop_path(spark, f"{source_folder(path, source)}/_SUCCESS")
     return bool(fs.exists(p))
 
 
 def write_packed(segments: DataFrame, path: str, shuffle: bool = True) -> None:
-    """Write packed segments under ``path/source=…/shard_idx=…/``.
+    """Write packed segments under ``path/source=…/shard_idx=…/``, a folder and marker per source.
 
     With ``shuffle`` rows are shuffled by ``(source, shard_idx)`` so each shard is written by
     one task (at most ``shard_tokens`` ids, whatever the data size). Without it (segments
     already clustered by stream position, as ``PackResult.write`` gives them) only a local
-    sort runs. The whole path is overwritten (static mode), so a smaller re-run leaves no
-    stale shards behind.
+    sort runs. All sources are written by one job to a fresh folder; then each one's folder takes
+    the place of its old one, so a smaller re-run leaves no stale shards and other sources stay.
     """
+    spark = segments.sparkSession
     seg = segments.select("source", "shard_idx", "pos", "doc_seq", "n_tokens", "tokens")
     if shuffle:
         seg = seg.repartition("source", "shard_idx")
-    (
-        seg.sortWithinPartitions("source", "shard_idx", "pos")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "static")
-        .partitionBy("source", "shard_idx")
-        .parquet(path)
-    )
-
-
-def prepare_source(spark: SparkSession, segments: DataFrame, path: str, force: bool = False) -> bool:
-    """Write a source's shards unless already prepared; returns whether it wrote."""
-    if not force and is_prepared(spark, path):
+    fresh = f"{path.rstrip('/')}/_fresh-{uuid.uuid4().hex}"
+    seg.sortWithinPartitions("source", "shard_idx", "pos").write.partitionBy("source", "shard_idx").parquet(fresh)
+    fs, staged = hadoop_path(spark, fresh)
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for status in fs.listStatus(staged):  # one folder per source
+        name = status.getPath().getName()
+        if name.startswith("source="):
+            target = make(make(path), name)
+            fs.delete(target, True)
+            if not fs.rename(status.getPath(), target):
+                raise OSError(f"could not move {status.getPath()} to {target}")
+            fs.create(make(target, "_SUCCESS"), True).close()
+    fs.delete(staged, True)
+
+
+def prepare_source(spark: SparkSession, segments: DataFrame, path: str, source: str, force: bool = False) -> bool:
+    """Write one source's shards unless already prepared; returns whether it wrote."""
+    if not force and is_prepared(spark, path, source):
         return False
-    write_packed(segments, path)
+    write_packed(segments.filter(F.col("source") == source), path)
     return True
 
 
@@ -66,7 +75,3 @@ def read_packed(spark: SparkSession, path: str, sources: list[str] | None = None
 def write_chat_jsonl(chats: DataFrame, path: str) -> None:
     """One ``{"messages": [...]}`` object per line, UTF-8 unescaped, path overwritten."""
     chats.select("messages").write.mode("overwrite").option("ignoreNullFields", "false").json(path)
-
-
-def ensure_dir(path: str) -> None:
-    os.makedirs(path, exist_ok=True)

@@ -16,8 +16,6 @@ overwritten on replay, so re-running a batch id changes nothing.
 
 from __future__ import annotations
 
-import os
-from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpuspack.functions.tokens import ByteTokenizer, Tokenizer
 from corpuspack.operators import packing
-from corpuspack.session import scratch_dir
+from corpuspack.session import hadoop_path, scratch_dir
 
 STATE_SCHEMA = (
     "source STRING, n_docs BIGINT, n_tokens BIGINT, committed BIGINT, reached BOOLEAN, kept BIGINT"
@@ -43,8 +41,10 @@ def read_doc_stream(
     since a plain file path is taken as the base folder).
     """
     reader = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", max_files_per_trigger)
-    if os.path.isfile(path):
-        path = f"{os.path.dirname(path)}/{{{os.path.basename(path)}}}"
+    fs, p = hadoop_path(spark, path)
+    if fs.exists(p) and fs.getFileStatus(p).isFile():
+        folder, _, name = path.rpartition("/")
+        path = f"{folder}/{{{name}}}"
     return reader.load(path)
 
 
@@ -58,7 +58,7 @@ def totals(counts: DataFrame, targets: packing.Targets = None) -> DataFrame:
     agg = counts.groupBy("source").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_docs"), F.sum("n_tokens").cast("bigint").alias("n_tokens")
     )
-    return agg.withColumn("target", packing.target_column(targets, None)).withColumn(
+    return agg.withColumn("target", packing.target_column(targets)).withColumn(
         "target_reached", F.coalesce(F.col("n_tokens") >= F.col("target"), F.lit(False))
     )
 
@@ -84,7 +84,6 @@ class ShardAppender:
     batch_docs: int = packing.DEFAULT_BATCH_DOCS
     bucket_docs: int | None = None  # None: sized per micro-batch from its doc_seq span
     tokenizer: Tokenizer = field(default_factory=ByteTokenizer)
-    all_reached: bool = False  # every budgeted source reached its target: later input is moot
 
     # ------------------------------------------------------------------ paths and state
 
@@ -95,8 +94,7 @@ class ShardAppender:
         """Batch ids whose output is complete (``_SUCCESS``), via the Hadoop file system API."""
         spark = SparkSession.getActiveSession()
         jvm = spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.out_dir.rstrip('/')}/{kind}")
-        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs, root = hadoop_path(spark, f"{self.out_dir.rstrip('/')}/{kind}")
         if not fs.exists(root):
             return []
         ids = []
@@ -135,9 +133,8 @@ class ShardAppender:
         spark = batch.sparkSession
         S, B = int(self.shard_tokens), int(self.batch_docs)
         state, staged, _ = self._state(spark, batch_id)
-        state = F.broadcast(state)  # one row per source
         docs = packing.with_token_counts(packing.nonempty(batch.select("source", "doc_seq", "text")), self.tokenizer)
-        bucket, levels = (self.bucket_docs, 2) if self.bucket_docs else packing.auto_buckets(docs)
+        bucket, levels = packing.auto_buckets(docs, width=self.bucket_docs)
         local = packing.exclusive_prefix_sums(docs, ["source"], "doc_seq", packing.offset_weights(), bucket, levels)
         fresh = (
             local.join(state.select("source", F.col("n_docs").alias("_r0"), F.col("n_tokens").alias("_o0"),
@@ -185,12 +182,12 @@ class ShardAppender:
             F.when(F.coalesce(F.col("_r"), F.lit(False)), F.col("_k"))
             .when(reached_now, kept_now).cast("bigint").alias("kept"),
         )
-        new_state, small = packing.small_table(new_state, f"stream-state-{batch_id}")
-        if not small:
-            raise ValueError("too many sources for the streaming manifest")
+        # One row per source: local up to a bound, a written table beyond it. The joins below
+        # broadcast it only if the planner finds it small.
+        new_state, _ = packing.small_table(new_state, f"stream-state-{batch_id}")
 
         # Write the pieces between the old and the new committed position.
-        bounds = F.broadcast(new_state.select("source", F.col("committed").alias("kept_tokens")))
+        bounds = new_state.select("source", F.col("committed").alias("kept_tokens"))
         writable = live.join(bounds, "source")
         if isinstance(self.tokenizer, ByteTokenizer):
             # as in the batch split: cut the UTF-8 bytes per piece, encode only the piece
@@ -210,15 +207,12 @@ class ShardAppender:
         # Stage what is not committed yet; then record the state (last: marks the batch done).
         hold = live.join(bounds, "source").filter(
             F.col("offset") + F.col("n_tokens") > F.col("kept_tokens")
-        ).join(F.broadcast(new_state.select("source", "reached")), "source").filter(~F.col("reached"))
+        ).join(new_state.select("source", "reached"), "source").filter(~F.col("reached"))
         hold.select("source", "doc_seq", "text", "n_tokens", "rank", "offset").write.mode("overwrite").parquet(
             self._path("staging", batch_id)
         )
         new_state.coalesce(1).write.mode("overwrite").parquet(self._path("manifest", batch_id))
         live.unpersist()
-        if isinstance(self.targets, Mapping) and self.targets:
-            reached = {r.source for r in new_state.filter("reached").select("source").collect()}
-            self.all_reached = set(self.targets) <= reached
 
     # ------------------------------------------------------------------ results
 
@@ -234,8 +228,8 @@ def run_shard_stream(
     docs_stream: DataFrame, appender: ShardAppender, checkpoint: str | None = None
 ) -> StreamingQuery:
     """Start S3 with ``trigger(availableNow=True)``; call ``appender.finish`` after it ends."""
-    spark = docs_stream.sparkSession
-    checkpoint = checkpoint or f"{scratch_dir(spark)}/stream-shards-{abs(hash(appender.out_dir))}"
+    # Beside the output, so that a restart of any process finds the batches that it belongs to.
+    checkpoint = checkpoint or f"{appender.out_dir.rstrip('/')}/_checkpoint"
     return (
         docs_stream.writeStream.foreachBatch(appender)
         .option("checkpointLocation", checkpoint)
@@ -249,18 +243,15 @@ def stream_pack(
     docs_stream: DataFrame,
     out_dir: str,
     shard_tokens: int,
-    targets: Mapping[str, int] | int | None,
+    targets: packing.Targets,
     batch_docs: int,
     bucket_docs: int | None = None,
 ) -> DataFrame:
-    """Run S3 to the end of the available input (or until every budgeted source has reached
-    its target, when the query is stopped: the rest would be ignored), close it, return the
-    segments."""
+    """Run S3 to the end of the available input, close it, return the segments.
+
+    All files are read, since any of them may hold a source without a budget or one that has not
+    reached its own; documents of sources that have are dropped as they arrive."""
     app = ShardAppender(out_dir, shard_tokens, targets, batch_docs, bucket_docs)
-    q = run_shard_stream(docs_stream, app, f"{out_dir.rstrip('/')}/_checkpoint")
-    while not q.awaitTermination(1):
-        if app.all_reached:
-            q.stop()
-            break
+    run_shard_stream(docs_stream, app).awaitTermination()
     app.finish(spark)
     return app.segments(spark)

@@ -3,18 +3,21 @@
 import pytest
 
 from conftest import SF_SMALL
+from corpuspack.plans.queries import QUERIES
 from tools.check_oracle import compare
 
 import __spark_entry__ as E
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, name):
     assert compare(spark, SF_SMALL, [name])
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+    """Queries of the language-model operators that SQL cannot express have brute-force tests instead."""
+    assert set(E.oracle_sql()) <= set(E.queries())
+    assert set(QUERIES) <= set(E.oracle_sql())
 
 
 def test_entry_runs(spark):

@@ -88,6 +88,14 @@ def test_target_must_be_positive():
         packing.target_column({"en": -1})
 
 
+def test_no_budget_and_missing_targets(spark):
+    docs = spark.createDataFrame([("a", i, "x" * 50) for i in range(40)] + [("b", i, "y" * 50) for i in range(40)], "source STRING, doc_seq BIGINT, text STRING")
+    cut = {r.source: r for r in packing.pack(docs, 100, {"a": 300, "b": None}, 4).cut.collect()}
+    assert cut["a"].kept_tokens < cut["a"].total_tokens and cut["b"].kept_tokens == cut["b"].total_tokens == 40 * 51
+    with pytest.raises(Exception, match="no target is given for source b"):
+        packing.pack(docs, 100, {"a": 300}, 4).cut.collect()
+
+
 EDGE_ROWS = [
     ("s", 0, None),
     ("s", 1, ""),

@@ -2,11 +2,13 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
+from corpuspack.operators import packing
 from corpuspack.plans import queries as Q
 from corpuspack.sources.registry import DOCUMENTS_SCHEMA
-from corpuspack.streaming.incremental import ShardAppender, read_doc_stream, stream_pack
+from corpuspack.streaming.incremental import ShardAppender, read_doc_stream, run_shard_stream, stream_pack
 
 SF = "/root/testdata/sf0.01"
 
@@ -66,25 +68,55 @@ def test_stream_totals_match_fixture_facts(spark):
     assert got == {"de": (129, 343_588), "en": (620, 1_472_661), "es": (106, 270_761), "fr": (145, 386_448)}
 
 
-def test_stream_stops_once_every_budget_is_reached(spark, tmp_out):
-    parts = _split_in_order(spark, tmp_out + "/src", n_files=10)
+COLS = ["source", "shard_idx", "pos", "doc_seq", "n_tokens", "tokens"]
+
+
+def _flat(spark, tmp_out, n_files):
+    parts = _split_in_order(spark, tmp_out + "/src", n_files)
     flat = tmp_out + "/flat"
     os.makedirs(flat)
     for k, p in enumerate(parts):
         f = [x for x in os.listdir(p) if x.endswith(".parquet")][0]
         os.link(f"{p}/{f}", f"{flat}/{k:03d}.parquet")
-    small = {"en": 70_000, "de": 70_000, "fr": 70_000, "es": 70_000}
-    out = tmp_out + "/out"
-    seg = stream_pack(spark, _stream_of(spark, flat), out, 65_536, small, Q.BATCH_DOCS, 64)
-    app = ShardAppender(out)
-    last = app._done_batches()[-1]
-    received = spark.read.parquet(app._path("manifest", last)).agg(F.sum("n_docs")).first()[0]
-    assert received < 1000  # stopped before reading every file (1,000 documents in all)
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select(
-        F.col("lang").alias("source"), F.col("doc_id").alias("doc_seq"), "text")
-    from corpuspack.operators import packing
+    return flat
 
-    batch = packing.pack(docs, shard_tokens=65_536, targets=small, batch_docs=Q.BATCH_DOCS).segments()
-    cols = ["source", "shard_idx", "pos", "doc_seq", "n_tokens", "tokens"]
-    assert seg.select(cols).exceptAll(batch.select(cols)).count() == 0
-    assert batch.select(cols).exceptAll(seg.select(cols)).count() == 0
+
+def _docs(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    return docs.select(F.col("lang").alias("source"), F.col("doc_id").alias("doc_seq"), "text")
+
+
+@pytest.mark.parametrize("targets", [
+    {"en": 70_000, "de": 70_000, "fr": 70_000, "es": 70_000},  # every budget is reached early
+    {"de": 20_000, "en": None, "fr": None, "es": None},  # one budget, the others are kept whole
+])
+def test_no_source_is_cut_short_by_another(spark, tmp_out, targets):
+    seg = stream_pack(spark, _stream_of(spark, _flat(spark, tmp_out, 8)), tmp_out + "/out", 65_536, targets, Q.BATCH_DOCS, 64)
+    batch = packing.pack(_docs(spark), shard_tokens=65_536, targets=targets, batch_docs=Q.BATCH_DOCS).segments()
+    assert seg.select(COLS).exceptAll(batch.select(COLS)).count() == 0
+    assert batch.select(COLS).exceptAll(seg.select(COLS)).count() == 0
+    assert len(ShardAppender(tmp_out + "/out")._done_batches()) >= 8
+
+
+def test_a_source_without_a_target_is_an_error(spark, tmp_out):
+    with pytest.raises(Exception, match="no target is given for source"):
+        app = ShardAppender(tmp_out + "/out", Q.SHARD_TOKENS, {"en": 1000}, Q.BATCH_DOCS, 64)
+        app(_docs(spark), 0)
+
+
+def test_restart_goes_on_with_its_own_batches(spark, tmp_out):
+    flat, out = _flat(spark, tmp_out, 4), tmp_out + "/out"
+    later = tmp_out + "/later"
+    os.makedirs(later)
+    for f in ("002.parquet", "003.parquet"):
+        os.rename(f"{flat}/{f}", f"{later}/{f}")
+    args = (out, Q.SHARD_TOKENS, Q.TARGETS, Q.BATCH_DOCS, 64)
+    run_shard_stream(_stream_of(spark, flat), ShardAppender(*args)).awaitTermination()
+    for f in sorted(os.listdir(later)):
+        os.rename(f"{later}/{f}", f"{flat}/{f}")
+    app = ShardAppender(*args)  # a new process would build it anew
+    run_shard_stream(_stream_of(spark, flat), app).awaitTermination()
+    app.finish(spark)
+    seg, batch = app.segments(spark), Q.packed(spark, SF).segments()
+    assert seg.select(COLS).exceptAll(batch.select(COLS)).count() == 0
+    assert batch.select(COLS).exceptAll(seg.select(COLS)).count() == 0
