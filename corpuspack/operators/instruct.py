@@ -6,7 +6,7 @@ the only grouping is per conversation (turns → messages), bounded by a chat's
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuspack.functions import text as T
@@ -48,6 +48,26 @@ def instruction_rows(turns: DataFrame, conv: str = "conv_id") -> DataFrame:
     )
 
 
+def exchange_rows(turns: DataFrame, conv: str = "conv_id", name: str = "row_id") -> DataFrame:
+    """Flat instruction rows from a turn table, one for each exchange, so every turn is used.
+
+    An exchange is a user turn with the turns behind it up to the next user turn: ``output`` is its
+    first assistant turn, ``response`` its last. A system turn before the first user turn is the first
+    exchange's ``input``, a later one that of the exchange it stands in. ``name`` is
+    ``conv * 1000 + exchange`` (from 0). A chat without a user turn is one exchange without instruction.
+    """
+    so_far = Window.partitionBy(conv).orderBy("turn")  # one chat: bounded by its length
+    is_ = lambda r: F.col("role") == r
+    number = F.greatest(F.count(F.when(is_("user"), 1)).over(so_far) - 1, F.lit(0))
+    rows = turns.withColumn("_exchange", number).groupBy(conv, "_exchange").agg(
+        F.min_by("text", F.when(is_("user"), F.col("turn"))).alias("instruction"),
+        F.min_by("text", F.when(is_("system"), F.col("turn"))).alias("input"),
+        F.min_by("text", F.when(is_("assistant"), F.col("turn"))).alias("output"),
+        F.max_by("text", F.when(is_("assistant"), F.col("turn"))).alias("response"),
+    )
+    return rows.select((F.col(conv) * 1000 + F.col("_exchange")).alias(name), "instruction", "input", "output", "response")
+
+
 # --------------------------------------------------------------------------- B10 / G1 / G2
 
 
@@ -109,7 +129,7 @@ def tuning_mix(
         parts = [jsonl.select(F.lit("jsonl").alias("origin"), F.col("id").cast("bigint").alias("id"), "messages")]
     else:
         parts = []
-        named = lambda df, given: given or ("id" if "id" in df.columns else "conv_id")
+        named = lambda df, given: given or next(c for c in ("id", "row_id", "conv_id") if c in df.columns)
         if chats is not None:
             chats_id = named(chats, chats_id)
             parts.append(chats.select(F.lit("chats").alias("origin"), F.col(chats_id).cast("bigint").alias("id"),

@@ -50,15 +50,26 @@ def with_positions(df: DataFrame, seed: int, id_col: str, position: str = "posit
 def take_shuffled(df: DataFrame, n: int, seed: int, id_col: str, position: str = "position") -> DataFrame:
     """the first ``n`` rows of the seeded permutation, with their positions.
 
-    ``n`` = 0 gives no rows; ``n`` larger than the table is an error, as upstream.
+    ``n`` = 0 gives no rows; ``n`` larger than the table is an error, as upstream. One scan of the ids
+    counts the buckets of the shuffle key; rows of buckets behind the ``n``-th row are dropped before
+    the shuffle of the others, so what moves is about ``n`` rows.
     """
+    from corpuspack.operators.packing import apply_bucket_bases
+    from corpuspack.session import materialize
+
     if n < 0:
         raise ValueError("n must be >= 0")
-    if n > 0:
-        total = df.count()
-        if n > total:
-            raise ValueError(f"cannot take {n} rows from a table of {total}")
-    return with_positions(df, seed, id_col, position).filter(F.col(position) < F.lit(n))
+    keyed = with_shuffle_key(df, seed, id_col)
+    counts = keyed.groupBy(F.expr(f"shuffle_key div {_KEY_BUCKET}").alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy("_bucket"))  # at most 2^20 rows
+    counts = materialize(counts.withColumn("_upto", upto), "take-buckets")
+    total, last = counts.agg(F.max("_upto"), F.min(F.when(F.col("_upto") >= n, F.col("_bucket")))).first()
+    if n > (total or 0):
+        raise ValueError(f"cannot take {n} rows from a table of {total or 0}")
+    kept = keyed.filter(F.expr(f"shuffle_key div {_KEY_BUCKET}") <= F.lit(-1 if n == 0 or last is None else last))
+    bases = counts.select("_bucket", (F.col("_upto") - F.col("_n")).alias(f"_base_{position}"))
+    placed = apply_bucket_bases(kept, [], ["shuffle_key", id_col], {position: F.lit(1)}, bases, _KEY_BUCKET)
+    return placed.filter(F.col(position) < F.lit(n))
 
 
 # --------------------------------------------------------------------------- F3 / F4
@@ -144,6 +155,19 @@ def to_blocks(segments: DataFrame, block_tokens: int) -> DataFrame:
     )
 
 
+def aligned_blocks(segments: DataFrame, block_tokens: int) -> DataFrame:
+    """Segments already cut at block boundaries (``piece_tokens`` = ``block_tokens``) as blocks: nothing is cut again."""
+    return segments.select(
+        "source", "shard_idx", F.expr(f"pos div {int(block_tokens)}").alias("block"), F.col("pos").alias("piece_pos"),
+        F.col("tokens").alias("piece"),
+    )
+
+
+def drawn_shards(segments: DataFrame, draws: DataFrame) -> DataFrame:
+    """The segments of shards from which a window is drawn (pruned partitions, where the scan has them)."""
+    return segments.join(draws.select("source", "shard_idx").distinct(), ["source", "shard_idx"], "left_semi")
+
+
 def cut_windows(draws: DataFrame, blocks: DataFrame, seq_len: int, block_tokens: int) -> DataFrame:
     """``seq_len + 1`` ids from ``start``; ``x`` = all but the last, ``y`` = all but the first.
 

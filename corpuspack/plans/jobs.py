@@ -1,12 +1,15 @@
-"""End-to-end jobs: prepare a corpus mixture, export training windows.
+"""End-to-end jobs: prepare a corpus mixture, export training windows, build instruction sets.
 
     python -m corpuspack.plans.jobs prepare --source fineweb-edu=/data/fwe --source the-stack=/data/stack \\
         --scale validate --out /shared/packed
     python -m corpuspack.plans.jobs windows --packed /shared/packed --out /shared/windows \\
         --seq-len 2048 --epochs 1 --micro-batch 8 --grad-accum 6 --ranks 4
     python -m corpuspack.plans.jobs windows --bin-dirs /shared/bin/fineweb-edu,/shared/bin/the-stack ...
+    python -m corpuspack.plans.jobs prompts --rows /data/rows --responses /data/answers --out /shared/chats
+    python -m corpuspack.plans.jobs tuning --jsonl /shared/chats --out /shared/tuning
+    python -m corpuspack.plans.jobs pairs --prefs /data/prefs --out /shared/pairs
 
-Both run on whatever cluster the session belongs to; every folder must be shared storage.
+All run on whatever cluster the session belongs to; every folder must be shared storage.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuspack.functions.tokens import ByteTokenizer, Tokenizer
-from corpuspack.operators import mixture, packing, windows
+from corpuspack.operators import instruct, mixture, packing, windows
+from corpuspack.session import materialize
 from corpuspack.sources import binshards, registry, sinks
 
 
@@ -80,6 +84,7 @@ def prepare_corpus(
     force: bool = False,
     early_stop: bool = True,
     fmt: str = "parquet",
+    piece_tokens: int | None = None,
 ) -> DataFrame | None:
     """Read registered sources (name → path), pack them in one job under per-source budgets and
     write ``out/source=…/shard_idx=…``. A source whose own folder already holds a finished write
@@ -87,7 +92,8 @@ def prepare_corpus(
     (None when there was nothing left to do). With ``early_stop`` each source is read only up to
     the file that decides its cut (``budget_prefix``), as a stream would stop. With ``bin_dir``
     the shards are also exported as flat ``uint32`` files, for the sources not yet exported.
-    ``targets`` as a mapping must name every source; None is no budget. ``fmt``: ``parquet`` or
+    With ``piece_tokens`` shards are also cut at its multiples, which ``export_windows`` takes as its
+    blocks. ``targets`` as a mapping must name every source; None is no budget. ``fmt``: ``parquet`` or
     ``json`` (JSON lines)."""
     if isinstance(targets, Mapping) and (missing := sorted(set(sources) - set(targets))):
         raise ValueError(f"no target is given for {', '.join(missing)}")
@@ -104,7 +110,7 @@ def prepare_corpus(
             frames.append(registry.read_source(spark, name, sources[name], split, fmt, files=files))
         plan = packing.pack(
             mixture.union_sources(frames), shard_tokens=shard_tokens, targets=targets, batch_docs=batch_docs,
-            tokenizer=tokenizer,
+            tokenizer=tokenizer, piece_tokens=piece_tokens,
         )
         plan.write(out)
         cut = plan.cut
@@ -129,13 +135,15 @@ def export_windows(
     ranks: int = 1,
     block_tokens: int | None = None,
     source_order: Sequence[str] | None = None,
+    piece_tokens: int | None = None,
 ) -> int:
     """Draw training windows from packed shards and write them per rank.
 
     ``packed`` is a packed Parquet folder, or a list of ``.bin`` shard folders (A7: the
     folder order numbers the shards, as the upstream loader's ``data_dirs`` do).
     ``n_samples`` defaults to ``epochs`` passes over the unique tokens. ``source_order``
-    numbers the shards of a Parquet folder; by default sources sort by name.
+    numbers the shards of a Parquet folder; by default sources sort by name. ``piece_tokens``: the
+    Parquet shards were prepared with it, so its multiples are the blocks and nothing is cut again.
     Returns the number of windows written.
     """
     if isinstance(packed, str):
@@ -152,13 +160,51 @@ def export_windows(
     order = list(source_order) if source_order else sorted(r.source for r in per_source)
     if n_samples is None:
         n_samples = int(epochs * sum(r.n for r in per_source if r.source in order) // seq_len)
-    block = block_tokens or max(seq_len, 8192)
+    block = piece_tokens if piece_tokens and isinstance(packed, str) else block_tokens or max(seq_len, 8192)
     draws = windows.draw_windows(spark, inventory, n_samples, seq_len, seed, order)
-    cut = windows.cut_windows(draws, windows.to_blocks(seg, block), seq_len, block)
+    aligned = bool(piece_tokens) or not isinstance(packed, str)  # .bin shards are read in blocks
+    drawn = windows.drawn_shards(seg, draws)
+    blocks = windows.aligned_blocks(drawn, block) if aligned else windows.to_blocks(drawn, block)
+    cut = windows.cut_windows(draws, blocks, seq_len, block)
     windows.write_windows(windows.batch_layout(cut, micro_batch, grad_accum, ranks), out)
     return n_samples
 
 
+def prompts_job(
+    spark: SparkSession, rows: str, responses: str, out: str, n: int | None = None, seed: int = 0,
+    rename: Mapping[str, str] | None = None, fmt: str = "json",
+) -> int:
+    """G1 + G2 + A9: seed prompts of a scanned instruction set, joined by ``id`` with the responses
+    generated for them (JSON lines ``id, response``), written as chat JSONL. Returns the prompts taken."""
+    scanned = materialize(registry.read_instruction_rows(spark, rows, fmt, dict(rename or {})), "job-rows")
+    taken = scanned.count() if n is None else n
+    prompts = instruct.seed_prompts(scanned, taken, seed, "id")
+    answered = spark.read.schema("id BIGINT, response STRING").option("mode", "FAILFAST").json(responses)
+    sinks.write_chat_jsonl(instruct.attach_responses(prompts, answered, "id"), out)
+    return taken
+
+
+def tuning_job(
+    spark: SparkSession, out: str, chats: str | None = None, rows: str | None = None, jsonl: str | None = None,
+    seed: int = 42, rename: Mapping[str, str] | None = None, tokenizer: Tokenizer | None = None,
+) -> None:
+    """G3 + B12 + B13: the tuning set of scanned sources, rendered, cut at 2,048 ids and written in the
+    order of its permutation."""
+    mix = instruct.tuning_mix(
+        chats=registry.read_chats(spark, chats) if chats else None,
+        rows=registry.read_instruction_rows(spark, rows, rename=dict(rename or {})) if rows else None,
+        jsonl=registry.read_chat_jsonl(spark, jsonl) if jsonl else None, seed=seed,
+    )
+    capped = instruct.capped_examples(mix, tokenizer).drop("messages")
+    capped.repartitionByRange("position").sortWithinPartitions("position").write.mode("overwrite").parquet(out)
+
+
+def pairs_job(spark: SparkSession, prefs: str, out: str, tokenizer: Tokenizer | None = None) -> None:
+    """A6 + G6: a scanned preference set with both sides rendered and cut, written as Parquet."""
+    pairs = instruct.preference_pairs(registry.read_preference_pairs(spark, prefs), tokenizer, with_tokens=True)
+    pairs.write.mode("overwrite").parquet(out)
+
+
 def _kv(items: Sequence[str]) -> dict[str, str]:
     out = {}
     for item in items:
@@ -181,6 +227,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     p.add_argument("--bin-dir", default=None)
     p.add_argument("--format", default="parquet", choices=["parquet", "json"])
     p.add_argument("--force", action="store_true")
+    p.add_argument("--piece-tokens", type=int, default=None, help="also cut shards at its multiples (a divisor)")
     w = sub.add_parser("windows")
     src = w.add_mutually_exclusive_group(required=True)
     src.add_argument("--packed", help="packed Parquet folder")
@@ -193,7 +240,24 @@ def main(argv: Sequence[str] | None = None) -> None:
     w.add_argument("--micro-batch", type=int, default=8)
     w.add_argument("--grad-accum", type=int, default=1)
     w.add_argument("--ranks", type=int, default=1)
+    w.add_argument("--piece-tokens", type=int, default=None, help="as given to prepare")
     w.add_argument("--source-order", default=None, help="comma-separated source names")
+    g = sub.add_parser("prompts", help="seed prompts and their responses as chat JSONL")
+    g.add_argument("--rows", required=True)
+    g.add_argument("--responses", required=True)
+    g.add_argument("--out", required=True)
+    g.add_argument("--n", type=int, default=None)
+    g.add_argument("--seed", type=int, default=0)
+    g.add_argument("--rename", action="append", default=[], help="theirs=ours")
+    t = sub.add_parser("tuning", help="the tuning set, rendered and cut")
+    for name in ("--chats", "--rows", "--jsonl"):
+        t.add_argument(name, default=None)
+    t.add_argument("--out", required=True)
+    t.add_argument("--seed", type=int, default=42)
+    t.add_argument("--rename", action="append", default=[], help="theirs=ours")
+    q = sub.add_parser("pairs", help="preference pairs, rendered and cut")
+    q.add_argument("--prefs", required=True)
+    q.add_argument("--out", required=True)
     args = ap.parse_args(argv)
 
     spark = SparkSession.builder.appName("corpuspack").getOrCreate()
@@ -201,18 +265,28 @@ def main(argv: Sequence[str] | None = None) -> None:
         sources = _kv(args.source)
         targets = mixture.mixture_budgets(args.scale) if args.scale else args.target_tokens
         cut = prepare_corpus(spark, sources, args.out, targets, args.shard_tokens, args.batch_docs, args.split,
-                             bin_dir=args.bin_dir, force=args.force, fmt=args.format)
+                             bin_dir=args.bin_dir, force=args.force, fmt=args.format, piece_tokens=args.piece_tokens)
         if cut is None:
             print(f"already prepared: {args.out}")
         else:
             for r in cut.orderBy("source").collect():
                 budget = "no budget" if r.target is None else f"budget {r.target:,}"
                 print(f"{r.source}: {r.n_shards} shards, {r.kept_tokens:,} ids ({budget})")
+    elif args.cmd == "prompts":
+        n = prompts_job(spark, args.rows, args.responses, args.out, args.n, args.seed, _kv(args.rename))
+        print(f"took {n:,} prompts; chats in {args.out}")
+    elif args.cmd == "tuning":
+        tuning_job(spark, args.out, args.chats, args.rows, args.jsonl, args.seed, _kv(args.rename))
+        print(f"tuning set in {args.out}")
+    elif args.cmd == "pairs":
+        pairs_job(spark, args.prefs, args.out)
+        print(f"pairs in {args.out}")
     else:
         order = args.source_order.split(",") if args.source_order else None
         packed = args.bin_dirs.split(",") if args.bin_dirs else args.packed
         n = export_windows(spark, packed, args.out, args.seq_len, args.samples, args.epochs, args.seed,
-                           args.micro_batch, args.grad_accum, args.ranks, source_order=order)
+                           args.micro_batch, args.grad_accum, args.ranks, source_order=order,
+                           piece_tokens=args.piece_tokens)
         print(f"wrote {n:,} windows to {args.out}")
 
 

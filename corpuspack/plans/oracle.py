@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from corpuspack.operators.scores import DEFAULT_TASKS, TAGS
 from corpuspack.plans.queries import (
-    BATCH_DOCS, BLOCK_TOKENS, DIRTY_PADS, GRAD_ACCUM, MICRO_BATCH, RANKS, PARTIAL_TARGETS, SEED, SEED_EN, SEED_KO, SEED_MIX, SEQ_LEN,
+    BATCH_DOCS, BLOCK_TOKENS, DIRTY_PADS, GRAD_ACCUM, MICRO_BATCH, RANKS, PARTIAL_TARGETS, SCORE_WINDOW, SEED, SEED_EN, SEED_KO, SEED_MIX, SEQ_LEN,
     SHARD_TOKENS, SMALL_TARGETS, SOURCE_ORDER, STEPS, TARGETS, TRAIN_SEQ_LEN,
 )
 
@@ -229,6 +229,17 @@ SELECT conv_id,
 FROM conversations GROUP BY conv_id
 """
 
+EXCHANGES = """
+SELECT conv_id * 1000 + e AS row_id,
+       arg_min(text, turn) FILTER (WHERE role = 'user') AS instruction,
+       arg_min(text, turn) FILTER (WHERE role = 'system') AS input,
+       arg_min(text, turn) FILTER (WHERE role = 'assistant') AS output,
+       arg_max(text, turn) FILTER (WHERE role = 'assistant') AS response
+FROM (SELECT *, greatest((SELECT count(*) FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn <= c.turn AND p.role = 'user') - 1, 0) AS e
+      FROM conversations c) x
+GROUP BY conv_id, e
+"""
+
 STRIP = f"""
 SELECT conv_id, turn, {clean('text')} AS stripped, {clean('text')} <> coalesce(text, '') AS changed
 FROM conversations
@@ -237,24 +248,24 @@ FROM conversations
 
 def _seed_part(part: int, seed: int, limit: str) -> str:
     return f"""
-SELECT {part} AS part, position, conv_id,
+SELECT {part} AS part, position, row_id,
        CASE WHEN x = '' THEN i ELSE i || {NL} || {NL} || x END AS prompt
-FROM (SELECT conv_id, {clean('instruction')} AS i, {clean('input')} AS x,
-             row_number() OVER (ORDER BY {hkey(seed, 'conv_id')}, conv_id) - 1 AS position
-      FROM ({ROWS}) r) s
+FROM (SELECT row_id, {clean('instruction')} AS i, {clean('input')} AS x,
+             row_number() OVER (ORDER BY {hkey(seed, 'row_id')}, row_id) - 1 AS position
+      FROM ({EXCHANGES}) r) s
 WHERE position < {limit} AND i <> ''
 """
 
 
 SEEDS = f"""
-{_seed_part(0, SEED_KO, f"(SELECT count(*) FROM ({ROWS}) c)")}
+{_seed_part(0, SEED_KO, f"(SELECT count(*) FROM ({EXCHANGES}) c)")}
 UNION ALL
-{_seed_part(1, SEED_EN, f"(SELECT count(*) // 2 FROM ({ROWS}) c)")}
+{_seed_part(1, SEED_EN, f"(SELECT count(*) // 2 FROM ({EXCHANGES}) c)")}
 """
 
 _USER = f"CASE WHEN {clean('input')} = '' THEN {clean('instruction')} ELSE {clean('instruction')} || {NL} || {NL} || {clean('input')} END"
 _ASSISTANT = "trim(coalesce(nullif(output, ''), nullif(response, ''), ''), " + WS + ")"
-ROW_CHATS = f"SELECT conv_id, {chat_json(_USER, _ASSISTANT)} AS messages_json FROM ({ROWS}) r"
+ROW_CHATS = f"SELECT row_id, {chat_json(_USER, _ASSISTANT)} AS messages_json FROM ({EXCHANGES}) r"
 
 TURN_CHATS = """
 SELECT conv_id, CAST(count(*) AS INTEGER) AS n_turns,
@@ -274,7 +285,7 @@ MIX = f"""
 WITH u AS (
   SELECT 'chats' AS origin, conv_id AS id, messages_json FROM ({TURN_CHATS}) t
   UNION ALL
-  SELECT 'rows' AS origin, conv_id AS id, messages_json FROM ({ROW_CHATS}) r)
+  SELECT 'rows' AS origin, row_id AS id, messages_json FROM ({ROW_CHATS}) r)
 SELECT origin, id,
        row_number() OVER (ORDER BY {hkey(SEED_MIX, "origin || ':' || id")}, origin || ':' || id) - 1 AS position,
        messages_json
@@ -285,9 +296,9 @@ MIX_COUNTS = f"SELECT origin, CAST(count(*) AS BIGINT) AS n_examples FROM ({MIX}
 
 DISTILLED = f"""
 WITH p AS ({SEEDS}),
-r AS (SELECT conv_id, {clean('output')} AS resp FROM ({ROWS}) x)
-SELECT p.part, p.position, p.conv_id, {chat_json('p.prompt', 'r.resp')} AS messages_json
-FROM p JOIN r ON p.conv_id = r.conv_id
+r AS (SELECT row_id, {clean('output')} AS resp FROM ({EXCHANGES}) x)
+SELECT p.part, p.position, p.row_id, {chat_json('p.prompt', 'r.resp')} AS messages_json
+FROM p JOIN r ON p.row_id = r.row_id
 WHERE r.resp <> ''
 """
 
@@ -310,13 +321,21 @@ FROM x
 
 _TASKS = ", ".join(f"'{t}'" for t in DEFAULT_TASKS)
 _TAGS = ", ".join(f"'{t}'" for t in TAGS)
+_SPANS = f"""
+SELECT DISTINCT {{key}}, array_to_string(list_slice(w, i, i + {SCORE_WINDOW - 1}), ' ') AS span
+FROM (SELECT {{key}}, w, unnest(range(1, len(w) - {SCORE_WINDOW - 2})) AS i
+      FROM (SELECT {{key}}, regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM {{rows}}) a) b
+"""
 SCORES = f"""
-WITH s AS (
-  SELECT tg.tag, tk.task, b.item_id,
-         CAST(('0x' || substr(md5(tg.tag || ':' || tk.task || ':' || b.item_id), 1, 2))::INTEGER % 3 <> 0 AS INTEGER)
-           AS correct
-  FROM benchmark b, (SELECT unnest([{_TASKS}]) AS task) tk, (SELECT unnest([{_TAGS}]) AS tag) tg
-  WHERE NOT (tk.task = 'haerae' AND tg.tag = 'baseline'))
+WITH f AS (
+  SELECT b.item_id, 1 AS run, max(CASE WHEN d.doc_id % 2 = 0 THEN 1 ELSE 0 END) AS baseline
+  FROM ({_SPANS.format(key="doc_id", rows="documents")}) d JOIN ({_SPANS.format(key="item_id", rows="benchmark")}) b ON d.span = b.span
+  GROUP BY b.item_id),
+s AS (
+  SELECT tg.tag, ([{_TASKS}])[b.item_id % {len(DEFAULT_TASKS)} + 1] AS task, b.item_id,
+         coalesce(CASE tg.tag WHEN 'run' THEN f.run ELSE f.baseline END, 0) AS correct
+  FROM benchmark b LEFT JOIN f ON f.item_id = b.item_id, (SELECT unnest([{_TAGS}]) AS tag) tg
+  WHERE NOT (([{_TASKS}])[b.item_id % {len(DEFAULT_TASKS)} + 1] = 'haerae' AND tg.tag = 'baseline'))
 SELECT task,
        avg(correct) FILTER (WHERE tag = 'run') AS run,
        avg(correct) FILTER (WHERE tag = 'baseline') AS baseline,
@@ -377,7 +396,7 @@ MIX_SCANNED = placed(f"""
 SELECT 'chats' AS origin, id, messages_json FROM ({SCAN_CHATS}) s
 UNION ALL
 SELECT 'rows' AS origin, id, messages_json
-FROM ({copy_ids(f"SELECT {_ROW_JSON} AS content, {chat_json(_USER, _ASSISTANT)} AS messages_json FROM ({ROWS}) r", "content", "messages_json")}) s
+FROM ({copy_ids(f"SELECT {_ROW_JSON} AS content, {chat_json(_USER, _ASSISTANT)} AS messages_json FROM ({EXCHANGES}) r", "content", "messages_json")}) s
 """)
 
 _TWICE = f"SELECT messages_json FROM ({TURN_CHATS}) a UNION ALL SELECT messages_json FROM ({TURN_CHATS}) b WHERE conv_id % 5 = 0"
@@ -387,7 +406,7 @@ CAPPED = f"""
 WITH r AS (
   SELECT 'chats' AS origin, conv_id AS id, rendered FROM ({RENDER}) a
   UNION ALL
-  SELECT 'rows', conv_id, {render([("user", _USER), ("assistant", _ASSISTANT)])} FROM ({ROWS}) b)
+  SELECT 'rows', row_id, {render([("user", _USER), ("assistant", _ASSISTANT)])} FROM ({EXCHANGES}) b)
 SELECT m.origin, m.id, m.position, CAST(octet_length(encode(r.rendered)) AS BIGINT) AS n_tokens,
        octet_length(encode(r.rendered)) > 2048 AS truncated,
        array_to_string(list_slice(list_transform(regexp_extract_all(hex(encode(r.rendered)), '..'), lambda h: ('0x' || h)::INTEGER), 1, 2048), ',')

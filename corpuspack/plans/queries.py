@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corpuspack.functions import text as T
 from corpuspack.functions.tokens import ByteTokenizer
 from corpuspack.operators import instruct, mixture, packing, scores, windows
-from corpuspack.session import scratch_dir
+from corpuspack.session import materialize, scratch_dir
 from corpuspack.sources import binshards, registry, sinks
 from corpuspack.sources.registry import BENCHMARK_SCHEMA, CONVERSATIONS_SCHEMA, DOCUMENTS_SCHEMA, fixture_docs, table
 from corpuspack.streaming import incremental
@@ -58,7 +58,7 @@ def running_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.running_offsets(counts, BATCH_DOCS, BUCKET_DOCS, levels)
 
 
-def packed(spark: SparkSession, sf_dir: str) -> packing.PackResult:
+def packed(spark: SparkSession, sf_dir: str, piece_tokens: int | None = None) -> packing.PackResult:
     """The packing plan of the tables in ``sf_dir``, planned anew by each query."""
     return packing.pack(
         fixture_docs(spark, sf_dir),
@@ -66,6 +66,7 @@ def packed(spark: SparkSession, sf_dir: str) -> packing.PackResult:
         targets=TARGETS,
         batch_docs=BATCH_DOCS,
         bucket_docs=BUCKET_DOCS,
+        piece_tokens=piece_tokens,
     )
 
 
@@ -141,9 +142,10 @@ def window_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def window_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = packed(spark, sf_dir)
-    blocks = windows.to_blocks(p.segments(), BLOCK_TOKENS)
-    w = windows.cut_windows(_draws(spark, p), blocks, SEQ_LEN, BLOCK_TOKENS)
+    p = packed(spark, sf_dir, piece_tokens=BLOCK_TOKENS)
+    draws = _draws(spark, p)
+    blocks = windows.aligned_blocks(windows.drawn_shards(p.segments(), draws), BLOCK_TOKENS)
+    w = windows.cut_windows(draws, blocks, SEQ_LEN, BLOCK_TOKENS)
     return w.select(
         "sample_id", "source", "shard_idx", "start",
         F.array_join("x", ",").alias("x"), F.array_join("y", ",").alias("y"),
@@ -167,23 +169,24 @@ def strip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return instruct.instruction_rows(_turns(spark, sf_dir))
+    """One instruction row for each exchange of the chats."""
+    return instruct.exchange_rows(_turns(spark, sf_dir))
 
 
 def seed_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1: Korean-style rows (instruction, input) in full, then English-style rows
     (instruction, context) — half of them, the take-n feature."""
-    rows = _rows(spark, sf_dir)
+    rows = materialize(_rows(spark, sf_dir), "instruction-rows")  # grouped once
     n = rows.count()
-    ko = instruct.seed_prompts(rows, n, SEED_KO, "conv_id", "input", part=0)
+    ko = instruct.seed_prompts(rows, n, SEED_KO, "row_id", "input", part=0)
     en_rows = rows.withColumnRenamed("input", "context")
-    en = instruct.seed_prompts(en_rows, n // 2, SEED_EN, "conv_id", "context", part=1)
+    en = instruct.seed_prompts(en_rows, n // 2, SEED_EN, "row_id", "context", part=1)
     return ko.unionByName(en)
 
 
 def rows_to_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = instruct.rows_to_chats(_rows(spark, sf_dir))
-    return chats.select("conv_id", T.messages_json("messages").alias("messages_json"))
+    return chats.select("row_id", T.messages_json("messages").alias("messages_json"))
 
 
 def chats_from_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +198,7 @@ def chats_from_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def render_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chat rendered, and the first user turn as an open prompt."""
     chats = instruct.chats_from_turns(_turns(spark, sf_dir))
-    rows = _rows(spark, sf_dir)
+    rows = instruct.instruction_rows(_turns(spark, sf_dir))
     j = chats.join(rows.select("conv_id", "instruction"), "conv_id")
     return j.select(
         "conv_id",
@@ -220,11 +223,11 @@ def tuning_mix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distilled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G1 + G2: seed prompts joined to responses (first assistant turn per conversation)."""
+    """G1 + G2: seed prompts joined to responses (the first assistant turn of each exchange)."""
     prompts = seed_prompts(spark, sf_dir)
-    responses = instruct.first_by_role(_turns(spark, sf_dir), "assistant").withColumnRenamed("assistant", "response")
-    chats = instruct.attach_responses(prompts, responses, "conv_id")
-    return chats.select("part", "position", "conv_id", T.messages_json("messages").alias("messages_json"))
+    responses = _rows(spark, sf_dir).select("row_id", F.col("output").alias("response"))
+    chats = instruct.attach_responses(prompts, responses, "row_id")
+    return chats.select("part", "position", "row_id", T.messages_json("messages").alias("messages_json"))
 
 
 def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,16 +240,34 @@ def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SCORE_WINDOW = 8  # words
+
+
+def _windows(rows: DataFrame, *columns) -> DataFrame:
+    """The distinct windows of ``SCORE_WINDOW`` words of each row's text."""
+    words = rows.withColumn("_w", F.array_remove(F.split("text", "[ \\t\\n\\x0B\\f\\r]+"), ""))
+    at = F.sequence(F.lit(1), F.size("_w") - (SCORE_WINDOW - 1))
+    spans = F.transform(at, lambda i: F.array_join(F.slice("_w", i, SCORE_WINDOW), " "))
+    return words.filter(F.size("_w") >= SCORE_WINDOW).select(*columns, F.explode(F.array_distinct(spans)).alias("window"))
+
+
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Item-level scores stand-in: every benchmark item under each task and tag, ``correct``
-    from md5; ``haerae`` has no ``baseline`` rows (a task missing from one tag)."""
-    items = table(spark, sf_dir, "benchmark", BENCHMARK_SCHEMA).select("item_id")
-    s = items.select(
-        "item_id", F.explode(F.array(*[F.lit(t) for t in scores.DEFAULT_TASKS])).alias("task")
-    ).select("item_id", "task", F.explode(F.array(*[F.lit(t) for t in scores.TAGS])).alias("tag"))
-    s = s.filter(~((F.col("task") == "haerae") & (F.col("tag") == "baseline")))
-    bit = F.conv(F.substring(F.md5(F.concat_ws(":", "tag", "task", "item_id")), 1, 2), 16, 10).cast("int")
-    return s.select("tag", "task", "item_id", (bit % 3 != 0).cast("int").alias("correct"))
+    """Item-level scores: an item is ``correct`` under a tag if one of its word windows occurs in the tag's documents.
+
+    ``run`` reads all documents, ``baseline`` those with an even ``doc_id``; items are dealt to the tasks
+    by ``item_id``, and ``haerae`` has no ``baseline`` rows (a task missing from one tag). Items and
+    documents meet by a join on the window, the items' side being the small one.
+    """
+    items = table(spark, sf_dir, "benchmark", BENCHMARK_SCHEMA).filter("item_id IS NOT NULL")
+    docs = table(spark, sf_dir, "documents", DOCUMENTS_SCHEMA)
+    found = _windows(docs, "doc_id").join(_windows(items, "item_id"), "window").groupBy("item_id").agg(
+        F.lit(1).alias("run"), F.max(F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0)).alias("baseline")
+    )
+    task = F.element_at(F.array(*[F.lit(t) for t in scores.DEFAULT_TASKS]), (F.col("item_id") % len(scores.DEFAULT_TASKS) + 1).cast("int"))
+    wide = items.join(found, "item_id", "left").select("item_id", task.alias("task"), *[F.coalesce(t, F.lit(0)).alias(t) for t in scores.TAGS])
+    tags = F.explode(F.array(*[F.struct(F.lit(t).alias("tag"), F.col(t).alias("correct")) for t in scores.TAGS]))
+    long = wide.select("item_id", "task", tags.alias("s")).select("s.tag", "task", "item_id", "s.correct")
+    return long.filter(~((F.col("task") == "haerae") & (F.col("tag") == "baseline")))
 
 
 def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
