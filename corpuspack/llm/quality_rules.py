@@ -191,7 +191,7 @@ def _distance() -> Column:
 def _start(rows: DataFrame) -> DataFrame:
     """Medians and interquartile ranges by group, from counts in bins of an eighth of a unit."""
     long = rows.select(_GROUP, F.posexplode(F.array(*[F.floor(z * 8) for z in _vectors()])).alias("_k", "_bin"))
-    counts = long.groupBy(_GROUP, "_k", "_bin").agg(F.count("*").alias("_count"))
+    counts = materialize(long.groupBy(_GROUP, "_k", "_bin").agg(F.count("*").alias("_count")), "mcd-counts")
     w = Window.partitionBy(_GROUP, "_k")
     counts = counts.withColumns({"_up": F.sum("_count").over(w.orderBy("_bin")), "_all": F.sum("_count").over(w)})
     at = lambda p: F.min(F.when(F.col("_up") >= F.col("_all") * p, F.col("_bin"))) / 8 + 1 / 16
@@ -207,7 +207,8 @@ def _start(rows: DataFrame) -> DataFrame:
 def _concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
     """One step: the sums of the ``SUPPORT`` share of each group that is nearest, in bins of 3 %."""
     near = rows.join(params, _GROUP).withColumn("_bin", F.floor(F.log2(1 + _distance()) * 24))
-    bins = near.groupBy(_GROUP, _LANG, "_bin").agg(*[F.sum(c).alias(k) for k, c in _moments().items()])
+    # Written, so that the sums are dealt by bin and the windows below get one row for each bin.
+    bins = materialize(near.groupBy(_GROUP, _LANG, "_bin").agg(*[F.sum(c).alias(k) for k, c in _moments().items()]), "mcd-bins")
     w = Window.partitionBy(_GROUP)
     before = F.coalesce(F.sum("_n").over(w.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     kept = bins.withColumns({"_before": before, "_all": F.sum("_n").over(w)}).filter(F.col("_before") < SUPPORT * F.col("_all"))
