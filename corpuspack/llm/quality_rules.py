@@ -137,13 +137,14 @@ def keyed(measured: DataFrame) -> DataFrame:
     return measured.withColumns({_GROUP: F.to_json(F.struct("lang", "source")), _LANG: F.to_json(F.struct("lang"))})
 
 
-def _vectors() -> list[Column]:
-    return [F.col(f"_z_{k}") for k in NAMES]
+# The sums, factors and distances below are SQL text: built column by column they would take longer to
+# put together than to run.
+_Z = [f"_z_{k}" for k in NAMES]
+_MOMENTS = {"_n": "1.0D"} | {f"_s{i}": _Z[i] for i in range(DIM)} | {f"_p{i}_{j}": f"{_Z[i]} * {_Z[j]}" for i in range(DIM) for j in range(i + 1)}
 
 
-def _moments() -> dict[str, Column]:
-    z = _vectors()
-    return {"_n": F.lit(1.0)} | {f"_s{i}": z[i] for i in range(DIM)} | {f"_p{i}_{j}": z[i] * z[j] for i in range(DIM) for j in range(i + 1)}
+def _summed(expressions: dict[str, str]) -> list[Column]:
+    return [F.expr(f"sum({e}) AS {name}") for name, e in expressions.items()]
 
 
 def _factor(params: DataFrame) -> DataFrame:
@@ -152,45 +153,34 @@ def _factor(params: DataFrame) -> DataFrame:
     ``|w (z - m)|`` is the Mahalanobis distance.
     """
     df = params
-    for i in range(DIM):
-        for j in range(i + 1):
-            rest = F.col(f"_c{i}_{j}") + (1.0 if i == j else 0.0)
-            for k in range(j):
-                rest = rest - F.col(f"_l{i}_{k}") * F.col(f"_l{j}_{k}")
-            df = df.withColumn(f"_l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-6))) if i == j else rest / F.col(f"_l{j}_{j}"))
-    for j in range(DIM):
-        for i in range(j, DIM):
-            value = F.lit(1.0) if i == j else F.lit(0.0)
-            for k in range(j, i):
-                value = value - F.col(f"_l{i}_{k}") * F.col(f"_w{k}_{j}")
-            df = df.withColumn(f"_w{i}_{j}", value / F.col(f"_l{i}_{i}"))
+    for j in range(DIM):  # column by column: each needs the ones before it
+        rest = {i: " - ".join([f"_c{i}_{j} + {float(i == j)}D", *[f"_l{i}_{k} * _l{j}_{k}" for k in range(j)]]) for i in range(j, DIM)}
+        root = f"sqrt(greatest({rest[j]}, 1e-6D))"
+        df = df.selectExpr("*", *[f"{root} AS _l{i}_{j}" if i == j else f"({rest[i]}) / {root} AS _l{i}_{j}" for i in range(j, DIM)])
+    for i in range(DIM):  # row by row
+        value = {j: " - ".join([f"{float(i == j)}D", *[f"_l{i}_{k} * _w{k}_{j}" for k in range(j, i)]]) for j in range(i + 1)}
+        df = df.selectExpr("*", *[f"({v}) / _l{i}_{i} AS _w{i}_{j}" for j, v in value.items()])
     return df.select(_GROUP, *[f"_m{i}" for i in range(DIM)], *[f"_w{i}_{j}" for i in range(DIM) for j in range(i + 1)])
 
 
 def _estimate(sums: DataFrame, factor: float) -> DataFrame:
-    """Parameters by group from the sums of the vectors that it keeps, with its language's prior."""
-    names = list(_moments())
-    lang = sums.groupBy(_LANG).agg(*[F.sum(c).alias(f"{c}_lang") for c in names])
-    df = sums.join(lang, _LANG)
-    share = lambda c: (F.col(c) + PRIOR * F.col(f"{c}_lang") / F.col("_n_lang")) / (F.col("_n") + PRIOR)
-    df = df.select(_GROUP, *[share(f"_s{i}").alias(f"_m{i}") for i in range(DIM)], *[share(c).alias(f"_q{c[2:]}") for c in names if c.startswith("_p")])
-    df = df.withColumns({f"_c{i}_{j}": factor * (F.col(f"_q{i}_{j}") - F.col(f"_m{i}") * F.col(f"_m{j}")) for i in range(DIM) for j in range(i + 1)})
-    return _factor(df)
+    """Parameters by group from the written sums of the vectors that it keeps, with its language's prior."""
+    lang = sums.groupBy(_LANG).agg(*[F.expr(f"sum({c}) AS {c}_lang") for c in _MOMENTS])
+    share = lambda c: f"({c} + {PRIOR}D * {c}_lang / _n_lang) / (_n + {PRIOR}D)"
+    df = sums.join(lang, _LANG).selectExpr(
+        _GROUP, *[f"{share(f'_s{i}')} AS _m{i}" for i in range(DIM)], *[f"{share(c)} AS _q{c[2:]}" for c in _MOMENTS if c.startswith("_p")]
+    )
+    return _factor(df.selectExpr("*", *[f"{factor!r}D * (_q{i}_{j} - _m{i} * _m{j}) AS _c{i}_{j}" for i in range(DIM) for j in range(i + 1)]))
 
 
 def _distance() -> Column:
-    total = F.lit(0.0)
-    for i in range(DIM):
-        row = F.lit(0.0)
-        for j in range(i + 1):
-            row = row + F.col(f"_w{i}_{j}") * (F.col(f"_z_{NAMES[j]}") - F.col(f"_m{j}"))
-        total = total + row * row
-    return total
+    rows = [" + ".join(f"_w{i}_{j} * ({_Z[j]} - _m{j})" for j in range(i + 1)) for i in range(DIM)]
+    return F.expr(" + ".join(f"power({row}, 2)" for row in rows))
 
 
 def _start(rows: DataFrame) -> DataFrame:
     """Medians and interquartile ranges by group, from counts in bins of an eighth of a unit."""
-    long = rows.select(_GROUP, F.posexplode(F.array(*[F.floor(z * 8) for z in _vectors()])).alias("_k", "_bin"))
+    long = rows.select(_GROUP, F.posexplode(F.array(*[F.floor(F.col(z) * 8) for z in _Z])).alias("_k", "_bin"))
     counts = materialize(long.groupBy(_GROUP, "_k", "_bin").agg(F.count("*").alias("_count")), "mcd-counts")
     w = Window.partitionBy(_GROUP, "_k")
     counts = counts.withColumns({"_up": F.sum("_count").over(w.orderBy("_bin")), "_all": F.sum("_count").over(w)})
@@ -208,21 +198,21 @@ def _concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
     """One step: the sums of the ``SUPPORT`` share of each group that is nearest, in bins of 3 %."""
     near = rows.join(params, _GROUP).withColumn("_bin", F.floor(F.log2(1 + _distance()) * 24))
     # Written, so that the sums are dealt by bin and the windows below get one row for each bin.
-    bins = materialize(near.groupBy(_GROUP, _LANG, "_bin").agg(*[F.sum(c).alias(k) for k, c in _moments().items()]), "mcd-bins")
+    bins = materialize(near.groupBy(_GROUP, _LANG, "_bin").agg(*_summed(_MOMENTS)), "mcd-bins")
     w = Window.partitionBy(_GROUP)
     before = F.coalesce(F.sum("_n").over(w.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     kept = bins.withColumns({"_before": before, "_all": F.sum("_n").over(w)}).filter(F.col("_before") < SUPPORT * F.col("_all"))
-    return kept.groupBy(_GROUP, _LANG).agg(*[F.sum(c).alias(c) for c in _moments()])
+    return materialize(kept.groupBy(_GROUP, _LANG).agg(*_summed({c: c for c in _MOMENTS})), "mcd-sums")
 
 
 def robust_estimate(measured: DataFrame) -> DataFrame:
     """The parameters of each group of a written table of ``keyed(measure(docs))``."""
-    rows = measured.filter(~base_failed()).select(_GROUP, _LANG, *[f"_z_{k}" for k in NAMES])
+    rows = measured.filter(~base_failed()).select(_GROUP, _LANG, *_Z)
     params = materialize(_start(rows), "mcd-start")
     for step in range(STEPS):
         params = materialize(_estimate(_concentrate(rows, params), consistency(SUPPORT, DIM)), f"mcd-step{step}")
     inside = rows.join(params, _GROUP).filter(_distance() <= chi2_quantile(0.975, DIM))
-    sums = inside.groupBy(_GROUP, _LANG).agg(*[F.sum(c).alias(k) for k, c in _moments().items()])
+    sums = materialize(inside.groupBy(_GROUP, _LANG).agg(*_summed(_MOMENTS)), "mcd-sums")
     return materialize(_estimate(sums, consistency(0.975, DIM)), "mcd")
 
 
