@@ -81,6 +81,13 @@ def features_of(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The rows in batches so small that their features take little memory."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def counterfactuals(text: str, identities=IDENTITIES) -> Iterator[tuple[str, str]]:
     """Each sentence of ``text`` that names a group, and that sentence with the next group's name in its place."""
     after = {name: group[(i + 1) % len(group)] for group in identities for i, name in enumerate(group)}
@@ -159,7 +166,7 @@ def train(rows: DataFrame, max_features: int = MAX_FEATURES, identities=IDENTITI
     """Fit to a written, bounded table ``text, label``."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = batch.column(0).to_pylist()
             own = features_of(texts)
             swaps = [[(a, b) for a, b in counterfactuals(t or "", identities)] for t in texts]
@@ -195,7 +202,7 @@ def train(rows: DataFrame, max_features: int = MAX_FEATURES, identities=IDENTITI
             place = np.minimum(np.searchsorted(chosen, values), max(len(chosen) - 1, 0))
             return place[chosen[place] == values].astype(np.int32) if len(chosen) else np.zeros(0, np.int32)
 
-        for batch in batches:
+        for batch in small_batches(batches):
             own = [at(f.values.to_numpy()) for f in batch.column(1)]
             swaps = [[{"a": at(s["a"]), "b": at(s["b"])} for s in pairs] for pairs in batch.column(2).to_pylist()]
             ints = pa.list_(pa.int32())
@@ -216,11 +223,9 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     """
     features, weights, bias = model.features, model.weights, model.bias
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        raw, offsets = W.text_buffers(pa.array(texts, pa.string(), from_pandas=True))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        raw, offsets = W.text_buffers(texts)
         total = np.full(len(texts), bias)
         if len(features):
             bits = 20
@@ -243,7 +248,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
                     row, found, at = row[more], found[more], at[more]
                 once = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
                 total[a:b] += np.bincount(once // len(features), weights[once % len(features)], b - a)
-        return pd.Series(1 / (1 + np.exp(-np.clip(total, -35, 35))))
+        return pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))
 
     return docs.withColumn("score", score(F.col("text").cast("string")))
 
