@@ -14,7 +14,8 @@ chi-square ellipsoid.
 
 Small groups lean on their language: the moments of ``PRIOR`` vectors of the language's kept shares
 are added to each group's. ``RESOLUTION`` is the unit of each statistic; one squared unit is added
-to every variance, so a statistic that hardly varies in a group cannot blow up small differences.
+to every variance, so a statistic that hardly varies in a group cannot blow up small differences. Each
+unit is well below what a text can reach, so each statistic alone can reject.
 
 Only DataFrame functions are used.
 """
@@ -34,11 +35,11 @@ SUPPORT = 0.5
 STEPS = 4
 PRIOR = 50.0
 #: Rejected beyond this chi-square quantile (degrees of freedom: the statistics).
-CONFIDENCE = 1 - 1e-7
+CONFIDENCE = 0.999
 
 #: The statistics and their units: symbols a word, share of repeated words, share of capitals in the
 #: words, share of repeated lines, characters a word, exclamation and question marks a word.
-RESOLUTION = {"symbols": 0.04, "repeats": 0.10, "capitals": 0.03, "lines": 0.15, "length": 0.35, "marks": 0.06}
+RESOLUTION = {"symbols": 0.02, "repeats": 0.05, "capitals": 0.015, "lines": 0.075, "length": 0.175, "marks": 0.03}
 NAMES = list(RESOLUTION)
 DIM = len(NAMES)
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

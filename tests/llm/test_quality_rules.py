@@ -118,6 +118,26 @@ def test_outliers_of_their_own_group(spark, docs_of):
     assert all(kept[i] for i in range(150)) and not any(kept[1000 + i] for i in range(40))
 
 
+def test_each_statistic_alone_rejects(spark, docs_of):
+    """A text that passes the base rules and is far off in one statistic only."""
+    def words(i, n=80, end=""):
+        return [f"{'abcdefghij'[(i * 7 + k) % 10] * (3 + (i + k) % 4)}{k}{end}" for k in range(n)]
+
+    repeated = " ".join(words(200) + words(200)[:32])  # 57 % of the words: fails the base rules
+    some = " ".join(words(200) + words(200)[:24])  # 46 %
+    lines = "\n".join([*(" ".join(words(200)[k * 4 : k * 4 + 4]) for k in range(20)), *["x y"] * 30])
+    odd = {
+        "symbols": " ".join(words(200, end="%")[:30] + words(200)[30:]),
+        "repeats": some, "capitals": " ".join(w.upper() for w in words(200)), "lines": lines,
+        "length": " ".join(w * 2 for w in words(200)), "marks": " ".join(words(200, end="!")[:30] + words(200)[30:]),
+    }
+    rows = [(i, plain(i), "en", "a") for i in range(120)] + [(1000 + k, t, "en", "a") for k, t in enumerate(odd.values())]
+    rows.append((2000, repeated, "en", "a"))
+    got = {r["doc_id"]: r for r in Q.quality_rules(docs_of(rows)).collect()}
+    assert all(got[i]["kept"] for i in range(120)) and got[2000]["base_failed"]
+    assert [(k, got[1000 + i]["base_failed"], got[1000 + i]["kept"]) for i, k in enumerate(odd)] == [(k, False, False) for k in odd]
+
+
 def test_keep_good_returns_whole_rows(spark, docs_of):
     rows = [(i, plain(i), "en", "a") for i in range(30)] + [(99, "too short", "en", "a")]
     df = docs_of(rows, extra=("n_words", "kept", "_group", "_z_symbols"))
