@@ -123,7 +123,7 @@ def token_counts(
                     chars = np.array([(s["start"], s["end"]) for s in spans], dtype=np.int64)
                     at = chars if firsts is None else firsts[chars]
                     out[1] += [s["section"] for s in spans]
-                ends = np.cumsum(encoder.lengths[encoder.encode(body)])
+                ends = np.cumsum(encoder.lengths[encoder.encode(body, added=True)])
                 out[0] += [doc_id] * len(at)
                 for kept, values in zip(numbers, (chars[:, 0], chars[:, 1], *attribute(at[:, 0], at[:, 1], ends, rule))):
                     kept.append(values)

@@ -2,8 +2,9 @@
 
 The vocabulary comes from a ``tokenizers`` JSON definition (a path is a parameter; the driver
 reads it and Spark broadcasts it). Its ids are merge ranks, so the faster of the installed
-encoders runs it; tests hold the ids against the ``tokenizers`` library's on whole texts. Special
-tokens' strings in a text are ordinary text.
+encoders runs it; tests hold the ids against the ``tokenizers`` library's on whole texts. The
+operators encode with ``added=True``, the library's default: the strings of the definition's added tokens
+in a text are those tokens.
 """
 
 from __future__ import annotations
@@ -39,21 +40,24 @@ class Bpe:
         pre = spec["pre_tokenizer"]
         if spec["model"]["type"] != "BPE" or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or spec["normalizer"]:
             raise ValueError("a byte-level BPE definition without normalizer or prefix space is needed")
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens", [])
+        if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added):
+            raise ValueError("added tokens that take in spaces or need whole words are not supported")
+        special = {t["content"]: t["id"] for t in added}
         back = _byte_of_char()
         ranks = {bytes(back[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in special}
         # Fixed value: the pre-tokenizer's pattern of byte-level vocabularies.
         pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        self._encoding = tiktoken.Encoding("corpuspack", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.lengths = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
-        for piece, rank in ranks.items():
+        self._encoding = tiktoken.Encoding("corpuspack", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        self.lengths = np.zeros(max([*ranks.values(), *special.values()]) + 1, dtype=np.int64)
+        for piece, rank in [*ranks.items(), *((t.encode(), i) for t, i in special.items())]:
             self.lengths[rank] = len(piece)
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """The ids of a whole text as ``uint32`` (null: none)."""
+    def encode(self, text: str | None, added: bool = False) -> np.ndarray:
+        """The ids of a whole text as ``uint32`` (null: none). Without ``added``, added tokens' strings are ordinary text."""
         if not text:
             return np.zeros(0, dtype=np.uint32)
-        return self._encoding.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype(np.uint32)
+        return self._encoding.encode_to_numpy(text, allowed_special="all" if added else set(), disallowed_special=()).astype(np.uint32)
 
 
 def load(definition: str) -> Bpe:

@@ -62,7 +62,7 @@ def pieces(docs: DataFrame, seq_len: int = 2048, tokenizer_path: str | None = No
         for batch in batches:
             doc, piece, start, length, crc, kept = [], [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(encoder.encode(text.as_py()), np.uint32(EOS)).astype("<u4")
+                ids = np.append(encoder.encode(text.as_py(), added=True), np.uint32(EOS)).astype("<u4")
                 at = 0
                 for k, n in enumerate(cut_lengths(len(ids), seq_len)):
                     own = ids[at : at + n]

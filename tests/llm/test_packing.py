@@ -5,9 +5,10 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpuspack.llm import bpe, packing
+from corpuspack.llm import attribution, bpe, packing
 from corpuspack.llm.common import documents
 from corpuspack.llm.queries import op5_best_fit_packing
 from tests.conftest import SF_MID
@@ -38,6 +39,22 @@ def test_ids_equal_on_any_text(text):
     assert bpe.load(open(bpe.default_path()).read()).encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [*ODD, "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|", " <|endoftext|>\n\n é"])
+def test_ids_of_the_library_at_its_defaults(text):
+    encoder = bpe.load(open(bpe.default_path()).read())
+    ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert encoder.encode(text, added=True).tolist() == ids
+    assert encoder.lengths[ids].sum() == len(text.encode())
+
+
+def test_operators_read_added_tokens(docs_of):
+    text = "a <|endoftext|> b"
+    ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    row = packing.pieces(docs_of([(1, text)]), with_ids=True).first()
+    assert row["ids"] == [*ids, packing.EOS]
+    assert attribution.token_counts(docs_of([(1, text)]), F.col("text")).first()["n_tokens"] == len(ids)
+
+
 def check_sequences(rows, limits):
     by = {}
     for r in rows:
