@@ -14,10 +14,15 @@
    one through its hub and at the depth where its branches thin out.
 4. Candidates whose signatures rule the similarity out (by six standard deviations) go; the others
    are confirmed on their full sets. Links become components by minimum labels with pointer jumps.
-
-The orders are range-partitioned, so a region may span any number of tasks; the number of
-candidates is at most ``TREES * (1 + WIDTH)`` times the classes. All intermediate tables lie in the
-shared folder.
+5. Regions that still hold several components and more members than neighbours meet are compared in
+   full: their members are dealt to blocks, and each pair of blocks is a task of its own that
+   intersects the full sets of all pairs of different components. So any two texts that share a
+   region are linked, connected or compared, however dense it is.
+
+The orders are range-partitioned and the blocks bounded, so a region may span any number of tasks. The
+candidates of steps 3 and 4 are at most ``TREES * (1 + WIDTH)`` times the classes; step 5 never pairs
+members of a region's largest component, so its work grows with the square of the members outside it
+only. All intermediate tables lie in the shared folder.
 """
 
 from __future__ import annotations
@@ -41,6 +46,9 @@ WIDTH = 8
 #: Rounds of hubs: the second is for the members that the first hub of a region is not linked with.
 ROUNDS = 2
 HASHES = TREES * DEPTH
+#: A block of an open region has about so many members, and so many shingles unless one text has more.
+BLOCK_ROWS = 256
+BLOCK_SHINGLES = 400_000
 
 
 def signatures(sets: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -212,6 +220,80 @@ def neighbour_pairs(rows: DataFrame) -> DataFrame:
     return first.filter("a is not null").select("a", "b").unionByName(second.select("a", "b")).distinct()
 
 
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """The sizes of the intersections of each set of ``x`` with each of ``y`` (exact)."""
+    out = np.zeros((len(x), len(y)), dtype=np.int64)
+    flat = [np.concatenate(side) for side in (x, y)]
+    rows = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in (x, y)]
+    common = np.intersect1d(*flat)
+    placed = []
+    for values, row in zip(flat, rows):  # only what both sides hold, in the order of the shingles
+        at = np.searchsorted(common, values)
+        held = np.flatnonzero(common[np.minimum(at, len(common) - 1)] == values) if len(common) else np.zeros(0, np.int64)
+        order = held[np.argsort(at[held], kind="stable")]
+        placed.append((at[order], row[order]))
+    for a in range(0, len(common), width):
+        dense = []
+        for (at, row), side in zip(placed, (x, y)):
+            lo, hi = np.searchsorted(at, [a, a + width])
+            part = np.zeros((len(side), min(width, len(common) - a)), dtype=np.float32)  # sums up to 4096 are exact
+            part[row[lo:hi], at[lo:hi] - a] = 1
+            dense.append(part)
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
+
+
+def open_links(docs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """A written table of the links ``a, b`` between components inside the regions that are not met in full.
+
+    ``rows``: ``region, key, node, component, n_shingles``. Regions of one component or of ``WIDTH + 1``
+    members have been met. In the others all pairs of different components are compared on their full
+    sets. Blocks of the largest component (numbered from 0) meet the others' blocks (below 0) only.
+    """
+    sizes = rows.groupBy("region", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    blocks = lambda n, weight: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(weight / BLOCK_SHINGLES), F.lit(1)).cast("long")
+    regions = sizes.groupBy("region").agg(
+        F.max(F.struct("n", "component", "weight")).alias("top"), F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.count("*").alias("components")
+    ).filter((F.col("components") > 1) & (F.col("n") > WIDTH + 1))
+    regions = regions.select(
+        "region", F.col("top.component").alias("core"),
+        blocks(F.col("top.n"), F.col("top.weight")).alias("cores"),
+        blocks(F.col("n") - F.col("top.n"), F.col("weight") - F.col("top.weight")).alias("others"),
+    )
+    held = rows.join(materialize(regions, "dedup-open"), "region").select("region", "node", "component", "core", "cores", "others")
+    held = materialize(held.withColumn("mine", F.pmod(F.xxhash64("node"), F.when(F.col("component") == F.col("core"), F.col("cores")).otherwise(F.col("others")))), "dedup-open")
+    is_core, own = F.col("component") == F.col("core"), F.col("mine")
+    # Each pair of blocks (x, y): y is a block of the others; x one of the core, or of the others up to y.
+    pairs = F.when(is_core, F.transform(F.sequence(F.lit(0).cast("long"), F.col("others") - 1), lambda k: F.struct(own.alias("x"), (-1 - k).alias("y")))).otherwise(
+        F.concat(
+            F.transform(F.sequence(F.lit(0).cast("long"), F.col("cores") - 1), lambda k: F.struct(k.alias("x"), (-1 - own).alias("y"))),
+            F.transform(F.sequence(F.lit(0).cast("long"), F.col("others") - 1), lambda k: F.struct((-1 - F.least(k, own)).alias("x"), (-1 - F.greatest(k, own)).alias("y"))),
+        )
+    )
+    met = held.select("region", "node", "component", F.when(is_core, own).otherwise(-1 - own).alias("block"), F.explode(pairs).alias("p"))
+    met = met.select("region", "node", "component", "block", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    sets = materialize(full_sets(docs, held.select("node").distinct()), "dedup-sets")
+
+    def compare(table: pa.Table) -> pa.Table:
+        mine, x, y = (table.column(c).to_numpy() for c in ("block", "x", "y"))
+        node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
+        lists = table.column("shingles").combine_chunks()
+        flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(left) and len(right):
+            shared = shared_counts(*([flat[ends[i] : ends[i + 1]] for i in rows] for rows in (left, right)))
+            counts = np.diff(ends)
+            union = counts[left][:, None] + counts[right][None, :] - shared
+            linked = (100 * shared >= percent * union) & (component[left][:, None] != component[right][None, :])
+            i, j = np.nonzero(linked)
+            a, b = node[left][i], node[right][j]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    links = met.join(sets, "node").groupBy("region", "x", "y").applyInArrow(compare, "a long, b long")
+    return materialize(links.distinct(), "dedup-links")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
 
@@ -224,7 +306,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     rows = materialize(shingled(docs), "dedup-rows")
     usable = rows.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
-    classes = usable.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"))
+    classes = usable.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
     classes = materialize(classes, "dedup-classes")
     trees = forest(classes)
     links = labels = None
@@ -240,6 +322,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         labels = components(links)
     links = links.unionByName(confirm(docs, classes, neighbour_pairs(_labelled(trees, labels)), percent))
     labels = components(links)
+    unmet = _labelled(trees, labels).join(classes.select("node", "n_shingles"), "node")
+    found = open_links(docs, unmet, percent)
+    if not found.isEmpty():
+        labels = components(links.unionByName(found))
     classes = _labelled(classes.select("set_hash", "node"), labels).select("set_hash", "component")
     placed = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash"))
     placed = placed.join(classes, "set_hash", "left")

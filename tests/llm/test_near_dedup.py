@@ -92,6 +92,23 @@ def test_keep_one_of_each(spark, docs_of, hard_groups):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "node", "kept"]
 
 
+def test_links_inside_a_dense_region(spark, docs_of, monkeypatch):
+    """Hundreds of texts that share a template just below the threshold, and pairs of them above it, in several blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 60)
+    rng = random.Random(5)
+    text = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    template = text(200)
+    rows = [template + text(19) for _ in range(420)]
+    for i in range(40):  # the first words behind the template are those of another text
+        rows.append(template + rows[i * 7][200:202] + text(17))
+    rows += [rows[50][:-1] + text(1) for _ in range(12)]  # a linked group between them
+    rng.shuffle(rows)
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    want = brute_force(rows, 85)
+    assert 40 <= sum(c != d for d, (_, c) in want.items()) < 60
+    assert result(near_dedup.near_duplicates(docs_of(rows), 85)) == want
+
+
 def test_odd_rows(spark, docs_of):
     long = " ".join(f"w{i}" for i in range(40000))
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One two"), (5, "one  TWO"), (5, "one  TWO"), (None, "one two"), (6, long), (7, long + " more"), (8, "É é"), (9, "é é")]
