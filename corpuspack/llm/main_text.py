@@ -29,7 +29,9 @@ SURGE = 86
 RUN_SHARE = 0.25
 
 # HTML's element names by what they mean here, and words of classes and ids.
-RAW = frozenset("script style noscript template textarea iframe noembed noframes svg math canvas object audio video".split())
+RAW = frozenset("script style textarea iframe noembed noframes".split())
+#: Markup inside, but no text of the page; one that is never closed ends at the next block or with its parent.
+SKIPPED = frozenset("noscript template svg math canvas object audio video".split())
 BOILERPLATE = frozenset("head nav footer aside form button select datalist menu dialog fieldset label input".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -44,6 +46,8 @@ NAMED = frozenset(
     "pager footer footnav copyright comment comments commentlist respond disqus replies share sharing social related recommended "
     "newsletter subscribe subscription signup login search searchbox widget widgets toolbar skip paywall".split()
 )
+#: With words of ``NAMED`` these make a name too (``ad-box``), other words do not (``social-costs``).
+NEUTRAL = frozenset("area bar block box button buttons container content inner item items link links list outer panel section slot text unit wrap wrapper".split())
 #: Only outside the article: inside it they may name its own parts.
 NAMED_OUTSIDE = frozenset("header masthead topbar top head logo branding".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -79,7 +83,8 @@ def _tokens(page: str) -> list[tuple[str, str, str]]:
             out.append(("open", name, attributes))
             if name in RAW and not attributes.endswith("/"):  # text up to the end tag is not markup
                 end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
-                at = end.end() if end else n
+                if end or name in ("script", "style", "textarea"):
+                    at = end.end() if end else n
                 out.append(("close", name, ""))
     return out
 
@@ -89,7 +94,7 @@ def _pairs(tokens: list[tuple[str, str, str]]) -> dict[int, int]:
     waiting: dict[str, list[int]] = {}
     out = {}
     for i, (kind, name, _) in enumerate(tokens):
-        if kind == "open" and name not in VOID:
+        if kind == "open" and name not in VOID and not (name in SKIPPED and tokens[i][2].endswith("/")):
             waiting.setdefault(name, []).append(i)
         elif kind == "close" and waiting.get(name):
             out[waiting[name].pop()] = i
@@ -97,14 +102,22 @@ def _pairs(tokens: list[tuple[str, str, str]]) -> dict[int, int]:
 
 
 def _is_boilerplate(name: str, attributes: dict[str, str], inside: bool) -> bool:
-    if name in BOILERPLATE or name in RAW or (name == "header" and not inside):
+    if name in BOILERPLATE or name in RAW or name in SKIPPED or (name == "header" and not inside):
         return True
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
         return True
     if attributes.get("role", "").lower() in ROLES:
         return True
-    parts = set(_PART.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
-    return bool(parts & NAMED) or (not inside and bool(parts & NAMED_OUTSIDE))
+    given = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
+    if inside:  # whole names of containers only: headings and paragraphs are named by their subject
+        return name in CONTAINERS and any(_is_name(own) for own in given.split())
+    return bool(set(_PART.findall(given)) & (NAMED | NAMED_OUTSIDE))
+
+
+def _is_name(token: str) -> bool:
+    """Whether a class or id says boilerplate and nothing else."""
+    parts = set(re.split(r"[-_0-9]+", token)) - {""}
+    return bool(parts & NAMED) and parts <= NAMED | NEUTRAL
 
 
 def page_lines(page: str) -> tuple[list[str], np.ndarray, bool]:
@@ -113,6 +126,7 @@ def page_lines(page: str) -> tuple[list[str], np.ndarray, bool]:
     ends = _pairs(tokens)
     opens = [(i, t[1], _attributes(t[2])) for i, t in enumerate(tokens) if t[0] == "open"]
     last = len(tokens)
+    starts = {j: i for i, j in ends.items()}
 
     def regions(test) -> list[tuple[int, int]]:
         return [(i, ends.get(i, last)) for i, name, attributes in opens if test(name, attributes)]
@@ -139,6 +153,13 @@ def page_lines(page: str) -> tuple[list[str], np.ndarray, bool]:
         if not _is_boilerplate(name, attributes, bool(inside[i])):
             continue
         j = i + 1 if name in VOID else ends.get(i)
+        if j is None and name in SKIPPED:
+            j = i + 1
+            while not tokens[i][2].endswith("/") and j < last:
+                kind, other, _ = tokens[j]
+                if (kind == "open" and other in BLOCKS and other != "title") or (kind == "close" and starts.get(j, i) < i):
+                    break
+                j += 1
         if j is None or (not inside[i] and any(i < a < j for a, _ in articles)):
             continue  # without an end, or around the article
         dropped[i:j] = True

@@ -43,6 +43,16 @@ def test_pages(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<article><section id='related-work'><h2 id='social-costs'>Costs</h2><p class='ad-hoc'>{LONG}</p></section><h3 id='search-results'>Found</h3><p class=share>x</p></article>", f"Costs\n{LONG}\nFound\nx"),
+    ("<article><p>a</p><div class='share-buttons'>Share</div><ul id=comments><li>reader</ul><div class='post ads'>Buy</div><p>b</p></article>", "a\nb"),
+    ("<article><p>a</p><svg><title>icon</title><path><p>b</p><iframe src=x><p>c</p></article>", "a\nb\nc"),
+    ("<article><p>a <canvas>old</p><p>b</p><video src=x><p>c</p><svg/><p>d <svg><text>t</text></svg>e</p></article>", "a\nb\nc\nd\ne"),
+])
+def test_names_and_open_elements_take_no_text_of_the_article(page, text):
+    assert main_text(page) == text
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<nav>", "</nav>", "<article>", "</article>", "<div class='ad'>", "</div>", "<", ">", "&am", "'", '"', "<!--", "-->", "<script>", "</script>", "word ", "\n", "é"]), max_size=40))
 def test_no_page_is_an_error(parts):
