@@ -7,7 +7,9 @@
    links. ``WINDOW`` neighbouring lines' lengths add up to the line-block distribution.
 3. Text begins where the distribution surges, that is rises above the threshold with text in the next
    blocks too, and ends where it dives to nothing. Runs between surge and dive are kept if they have a
-   quarter of the longest run's characters.
+   quarter of the longest run's characters. Every shorter run, also one that never surges, is kept if most of
+   it is not links and it stands between kept runs, in the container around the longest run (the nearest one
+   that holds other runs, below the body), or has a sentence.
 
 Where the page names its article (``article``, ``main`` or the role), lines outside it are empty and the
 threshold is one character, so the article is kept to its shortest line.
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 WINDOW = 3
 SURGE = 86
 RUN_SHARE = 0.25
+#: A short run with a larger share of its characters in links is a list of links.
+LINK_SHARE = 0.5
 
 # HTML's element names by what they mean here, and words of classes and ids.
 RAW = frozenset("script style textarea iframe noembed noframes".split())
@@ -120,8 +124,9 @@ def _is_name(token: str) -> bool:
     return bool(parts & NAMED) and parts <= NAMED | NEUTRAL
 
 
-def page_lines(page: str) -> tuple[list[str], np.ndarray, bool]:
-    """The lines of a page, their lengths for the distribution, and whether it names its article."""
+def page_lines(page: str) -> tuple[list[str], np.ndarray, bool, list[int], list[tuple[int, int]]]:
+    """The lines of a page, their lengths for the distribution, whether it names its article, the lines' places among
+    the tokens, and the places where each container below the body begins and ends."""
     tokens = _tokens(page)
     ends = _pairs(tokens)
     opens = [(i, t[1], _attributes(t[2])) for i, t in enumerate(tokens) if t[0] == "open"]
@@ -170,6 +175,7 @@ def page_lines(page: str) -> tuple[list[str], np.ndarray, bool]:
 
     lines: list[str] = []
     lengths: list[int] = []
+    places: list[int] = []
     words: list[str] = []
     linked = 0
     links = 0
@@ -180,12 +186,15 @@ def page_lines(page: str) -> tuple[list[str], np.ndarray, bool]:
         if text:
             lines.append(text)
             lengths.append(len(text) if named else max(0, len(text) - linked))
+            places.append(i)
         words, linked = [], 0
 
     def gap():
         lines.append("")
         lengths.append(0)
+        places.append(i)
 
+    i = 0
     for i, (kind, name, _) in enumerate(tokens):
         if dropped[i] or (named and not inside[i]):
             if words:
@@ -209,7 +218,8 @@ def page_lines(page: str) -> tuple[list[str], np.ndarray, bool]:
                 gap()
                 gap()
     end_line()
-    return lines, np.array(lengths, dtype=np.int64), named
+    spans = [(k, ends[k]) for k, name, _ in opens if name in CONTAINERS and name != "body" and k in ends]
+    return lines, np.array(lengths, dtype=np.int64), named, places, spans
 
 
 def runs(lengths: np.ndarray, threshold: int) -> list[tuple[int, int]]:
@@ -229,11 +239,41 @@ def runs(lengths: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     return out
 
 
+_SENTENCE = re.compile(r"(?:\S+\s+){4,}\S+[.!?…。！？][\"'”’»)]*(?:\s|\Z)")
+
+
+def with_short_runs(kept: list[tuple[int, int]], lines: list[str], lengths: np.ndarray, places: list[int], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """``kept`` runs and the shorter ones that belong to their text, in page order."""
+    rest, at = [], 0
+    for a, b in runs(lengths, 1):  # what the kept runs leave of each stretch of text
+        while at < len(kept) and kept[at][0] < b:
+            rest.append((a, kept[at][0]))
+            a = max(a, kept[at][1])
+            at += 1
+        rest.append((a, b))
+    rest = [(a, b) for a, b in rest if a < b and lengths[a:b].sum() > (1 - LINK_SHARE) * sum(map(len, lines[a:b]))]
+    a, b = max(kept, key=lambda r: lengths[r[0] : r[1]].sum())
+    text = [k for k in range(a, b) if lines[k]]
+    first, last = places[text[0]], places[text[-1]]
+    others = [[places[k] for k in range(x, y) if lines[k]] for x, y in rest]
+    around = (0, -1)
+    for i, j in sorted((s for s in spans if s[0] <= first and last <= s[1]), key=lambda s: s[1] - s[0]):
+        if any(i <= own[0] and own[-1] <= j for own in others if own):
+            around = (i, j)
+            break
+    start, stop, more = kept[0][0], kept[-1][1], []
+    for (x, y), own in zip(rest, others):
+        inside = bool(own) and around[0] <= own[0] and own[-1] <= around[1]
+        if inside or start <= x < stop or any(_SENTENCE.search(line) for line in lines[x:y]):
+            more.append((x, y))
+    return sorted(kept + more)
+
+
 def main_text(page: str | None) -> str:
     """The main text of one page (null: empty)."""
     if not page:
         return ""
-    lines, lengths, named = page_lines(page)
+    lines, lengths, named, places, spans = page_lines(page)
     if not lengths.any():
         return ""
     if named:
@@ -243,6 +283,7 @@ def main_text(page: str | None) -> str:
         kept = runs(lengths, int(min(SURGE, max(1, blocks.max() // 2))))
         sizes = [lengths[a:b].sum() for a, b in kept]
         kept = [r for r, size in zip(kept, sizes) if size >= RUN_SHARE * max(sizes)]
+        kept = with_short_runs(kept, lines, lengths, places, spans)
     return "\n".join(line for a, b in kept for line in lines[a:b] if line)
 
 

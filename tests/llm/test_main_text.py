@@ -53,6 +53,16 @@ def test_names_and_open_elements_take_no_text_of_the_article(page, text):
     assert main_text(page) == text
 
 
+def test_short_runs_of_the_text_are_kept():
+    """Sections of one container, sections below the body, and a closing sentence; lists of links go."""
+    menu = "<div><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></div>"
+    sections = f"<section><h2>A</h2>{f'<p>{LONG}</p>' * 8}</section><section><h2>B</h2><p>Few words</p></section><ul><li>x</ul>"
+    want = "\n".join(["A", *[LONG] * 8, "B", "Few words", "x"])
+    assert main_text(f"<body>{menu}<div class=content>{sections}</div><div>Copyright 2020</div></body>") == want
+    page = f"<body>{menu}<section>{f'<p>{LONG}</p>' * 8}</section><section><p>It ends with this line.</p></section>{menu}</body>"
+    assert main_text(page) == "\n".join([*[LONG] * 8, "It ends with this line."])
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<nav>", "</nav>", "<article>", "</article>", "<div class='ad'>", "</div>", "<", ">", "&am", "'", '"', "<!--", "-->", "<script>", "</script>", "word ", "\n", "é"]), max_size=40))
 def test_no_page_is_an_error(parts):
