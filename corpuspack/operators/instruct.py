@@ -6,7 +6,7 @@ the only grouping is per conversation (turns → messages), bounded by a chat's
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuspack.functions import text as T
@@ -48,13 +48,23 @@ def instruction_rows(turns: DataFrame, conv: str = "conv_id") -> DataFrame:
     )
 
 
+def exchange_id(conv: Column, exchange: Column) -> Column:
+    """The id of an exchange (numbered from 0): ``conv * 1000 + exchange`` in a chat's first thousand.
+
+    Further ones, and those of chats whose numbers are negative or too large, are a negative 63-bit hash of both.
+    """
+    plain = (exchange < 1000) & conv.between(0, 1 << 53)
+    return F.when(plain, conv * 1000 + exchange).otherwise(F.xxhash64(conv.cast("long"), exchange.cast("long")).bitwiseOR(F.lit(-(1 << 63))))
+
+
 def exchange_rows(turns: DataFrame, conv: str = "conv_id", name: str = "row_id") -> DataFrame:
-    """Flat instruction rows from a turn table, one for each exchange, so every turn is used.
+    """Flat instruction rows from a turn table, one for each exchange.
 
     An exchange is a user turn with the turns behind it up to the next user turn: ``output`` is its
-    first assistant turn, ``response`` its last. A system turn before the first user turn is the first
+    first assistant turn, ``response`` its last; assistant turns between them are not used, nor system
+    turns behind its first. A system turn before the first user turn is the first
     exchange's ``input``, a later one that of the exchange it stands in. ``name`` is
-    ``conv * 1000 + exchange`` (from 0). A chat without a user turn is one exchange without instruction.
+    ``exchange_id``. A chat without a user turn is one exchange without instruction.
     """
     so_far = Window.partitionBy(conv).orderBy("turn")  # one chat: bounded by its length
     is_ = lambda r: F.col("role") == r
@@ -65,7 +75,7 @@ def exchange_rows(turns: DataFrame, conv: str = "conv_id", name: str = "row_id")
         F.min_by("text", F.when(is_("assistant"), F.col("turn"))).alias("output"),
         F.max_by("text", F.when(is_("assistant"), F.col("turn"))).alias("response"),
     )
-    return rows.select((F.col(conv) * 1000 + F.col("_exchange")).alias(name), "instruction", "input", "output", "response")
+    return rows.select(exchange_id(F.col(conv), F.col("_exchange")).alias(name), "instruction", "input", "output", "response")
 
 
 # --------------------------------------------------------------------------- B10 / G1 / G2

@@ -106,3 +106,16 @@ def test_score_table_missing_task(spark):
     got = {r.task: r for r in scores.score_table(s).collect()}
     assert got["a"].run == 0.5 and got["a"].baseline == 0.0 and got["a"].delta == 0.5
     assert got["b"].baseline is None and got["b"].delta is None and got["b"].n_baseline == 0
+
+
+def test_ids_of_a_chat_of_many_exchanges(spark):
+    """More than a thousand user turns in one chat: no id is another chat's."""
+    turns = spark.range(4600).selectExpr(
+        "id div 2300 AS conv_id", "id % 2300 AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('t', id) AS text"
+    )
+    from corpuspack.operators import instruct
+
+    rows = instruct.exchange_rows(turns).collect()
+    assert len(rows) == len({r["row_id"] for r in rows}) == 2300
+    ids = {r["instruction"]: r["row_id"] for r in rows}
+    assert ids["t0"] == 0 and ids["t1998"] == 999 and ids["t2300"] == 1000 and ids["t2000"] < 0
