@@ -85,14 +85,20 @@ def pieces(docs: DataFrame, seq_len: int = 2048, tokenizer_path: str | None = No
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tokenize, schema)
 
 
+def check_fits(length: int, limits: Limits) -> None:
+    """An error if a piece of ``length`` tokens does not fit an empty sequence under all three capacities."""
+    if length > limits.tokens or limits.documents < 1 or length**2 > limits.attention:
+        raise ValueError("a piece is longer than a sequence" if length > limits.tokens else "a piece exceeds a capacity of an empty sequence")
+
+
 def best_fit(lengths: np.ndarray, limits: Limits) -> tuple[np.ndarray, np.ndarray, int]:
     """Sequence number and offset of each piece (in order of falling length), and how many sequences.
 
     Ties go to the sequence opened first. A piece longer than ``limits.tokens`` is an error.
     """
     n = len(lengths)
-    if n and lengths.max() > limits.tokens:
-        raise ValueError("a piece is longer than a sequence")
+    if n:
+        check_fits(int(lengths.max()), limits)
     cap = np.array([limits.tokens, limits.documents, limits.attention], dtype=np.float64)
     weights = np.array(limits.weights)
     order = np.argsort(-lengths, kind="stable")
@@ -137,7 +143,7 @@ def pack(pieces_table: DataFrame, limits: Limits = Limits(), bucket_pieces: int
     """``pieces_table`` (a written table) with ``sequence_id long, offset long`` added.
 
     Every piece is in one sequence; a sequence's pieces fill it gapless from 0 and keep to all of
-    ``limits``. A piece as long as a sequence has one to itself. Repeated rows are pieces of their
+    ``limits``. A piece as long as a sequence has one to itself; one that an empty sequence cannot take is an error. Repeated rows are pieces of their
     own. An empty table gives an empty table. ``bucket_pieces`` bounds the mean size of a bucket.
     """
     n = pieces_table.count()
@@ -145,6 +151,9 @@ def pack(pieces_table: DataFrame, limits: Limits = Limits(), bucket_pieces: int
     numbered = pieces_table.withColumn("_row", F.monotonically_increasing_id())
     alone = numbered.filter(F.col("length") == limits.tokens)
     shared = numbered.filter(F.col("length") < limits.tokens)
+    longest = numbered.agg(F.max("length")).first()[0]
+    if longest is not None:
+        check_fits(longest, limits)
     columns = pieces_table.columns
 
     def fill(frame: pd.DataFrame) -> pd.DataFrame:

@@ -121,3 +121,12 @@ def test_every_constraint_holds(spark, rule):
 def test_best_fit_rejects_too_long():
     with pytest.raises(ValueError):
         packing.best_fit(np.array([11]), packing.Limits(tokens=10))
+
+
+@pytest.mark.parametrize(("length", "limits"), [(10, packing.Limits(tokens=10, attention=99)), (8, packing.Limits(tokens=10, attention=50)), (10, packing.Limits(tokens=10, documents=0))])
+def test_pieces_that_no_sequence_takes_are_errors(spark, length, limits):
+    with pytest.raises(ValueError):
+        packing.best_fit(np.array([length]), limits)
+    df = spark.createDataFrame([(1, 0, 0, length, 0)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    with pytest.raises(ValueError):
+        packing.pack(df, limits)
