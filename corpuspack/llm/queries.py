@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuspack.llm import attribution, fingerprints, main_text, mixing, near_dedup, packing, quality_rules, ranking, toxicity, warc
-from corpuspack.llm.common import documents, labels, pages
+from corpuspack.llm import attribution, centroids, fingerprints, main_text, mixing, near_dedup, packing, personal_data, quality_rules, ranking, toxicity, warc, word_runs
+from corpuspack.llm.common import documents, embeddings, labels, pages
 
 
 def op1_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
+def op11_laesa_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(embeddings(spark, sf_dir))
+
+
+def op12_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data(documents(spark, sf_dir))
+
+
+def op13_dyadic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.periodic_runs(documents(spark, sf_dir), planted=True)
+
+
 QUERIES = {
     "op1_warc_capture_index": op1_warc_capture_index,
     "op2_poisson_mixing": op2_poisson_mixing,
@@ -67,9 +79,13 @@ QUERIES = {
     "op8_imatch_fingerprints": op8_imatch_fingerprints,
     "op9_token_attribution": op9_token_attribution,
     "op10_quality_rules": op10_quality_rules,
+    "op11_laesa_clusters": op11_laesa_clusters,
+    "op12_bilstm_crf_pii": op12_bilstm_crf_pii,
+    "op13_dyadic_runs": op13_dyadic_runs,
 }
 
 SQL: dict[str, str] = {
     "op1_warc_capture_index": warc.ROUND_TRIP_SQL,
     "op2_poisson_mixing": mixing.MIX_SQL,
+    "op11_laesa_clusters": centroids.CLUSTERS_SQL,
 }
