@@ -32,6 +32,10 @@ class Tokenizer:
     vocab_size: int
     native: bool  # True when encode/count are plain Spark expressions
 
+    def identity(self) -> str:
+        """What tells this tokenizer from another one in a fingerprint."""
+        return f"{type(self).__name__}:{self.eos_id}:{self.vocab_size}"
+
     def encode(self, text: Column | str) -> Column:  # pragma: no cover - interface
         raise NotImplementedError
 
@@ -118,6 +122,9 @@ class JsonTokenizer(Tokenizer):
         self.vocab_size = int(tok.get_vocab_size(with_added_tokens=True))
         self._bc = self.spark.sparkContext.broadcast(self.definition)
 
+    def identity(self) -> str:
+        return f"{super().identity()}:{hashlib.sha256(self.definition.encode()).hexdigest()}"
+
     def encode(self, text: Column | str) -> Column:
         bc = self._bc
 

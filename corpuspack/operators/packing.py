@@ -18,7 +18,7 @@ Nothing here orders a whole source in one task:
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -391,12 +391,12 @@ class PackResult:
             F.slice("tokens", (F.col("start") + 1).cast("int"), F.col("length").cast("int")).alias("tokens"),
         )
 
-    def write(self, path: str) -> None:
+    def write(self, path: str, sources: Sequence[str] | None = None, fingerprints: Mapping[str, str] | None = None) -> None:
         """A8 for this plan: segments are already grouped by stream position, so a local sort
         replaces the shuffle by shard (files per shard ≈ shard size / bucket size + 1)."""
         from corpuspack.sources.sinks import write_packed
 
-        write_packed(self.segments(), path, shuffle=False)
+        write_packed(self.segments(), path, shuffle=False, sources=sources, fingerprints=fingerprints)
 
 
 def auto_buckets(

@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuspack.functions.tokens import ByteTokenizer, Tokenizer
-from corpuspack.operators import instruct, mixture, packing, windows
+from corpuspack.operators import instruct, mixture, packing, window_reads, windows
 from corpuspack.session import materialize
-from corpuspack.sources import binshards, registry, sinks
+from corpuspack.sources import binshards, registry, sinks, tokenshards
 
 
 def budget_prefix(
@@ -87,8 +87,9 @@ def prepare_corpus(
     piece_tokens: int | None = None,
 ) -> DataFrame | None:
     """Read registered sources (name → path), pack them in one job under per-source budgets and
-    write ``out/source=…/shard_idx=…``. A source whose own folder already holds a finished write
-    (``_SUCCESS``) is skipped, unless ``force``. Returns the cut table of the sources packed now
+    commit them as the new version of those sources under ``out`` (``sinks.write_packed``). A source that was made
+    from the same files (path, length, time of change) with the same parameters is skipped, unless ``force``;
+    a changed input, budget, shard size or tokenizer is prepared again. Returns the cut table of the sources packed now
     (None when there was nothing left to do). With ``early_stop`` each source is read only up to
     the file that decides its cut (``budget_prefix``), as a stream would stop. With ``bin_dir``
     the shards are also exported as flat ``uint32`` files, for the sources not yet exported.
@@ -97,22 +98,30 @@ def prepare_corpus(
     ``json`` (JSON lines)."""
     if isinstance(targets, Mapping) and (missing := sorted(set(sources) - set(targets))):
         raise ValueError(f"no target is given for {', '.join(missing)}")
-    todo = [name for name in sources if force or not sinks.is_prepared(spark, out, name)]
+    tokenizer = tokenizer or ByteTokenizer()
+    budget = {name: targets[name] if isinstance(targets, Mapping) else targets for name in sources}
+    listed = {name: registry.source_files(spark, sources[name], split, fmt) for name in sources}
+    prints = {
+        name: sinks.input_fingerprint(spark, listed[name], {
+            "target": budget[name], "shard_tokens": shard_tokens, "batch_docs": batch_docs, "piece_tokens": piece_tokens, "format": fmt,
+            "tokenizer": tokenizer.identity(),
+        })
+        for name in sources
+    }
+    todo = [name for name in sources if force or not sinks.is_prepared(spark, out, name, prints[name])]
     cut = None
     if todo:
-        tokenizer = tokenizer or ByteTokenizer()
         frames = []
         for name in todo:
-            files = registry.source_files(spark, sources[name], split, fmt)
+            files, target = listed[name], budget[name]
             if early_stop:
-                target = targets[name] if isinstance(targets, Mapping) else targets
                 files = budget_prefix(spark, name, files, target, shard_tokens, batch_docs, tokenizer, fmt=fmt)
             frames.append(registry.read_source(spark, name, sources[name], split, fmt, files=files))
         plan = packing.pack(
             mixture.union_sources(frames), shard_tokens=shard_tokens, targets=targets, batch_docs=batch_docs,
             tokenizer=tokenizer, piece_tokens=piece_tokens,
         )
-        plan.write(out)
+        plan.write(out, todo, prints)
         cut = plan.cut
     if bin_dir:
         export = [name for name in sources if name in todo or not binshards.is_exported(spark, bin_dir, name)]
@@ -140,7 +149,8 @@ def export_windows(
     """Draw training windows from packed shards and write them per rank.
 
     ``packed`` is a packed Parquet folder, or a list of ``.bin`` shard folders (A7: the
-    folder order numbers the shards, as the upstream loader's ``data_dirs`` do).
+    folder order numbers the shards, as the upstream loader's ``data_dirs`` do), from which each window is
+    read by itself (``window_reads``).
     ``n_samples`` defaults to ``epochs`` passes over the unique tokens. ``source_order``
     numbers the shards of a Parquet folder; by default sources sort by name. ``piece_tokens``: the
     Parquet shards were prepared with it, so its multiples are the blocks and nothing is cut again.
@@ -150,22 +160,23 @@ def export_windows(
         seg = sinks.read_packed(spark, packed)
         inventory = packing.shard_inventory(seg)
     else:
-        files = binshards.bin_files(spark, list(packed))
-        inventory = files.drop("path")  # lengths from the manifests or file sizes: no ids are read
-        seg = binshards.read_blocks(files, block_tokens or max(seq_len, 8192)).withColumn("n_tokens", F.size("tokens").cast("bigint"))
-        source_order = source_order or binshards.source_names(packed)
+        files = tokenshards.files_table(spark, tokenshards.files_of(None, list(packed)))
+        inventory = packing.shard_inventory(files)  # lengths from the manifests or file sizes: no ids are read
+        source_order = source_order or tokenshards.source_names(packed)
     per_source = inventory.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()  # one row per source
     if not per_source:
         raise FileNotFoundError(f"no shards under {packed}")
     order = list(source_order) if source_order else sorted(r.source for r in per_source)
     if n_samples is None:
         n_samples = int(epochs * sum(r.n for r in per_source if r.source in order) // seq_len)
-    block = piece_tokens if piece_tokens and isinstance(packed, str) else block_tokens or max(seq_len, 8192)
+    block = piece_tokens or block_tokens or max(seq_len, 8192)
     draws = windows.draw_windows(spark, inventory, n_samples, seq_len, seed, order)
-    aligned = bool(piece_tokens) or not isinstance(packed, str)  # .bin shards are read in blocks
-    drawn = windows.drawn_shards(seg, draws)
-    blocks = windows.aligned_blocks(drawn, block) if aligned else windows.to_blocks(drawn, block)
-    cut = windows.cut_windows(draws, blocks, seq_len, block)
+    if isinstance(packed, str):
+        drawn = windows.drawn_shards(seg, draws)
+        blocks = windows.aligned_blocks(drawn, block) if piece_tokens else windows.to_blocks(drawn, block)
+        cut = windows.cut_windows(draws, blocks, seq_len, block)
+    else:
+        cut = window_reads.cut_windows_by_range(draws, files, seq_len, n_samples)
     windows.write_windows(windows.batch_layout(cut, micro_batch, grad_accum, ranks), out)
     return n_samples
 

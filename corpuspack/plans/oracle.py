@@ -430,6 +430,13 @@ SELECT conv_id, string_agg('<|im_start|>' || role || {NL} || CASE WHEN (conv_id
 FROM conversations GROUP BY conv_id
 """
 
+# The new version holds de and fr with small budgets and no es; en stays as it was.
+RERUN = f"""
+SELECT source, shard_idx, CAST(sum(n_tokens) AS BIGINT) AS n_tokens, CAST(sum(list_sum(t)) AS BIGINT) AS id_sum FROM (
+  SELECT * FROM ({PIECES}) a WHERE source = 'en' UNION ALL SELECT * FROM ({pieces_sql(cut_sql(SMALL_TARGETS))}) b WHERE source IN ('de', 'fr')
+) p GROUP BY source, shard_idx
+"""
+
 SQL: dict[str, str] = {
     "docs_nonempty": DOCS,
     "token_counts": COUNTS,
@@ -467,4 +474,9 @@ SQL: dict[str, str] = {
     "capped_ids": CAPPED,
     "dirty_text": DIRTY,
     "render_dirty": RENDER_DIRTY,
+    "shard_store_ids": BIN_BLOCKS,
+    "shard_store_filtered": f"SELECT * FROM ({BIN_BLOCKS}) b WHERE source IN ('en', 'es') AND shard_idx >= 1",
+    "shard_store_rerun": RERUN,
+    "packed_rerun": RERUN,
+    "window_tokens_by_range": WINDOW_TOKENS,
 }

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from corpuspack.functions import text as T
 from corpuspack.functions.tokens import ByteTokenizer
-from corpuspack.operators import instruct, mixture, packing, scores, windows
+from corpuspack.operators import instruct, mixture, packing, scores, window_reads, windows
 from corpuspack.session import materialize, scratch_dir
-from corpuspack.sources import binshards, registry, sinks
+from corpuspack.sources import binshards, registry, sinks, tokenshards
 from corpuspack.sources.registry import BENCHMARK_SCHEMA, CONVERSATIONS_SCHEMA, DOCUMENTS_SCHEMA, fixture_docs, table
 from corpuspack.streaming import incremental
 
@@ -300,6 +300,65 @@ def bin_rerun_smaller(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("source", "shard_idx", "n_tokens")
 
 
+def _store(spark: SparkSession, sf_dir: str) -> str:
+    """The packed shards in a token store, each shard in the parts that its tasks hold."""
+    out = _fresh(spark, "store")
+    tokenshards.write_shards(packed(spark, sf_dir).segments(), out, whole_shards=False)
+    return out
+
+
+def _csv_blocks(blocks: DataFrame) -> DataFrame:
+    return blocks.select("source", "shard_idx", "pos", F.array_join("tokens", ",").alias("tokens_csv"))
+
+
+def shard_store_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8 + A7 through the data source: whole-shard files written and read back in blocks of ids."""
+    out = _fresh(spark, "store")
+    tokenshards.write_shards(packed(spark, sf_dir).segments(), out)
+    return _csv_blocks(tokenshards.read_shards(spark, [f"{out}/{s}" for s in SOURCE_ORDER], BLOCK_TOKENS))
+
+
+def shard_store_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7 with filters that the source takes over: files of other sources and shards are never opened."""
+    out = _fresh(spark, "store")
+    tokenshards.write_shards(packed(spark, sf_dir).segments(), out)
+    blocks = spark.read.format("token_shards").option("blockTokens", BLOCK_TOKENS).load(out)
+    return _csv_blocks(blocks.filter(F.col("source").isin("en", "es") & (F.col("shard_idx") >= 1)))
+
+
+def shard_store_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second version of three sources, of which one has become empty, beside one that stays; ids from the
+    files of whatever tasks held a shard's parts."""
+    out = _store(spark, sf_dir)
+    small = packing.pack(fixture_docs(spark, sf_dir).filter("lang <> 'es'"), SHARD_TOKENS, SMALL_TARGETS, BATCH_DOCS, BUCKET_DOCS)
+    kept = small.segments().filter("source <> 'en'")
+    tokenshards.write_shards(kept, out, sources=["de", "fr", "es"], whole_shards=False)
+    blocks = tokenshards.read_shards(spark, [f"{out}/{s}" for s in SOURCE_ORDER], SHARD_TOKENS)
+    ids = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return blocks.groupBy("source", "shard_idx").agg(F.sum(F.size("tokens")).cast("bigint").alias("n_tokens"), F.sum(ids).cast("bigint").alias("id_sum"))
+
+
+def packed_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8 as Parquet: the same second version, committed by a manifest."""
+    out = _fresh(spark, "packed")
+    packed(spark, sf_dir).write(out)
+    small = packing.pack(fixture_docs(spark, sf_dir).filter("lang <> 'es'"), SHARD_TOKENS, SMALL_TARGETS, BATCH_DOCS, BUCKET_DOCS)
+    small.write(out, sources=["de", "fr", "es"])
+    ids = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return sinks.read_packed(spark, out).groupBy("source", "shard_idx").agg(F.sum("n_tokens").cast("bigint").alias("n_tokens"), F.sum(ids).cast("bigint").alias("id_sum"))
+
+
+def window_tokens_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F5 by planned range reads of the shard files: the windows of ``window_tokens``, with no exchange of ids."""
+    out = _store(spark, sf_dir)
+    files = tokenshards.files_of(None, [f"{out}/{s}" for s in SOURCE_ORDER])
+    table_of = tokenshards.files_table(spark, files)
+    n_samples = sum(f.n_tokens for f in files) // SEQ_LEN
+    draws = windows.draw_windows(spark, packing.shard_inventory(table_of), n_samples, SEQ_LEN, SEED, SOURCE_ORDER)
+    w = window_reads.cut_windows_by_range(draws, table_of, SEQ_LEN, n_samples)
+    return w.select("sample_id", "source", "shard_idx", "start", F.array_join("x", ",").alias("x"), F.array_join("y", ",").alias("y"))
+
+
 def _ordered_files(spark: SparkSession, sf_dir: str, n: int = 4) -> str:
     """``documents`` written by Spark as ``n`` files, one after the other in ``doc_id`` order."""
     docs = table(spark, sf_dir, "documents", DOCUMENTS_SCHEMA)
@@ -466,4 +525,9 @@ QUERIES = {
     "capped_ids": capped_ids,
     "dirty_text": dirty_text,
     "render_dirty": render_dirty,
+    "shard_store_ids": shard_store_ids,
+    "shard_store_filtered": shard_store_filtered,
+    "shard_store_rerun": shard_store_rerun,
+    "packed_rerun": packed_rerun,
+    "window_tokens_by_range": window_tokens_by_range,
 }

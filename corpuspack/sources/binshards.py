@@ -1,10 +1,11 @@
 """Flat ``uint32`` shard files: export from packed segments, and a job that reads them back.
 
 Layout: ``<out>/<source>/shard_00000.bin`` …, a headerless little-endian ``uint32`` stream, one folder
-for each source. An export empties the source's folder first, marks it ``_INCOMPLETE`` while it
-writes, and commits it with a manifest table of its shards; the reader takes only what the manifest
-lists and refuses a folder that is incomplete. A folder without a manifest (written by another tool)
-is listed instead, its shards numbered by the number in their names.
+for each source, as other tools' loaders expect it. An export writes beside the old shards; only when all of its
+files exist does it mark the folder ``_INCOMPLETE``, exchange old for new by name, and commit a manifest table;
+the reader takes only what the manifest lists and refuses a folder that is incomplete. A folder without a
+manifest (written by another tool) is listed instead, its shards numbered by the number in their names.
+Where readers must never meet the exchange, ``tokenshards`` keeps versions instead.
 
 Lengths come from the manifest or from file sizes, never from the ids. Reading splits every file into
 byte ranges of whole blocks, so a 100 M-token shard is read by many tasks and no row holds more than
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuspack.session import hadoop_path
+from corpuspack.sources.tokenshards import source_names
 
 BIN_SCHEMA = "source STRING, shard_idx INT, pos BIGINT, tokens ARRAY<INT>"
 FILES_SCHEMA = "shard_idx INT, n_tokens BIGINT, path STRING"
@@ -57,11 +59,9 @@ def export_bin(segments: DataFrame, out_dir: str, sources: Sequence[str] | None
     if sources is None:  # one row per source
         sources = sorted(r["source"] for r in segments.select("source").distinct().collect())
     store, top = _store(out_dir)
+    fresh = f"_new-{uuid.uuid4().hex[:12]}"
     for source in sources:
-        store.create_dir(f"{top}/{source}", recursive=True)
-        store.delete_dir_contents(f"{top}/{source}")
-        with store.open_output_stream(f"{top}/{source}/_INCOMPLETE"):
-            pass
+        store.create_dir(f"{top}/{source}/{fresh}", recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = _store(out_dir)
@@ -72,7 +72,7 @@ def export_bin(segments: DataFrame, out_dir: str, sources: Sequence[str] | None
             if sink is not None:
                 sink.close()
                 name = f"{current[0]}/shard_{current[1]:05d}.bin"
-                store.move(temp, f"{top}/{name}")
+                store.move(temp, f"{top}/{current[0]}/{fresh}/shard_{current[1]:05d}.bin")
                 done.append((*current, count, f"{out_dir}/{name}"))
 
         for batch in batches:
@@ -84,7 +84,7 @@ def export_bin(segments: DataFrame, out_dir: str, sources: Sequence[str] | None
                 if key != current:
                     close()
                     current, count = key, 0
-                    temp = f"{top}/{key[0]}/_shard_{key[1]:05d}.{uuid.uuid4().hex}"
+                    temp = f"{top}/{key[0]}/{fresh}/_shard_{key[1]:05d}.{uuid.uuid4().hex}"
                     sink = store.open_output_stream(temp, compression=None)
                 ids = batch.column(2).slice(a, b - a).flatten().to_numpy()
                 sink.write(ids.astype(DTYPE).tobytes())
@@ -102,20 +102,33 @@ def export_bin(segments: DataFrame, out_dir: str, sources: Sequence[str] | None
     )
     from corpuspack.session import materialize
 
-    written = materialize(ordered.mapInArrow(write, f"source STRING, {FILES_SCHEMA}"), "bin-written")
+    from pyarrow import fs
+
+    try:
+        written = materialize(ordered.mapInArrow(write, f"source STRING, {FILES_SCHEMA}"), "bin-written")
+    except Exception:  # the old shards are still in place
+        for source in sources:
+            store.delete_dir(f"{top}/{source}/{fresh}")
+        raise
     for source in sources:
+        folder = f"{top}/{source}"
+        with store.open_output_stream(f"{folder}/_INCOMPLETE"):
+            pass
+        for old in store.get_file_info(fs.FileSelector(folder)):
+            if old.type == fs.FileType.Directory and old.base_name != fresh:
+                store.delete_dir(old.path)
+            elif old.type == fs.FileType.File and old.base_name != "_INCOMPLETE":
+                store.delete_file(old.path)
+        for new in store.get_file_info(fs.FileSelector(f"{folder}/{fresh}")):
+            if not new.base_name.startswith("_"):
+                store.move(new.path, f"{folder}/{new.base_name}")
+        store.delete_dir(f"{folder}/{fresh}")
         own = written.filter(F.col("source") == source).drop("source")
         own.coalesce(1).write.mode("overwrite").parquet(f"{out_dir}/{source}/_manifest")
-        store.delete_file(f"{top}/{source}/_INCOMPLETE")
+        store.delete_file(f"{folder}/_INCOMPLETE")
     return written
 
 
-def source_names(dirs: Sequence[str]) -> list[str]:
-    """A name for each folder, its last part; folders of one name get their position in front."""
-    names = [d.rstrip("/").rsplit("/", 1)[-1] for d in dirs]
-    return [n if names.count(n) == 1 else f"{i}:{n}" for i, n in enumerate(names)]
-
-
 def bin_files(spark: SparkSession, dirs: Sequence[str]) -> DataFrame:
     """``source, shard_idx, n_tokens, path`` of the shards in ``dirs``, without reading any ids."""
     frames = []

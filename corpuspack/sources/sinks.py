@@ -1,14 +1,23 @@
-"""Sinks: packed shards as Parquet (A8), chat JSONL (A9), the prepared-source test (A10)."""
+"""Sinks: packed shards as Parquet (A8), chat JSONL (A9), the prepared-source test (A10).
+
+Packed Parquet is versioned (``versions.py``): each write goes to ``path/version=<id>/source=…/shard_idx=…`` and
+becomes visible by a manifest that names, for each source, the version that holds it, the fingerprint of what it
+was made from, and whether it has rows at all. A failed write changes nothing that can be read.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import uuid
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuspack.session import hadoop_path
+from corpuspack.sources import versions
 
 PACKED_SCHEMA = "source STRING, shard_idx INT, pos BIGINT, doc_seq BIGINT, n_tokens BIGINT, tokens ARRAY<INT>"
 
@@ -19,57 +28,87 @@ def source_folder(path: str, source: str) -> str:
     return f"{path.rstrip('/')}/source={name}"
 
 
-def is_prepared(spark: SparkSession, path: str, source: str) -> bool:
-    """A10: a source counts as prepared only when its own folder holds a ``_SUCCESS`` marker.
+def prepared(spark: SparkSession, path: str) -> dict[str, dict]:
+    """What the newest version under ``path`` holds: source -> ``version, rows, fingerprint``."""
+    found = versions.newest(versions.HadoopStore(spark), path.rstrip("/"))
+    return found[1]["sources"] if found else {}
+
+
+def input_fingerprint(spark: SparkSession, files: Sequence[str], parameters: Mapping) -> str:
+    """A digest of a source's input listing (path, length, time of change of each file) and of the parameters."""
+    listing = []
+    for f in files:
+        fs, p = hadoop_path(spark, f)
+        status = fs.getFileStatus(p)
+        listing.append((f, status.getLen(), status.getModificationTime()))
+    text = json.dumps([listing, sorted(parameters.items())], ensure_ascii=False, default=str)
+    return hashlib.sha256(text.encode()).hexdigest()
 
-    A half-written folder (a job killed mid-write) has no marker and is prepared again.
-    """
-    fs, p = hadoop_path(spark, f"{source_folder(path, source)}/_SUCCESS")
-    return bool(fs.exists(p))
 
+def is_prepared(spark: SparkSession, path: str, source: str, fingerprint: str | None = None) -> bool:
+    """A10: a source counts as prepared when the newest version names it, even if it had no rows, and, where a
+    ``fingerprint`` is given, was made from the same input with the same parameters."""
+    entry = prepared(spark, path).get(source)
+    return entry is not None and (fingerprint is None or entry["fingerprint"] == fingerprint)
 
-def write_packed(segments: DataFrame, path: str, shuffle: bool = True) -> None:
-    """Write packed segments under ``path/source=…/shard_idx=…/``, a folder and marker per source.
+
+def write_packed(
+    segments: DataFrame, path: str, shuffle: bool = True, sources: Sequence[str] | None = None, fingerprints: Mapping[str, str] | None = None
+) -> None:
+    """Write packed segments and commit them as the new version of their sources.
 
     With ``shuffle`` rows are shuffled by ``(source, shard_idx)`` so each shard is written by
     one task (at most ``shard_tokens`` ids, whatever the data size). Without it (segments
     already clustered by stream position, as ``PackResult.write`` gives them) only a local
-    sort runs. All sources are written by one job to a fresh folder; then each one's folder takes
-    the place of its old one, so a smaller re-run leaves no stale shards and other sources stay.
+    sort runs. ``sources`` are the sources written, those without rows included, which read as empty afterwards; by
+    default those that have rows. Other sources stay as they are.
     """
-    spark = segments.sparkSession
+    spark, path = segments.sparkSession, path.rstrip("/")
     seg = segments.select("source", "shard_idx", "pos", "doc_seq", "n_tokens", "tokens")
+    if sources is not None:
+        seg = seg.filter(F.col("source").isin(list(sources)))
     if shuffle:
         seg = seg.repartition("source", "shard_idx")
-    fresh = f"{path.rstrip('/')}/_fresh-{uuid.uuid4().hex}"
-    seg.sortWithinPartitions("source", "shard_idx", "pos").write.partitionBy("source", "shard_idx").parquet(fresh)
-    fs, staged = hadoop_path(spark, fresh)
-    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for status in fs.listStatus(staged):  # one folder per source
-        name = status.getPath().getName()
-        if name.startswith("source="):
-            target = make(make(path), name)
-            fs.delete(target, True)
-            if not fs.rename(status.getPath(), target):
-                raise OSError(f"could not move {status.getPath()} to {target}")
-            fs.create(make(target, "_SUCCESS"), True).close()
-    fs.delete(staged, True)
-
-
-def prepare_source(spark: SparkSession, segments: DataFrame, path: str, source: str, force: bool = False) -> bool:
-    """Write one source's shards unless already prepared; returns whether it wrote."""
-    if not force and is_prepared(spark, path, source):
+    store = versions.HadoopStore(spark)
+    before = versions.newest(store, path)
+    version = uuid.uuid4().hex[:12]
+    target = f"{path}/version={version}"
+    seg.sortWithinPartitions("source", "shard_idx", "pos").write.partitionBy("source", "shard_idx").parquet(target)
+    held = set(store.names(target))
+    if sources is None:  # one folder per source
+        named = spark.read.schema(PACKED_SCHEMA).parquet(target).select("source").distinct() if any(n.startswith("source=") for n in held) else None
+        sources = [r["source"] for r in named.collect()] if named is not None else []
+    content = dict(before[1]["sources"]) if before else {}
+    for s in sources:
+        content[s] = {"version": version, "rows": source_folder(target, s).rsplit("/", 1)[1] in held, "fingerprint": (fingerprints or {}).get(s)}
+    versions.commit(store, path, before[0] if before else 0, {"sources": content})
+    versions.sweep(store, path, lambda c: {f"version={e['version']}" for e in c["sources"].values()})
+
+
+def prepare_source(spark: SparkSession, segments: DataFrame, path: str, source: str, force: bool = False, fingerprint: str | None = None) -> bool:
+    """Write one source's shards unless already prepared (from the same input, if a ``fingerprint`` is given);
+    returns whether it wrote."""
+    if not force and is_prepared(spark, path, source, fingerprint):
         return False
-    write_packed(segments.filter(F.col("source") == source), path)
+    write_packed(segments, path, sources=[source], fingerprints={source: fingerprint} if fingerprint else None)
     return True
 
 
 def read_packed(spark: SparkSession, path: str, sources: list[str] | None = None) -> DataFrame:
-    """Read packed segments; ``sources`` becomes a partition filter (pruned at listing)."""
-    df = spark.read.schema(PACKED_SCHEMA).parquet(path)
-    if sources is not None:
-        df = df.filter(F.col("source").isin(list(sources)))
-    return df
+    """The newest version of the packed segments; only the folders of ``sources`` (default: all) are listed."""
+    path = path.rstrip("/")
+    entries = prepared(spark, path)
+    if not entries:
+        raise FileNotFoundError(f"{path} holds no committed shards")
+    by_version: dict[str, list[str]] = {}
+    for s, e in sorted(entries.items()):
+        if e["rows"] and (sources is None or s in sources):
+            by_version.setdefault(e["version"], []).append(source_folder(f"{path}/version={e['version']}", s))
+    out = None
+    for version, folders in by_version.items():
+        part = spark.read.schema(PACKED_SCHEMA).option("basePath", f"{path}/version={version}").parquet(*folders)
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], PACKED_SCHEMA) if out is None else out.select(*[f.split()[0] for f in PACKED_SCHEMA.split(", ")])
 
 
 def write_chat_jsonl(chats: DataFrame, path: str) -> None:

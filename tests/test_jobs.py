@@ -18,12 +18,12 @@ def test_prepare_then_windows(spark, tmp_out):
     _write_source(spark, f"{tmp_out}/code", "de", "content")
     sources = {"fineweb-edu": f"{tmp_out}/fwe", "the-stack": f"{tmp_out}/code"}
     out, bins = f"{tmp_out}/packed", f"{tmp_out}/bin"
-    cut = jobs.prepare_corpus(spark, sources, out, {"fineweb-edu": 100_000, "the-stack": 10**9}, 16_384, 10,
-                              split="train", bin_dir=bins)
+    budgets = {"fineweb-edu": 100_000, "the-stack": 10**9}
+    cut = jobs.prepare_corpus(spark, sources, out, budgets, 16_384, 10, split="train", bin_dir=bins)
     got = {r.source: r for r in cut.collect()}
     assert got["fineweb-edu"].reached and got["fineweb-edu"].kept_tokens >= 100_000
     assert not got["the-stack"].reached and got["the-stack"].kept_tokens == got["the-stack"].total_tokens
-    assert jobs.prepare_corpus(spark, sources, out) is None  # already prepared
+    assert jobs.prepare_corpus(spark, sources, out, budgets, 16_384, 10, split="train") is None  # already prepared
     seg = sinks.read_packed(spark, out)
     assert seg.agg(F.sum("n_tokens")).first()[0] == sum(r.kept_tokens for r in got.values())
     first = np.fromfile(f"{bins}/fineweb-edu/shard_00000.bin", dtype="<u4")
@@ -75,7 +75,8 @@ def test_cli_prepare_and_windows(spark, tmp_out, capsys):
     jobs.main(["prepare", "--source", f"fineweb-edu={tmp_out}/fwe", "--split", "train", "--out", out,
                "--target-tokens", "50000", "--shard-tokens", "8192", "--batch-docs", "10", "--bin-dir", bins])
     assert "fineweb-edu:" in capsys.readouterr().out
-    jobs.main(["prepare", "--source", f"fineweb-edu={tmp_out}/fwe", "--split", "train", "--out", out])
+    jobs.main(["prepare", "--source", f"fineweb-edu={tmp_out}/fwe", "--split", "train", "--out", out,
+               "--target-tokens", "50000", "--shard-tokens", "8192", "--batch-docs", "10"])
     assert "already prepared" in capsys.readouterr().out
     jobs.main(["windows", "--bin-dirs", f"{bins}/fineweb-edu", "--out", f"{tmp_out}/w", "--seq-len", "128",
                "--ranks", "2"])
