@@ -479,4 +479,7 @@ SQL: dict[str, str] = {
     "shard_store_rerun": RERUN,
     "packed_rerun": RERUN,
     "window_tokens_by_range": WINDOW_TOKENS,
+    "stream_shards_reordered": STREAM_SEGMENTS.format(pieces=PIECES),
+    "stream_progress_reordered": f"""
+SELECT source, n_docs, total_tokens AS n_tokens, CAST(0 AS BIGINT) AS n_held, CAST(0 AS BIGINT) AS n_late, kept_tokens FROM ({cut_sql(PARTIAL_TARGETS)}) c""",
 }

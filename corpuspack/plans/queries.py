@@ -18,7 +18,7 @@ from corpuspack.operators import instruct, mixture, packing, scores, window_read
 from corpuspack.session import materialize, scratch_dir
 from corpuspack.sources import binshards, registry, sinks, tokenshards
 from corpuspack.sources.registry import BENCHMARK_SCHEMA, CONVERSATIONS_SCHEMA, DOCUMENTS_SCHEMA, fixture_docs, table
-from corpuspack.streaming import incremental
+from corpuspack.streaming import incremental, ordered
 
 # Fixture parameters: small batches so the stop rule is exercised, budgets that
 # stop en / de / fr and leave es to end in a tail shard at sf0.01.
@@ -402,6 +402,38 @@ def stream_shards_partial_targets(spark: SparkSession, sf_dir: str) -> DataFrame
     return _streamed(spark, sf_dir, PARTIAL_TARGETS)
 
 
+FILE_SCHEMA = "doc_id BIGINT, text STRING"
+ARRIVAL = (2, 0, 3, 1)  # four files of each source, in this order of arrival
+
+
+def _files_out_of_order(spark: SparkSession, sf_dir: str) -> str:
+    """``documents`` written by Spark as four numbered files of each source, the numbers in the order ``ARRIVAL``."""
+    docs = table(spark, sf_dir, "documents", DOCUMENTS_SCHEMA)
+    cuts = docs.approxQuantile("doc_id", [k / 4 for k in range(1, 4)], 0.0)
+    number = sum((F.col("doc_id") > c).cast("int") for c in cuts) if cuts else F.lit(0)
+    out = _fresh(spark, "stream-files")
+    for k in ARRIVAL:
+        part = docs.filter(number == k).select("doc_id", "text", F.col("lang").alias("source"), F.lit(k).alias("seq"))
+        part.repartition("source").write.mode("append").partitionBy("source", "seq").parquet(out)
+    return out
+
+
+def _ordered(spark: SparkSession, sf_dir: str, targets) -> ordered.OrderedAppender:
+    files = _files_out_of_order(spark, sf_dir)
+    return ordered.pack_files_in_order(spark, files, _fresh(spark, "ordered"), FILE_SCHEMA, SHARD_TOKENS, targets, BATCH_DOCS)
+
+
+def stream_shards_reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 for files that arrive out of order, with the carry in the state store: the ids of ``stream_shards``."""
+    seg = _ordered(spark, sf_dir, TARGETS).segments()
+    return seg.select("source", "shard_idx", "pos", "doc_seq", F.array_join("tokens", ",").alias("tokens_csv"))
+
+
+def stream_progress_reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2 from the state store: what each source has received, and its cut; two sources have no budget."""
+    return _ordered(spark, sf_dir, PARTIAL_TARGETS).progress()
+
+
 def scan_corpus_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2 + B1: the documents as JSON lines in ordered files, scanned with their stream order."""
     out = _fresh(spark, "corpus-json")
@@ -530,4 +562,6 @@ QUERIES = {
     "shard_store_rerun": shard_store_rerun,
     "packed_rerun": packed_rerun,
     "window_tokens_by_range": window_tokens_by_range,
+    "stream_shards_reordered": stream_shards_reordered,
+    "stream_progress_reordered": stream_progress_reordered,
 }
