@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from corpuspack.functions.tokens import ByteTokenizer, Tokenizer
 from corpuspack.operators import instruct, mixture, packing, window_reads, windows
 from corpuspack.session import materialize
-from corpuspack.sources import binshards, registry, sinks, tokenshards
+from corpuspack.sources import binshards, footers, registry, sinks, tokenshards
 
 
 def budget_prefix(
@@ -91,7 +91,8 @@ def prepare_corpus(
     from the same files (path, length, time of change) with the same parameters is skipped, unless ``force``;
     a changed input, budget, shard size or tokenizer is prepared again. Returns the cut table of the sources packed now
     (None when there was nothing left to do). With ``early_stop`` each source is read only up to
-    the file that decides its cut (``budget_prefix``), as a stream would stop. With ``bin_dir``
+    the rows that decide its cut (``footers``; JSON and stores that tasks cannot open: up to the file, ``budget_prefix``),
+    as a stream would stop. With ``bin_dir``
     the shards are also exported as flat ``uint32`` files, for the sources not yet exported.
     With ``piece_tokens`` shards are also cut at its multiples, which ``export_windows`` takes as its
     blocks. ``targets`` as a mapping must name every source; None is no budget. ``fmt``: ``parquet`` or
@@ -113,10 +114,14 @@ def prepare_corpus(
     if todo:
         frames = []
         for name in todo:
-            files, target = listed[name], budget[name]
-            if early_stop:
+            files, target, scan = listed[name], budget[name], None
+            if early_stop and target is not None and fmt == "parquet" and footers.readable(files):
+                spec = registry.lookup(name)
+                prefix, groups = footers.budget_prefix(spark, spec, files, target, shard_tokens, batch_docs, tokenizer)
+                scan = prefix.scan(spark, spec, groups) if prefix.groups else None
+            elif early_stop:
                 files = budget_prefix(spark, name, files, target, shard_tokens, batch_docs, tokenizer, fmt=fmt)
-            frames.append(registry.read_source(spark, name, sources[name], split, fmt, files=files))
+            frames.append(registry.read_source(spark, name, sources[name], split, fmt, files=files, scan=scan))
         plan = packing.pack(
             mixture.union_sources(frames), shard_tokens=shard_tokens, targets=targets, batch_docs=batch_docs,
             tokenizer=tokenizer, piece_tokens=piece_tokens,

@@ -95,17 +95,21 @@ def read_source(
     fmt: str = "parquet",
     registry: dict[str, SourceSpec] | None = None,
     files: list[str] | None = None,
+    scan: DataFrame | None = None,
 ) -> DataFrame:
     """A2 + B1: scan a registered corpus at ``path`` into ``raw_docs``.
 
     ``split`` is a sub-folder (``path/split``, default ``train``; None reads ``path`` itself).
-    ``files`` restricts the read to a stream-order prefix of the source's files.
+    ``files`` restricts the read to a stream-order prefix of the source's files, ``scan`` to a ``text_scan`` of a
+    prefix of its rows.
     The text field is the registry's (see ``text_scan``).
     """
     spec = lookup(name, registry)
     location = f"{path.rstrip('/')}/{split}" if split else path
     # ``files``: a prefix of ``source_files`` in stream order (doc_seq then equals the full read's)
-    ordered = with_stream_order(text_scan(spark, spec, files if files is not None else location, fmt))
+    if scan is None:
+        scan = text_scan(spark, spec, files if files is not None else location, fmt)
+    ordered = with_stream_order(scan)
     return ordered.select(F.lit(spec.name).alias("source"), "doc_seq", "text")
 
 
