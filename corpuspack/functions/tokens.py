@@ -31,6 +31,7 @@ class Tokenizer:
     eos_id: int
     vocab_size: int
     native: bool  # True when encode/count are plain Spark expressions
+    columnar = True  # False when ids come from ``tokenize_table`` only, not from a column expression
 
     def identity(self) -> str:
         """What tells this tokenizer from another one in a fingerprint."""

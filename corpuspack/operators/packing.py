@@ -56,6 +56,9 @@ def with_token_counts(docs: DataFrame, tokenizer: Tokenizer | None = None) -> Da
 def tokenize(docs: DataFrame, tokenizer: Tokenizer | None = None, guard: bool = False) -> DataFrame:
     """``(source, doc_seq, text)`` → ``(source, doc_seq, n_tokens, tokens)``, EOS appended."""
     tokenizer = tokenizer or ByteTokenizer()
+    if not tokenizer.columnar:
+        table = tokenizer.tokenize_table(docs)
+        return table.withColumn("tokens", tokenizer.guard("tokens"))
     tokens = tokenizer.encode_with_eos("text")
     if guard or not tokenizer.native:  # an outside tokenizer's ids are checked before they are written
         tokens = tokenizer.guard(tokens)

@@ -115,7 +115,9 @@ def prepare_corpus(
         frames = []
         for name in todo:
             files, target, scan = listed[name], budget[name], None
-            if early_stop and target is not None and fmt == "parquet" and footers.readable(files):
+            if not tokenizer.columnar:
+                pass  # a document's tokens are known only when the whole corpus' are
+            elif early_stop and target is not None and fmt == "parquet" and footers.readable(files):
                 spec = registry.lookup(name)
                 prefix, groups = footers.budget_prefix(spark, spec, files, target, shard_tokens, batch_docs, tokenizer)
                 scan = prefix.scan(spark, spec, groups) if prefix.groups else None
