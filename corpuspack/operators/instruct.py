@@ -214,3 +214,63 @@ def pairs_from_turns(turns: DataFrame, conv: str = "conv_id") -> DataFrame:
         T.user_assistant_chat(prompt, "output").alias("chosen"),
         T.user_assistant_chat(prompt, "response").alias("rejected"),
     )
+
+
+# --------------------------------------------------------------------------- G6 with the prompt inside
+
+
+MAX_PROMPT = 1024  # tokens of a prompt, its end
+
+
+def pairs_of_chats(chats: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """Preference sets as they are published: both message lists hold the prompt. Each assistant turn of a chat that
+    has a later one is preferred to the next: ``pair_id`` (``exchange_id`` of the chat and the turn's place among
+    its assistant turns), ``chosen`` and ``rejected``, which share all turns before the preferred one."""
+    places = F.filter(F.sequence(F.lit(1), F.size("messages")), lambda i: F.element_at("messages", i)["role"] == "assistant")
+    chats = chats.filter(F.size("messages") > 1).select(F.col(conv).alias("_conv"), "messages", places.alias("_at")).filter(F.size("_at") > 1)
+    k = F.col("_k")
+    one = chats.select("_conv", "messages", "_at", F.explode(F.sequence(F.lit(1), F.size("_at") - 1)).alias("_k"))
+    first, second = F.element_at("_at", k), F.element_at("_at", k + 1)
+    before = F.slice("messages", F.lit(1), first - 1)
+    side = lambda at: F.concat(before, F.array(F.element_at("messages", at)))
+    return one.select(exchange_id(F.col("_conv"), k - 1).alias("pair_id"), side(first).alias("chosen"), side(second).alias("rejected"))
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """How many messages two lists begin with in common; each keeps one message of its own at least."""
+    least = F.least(F.size(a), F.size(b)) - 1
+    same = F.transform(F.sequence(F.lit(1), F.greatest(least, F.lit(1))), lambda i: F.get(a, i - 1).eqNullSafe(F.get(b, i - 1)))
+    differs = F.array_position(same, F.lit(False)).cast("int")
+    return F.when(least < 1, F.lit(0)).otherwise(F.when(differs == 0, least).otherwise(differs - 1))
+
+
+def preference_prompts(
+    pairs: DataFrame, tokenizer: Tokenizer | None = None, max_length: int = MAX_LENGTH, max_prompt: int = MAX_PROMPT, render=None
+) -> DataFrame:
+    """G6 for pairs whose sides both hold the prompt (``pair_id, chosen, rejected``).
+
+    The prompt is what the two lists begin with in common, rendered with an open assistant turn; the completions
+    are the rest. They are capped apart: the prompt keeps its last ``max_prompt`` ids, a completion its first,
+    up to ``max_length`` ids of both together. A null or empty side has an empty completion."""
+    tokenizer = tokenizer or ByteTokenizer()
+    render = render or T.render_chat
+    n = F.col("_n")
+    whole = lambda c: F.coalesce(F.col(c), F.array().cast(T.MESSAGES_TYPE))
+    filled = pairs.select("pair_id", whole("chosen").cast(T.MESSAGES_TYPE).alias("chosen"), whole("rejected").cast(T.MESSAGES_TYPE).alias("rejected"))
+    cut = filled.withColumn("_n", common_prefix(F.col("chosen"), F.col("rejected")))
+    marked = render("_prompt", add_generation_prompt=True)
+    rest = lambda c: F.slice(c, n + 1, F.greatest(F.size(c) - n, F.lit(0)))
+    answer = lambda c: F.concat(T.null_to_empty(F.get(c, F.lit(0))["content"]), F.when(F.size(c) > 1, render(F.slice(c, F.lit(2), F.size(c)))).otherwise(F.lit("")))
+    parts = cut.select("pair_id", "_n", F.slice("chosen", F.lit(1), n).alias("_prompt"), rest("chosen").alias("_c"), rest("rejected").alias("_r"))
+    texts = parts.select(
+        "pair_id", n.alias("n_common"), marked.alias("prompt_text"),
+        F.when(F.size("_c") > 0, answer(F.col("_c"))).otherwise("").alias("chosen_text"), F.when(F.size("_r") > 0, answer(F.col("_r"))).otherwise("").alias("rejected_text"),
+    )
+    ids = texts.withColumn("_ids", tokenizer.encode("prompt_text"))
+    kept = F.least(F.size("_ids"), F.lit(max_prompt))
+    out = ids.withColumn("prompt_ids", F.slice("_ids", F.size("_ids") - kept + 1, kept)).withColumn("prompt_truncated", F.size("_ids") > max_prompt)
+    room = F.lit(max_length) - F.size("prompt_ids")
+    for side in ("chosen", "rejected"):
+        out = out.withColumn("_ids", tokenizer.encode(f"{side}_text"))
+        out = out.withColumn(f"{side}_ids", F.slice("_ids", F.lit(1), room)).withColumn(f"{side}_truncated", F.size("_ids") > room)
+    return out.drop("_ids")

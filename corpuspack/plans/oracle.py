@@ -7,9 +7,10 @@ closed-form cutoff, shard lengths from arithmetic instead of summed pieces.
 
 from __future__ import annotations
 
+from corpuspack.operators.mixture import mixture_budgets
 from corpuspack.operators.scores import DEFAULT_TASKS, TAGS
 from corpuspack.plans.queries import (
-    BATCH_DOCS, BLOCK_TOKENS, DIRTY_PADS, GRAD_ACCUM, MICRO_BATCH, RANKS, PARTIAL_TARGETS, SCORE_WINDOW, SEED, SEED_EN, SEED_KO, SEED_MIX, SEQ_LEN,
+    BATCH_DOCS, BLOCK_TOKENS, BUDGET_SHARE, CORPORA, DIRTY_PADS, GRAD_ACCUM, MICRO_BATCH, RANKS, PARTIAL_TARGETS, SCORE_WINDOW, SEED, SEED_EN, SEED_KO, SEED_MIX, SEQ_LEN,
     SHARD_TOKENS, SMALL_TARGETS, SOURCE_ORDER, STEPS, TARGETS, TRAIN_SEQ_LEN,
 )
 
@@ -437,6 +438,70 @@ SELECT source, shard_idx, CAST(sum(n_tokens) AS BIGINT) AS n_tokens, CAST(sum(li
 ) p GROUP BY source, shard_idx
 """
 
+TEMPLATES = f"""
+SELECT conv_id,
+  CASE WHEN min_by(role, turn) <> 'system' THEN '<|im_start|>system' || {NL} || 'You are a helpful assistant.<|im_end|>' || {NL} ELSE '' END
+    || string_agg('<|im_start|>' || role || {NL} || text || '<|im_end|>' || {NL}, '' ORDER BY turn) || '<|im_start|>assistant' || {NL} AS chatml,
+  string_agg('<|' || role || '|>' || {NL} || text || '</s>' || {NL}, '' ORDER BY turn) || '<|assistant|>' || {NL} AS role_tags,
+  '<|begin_of_text|>' || string_agg('<|start_header_id|>' || role || '<|end_header_id|>' || {NL} || {NL} || {clean('text')} || '<|eot_id|>', '' ORDER BY turn) AS header_ids
+FROM conversations GROUP BY conv_id
+"""
+
+_BYTES = "list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda h: ('0x' || h)::INTEGER)"
+PROMPTS = f"""
+WITH t AS (SELECT conv_id, list({{'role': role, 'content': text}} ORDER BY turn) AS m FROM conversations GROUP BY conv_id),
+a AS (SELECT conv_id, m, list_filter(range(1, len(m) + 1), lambda i: m[i].role = 'assistant') AS places FROM t),
+p AS (SELECT conv_id, m, places, unnest(range(1, len(places))) AS k FROM a),
+x AS (SELECT conv_id * 1000 + k - 1 AS pair_id, places[k] - 1 AS n,
+        array_to_string(list_transform(m[1:places[k] - 1], lambda e: '<|im_start|>' || e.role || {NL} || e.content || '<|im_end|>' || {NL}), '') || '<|im_start|>assistant' || {NL} AS prompt,
+        m[places[k]].content AS c, m[places[k + 1]].content AS r FROM p),
+i AS (SELECT pair_id, n, {_BYTES.format("prompt")} AS pi, {_BYTES.format("c")} AS ci, {_BYTES.format("r")} AS ri FROM x),
+l AS (SELECT *, least(len(pi), 256) AS np FROM i)
+SELECT pair_id, CAST(n AS INTEGER) AS n_common, array_to_string(pi[len(pi) - np + 1:], ',') AS prompt_csv,
+  array_to_string(ci[1:512 - np], ',') AS chosen_csv, array_to_string(ri[1:512 - np], ',') AS rejected_csv,
+  len(pi) > 256 AS prompt_truncated, len(ci) > 512 - np AS chosen_truncated, len(ri) > 512 - np AS rejected_truncated
+FROM l
+"""
+
+GUARDED = f"""
+SELECT source, doc_seq, CAST(len(ids) AS BIGINT) AS n_tokens, list_max(ids) AS max_id, CAST(list_sum(ids) AS BIGINT) AS id_sum FROM ({IDS}) d
+"""
+
+_BUDGETS = {lang: mixture_budgets("validate")[name] // BUDGET_SHARE for name, lang in CORPORA.items()}
+MIXTURE = f"""
+SELECT CASE source {' '.join(f"WHEN '{lang}' THEN '{name}'" for name, lang in CORPORA.items())} END AS source, shard_idx, n_tokens
+FROM ({shards_sql(cut_sql(_BUDGETS))}) s
+"""
+
+
+def _step(n: int, what: str, wrote: bool, shards: str, tokens: str) -> str:
+    return f"SELECT CAST({n} AS BIGINT) AS step, '{what}' AS what, {wrote} AS wrote, CAST({shards} AS BIGINT) AS n_shards, CAST({tokens} AS BIGINT) AS n_tokens"
+
+
+def _whole(where: str) -> str:
+    return f"(SELECT sum(n_tokens) FROM ({COUNTS}) c WHERE source IN ({where}))"
+
+
+def _of_de(targets: dict, what: str) -> str:
+    return f"(SELECT {what} FROM ({cut_sql(targets)}) k WHERE source = 'de')"
+
+
+def _half_shards() -> str:
+    """The cut of de's budget in shards of half the size, which the batch ends decide anew."""
+    half = S // 2
+    ends = f"SELECT sum(sum(n_tokens)) OVER (ORDER BY batch) AS c FROM ({OFFSETS}) o WHERE source = 'de' GROUP BY batch"
+    return f"(SELECT coalesce(min(CASE WHEN (c // {half}) * {half} >= {TARGETS['de']} THEN (c // {half}) * {half} END), max(c)) FROM ({ends}) e)"
+
+
+AGAIN = " UNION ALL ".join([
+    _step(0, "first", True, _of_de(SMALL_TARGETS, "n_shards"), _of_de(SMALL_TARGETS, "kept_tokens")),
+    _step(1, "same", False, _of_de(SMALL_TARGETS, "n_shards"), _of_de(SMALL_TARGETS, "kept_tokens")),
+    _step(2, "budget", True, _of_de(TARGETS, "n_shards"), _of_de(TARGETS, "kept_tokens")),
+    _step(3, "shards", True, f"ceil({_half_shards()} / {S // 2}.0)", _half_shards()),
+    _step(4, "whole", True, f"ceil({_whole(chr(39) + 'de' + chr(39))} / {S}.0)", _whole("'de'")),
+    _step(5, "grown", True, f"""ceil({_whole("'de', 'es'")} / {S}.0)""", _whole("'de', 'es'")),
+])
+
 SQL: dict[str, str] = {
     "docs_nonempty": DOCS,
     "token_counts": COUNTS,
@@ -479,6 +544,11 @@ SQL: dict[str, str] = {
     "shard_store_rerun": RERUN,
     "packed_rerun": RERUN,
     "window_tokens_by_range": WINDOW_TOKENS,
+    "render_templates": TEMPLATES,
+    "preference_prompts": PROMPTS,
+    "guarded_ids": GUARDED,
+    "mixture_prepared": MIXTURE,
+    "prepared_again": AGAIN,
     "stream_shards_reordered": STREAM_SEGMENTS.format(pieces=PIECES),
     "stream_progress_reordered": f"""
 SELECT source, n_docs, total_tokens AS n_tokens, CAST(0 AS BIGINT) AS n_held, CAST(0 AS BIGINT) AS n_late, kept_tokens FROM ({cut_sql(PARTIAL_TARGETS)}) c""",

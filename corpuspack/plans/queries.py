@@ -12,12 +12,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuspack.functions import templates
 from corpuspack.functions import text as T
+from corpuspack.functions.subwords import DictionaryTokenizer
 from corpuspack.functions.tokens import ByteTokenizer
 from corpuspack.operators import instruct, mixture, packing, scores, window_reads, windows
+from corpuspack.plans import jobs
 from corpuspack.session import materialize, scratch_dir
 from corpuspack.sources import binshards, registry, sinks, tokenshards
-from corpuspack.sources.registry import BENCHMARK_SCHEMA, CONVERSATIONS_SCHEMA, DOCUMENTS_SCHEMA, fixture_docs, table
+from corpuspack.sources.registry import BENCHMARK_SCHEMA, CONVERSATIONS_SCHEMA, DOCUMENTS_SCHEMA, fixture_docs, spread, table
 from corpuspack.streaming import incremental, ordered
 
 # Fixture parameters: small batches so the stop rule is exercised, budgets that
@@ -244,11 +247,13 @@ SCORE_WINDOW = 8  # words
 
 
 def _windows(rows: DataFrame, *columns) -> DataFrame:
-    """The distinct windows of ``SCORE_WINDOW`` words of each row's text."""
+    """The windows of ``SCORE_WINDOW`` words of each row's text, as two hashes of their words (128 bits)."""
     words = rows.withColumn("_w", F.array_remove(F.split("text", "[ \\t\\n\\x0B\\f\\r]+"), ""))
     at = F.sequence(F.lit(1), F.size("_w") - (SCORE_WINDOW - 1))
-    spans = F.transform(at, lambda i: F.array_join(F.slice("_w", i, SCORE_WINDOW), " "))
-    return words.filter(F.size("_w") >= SCORE_WINDOW).select(*columns, F.explode(F.array_distinct(spans)).alias("window"))
+    span = lambda i: F.slice("_w", i, SCORE_WINDOW)
+    spans = F.transform(at, lambda i: F.struct(F.xxhash64(span(i)).alias("h1"), F.xxhash64(F.lit(1), span(i)).alias("h2")))
+    exploded = words.filter(F.size("_w") >= SCORE_WINDOW).select(*columns, F.explode(spans).alias("_s"))
+    return exploded.select(*columns, "_s.h1", "_s.h2")
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,11 +264,11 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents meet by a join on the window, the items' side being the small one.
     """
     items = table(spark, sf_dir, "benchmark", BENCHMARK_SCHEMA).filter("item_id IS NOT NULL")
-    docs = table(spark, sf_dir, "documents", DOCUMENTS_SCHEMA)
-    found = _windows(docs, "doc_id").join(_windows(items, "item_id"), "window").groupBy("item_id").agg(
+    docs = spread(table(spark, sf_dir, "documents", DOCUMENTS_SCHEMA).select("doc_id", "text"))
+    found = _windows(docs, "doc_id").join(_windows(items, "item_id"), ["h1", "h2"]).groupBy("item_id").agg(
         F.lit(1).alias("run"), F.max(F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0)).alias("baseline")
     )
-    task = F.element_at(F.array(*[F.lit(t) for t in scores.DEFAULT_TASKS]), (F.col("item_id") % len(scores.DEFAULT_TASKS) + 1).cast("int"))
+    task = F.element_at(F.array(*[F.lit(t) for t in scores.DEFAULT_TASKS]), (F.pmod("item_id", F.lit(len(scores.DEFAULT_TASKS))) + 1).cast("int"))
     wide = items.join(found, "item_id", "left").select("item_id", task.alias("task"), *[F.coalesce(t, F.lit(0)).alias(t) for t in scores.TAGS])
     tags = F.explode(F.array(*[F.struct(F.lit(t).alias("tag"), F.col(t).alias("correct")) for t in scores.TAGS]))
     long = wide.select("item_id", "task", tags.alias("s")).select("s.tag", "task", "item_id", "s.correct")
@@ -495,6 +500,101 @@ def capped_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capped.select("origin", "id", "position", "n_tokens", "truncated", F.array_join("ids", ",").alias("ids_csv"))
 
 
+def render_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B12 with three published chat templates, compiled: default system text, conditions on roles and on the loop."""
+    chats = instruct.chats_from_turns(_turns(spark, sf_dir))
+    return chats.select(
+        "conv_id",
+        templates.compile_template(templates.CHATML_DEFAULT_SYSTEM)("messages", add_generation_prompt=True).alias("chatml"),
+        templates.compile_template(templates.ROLE_TAGS, eos_token="</s>")("messages", add_generation_prompt=True).alias("role_tags"),
+        templates.compile_template(templates.HEADER_IDS, bos_token="<|begin_of_text|>")("messages").alias("header_ids"),
+    )
+
+
+def preference_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G6 on pairs whose sides both hold the prompt, from every assistant turn of every chat: ids capped apart."""
+    pairs = instruct.pairs_of_chats(instruct.chats_from_turns(_turns(spark, sf_dir)))
+    out = instruct.preference_prompts(pairs, max_length=512, max_prompt=256)
+    csv = [F.array_join(f"{c}_ids", ",").alias(f"{c}_csv") for c in ("prompt", "chosen", "rejected")]
+    return out.select("pair_id", "n_common", *csv, "prompt_truncated", "chosen_truncated", "rejected_truncated")
+
+
+def guarded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids checked against the vocabulary on their way."""
+    ids = packing.tokenize(docs_nonempty(spark, sf_dir), guard=True)
+    total = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return ids.select("source", "doc_seq", "n_tokens", F.array_max("tokens").alias("max_id"), total.alias("id_sum"))
+
+
+# Fixture stand-ins for the registered corpora, and the share of the validate budgets that fits the fixtures.
+CORPORA = {"fineweb-edu": "en", "fineweb-2-kor": "de", "the-stack": "fr"}
+BUDGET_SHARE = 10_000
+
+
+def _corpora(spark: SparkSession, sf_dir: str, per_file: int = 4) -> dict[str, str]:
+    """``documents`` by language as the registered corpora: ordered Parquet files with small row groups."""
+    out, docs = _fresh(spark, "corpora"), table(spark, sf_dir, "documents", DOCUMENTS_SCHEMA)
+    for name, lang in CORPORA.items():
+        own = docs.filter(F.col("lang") == lang).select("doc_id", F.col("text").alias(registry.lookup(name).text_field))
+        own = own.repartitionByRange(per_file, "doc_id").sortWithinPartitions("doc_id").drop("doc_id")
+        own.write.option("parquet.block.size", 1 << 16).parquet(f"{out}/{name}/train")
+    return {name: f"{out}/{name}" for name in CORPORA}
+
+
+def _validate_budgets() -> dict[str, int]:
+    return {name: tokens // BUDGET_SHARE for name, tokens in mixture.mixture_budgets("validate").items()}
+
+
+def mixture_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 + E2 + A2: three registered corpora under the validate budgets (scaled), read up to the row group that
+    decides each cut, packed as one union."""
+    out = _fresh(spark, "mixture")
+    jobs.prepare_corpus(spark, _corpora(spark, sf_dir), out, _validate_budgets(), SHARD_TOKENS, BATCH_DOCS, split="train")
+    return packing.shard_inventory(sinks.read_packed(spark, out))
+
+
+def prepared_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: prepared, skipped, prepared again with another budget and shard size, and again when the input has grown."""
+    corpora, out = _corpora(spark, sf_dir), _fresh(spark, "again")
+    one = {"fineweb-2-kor": corpora["fineweb-2-kor"]}
+    rows = []
+
+    def step(what: str, *options) -> None:
+        wrote = jobs.prepare_corpus(spark, one, out, *options, BATCH_DOCS, split="train") is not None
+        n = packing.shard_inventory(sinks.read_packed(spark, out)).agg(F.count(F.lit(1)), F.sum("n_tokens")).first()
+        rows.append((len(rows), what, wrote, n[0], n[1]))
+
+    step("first", SMALL_TARGETS["de"], SHARD_TOKENS)
+    step("same", SMALL_TARGETS["de"], SHARD_TOKENS)
+    step("budget", TARGETS["de"], SHARD_TOKENS)
+    step("shards", TARGETS["de"], SHARD_TOKENS // 2)
+    step("whole", None, SHARD_TOKENS)
+    more = table(spark, sf_dir, "documents", DOCUMENTS_SCHEMA).filter("lang = 'es'").select("text")
+    more.coalesce(1).write.mode("append").parquet(f"{one['fineweb-2-kor']}/train")
+    step("grown", None, SHARD_TOKENS)
+    return spark.createDataFrame(rows, "step BIGINT, what STRING, wrote BOOLEAN, n_shards BIGINT, n_tokens BIGINT")
+
+
+def _subwords(spark: SparkSession) -> DictionaryTokenizer:
+    from pathlib import Path
+
+    import public_tokenizers  # vocabulary files, where they are installed
+
+    return DictionaryTokenizer(Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(), "<|endoftext|>", spark)
+
+
+def subword_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1 with a published vocabulary, by a dictionary of the corpus' pre-tokens (tested against its library)."""
+    ids = _subwords(spark).tokenize_table(docs_nonempty(spark, sf_dir))
+    return ids.select("source", "doc_seq", "n_tokens", F.md5(F.array_join("tokens", ",")).alias("ids_md5"))
+
+
+def subword_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1 into D1-D7: shards of subword ids under the same budgets."""
+    p = packing.pack(fixture_docs(spark, sf_dir), SHARD_TOKENS, TARGETS, BATCH_DOCS, tokenizer=_subwords(spark))
+    return p.inventory()
+
+
 def dirty_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B2, B4, B5, B6, B8 on turns made dirty by their numbers: nulls, empty and blank texts, Unicode padding.
 
@@ -564,4 +664,11 @@ QUERIES = {
     "window_tokens_by_range": window_tokens_by_range,
     "stream_shards_reordered": stream_shards_reordered,
     "stream_progress_reordered": stream_progress_reordered,
+    "render_templates": render_templates,
+    "preference_prompts": preference_prompts,
+    "guarded_ids": guarded_ids,
+    "mixture_prepared": mixture_prepared,
+    "prepared_again": prepared_again,
+    "subword_ids": subword_ids,
+    "subword_shards": subword_shards,
 }

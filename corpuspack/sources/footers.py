@@ -143,6 +143,8 @@ def budget_prefix(
 
     The stream stops at a document-batch end at or behind the rounded budget, at most ``batch_docs`` documents
     behind the document that crosses it."""
+    if not files:
+        raise FileNotFoundError(f"{spec.name} has no files")
     rounded = -(-int(target) // int(shard_tokens)) * int(shard_tokens)
     index = sorted(row_groups(spark, files, spec.text_field).collect(), key=lambda g: (g["file_no"], g["row_group"]))  # a row for each row group
     if not index or (index[0]["text_bytes"] == 0 and index[0]["n_rows"]):

@@ -127,6 +127,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, schema: str | None = None
     return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer tasks than cores (a small table in one file) dealt out evenly; any larger one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fixture_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as ``raw_docs``: ``lang`` plays the source, ``doc_id`` the stream order."""
     docs = table(spark, sf_dir, "documents", DOCUMENTS_SCHEMA)
