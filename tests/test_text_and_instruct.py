@@ -12,7 +12,7 @@ from corpuspack.operators import instruct, scores
 WS_ALPHABET = list(T.WHITESPACE) + list("ab é漢😀​")
 
 
-@settings(max_examples=1, deadline=None)
+@settings(max_examples=40, deadline=None)
 @given(st.lists(st.text(alphabet=WS_ALPHABET, max_size=12), min_size=40, max_size=40))
 def test_strip_equals_python(spark, strings):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(strings)], "i int, s string")
