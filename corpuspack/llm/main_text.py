@@ -2,23 +2,26 @@
 
 1. Markup is stripped: a page becomes lines, one for each block of text in page order. The text of
    menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-   (known by element, role, class or id) counts as empty lines, and so do borders of containers.
+   (known by element, role, class or id) counts as empty lines, and so do borders of containers. A class or id
+   is read like a compound noun: ``reader-comments`` are comments, ``social-costs`` are costs. Whatever its name, an element
+   that holds most of the page's text outside links stays.
 2. The length of a line is its characters, in pages without an article element only those outside
    links. ``WINDOW`` neighbouring lines' lengths add up to the line-block distribution.
 3. Text begins where the distribution surges, that is rises above the threshold with text in the next
    blocks too, and ends where it dives to nothing. Runs between surge and dive are kept if they have a
    quarter of the longest run's characters. Every shorter run, also one that never surges, is kept if most of
    it is not links and it stands between kept runs, in the container around the longest run (the nearest one
-   that holds other runs, below the body), or has a sentence.
+   that holds other runs, below the body), or has a sentence that is no copyright line or marked advert.
 
 Where the page names its article (``article``, ``main`` or the role), lines outside it are empty and the
-threshold is one character, so the article is kept to its shortest line.
+threshold is one character, so the article is kept to its shortest line; runs of it that are lists of links go.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +34,10 @@ SURGE = 86
 RUN_SHARE = 0.25
 #: A short run with a larger share of its characters in links is a list of links.
 LINK_SHARE = 0.5
+#: A run of an article with so many lines, this share of them in links, is a list of links.
+LIST_LINES, LIST_SHARE = 3, 0.9
+#: Comments may hold more text than the article, if that has this many characters and a twentieth of theirs.
+LEAST_ARTICLE = 60
 
 # HTML's element names by what they mean here, and words of classes and ids.
 RAW = frozenset("script style textarea iframe noembed noframes".split())
@@ -50,16 +57,32 @@ NAMED = frozenset(
     "pager footer footnav copyright comment comments commentlist respond disqus replies share sharing social related recommended "
     "newsletter subscribe subscription signup login search searchbox widget widgets toolbar skip paywall".split()
 )
-#: With words of ``NAMED`` these make a name too (``ad-box``), other words do not (``social-costs``).
-NEUTRAL = frozenset("area bar block box button buttons container content inner item items link links list outer panel section slot text unit wrap wrapper".split())
+#: Of these, adverts and readers' comments: the former on any element but headings, the latter however much text they hold.
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion".split())
+COMMENTS = frozenset("comment comments commentlist respond disqus replies".split())
+#: Words behind a name that leave it what it is (``ad-box``, ``comment-thread``); others make it their own (``social-costs``).
+NEUTRAL = frozenset(
+    "area bar block box button buttons container content form inner item items label left link links list module outer panel region right section "
+    "slot text thread title top trail unit wrap wrapper bottom".split()
+)
+#: Words before a name that leave it what it is (``reader-comments``).
+QUALIFIERS = frozenset(
+    "article author blog body desktop entry fixed floating global header inline left main mobile news page post primary reader right secondary site sticky top "
+    "user bottom".split()
+)
+#: ``related-posts``: pages elsewhere, unlike ``related-work``.
+ELSEWHERE = frozenset("related recommended popular trending suggested".split())
+PAGES = frozenset("articles content links news pages posts reading stories topics videos".split())
 #: Only outside the article: inside it they may name its own parts.
-NAMED_OUTSIDE = frozenset("header masthead topbar top head logo branding".split())
+NAMED_OUTSIDE = frozenset("header masthead topbar logo branding".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*))>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"\s+")
-_PART = re.compile(r"[a-z]+")
+_WORDS = re.compile(r"[^a-zA-Z]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -105,28 +128,46 @@ def _pairs(tokens: list[tuple[str, str, str]]) -> dict[int, int]:
     return out
 
 
-def _is_boilerplate(name: str, attributes: dict[str, str], inside: bool) -> bool:
+def _head(token: str, names: frozenset) -> str | None:
+    """What a class or id names, if it is boilerplate: the noun of the compound, with words around it that change nothing."""
+    words = [w for w in _WORDS.split(token) if w]
+    words = [w for part in words for w in _HUMP.sub("-", part).lower().split("-")]
+    if len(words) > 1 and words[0] in ELSEWHERE and words[-1] in PAGES:
+        return words[0]
+    last = len(words)
+    while last and words[last - 1] in NEUTRAL and words[last - 1] not in names:
+        last -= 1
+    if not last or words[last - 1] not in names:
+        return None
+    return words[last - 1] if all(w in names or w in NEUTRAL or w in QUALIFIERS for w in words[: last - 1]) else None
+
+
+def _heads(attributes: dict[str, str], names: frozenset = NAMED) -> set[str]:
+    given = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
+    return {h for own in given if (h := _head(own, names))}
+
+
+def _by_element(name: str, attributes: dict[str, str], inside: bool) -> bool:
+    """Boilerplate by element, role or being hidden."""
     if name in BOILERPLATE or name in RAW or name in SKIPPED or (name == "header" and not inside):
         return True
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
         return True
-    if attributes.get("role", "").lower() in ROLES:
-        return True
-    given = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    if inside:  # whole names of containers only: headings and paragraphs are named by their subject
-        return name in CONTAINERS and any(_is_name(own) for own in given.split())
-    return bool(set(_PART.findall(given)) & (NAMED | NAMED_OUTSIDE))
+    return attributes.get("role", "").lower() in ROLES
 
 
-def _is_name(token: str) -> bool:
-    """Whether a class or id says boilerplate and nothing else."""
-    parts = set(re.split(r"[-_0-9]+", token)) - {""}
-    return bool(parts & NAMED) and parts <= NAMED | NEUTRAL
+def _by_name(name: str, attributes: dict[str, str], inside: bool) -> set[str]:
+    """What boilerplate the class or id says that an element is: containers by any name, other elements than headings
+    by those of adverts. Headings and paragraphs are named by their subject."""
+    if name in HEADINGS or not ("class" in attributes or "id" in attributes):
+        return set()
+    heads = _heads(attributes, NAMED if inside else NAMED | NAMED_OUTSIDE)
+    return heads if name in CONTAINERS else heads & ADVERTS
 
 
-def page_lines(page: str) -> tuple[list[str], np.ndarray, bool, list[int], list[tuple[int, int]]]:
+def page_lines(page: str) -> tuple[list[str], np.ndarray, bool, list[int], list[tuple[int, int]], np.ndarray]:
     """The lines of a page, their lengths for the distribution, whether it names its article, the lines' places among
-    the tokens, and the places where each container below the body begins and ends."""
+    the tokens, the places where each container below the body begins and ends, and the lines' characters in links."""
     tokens = _tokens(page)
     ends = _pairs(tokens)
     opens = [(i, t[1], _attributes(t[2])) for i, t in enumerate(tokens) if t[0] == "open"]
@@ -136,45 +177,57 @@ def page_lines(page: str) -> tuple[list[str], np.ndarray, bool, list[int], list[
     def regions(test) -> list[tuple[int, int]]:
         return [(i, ends.get(i, last)) for i, name, attributes in opens if test(name, attributes)]
 
-    def outside_comments(found):  # a comment may be an article of its own
-        kept = []
-        for i, j in found:
-            own = next(a for k, _, a in opens if k == i)
-            if not set(_PART.findall(f"{own.get('class', '')} {own.get('id', '')}".lower())) & NAMED:
-                kept.append((i, j))
-        return kept
+    def is_article(name, own):  # a comment may be an article of its own
+        return (name == "article" or own.get("role", "").lower() == "article") and not _heads(own)
 
-    articles = outside_comments(regions(lambda name, a: name == "article" or a.get("role", "").lower() == "article"))
-    articles = articles or regions(lambda name, a: name == "main" or a.get("role", "").lower() == "main")
+    articles = regions(is_article) or regions(lambda name, own: name == "main" or own.get("role", "").lower() == "main")
     inside = np.zeros(last + 1, dtype=bool)
     for i, j in articles:
         inside[i:j] = True
     first_article = articles[0][0] if articles else -1
+    article_starts = [i for i, _ in articles]
     dropped = np.zeros(last + 1, dtype=bool)
-    bound = 0
-    for i, name, attributes in opens:
-        if i < bound or name in ("html", "body", "article", "main") and not (set(_PART.findall(attributes.get("class", "").lower())) & NAMED and name == "article"):
-            continue
-        if not _is_boilerplate(name, attributes, bool(inside[i])):
-            continue
-        j = i + 1 if name in VOID else ends.get(i)
-        if j is None and name in SKIPPED:
-            j = i + 1
-            while not tokens[i][2].endswith("/") and j < last:
-                kind, other, _ = tokens[j]
-                if (kind == "open" and other in BLOCKS and other != "title") or (kind == "close" and starts.get(j, i) < i):
-                    break
-                j += 1
-        if j is None or (not inside[i] and any(i < a < j for a, _ in articles)):
-            continue  # without an end, or around the article
-        dropped[i:j] = True
-        bound = j
+
+    def drop(test) -> None:
+        bound = 0
+        for i, name, attributes in opens:
+            if i < bound or dropped[i] or (name in ("html", "body", "article", "main") and not (name == "article" and _heads(attributes))):
+                continue
+            j = i + 1 if name in VOID else ends.get(i)
+            found = test(i, j, name, attributes)
+            if not found:
+                continue
+            if j is None and name in SKIPPED:
+                j = i + 1
+                while not tokens[i][2].endswith("/") and j < last:
+                    kind, other, _ = tokens[j]
+                    if (kind == "open" and other in BLOCKS and other != "title") or (kind == "close" and starts.get(j, i) < i):
+                        break
+                    j += 1
+            # without an end, or around an article
+            if j is None or (not inside[i] and bisect_right(article_starts, i) < bisect_left(article_starts, j)):
+                continue
+            dropped[i:j] = True
+            bound = j
+
+    drop(lambda i, j, name, own: _by_element(name, own, bool(inside[i])))
+    plain = _plain_text(tokens, dropped, inside if articles else None)
+    total = int(plain[-1])
+
+    def named_so(i, j, name, own):
+        heads = _by_name(name, own, bool(inside[i]))
+        held = int(plain[j] - plain[i]) if heads and j is not None else 0
+        rest = total - held
+        return heads and (held <= rest or bool(heads & COMMENTS and rest >= LEAST_ARTICLE and held < 20 * rest))
+
+    drop(named_so)
     if articles and all(dropped[i:j].all() for i, j in articles):
         inside[:], first_article = False, -1
     named = first_article >= 0
 
     lines: list[str] = []
     lengths: list[int] = []
+    in_links: list[int] = []
     places: list[int] = []
     words: list[str] = []
     linked = 0
@@ -186,12 +239,14 @@ def page_lines(page: str) -> tuple[list[str], np.ndarray, bool, list[int], list[
         if text:
             lines.append(text)
             lengths.append(len(text) if named else max(0, len(text) - linked))
+            in_links.append(min(linked, len(text)))
             places.append(i)
         words, linked = [], 0
 
     def gap():
         lines.append("")
         lengths.append(0)
+        in_links.append(0)
         places.append(i)
 
     i = 0
@@ -219,7 +274,18 @@ def page_lines(page: str) -> tuple[list[str], np.ndarray, bool, list[int], list[
                 gap()
     end_line()
     spans = [(k, ends[k]) for k, name, _ in opens if name in CONTAINERS and name != "body" and k in ends]
-    return lines, np.array(lengths, dtype=np.int64), named, places, spans
+    return lines, np.array(lengths, dtype=np.int64), named, places, spans, np.array(in_links, dtype=np.int64)
+
+
+def _plain_text(tokens: list[tuple[str, str, str]], dropped: np.ndarray, inside: np.ndarray | None) -> np.ndarray:
+    """Characters of text outside links (and outside what is dropped, and inside the article if there is one) before each token."""
+    sizes, links = np.zeros(len(tokens) + 1, dtype=np.int64), 0
+    for i, (kind, name, _) in enumerate(tokens):
+        if kind != "text":
+            links = max(0, links + (name == "a") * (1 if kind == "open" else -1))
+        elif not links and not dropped[i] and (inside is None or inside[i]):
+            sizes[i + 1] = len(name.strip())
+    return np.cumsum(sizes)
 
 
 def runs(lengths: np.ndarray, threshold: int) -> list[tuple[int, int]]:
@@ -242,6 +308,14 @@ def runs(lengths: np.ndarray, threshold: int) -> list[tuple[int, int]]:
 _SENTENCE = re.compile(r"(?:\S+\s+){4,}\S+[.!?…。！？][\"'”’»)]*(?:\s|\Z)")
 
 
+#: Lines of this form are no sentence of the text.
+_IMPRINT = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved|advertisement\b|sponsored\b|anzeige\b|publicité\b|publicidad\b)", re.IGNORECASE)
+
+
+def _has_sentence(lines: list[str]) -> bool:
+    return any(_SENTENCE.search(line) and not _IMPRINT.match(line) for line in lines)
+
+
 def with_short_runs(kept: list[tuple[int, int]], lines: list[str], lengths: np.ndarray, places: list[int], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """``kept`` runs and the shorter ones that belong to their text, in page order."""
     rest, at = [], 0
@@ -256,33 +330,47 @@ def with_short_runs(kept: list[tuple[int, int]], lines: list[str], lengths: np.n
     text = [k for k in range(a, b) if lines[k]]
     first, last = places[text[0]], places[text[-1]]
     others = [[places[k] for k in range(x, y) if lines[k]] for x, y in rest]
-    around = (0, -1)
-    for i, j in sorted((s for s in spans if s[0] <= first and last <= s[1]), key=lambda s: s[1] - s[0]):
-        if any(i <= own[0] and own[-1] <= j for own in others if own):
-            around = (i, j)
-            break
+    # the containers around the longest run lie in each other: the smallest one that holds another run
+    nested = sorted((s for s in spans if s[0] <= first and last <= s[1]), key=lambda s: s[1] - s[0])
+    begins, stops = [-i for i, _ in nested], [j for _, j in nested]
+    near = [max(bisect_left(begins, -own[0]), bisect_left(stops, own[-1])) for own in others if own]
+    around = nested[min(near)] if near and min(near) < len(nested) else (0, -1)
     start, stop, more = kept[0][0], kept[-1][1], []
     for (x, y), own in zip(rest, others):
         inside = bool(own) and around[0] <= own[0] and own[-1] <= around[1]
-        if inside or start <= x < stop or any(_SENTENCE.search(line) for line in lines[x:y]):
+        if (inside and not all(_IMPRINT.match(line) for line in lines[x:y] if line)) or start <= x < stop or _has_sentence(lines[x:y]):
             more.append((x, y))
     return sorted(kept + more)
 
 
+def without_link_lists(kept: list[tuple[int, int]], lines: list[str], in_links: np.ndarray) -> list[tuple[int, int]]:
+    """The runs of an article without their lists of links: three lines or more, nearly all of it links, no sentence."""
+    out = []
+    for a, b in kept:
+        borders = [a - 1, *(k for k in range(a, b) if not lines[k]), b]
+        for x, y in zip(borders, borders[1:]):  # stretches between borders of containers
+            own = lines[x + 1 : y]
+            listed = len(own) >= LIST_LINES and in_links[x + 1 : y].sum() >= LIST_SHARE * sum(map(len, own)) and not _has_sentence(own)
+            if own and not listed:
+                out.append((x + 1, y))
+    return out or kept
+
+
 def main_text(page: str | None) -> str:
     """The main text of one page (null: empty)."""
     if not page:
         return ""
-    lines, lengths, named, places, spans = page_lines(page)
+    lines, lengths, named, places, spans, in_links = page_lines(page)
     if not lengths.any():
         return ""
     if named:
-        kept = runs(lengths, 1)
+        kept = without_link_lists(runs(lengths, 1), lines, in_links)
     else:
         blocks = np.convolve(lengths, np.ones(WINDOW, dtype=np.int64))
         kept = runs(lengths, int(min(SURGE, max(1, blocks.max() // 2))))
         sizes = [lengths[a:b].sum() for a, b in kept]
-        kept = [r for r, size in zip(kept, sizes) if size >= RUN_SHARE * max(sizes)]
+        least = RUN_SHARE * max(sizes)
+        kept = [r for r, size in zip(kept, sizes) if size >= least]
         kept = with_short_runs(kept, lines, lengths, places, spans)
     return "\n".join(line for a, b in kept for line in lines[a:b] if line)
 

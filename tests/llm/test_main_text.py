@@ -53,6 +53,68 @@ def test_names_and_open_elements_take_no_text_of_the_article(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("name", ["social-costs", "search-results", "related-work", "top-story", "blog-post-content top", "main-header-text", "menu", "cookie-recipes", "shareholderNotice"])
+def test_ordinary_names_round_the_whole_text(name):
+    body = f"<h2 id='social-costs'>Costs</h2><p>{LONG}</p><section id='related-work'><p>{LONG}</p><p>Short.</p></section>"
+    want = f"Costs\n{LONG}\n{LONG}\nShort."
+    menu = "<ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul>"
+    assert main_text(f"<body>{menu}<div class='{name}'>{body}</div></body>") == want
+    assert main_text(f"<body>{menu}<main><div class='{name}'>{body}</div></main></body>") == want
+
+
+@pytest.mark.parametrize("name", [
+    "reader-comments", "user-comments", "post-comments", "comment-thread", "disqus_thread", "related-posts", "related-articles", "sidebar-left", "site-notice",
+    "article-ad", "ad-unit-top", "inline-promo", "breadcrumb-trail", "newsletter-form-wrapper", "commentList", "pageSidebar", "cookie-banner", "share-buttons",
+])
+def test_what_the_contract_excludes(name):
+    """In an article and without one, by class and by id, even with sentences."""
+    extra = "<p>A reader wrote this whole sentence here, and it is no part of the text.</p>"
+    for given in (f"class='{name}'", f"class='x {name}'", f"id={name}"):
+        inner = f"<h1>T</h1><p>{LONG}</p><div {given}>{extra}</div><p>{LONG} Two.</p>"
+        assert main_text(f"<article>{inner}</article>") == main_text(f"<body><div>{inner}</div></body>") == f"T\n{LONG}\n{LONG} Two."
+
+
+def test_adverts_on_any_element_but_headings():
+    page = f"<article><h2 class=ad>Of adverts</h2><p class=ad>Buy</p><p>a <span class='article-ad'>now</span> b</p><figure class=promo>x</figure><p class='ad-hoc share'>{LONG}</p></article>"
+    assert main_text(page) == f"Of adverts\na\nb\n{LONG}"
+
+
+def test_comments_longer_than_the_article():
+    page = f"<article><h1>T</h1><p>{LONG}</p><div id=comments>{f'<p>{LONG} again</p>' * 9}</div></article>"
+    assert main_text(page) == f"T\n{LONG}"
+
+
+def test_imprints_are_no_sentences():
+    for line in ("Copyright 2020 by Some Company and others.", "© 2020 The Company of many names.", "Advertisement: buy our fine shoes here today."):
+        page = f"<body><section>{f'<p>{LONG}</p>' * 4}</section><section><p>{line}</p></section></body>"
+        assert main_text(page) == "\n".join([LONG] * 4)
+
+
+def test_lists_of_links_inside_an_article():
+    links = "<ul>" + "".join(f"<li><a href={i}>Some other story {i}</a>" for i in range(5)) + "</ul>"
+    assert main_text(f"<article><p>{LONG}</p>{links}<p>{LONG}</p><ul><li>one<li><a href=1>two</a><li>three</ul></article>") == f"{LONG}\n{LONG}\none\ntwo\nthree"
+
+
+def test_time_grows_with_the_tags_only():
+    import time
+
+    def seconds(n):
+        pages = [
+            f"<article>{LONG}</article>" * n, "<div>" * n + LONG, f"<div class='x-{n} ad-box'><p>{LONG}</p></div>" * n, f"<section><p>Few words</p></section><div>{LONG}</div>" * n,
+            "<div><p>A few words here.</p>" * n + LONG * 3 + "</div>" * n, "<article class=comment>x</article><nav>y</nav>" * n,
+        ]
+        out = []
+        for page in pages:
+            t = time.process_time()
+            main_text(page)
+            out.append(time.process_time() - t)
+        return out
+
+    seconds(50)
+    for small, large in zip(seconds(5_000), seconds(50_000)):
+        assert large < 40 * max(small, 0.02) and large < 30
+
+
 def test_short_runs_of_the_text_are_kept():
     """Sections of one container, sections below the body, and a closing sentence; lists of links go."""
     menu = "<div><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></div>"
