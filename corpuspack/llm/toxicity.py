@@ -3,9 +3,10 @@
 Features of a text are its words and their first four and six bytes (lower case, outer marks
 removed, hashed), each present or not. A logistic regression learns from labelled texts. Besides
 the labels it is fitted to counterfactuals: every labelled sentence that names an identity group is
-written again with another group's name, and the squared difference of the two raw scores is
+written again with another group's name, and in every labelled text a sentence is given one group's name
+and then another's at the same place, in four languages. The squared difference of the two raw scores is
 penalised. A group's name therefore cannot move the score, only what is said, and neutral mentions
-are not taken for abuse.
+are not taken for abuse, also where the labelled texts hardly name any group.
 
 Fitting uses a sample of ``MAX_ROWS`` labelled rows at most (by a hash of ``doc_id``): Spark
 extracts and counts the features and keeps the ``MAX_FEATURES`` that tell the labels apart best; the
@@ -15,6 +16,7 @@ driver fits the bounded rest. Scoring covers all texts whole.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +33,7 @@ MAX_ROWS = 30_000
 MAX_FEATURES = 4_096
 FOLDS, HELD_OUT = 5, 0
 
-#: Names of groups (fixed values); those of one line may stand for each other.
+#: Names of groups in English, German, French and Spanish (fixed values); those of one line may stand for each other.
 IDENTITIES = (
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
@@ -41,7 +43,21 @@ IDENTITIES = (
     ("immigrants", "refugees", "foreigners", "natives"), ("immigrant", "refugee", "foreigner", "native"),
     ("deaf", "blind", "disabled", "elderly", "young"),
     ("mexican", "chinese", "indian", "arab", "american", "french", "german", "spanish", "russian", "turkish"),
+    ("muslime", "christen", "juden", "hinduisten", "buddhisten", "atheisten"), ("schwule", "lesben", "bisexuelle", "heterosexuelle"),
+    ("schwarze", "weiße", "asiaten", "afrikaner", "europäer"), ("frauen", "männer"), ("mädchen", "jungen"),
+    ("einwanderer", "flüchtlinge", "ausländer", "einheimische"), ("gehörlose", "blinde", "behinderte", "alte", "junge"),
+    ("türken", "russen", "polen", "franzosen", "spanier", "deutsche", "araber", "chinesen"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"), ("homosexuels", "lesbiennes", "bisexuels", "hétérosexuels"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens"), ("femmes", "hommes"), ("filles", "garçons"),
+    ("immigrés", "réfugiés", "étrangers", "autochtones"), ("sourds", "aveugles", "handicapés", "vieux", "jeunes"),
+    ("turcs", "russes", "polonais", "français", "espagnols", "allemands", "arabes", "chinois"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"), ("homosexuales", "lesbianas", "bisexuales", "heterosexuales"),
+    ("negros", "blancos", "asiáticos", "africanos", "europeos"), ("mujeres", "hombres"), ("niñas", "niños"),
+    ("inmigrantes", "refugiados", "extranjeros", "nativos"), ("sordos", "ciegos", "discapacitados", "ancianos", "jóvenes"),
+    ("turcos", "rusos", "polacos", "franceses", "españoles", "alemanes", "árabes", "chinos"),
 )
+#: Sentences of each labelled text that are given names.
+PLACED = 2
 
 _EDGE = np.zeros(256, dtype=bool)
 _EDGE[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
@@ -97,6 +113,22 @@ def counterfactuals(text: str, identities=IDENTITIES) -> Iterator[tuple[str, str
             yield sentence, named.sub(lambda m: after[m[0].lower()], sentence)
 
 
+def placed(text: str, identities=IDENTITIES, n: int = PLACED, salt: int = 0) -> Iterator[tuple[str, str]]:
+    """``n`` sentences of ``text``, each with a group's name at some word, and with another of its line's there.
+
+    Sentence, place and names follow from a checksum of the text."""
+    sentences = [s.split() for s in re.split(r"(?<=[.!?])\s+|\n+", text) if s.strip()]
+    if not sentences:
+        return
+    seed = zlib.crc32(text.encode("utf-8", "surrogatepass"), salt)
+    rng = np.random.default_rng([seed, salt])
+    for _ in range(n):
+        words, group = sentences[rng.integers(len(sentences))], identities[rng.integers(len(identities))]
+        at, k = int(rng.integers(len(words) + 1)), int(rng.integers(len(group)))
+        other = (k + 1 + int(rng.integers(len(group) - 1))) % len(group)
+        yield tuple(" ".join([*words[:at], group[i], *words[at:]]) for i in (k, other))
+
+
 def fit(
     rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], features: np.ndarray,
     ridge: float = 1e-4, counter: float = 1.0, steps: int = 800,
@@ -115,18 +147,22 @@ def fit(
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (n - y.sum()))
     flat, at = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
     scale = max(1.0, float(np.mean([len(r) for r in rows])))
-    swaps = [(np.concatenate([a, b]), np.concatenate([np.ones(len(a)), -np.ones(len(b))])) for a, b in pairs]
-    p = len(swaps)
-    sf = np.concatenate([s[0] for s in swaps]) if p else np.zeros(0, dtype=np.int64)
-    ss = np.concatenate([s[1] for s in swaps]) if p else np.zeros(0)
-    sr = np.repeat(np.arange(p), [len(s[0]) for s in swaps])
+    p = len(pairs)
+    swaps = []
+    for a, b in pairs:  # what both sentences have cancels out
+        a, b = np.setdiff1d(a, b), np.setdiff1d(b, a)
+        if len(a) or len(b):
+            swaps.append((np.concatenate([a, b]), np.concatenate([np.ones(len(a)), -np.ones(len(b))])))
+    sf = np.concatenate([np.zeros(0, dtype=np.int64), *(s[0] for s in swaps)]).astype(np.int64)
+    ss = np.concatenate([np.zeros(0), *(s[1] for s in swaps)])
+    sr = np.repeat(np.arange(len(swaps)), [len(s[0]) for s in swaps]).astype(np.int64)
     w, b, v, vb, t = np.zeros(m), 0.0, np.zeros(m), 0.0, 1.0
     rate = 1.0 / (0.25 * (scale * 2 + 1) + ridge + counter * (max((len(s[0]) for s in swaps), default=0)))
     for _ in range(steps):
         error = share * (1 / (1 + np.exp(-np.clip(np.bincount(at, v[flat], n) + vb, -35, 35))) - y)
         grad = np.bincount(flat, error[at], m) + ridge * v
-        if p:
-            difference = np.bincount(sr, ss * v[sf], p)
+        if swaps:
+            difference = np.bincount(sr, ss * v[sf], len(swaps))
             grad += counter * np.bincount(sf, ss * difference[sr], m) / p
         w2, b2 = v - rate * grad, vb - rate * error.sum()
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
@@ -169,7 +205,7 @@ def train(rows: DataFrame, max_features: int = MAX_FEATURES, identities=IDENTITI
         for batch in small_batches(batches):
             texts = batch.column(0).to_pylist()
             own = features_of(texts)
-            swaps = [[(a, b) for a, b in counterfactuals(t or "", identities)] for t in texts]
+            swaps = [[*counterfactuals(t or "", identities), *placed(t or "", identities)] for t in texts]
             flat = features_of([s for pairs in swaps for pair in pairs for s in pair])
             kept, k = [], 0
             for pairs in swaps:
