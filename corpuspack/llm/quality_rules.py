@@ -131,6 +131,8 @@ def base_failed() -> Column:
 
 
 _GROUP, _LANG = "_group", "_language"
+#: Parameters of so many groups (some 40 numbers each) are sent to the rows; those of more meet them in parts.
+BROADCAST_GROUPS, SALTS = 20_000, 64
 
 
 def keyed(measured: DataFrame) -> DataFrame:
@@ -179,6 +181,15 @@ def _distance() -> Column:
     return F.expr(" + ".join(f"power({row}, 2)" for row in rows))
 
 
+def _with_parameters(rows: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:
+    """Each row with its group's parameters (a written table). Rows are never dealt by group alone, as one group may hold
+    a third of them: up to ``BROADCAST_GROUPS`` groups go to the rows, beyond that groups are dealt in ``SALTS`` parts."""
+    if params.count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(params), _GROUP, how)
+    parts = params.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_part", F.pmod(F.xxhash64(*_Z), F.lit(SALTS)).cast("int")).join(parts, [_GROUP, "_part"], how).drop("_part")
+
+
 def _start(rows: DataFrame) -> DataFrame:
     """Medians and interquartile ranges by group, from counts in bins of an eighth of a unit."""
     long = rows.select(_GROUP, F.posexplode(F.array(*[F.floor(F.col(z) * 8) for z in _Z])).alias("_k", "_bin"))
@@ -197,7 +208,7 @@ def _start(rows: DataFrame) -> DataFrame:
 
 def _concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
     """One step: the sums of the ``SUPPORT`` share of each group that is nearest, in bins of 3 %."""
-    near = rows.join(params, _GROUP).withColumn("_bin", F.floor(F.log2(1 + _distance()) * 24))
+    near = _with_parameters(rows, params).withColumn("_bin", F.floor(F.log2(1 + _distance()) * 24))
     # Written, so that the sums are dealt by bin and the windows below get one row for each bin.
     bins = materialize(near.groupBy(_GROUP, _LANG, "_bin").agg(*_summed(_MOMENTS)), "mcd-bins")
     w = Window.partitionBy(_GROUP)
@@ -212,14 +223,14 @@ def robust_estimate(measured: DataFrame) -> DataFrame:
     params = materialize(_start(rows), "mcd-start")
     for step in range(STEPS):
         params = materialize(_estimate(_concentrate(rows, params), consistency(SUPPORT, DIM)), f"mcd-step{step}")
-    inside = rows.join(params, _GROUP).filter(_distance() <= chi2_quantile(0.975, DIM))
+    inside = _with_parameters(rows, params).filter(_distance() <= chi2_quantile(0.975, DIM))
     sums = materialize(inside.groupBy(_GROUP, _LANG).agg(*_summed(_MOMENTS)), "mcd-sums")
     return materialize(_estimate(sums, consistency(0.975, DIM)), "mcd")
 
 
 def judge(measured: DataFrame, params: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
     """``measured`` with ``base_failed``, ``distance`` (squared; null for what the base rules reject) and ``kept``."""
-    df = measured.join(params, _GROUP, "left").withColumn("base_failed", base_failed())
+    df = _with_parameters(measured, params, "left").withColumn("base_failed", base_failed())
     df = df.withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     limit = chi2_quantile(confidence, DIM)
     # A group none of whose vectors lies in its ellipsoid has no estimate: nothing speaks against its rows.

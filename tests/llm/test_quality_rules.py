@@ -154,3 +154,12 @@ def test_odd_rows(spark, docs_of):
     assert len(got) == len(rows) and not any(by[i]["kept"] for i in (1, 2, 3, 7)) and all(by[i]["kept"] for i in (None, 4, 5, 6))
     assert by[7]["n_repeat_words"] == 120000 and by[6]["n_repeat_words"] == base(long)[4] < 100 and by[1]["n_words"] == 0
     assert Q.quality_rules(docs_of([])).count() == 0
+
+
+def test_more_groups_than_a_broadcast_holds(spark, monkeypatch):
+    """The same verdicts when the parameters meet the rows in parts instead of being sent to them."""
+    docs = documents(spark, "/root/testdata/sf0.001")
+    few = sorted(tuple(r) for r in Q.quality_rules(docs).select("doc_id", "base_failed", "kept").collect())
+    monkeypatch.setattr(Q, "BROADCAST_GROUPS", 0)
+    parts = Q.quality_rules(docs)
+    assert sorted(tuple(r) for r in parts.select("doc_id", "base_failed", "kept").collect()) == few
