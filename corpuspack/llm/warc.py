@@ -129,7 +129,9 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     key = F.when(F.octet_length("html") >= LEAST_REVISIT, F.sha1("html"))
     equal = df.select("page_id", key.alias("_digest")).filter("_digest is not null").groupBy("_digest")
     equal = materialize(equal.agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "warc-equal")
-    df = df.withColumn("_digest", key).join(equal, "_digest", "left")
+    # a small payload meets no other: a key of its own, so that they do not all go to one task
+    own = F.concat(F.lit("-"), F.xxhash64("page_id", "url", "html").cast("string"))
+    df = df.withColumn("_digest", F.coalesce(key, own)).join(equal, "_digest", "left")
     again = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     return df.select(
         "page_id", "url", "html", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_first")).alias("refers_to")
