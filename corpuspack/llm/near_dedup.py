@@ -1,8 +1,8 @@
 """Operator 3: near-duplicates with a MinHash LSH forest.
 
 1. A text becomes its set of distinct 5-word shingles (as 64-bit hashes) and a signature of
-   ``TREES * DEPTH`` minimum hashes. Texts with equal sets form a class; from here on classes are
-   compared, through their smallest ``doc_id``, so copies never meet each other again.
+   ``TREES * DEPTH`` minimum hashes. Texts with equal sets form a class with a number of its own; from here on
+   classes are compared, each through one text, so copies never meet each other again.
 2. The forest: each tree orders all classes by ``DEPTH`` of their hashes. Classes that share the
    first ``LEAST`` hashes in a tree form a region of it. Two texts with similarity ``s`` share a
    region in some tree with probability ``1 - (1 - s ** LEAST) ** TREES`` (0.99999 at 0.85).
@@ -67,7 +67,8 @@ def signatures(sets: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def shingled(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, set_hash binary, signature binary`` for each row (the last two null for an empty set)."""
+    """``doc_id, n_shingles, set_hash binary, signature binary, text_key string`` for each row (set and signature null for
+    an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,16 +84,19 @@ def shingled(docs: DataFrame) -> DataFrame:
                     keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
                     marks.append(signed[i].tobytes() if len(own) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(marks, pa.binary())],
-                names=["doc_id", "n_shingles", "set_hash", "signature"],
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(marks, pa.binary()), batch.column(2)],
+                names=["doc_id", "n_shingles", "set_hash", "signature", "text_key"],
             )
 
-    frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return frame.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, signature binary")
+    text = F.col("text").cast("string")
+    frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.md5(text).alias("text_key"))
+    return frame.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, signature binary, text_key string")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, shingles array<long>`` of the documents in ``nodes``."""
+    """``node, shingles array<long>`` of the classes in ``nodes``, each from the text that stands for it.
+
+    ``nodes``: ``node, doc_id, text_key, repeated``; ``repeated`` tells that rows with equal ids and texts exist."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,8 +107,11 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(sets.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["node", "shingles"])
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    return wanted.join(nodes, "node", "left_semi").mapInArrow(run, "node long, shingles array<long>")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = texts.join(nodes, "doc_id").filter(F.md5("text") == F.col("text_key")).select("node", "text", "repeated")
+    once = found.filter(~F.col("repeated")).select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+    again = found.filter("repeated").select("node", "text").dropDuplicates(["node"]).mapInArrow(run, "node long, shingles array<long>")
+    return once.unionByName(again)
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
@@ -121,13 +128,18 @@ def _alike(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
+def _texts_of(classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Where to find the text of each class in ``nodes``."""
+    return classes.select("node", "doc_id", "text_key", "repeated").join(nodes, "node", "left_semi")
+
+
 def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """A written table of the ``pairs`` with ``100 * intersection >= percent * union`` on the full sets."""
     p = percent / 100
     least = int(HASHES * (p - 6 * (p * (1 - p) / HASHES) ** 0.5))
     pairs = materialize(_alike(pairs, classes, least), "dedup-alike")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialize(full_sets(docs, nodes), "dedup-sets")
+    sets = materialize(full_sets(docs, _texts_of(classes, nodes)), "dedup-sets")
     side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
@@ -243,7 +255,7 @@ def shared_counts(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -
     return out
 
 
-def open_links(docs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+def open_links(docs: DataFrame, classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """A written table of the links ``a, b`` between components inside the regions that are not met in full.
 
     ``rows``: ``region, key, node, component, n_shingles``. Regions of one component or of ``WIDTH + 1``
@@ -272,7 +284,7 @@ def open_links(docs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     )
     met = held.select("region", "node", "component", F.when(is_core, own).otherwise(-1 - own).alias("block"), F.explode(pairs).alias("p"))
     met = met.select("region", "node", "component", "block", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
-    sets = materialize(full_sets(docs, held.select("node").distinct()), "dedup-sets")
+    sets = materialize(full_sets(docs, _texts_of(classes, held.select("node").distinct())), "dedup-sets")
 
     def compare(table: pa.Table) -> pa.Table:
         mine, x, y = (table.column(c).to_numpy() for c in ("block", "x", "y"))
@@ -295,7 +307,7 @@ def open_links(docs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
+    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``, and ``text_key``, the text's MD5.
 
     Texts with ``100 * intersection >= percent * union`` of their shingle sets are linked;
     ``component_id`` is the smallest ``doc_id`` reachable, and the row with that ``doc_id`` is kept. A text
@@ -306,7 +318,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     rows = materialize(shingled(docs), "dedup-rows")
     usable = rows.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
-    classes = usable.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
+    # One text stands for a class: that of its smallest doc_id. A class' number is given when it is written.
+    own = usable.groupBy("set_hash", "doc_id", "text_key").agg(F.count("*").alias("n"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
+    classes = own.groupBy("set_hash").agg(
+        F.min(F.struct("doc_id", "text_key", (F.col("n") > 1).alias("repeated"))).alias("text"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")
+    )
+    classes = classes.select(F.monotonically_increasing_id().alias("node"), "set_hash", "text.*", "signature", "n_shingles")
     classes = materialize(classes, "dedup-classes")
     trees = forest(classes)
     links = labels = None
@@ -323,20 +340,25 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     links = links.unionByName(confirm(docs, classes, neighbour_pairs(_labelled(trees, labels)), percent))
     labels = components(links)
     unmet = _labelled(trees, labels).join(classes.select("node", "n_shingles"), "node")
-    found = open_links(docs, unmet, percent)
+    found = open_links(docs, classes, unmet, percent)
     if not found.isEmpty():
         labels = components(links.unionByName(found))
-    classes = _labelled(classes.select("set_hash", "node"), labels).select("set_hash", "component")
-    placed = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash"))
-    placed = placed.join(classes, "set_hash", "left")
-    component = F.coalesce("component", "doc_id")
-    return placed.select(
-        "doc_id", "n_shingles", component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+    placed = _labelled(classes.select("set_hash", "node", "doc_id"), labels)
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("least"))
+    placed = placed.join(least, "component").select("set_hash", "least")
+    out = rows.select("doc_id", "n_shingles", "text_key", F.when(F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash"))
+    # rows without a class (no words, no id) have a key of their own, so that they do not all go to one task
+    key = F.coalesce("set_hash", F.concat(F.lit("-"), F.xxhash64("doc_id", "text_key").cast("string")).cast("binary"))
+    out = out.withColumn("set_hash", key).join(placed, "set_hash", "left")
+    component = F.coalesce("least", "doc_id")
+    return out.select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_key",
     )
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, with their columns."""
-    gone = near_duplicates(docs, percent).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(materialize(gone, "dedup-gone"), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with their columns. Rows with equal ``doc_id`` and text are one document."""
+    gone = near_duplicates(docs, percent).filter(~F.col("kept")).select("doc_id", "text_key").distinct()
+    gone = materialize(gone, "dedup-gone")
+    text = F.md5(docs["text"].cast("string"))
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone["doc_id"]) & (text == gone["text_key"]), "left_anti").select(*docs.columns)

@@ -20,7 +20,8 @@ def op2_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lsh_forest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(documents(spark, sf_dir), percent=85)
+    found = near_dedup.near_duplicates(documents(spark, sf_dir), percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op4_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

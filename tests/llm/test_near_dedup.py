@@ -119,3 +119,14 @@ def test_odd_rows(spark, docs_of):
     assert by[4] == (1, 4, True) and by[5] == (1, 4, False) and by[None] == (1, None, True)
     assert by[7][1] == 6 and by[6] == (39996, 6, True) and by[8][1] == 8 and by[9][1] == 9
     assert near_dedup.near_duplicates(docs_of([])).count() == 0
+
+
+def test_rows_that_share_a_doc_id(spark, docs_of):
+    """Rows are judged by their texts: one copy of each group stays, whatever ids the copies have."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(2, a), (5, b), (5, a + " more"), (7, b + " more"), (5, a + " more"), (9, "c " * 9), (9, None)]
+    got = sorted(tuple(r)[:4] for r in near_dedup.near_duplicates(docs_of(rows)).collect())
+    want = [(2, 56, 2, True), (5, 56, 5, True), (5, 57, 2, False), (5, 57, 2, False), (7, 57, 5, False), (9, 0, 9, True), (9, 1, 9, True)]
+    assert got == sorted(want)
+    kept = near_dedup.keep_one_of_each(docs_of(rows, extra=("text_key", "least")))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect() if r["text"]) == [(2, a), (5, b), (9, "c " * 9)] and kept.count() == 4

@@ -1,5 +1,6 @@
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from corpuspack.llm import mixing, packing, quality_rules
 from corpuspack.llm.common import documents
@@ -48,3 +49,16 @@ def test_odd_documents_pass_every_stage(spark, docs_of, rows):
     for name, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, SF_SMALL), f"test-odd-{name}")
     assert docs.count() == 0  # without fifty words nothing passes the quality rules
+
+
+def test_stages_leave_columns_as_they_are(spark):
+    """Columns named like an operator's own come back with their values from every stage."""
+    names = ["score", "held_out", "predicted", "_cdf", "_u", "_source", "_copies", "_draws", "copy", "shuffle_key", "_row", "node", "text_key", "set_hash", "_group", "kept", "distance", "n_words", "label"]
+    docs = documents(spark, SF_SMALL)
+    docs = docs.select("*", *[F.concat(F.lit(f"{n}-"), F.col("doc_id")).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, SF_SMALL), f"test-clash-{name}")
+        assert docs.columns == [*documents(spark, SF_SMALL).columns, *names]
+        rows = docs.collect()
+        assert len(rows) > 50 and all(r[n] == f"{n}-{r['doc_id']}" for r in rows for n in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF_SMALL).count() >= docs.count()
