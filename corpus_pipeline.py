@@ -7,31 +7,46 @@ read again as the next one's documents. All stages but the last return the colum
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpuspack.llm import mixing, near_dedup, packing, quality_rules, toxicity
 from corpuspack.llm.common import documents, labels
 from corpuspack.session import materialize
 
 
+#: The columns that operators read; others are renamed while an operator runs, so that none can meet its own names.
+READ = ("doc_id", "text", "lang", "source")
+
+
+def _aside(docs: DataFrame) -> tuple[DataFrame, list]:
+    """``docs`` with the columns that no operator reads out of the way, and the columns that bring them back."""
+    names = [c if c in READ else f"_aside_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns)]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: the documents that the classifier does not call toxic."""
+    docs, back = _aside(docs)
     scored = toxicity.toxicity(docs, labels(spark, sf_dir), labelled=documents(spark, sf_dir))
-    return scored.filter("predicted = 0").select(*docs.columns)
+    return scored.filter("predicted = 0").select(*back)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: the documents that the quality rules keep."""
-    return quality_rules.keep_good(docs)
+    docs, back = _aside(docs)
+    return quality_rules.keep_good(docs).select(*back)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: one document of each group of near-duplicates (similarity 0.8 or more)."""
-    return near_dedup.keep_one_of_each(docs)
+    docs, back = _aside(docs)
+    return near_dedup.keep_one_of_each(docs).select(*back)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: sources replicated to their target weights and shuffled."""
-    return mixing.mix(docs).select(*docs.columns)
+    docs, back = _aside(docs)
+    return mixing.mix(docs).select(*back)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
