@@ -14,15 +14,18 @@
    one through its hub and at the depth where its branches thin out.
 4. Candidates whose signatures rule the similarity out (by six standard deviations) go; the others
    are confirmed on their full sets. Links become components by minimum labels with pointer jumps.
-5. Regions that still hold several components and more members than neighbours meet are compared in
-   full: their members are dealt to blocks, and each pair of blocks is a task of its own that
-   intersects the full sets of all pairs of different components. So any two texts that share a
-   region are linked, connected or compared, however dense it is.
-
-The orders are range-partitioned and the blocks bounded, so a region may span any number of tasks. The
-candidates of steps 3 and 4 are at most ``TREES * (1 + WIDTH)`` times the classes; step 5 never pairs
-members of a region's largest component, so its work grows with the square of the members outside it
-only. All intermediate tables lie in the shared folder.
+5. Regions that still hold several components and more members than neighbours meet are settled exactly, by
+   a join on rare shingles. A text of ``n`` shingles shares at least ``r * n`` of them with whatever it is linked with
+   (``r``: the similarity asked for), so it has one of its ``n - ceil(r * n) + 1`` rarest in common with it; where these
+   are not frequent, the texts that share one are the candidates. A text whose frequent shingles alone reach
+   ``r * n`` (mostly a passage that many share) is known by their set besides: of texts with one such set the shortest is
+   linked with all that may be linked by that set alone, and different such sets, of which there are few, are
+   compared in pairs of blocks. So any two texts that share a region are linked, connected or compared.
+
+The orders are range-partitioned, no shingle that is joined on has more than ``COMMON`` texts, and blocks are
+bounded, so a region may span any number of tasks. The candidates of steps 3 and 4 are at most
+``TREES * (1 + WIDTH)`` times the classes, and a passage in a million texts that are not linked is one set in step 5.
+All intermediate tables lie in the shared folder.
 """
 
 from __future__ import annotations
@@ -46,7 +49,11 @@ WIDTH = 8
 #: Rounds of hubs: the second is for the members that the first hub of a region is not linked with.
 ROUNDS = 2
 HASHES = TREES * DEPTH
-#: A block of an open region has about so many members, and so many shingles unless one text has more.
+#: A shingle of more open texts than this is frequent.
+COMMON = 64
+#: Frequent shingles are sent to the texts up to this number.
+BROADCAST_SHINGLES = 500_000
+#: A block of sets of frequent shingles has about so many of them, and so many shingles unless one has more.
 BLOCK_ROWS = 256
 BLOCK_SHINGLES = 400_000
 
@@ -256,54 +263,117 @@ def shared_counts(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -
 
 
 def open_links(docs: DataFrame, classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """A written table of the links ``a, b`` between components inside the regions that are not met in full.
+    """A written table of links ``a, b`` that join the components inside the regions that are not met in full.
 
     ``rows``: ``region, key, node, component, n_shingles``. Regions of one component or of ``WIDTH + 1``
-    members have been met. In the others all pairs of different components are compared on their full
-    sets. Blocks of the largest component (numbered from 0) meet the others' blocks (below 0) only.
+    members have been met. Of the others' members any two that are linked are in one component with these links.
     """
-    sizes = rows.groupBy("region", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
-    blocks = lambda n, weight: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(weight / BLOCK_SHINGLES), F.lit(1)).cast("long")
-    regions = sizes.groupBy("region").agg(
-        F.max(F.struct("n", "component", "weight")).alias("top"), F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.count("*").alias("components")
-    ).filter((F.col("components") > 1) & (F.col("n") > WIDTH + 1))
-    regions = regions.select(
-        "region", F.col("top.component").alias("core"),
-        blocks(F.col("top.n"), F.col("top.weight")).alias("cores"),
-        blocks(F.col("n") - F.col("top.n"), F.col("weight") - F.col("top.weight")).alias("others"),
+    sizes = rows.groupBy("region", "component").agg(F.count("*").alias("n"))
+    regions = sizes.groupBy("region").agg(F.sum("n").alias("n"), F.count("*").alias("components")).filter((F.col("components") > 1) & (F.col("n") > WIDTH + 1))
+    held = rows.join(regions.select("region"), "region", "left_semi").select("node", "component").distinct()
+    held = materialize(held, "dedup-open")
+    if held.isEmpty():
+        return materialize(held.select(F.col("node").alias("a"), F.col("node").alias("b")), "dedup-links")
+    sets = materialize(full_sets(docs, _texts_of(classes, held.select("node"))).join(held, "node"), "dedup-sets")
+    least = lambda size: F.ceil(size * percent / 100)  # noqa: E731  what a text shares with any text it is linked with
+    texts = ranked(sets).withColumn("_least", least(F.col("size")))
+    rarest = F.slice("rare", F.lit(1), F.greatest(F.col("size") - F.col("_least") + 1 - F.col("alone"), F.lit(0)).cast("int"))
+    first = texts.select("node", "component", "size", F.explode(rarest).alias("_r")).select("node", "component", "size", "_r.shingle")
+    first = materialize(first, "dedup-rarest")
+    other = first.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "size")])
+    near = (F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b"))
+    near &= 100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b")
+    pairs = first.join(other, "shingle").filter(near).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
+    both = materialize(pairs, "dedup-pairs").join(side("a"), "a").join(side("b"), "b")
+    shared = F.size(F.array_intersect("sa", "sb")).cast("long")
+    links = both.filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    heavy = texts.filter(F.size("frequent") >= F.col("_least")).select("node", "component", "size", "frequent")
+    found = links.unionByName(passage_links(materialize(heavy, "dedup-heavy"), percent))
+    return materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "dedup-links")
+
+
+def ranked(sets: DataFrame) -> DataFrame:
+    """``node, component, size, alone, rare, frequent`` of the sets (``node, component, shingles``): how many shingles no other
+    set has, those that ``COMMON`` sets or fewer have, the rarest first, and the others."""
+    tokens = sets.select("node", F.explode("shingles").alias("shingle"))
+    counts = materialize(tokens.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1"), "dedup-counts")
+    hot = materialize(counts.filter(F.col("n") > COMMON).select("shingle"), "dedup-frequent")
+    if hot.count() <= BROADCAST_SHINGLES:
+        hot = F.broadcast(hot)
+    frequent = tokens.join(hot, "shingle").groupBy("node").agg(F.array_sort(F.collect_list("shingle")).alias("frequent"))
+    rare = tokens.join(hot, "shingle", "left_anti").join(counts.filter(F.col("n") <= COMMON), "shingle")
+    rare = rare.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("rare"))
+    out = sets.select("node", "component", F.size("shingles").alias("size")).join(rare, "node", "left").join(frequent, "node", "left")
+    none = F.array().cast("array<struct<n:bigint,shingle:bigint>>")
+    out = out.withColumns({"rare": F.coalesce("rare", none), "frequent": F.coalesce("frequent", F.array().cast("array<bigint>"))})
+    return materialize(out.withColumn("alone", F.col("size") - F.size("rare") - F.size("frequent")), "dedup-ranked")
+
+
+def passage_links(heavy: DataFrame, percent: int) -> DataFrame:
+    """Links between texts (``node, component, size, frequent``) that their frequent shingles alone suffice for.
+
+    Two texts that share ``h`` shingles are linked if ``percent * (m + n) <= (100 + percent) * h``, so if two are linked by
+    their frequent shingles, so are the shorter ones with the same frequent shingles. Of each set of these the
+    shortest text stands for it: its links, and those of the others with the set they fit best, join all components
+    that can be joined."""
+    key = F.sha2(F.array_join("frequent", ","), 256)
+    texts = heavy.withColumn("_set", key)
+    one = texts.groupBy("_set", "component").agg(F.min(F.struct("size", "node")).alias("t")).select("_set", "component", "t.size", "t.node")
+    standing = texts.groupBy("_set").agg(
+        F.min(F.struct("size", "node")).alias("t"), F.first("frequent").alias("frequent"), F.min("component").alias("low"), F.max("component").alias("high")
     )
-    held = rows.join(materialize(regions, "dedup-open"), "region").select("region", "node", "component", "core", "cores", "others")
-    held = materialize(held.withColumn("mine", F.pmod(F.xxhash64("node"), F.when(F.col("component") == F.col("core"), F.col("cores")).otherwise(F.col("others")))), "dedup-open")
-    is_core, own = F.col("component") == F.col("core"), F.col("mine")
-    # Each pair of blocks (x, y): y is a block of the others; x one of the core, or of the others up to y.
-    pairs = F.when(is_core, F.transform(F.sequence(F.lit(0).cast("long"), F.col("others") - 1), lambda k: F.struct(own.alias("x"), (-1 - k).alias("y")))).otherwise(
+    # a set of one component is of that component; one of several is compared with all
+    standing = standing.select("_set", F.col("t.node").alias("node"), F.col("t.size").alias("size"), "frequent", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1 - F.col("t.node")).alias("component"))
+    standing = materialize(standing, "dedup-passages")
+    to = standing.select("_set", F.col("node").alias("to"), ((100 + percent) * F.size("frequent") - percent * F.col("size")).alias("room"))
+    other = passage_pairs(standing, percent)
+    both = other.select(F.col("a").alias("node"), "b", "room_a").unionByName(other.select(F.col("b").alias("node"), F.col("a").alias("b"), F.col("room_b").alias("room_a")))
+    best = both.groupBy("node").agg(F.max(F.struct("room_a", "b")).alias("t")).join(standing.select("node", "_set"), "node")
+    best = best.select("_set", F.col("t.b").alias("to"), F.col("t.room_a").alias("room"))
+    fits = one.join(to.unionByName(best), "_set").filter((F.col("node") != F.col("to")) & (percent * F.col("size") <= F.col("room")))
+    return fits.select(F.col("node").alias("a"), F.col("to").alias("b")).unionByName(other.select("a", "b"))
+
+
+def passage_pairs(standing: DataFrame, percent: int) -> DataFrame:
+    """A written table of the pairs ``a, b`` of ``node, size, component, frequent`` that are linked by their frequent shingles, with
+    the room that each leaves: a text with ``a``'s frequent shingles is linked with ``b`` if ``percent`` times its size is
+    ``room_a`` at most. Sets are dealt to blocks; a pair of blocks is a task. Sets of the component that has most of them
+    (blocks from 0) meet the others (below 0) only."""
+    blocks = lambda n, weight: max(1, -(-(n or 0) // BLOCK_ROWS), -(-(weight or 0) // BLOCK_SHINGLES))
+    by = standing.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.size("frequent")).alias("weight"))
+    top = by.orderBy(F.col("n").desc(), "component").first()
+    n, weight = by.agg(F.sum("n"), F.sum("weight")).first()
+    if top is None or n < 2:
+        return standing.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0).cast("long").alias("room_a"), F.lit(0).cast("long").alias("room_b")).limit(0)
+    cores, others = blocks(top["n"], top["weight"]), blocks(n - top["n"], weight - top["weight"])
+    is_core = F.col("component") == top["component"]
+    mine = F.when(is_core, F.pmod(F.xxhash64("node"), F.lit(cores))).otherwise(-1 - F.pmod(F.xxhash64("node"), F.lit(others)))
+    up_to = lambda k: F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))
+    own = -1 - F.col("block")
+    met = F.when(is_core, F.transform(up_to(others), lambda k: F.struct(F.col("block").alias("x"), (-1 - k).alias("y")))).otherwise(
         F.concat(
-            F.transform(F.sequence(F.lit(0).cast("long"), F.col("cores") - 1), lambda k: F.struct(k.alias("x"), (-1 - own).alias("y"))),
-            F.transform(F.sequence(F.lit(0).cast("long"), F.col("others") - 1), lambda k: F.struct((-1 - F.least(k, own)).alias("x"), (-1 - F.greatest(k, own)).alias("y"))),
+            F.transform(up_to(cores), lambda k: F.struct(k.alias("x"), F.col("block").alias("y"))),
+            F.transform(up_to(others), lambda k: F.struct((-1 - F.least(k, own)).alias("x"), (-1 - F.greatest(k, own)).alias("y"))),
         )
     )
-    met = held.select("region", "node", "component", F.when(is_core, own).otherwise(-1 - own).alias("block"), F.explode(pairs).alias("p"))
-    met = met.select("region", "node", "component", "block", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
-    sets = materialize(full_sets(docs, _texts_of(classes, held.select("node").distinct())), "dedup-sets")
+    dealt = standing.withColumn("block", mine.cast("long")).select("node", "size", "component", "frequent", "block", F.explode(met).alias("p"))
+    dealt = dealt.select("node", "size", "component", "frequent", "block", "p.x", "p.y")
 
     def compare(table: pa.Table) -> pa.Table:
-        mine, x, y = (table.column(c).to_numpy() for c in ("block", "x", "y"))
-        node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
-        lists = table.column("shingles").combine_chunks()
+        block, x, y, node, size, component = (table.column(c).to_numpy() for c in ("block", "x", "y", "node", "size", "component"))
+        lists = table.column("frequent").combine_chunks()
         flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-        left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
-        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        out = [np.zeros(0, np.int64)] * 4
         if len(left) and len(right):
-            shared = shared_counts(*([flat[ends[i] : ends[i + 1]] for i in rows] for rows in (left, right)))
-            counts = np.diff(ends)
-            union = counts[left][:, None] + counts[right][None, :] - shared
-            linked = (100 * shared >= percent * union) & (component[left][:, None] != component[right][None, :])
-            i, j = np.nonzero(linked)
-            a, b = node[left][i], node[right][j]
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
-
-    links = met.join(sets, "node").groupBy("region", "x", "y").applyInArrow(compare, "a long, b long")
-    return materialize(links.distinct(), "dedup-links")
+            shared = (100 + percent) * shared_counts(*([flat[ends[i] : ends[i + 1]] for i in rows] for rows in (left, right)))
+            rooms = shared - percent * size[right][None, :], shared - percent * size[left][:, None]
+            i, j = np.nonzero((percent * size[left][:, None] <= rooms[0]) & (component[left][:, None] != component[right][None, :]) & (node[left][:, None] != node[right][None, :]))
+            out = [node[left][i], node[right][j], rooms[0][i, j], rooms[1][i, j]]
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("a", "b", "room_a", "room_b"), out)})
+
+    return materialize(dealt.groupBy("x", "y").applyInArrow(compare, "a long, b long, room_a long, room_b long"), "dedup-passage-pairs")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:

@@ -130,3 +130,51 @@ def test_rows_that_share_a_doc_id(spark, docs_of):
     assert got == sorted(want)
     kept = near_dedup.keep_one_of_each(docs_of(rows, extra=("text_key", "least")))
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect() if r["text"]) == [(2, a), (5, b), (9, "c " * 9)] and kept.count() == 4
+
+
+@pytest.mark.parametrize(("percent", "common", "seed"), [(80, 64, 1), (85, 3, 2), (80, 2, 3), (85, 8, 4), (80, 12, 5)])
+def test_open_regions_against_brute_force(spark, docs_of, monkeypatch, percent, common, seed):
+    """One region of texts that no link joins yet: shared passages, edits of them, and a few words of their own."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(near_dedup, "COMMON", common)
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 7)
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    passages = [[word() for _ in range(80)] for _ in range(3)]
+    passages.append(passages[0][:70] + passages[1][:6])
+    rows = []
+    for _ in range(150):
+        text = list(rng.choice(passages))
+        if rng.random() < 0.4:
+            text[rng.randrange(len(text))] = word()
+        text += rng.choice([[], [word()] * 3, [word() for _ in range(rng.randint(1, 25))], passages[2][: rng.randint(1, 20)]])
+        rows.append(" ".join(text[rng.randint(0, 3) :]))
+    rows = [(i, t) for i, t in enumerate(dict.fromkeys(rows))]
+    docs = docs_of(rows)
+    shingled = near_dedup.shingled(docs)
+    classes = shingled.select(F.col("doc_id").alias("node"), "doc_id", "text_key", F.lit(False).alias("repeated"), "n_shingles")
+    open_rows = classes.select(F.lit(1).cast("long").alias("region"), F.lit("k").alias("key"), "node", F.col("node").alias("component"), "n_shingles")
+    links = near_dedup.open_links(docs, classes, open_rows, percent)
+    sets = {d: shingles(t) for d, t in rows}
+    for r in links.collect():  # every link is one
+        x, y = sets[r["a"]], sets[r["b"]]
+        assert 100 * len(x & y) >= percent * len(x | y)
+    got = {r["node"]: r["component"] for r in near_dedup.components(links).collect()}
+    want = {d: c for d, (_, c) in brute_force(rows, percent).items()}
+    assert {d: got.get(d, d) for d in sets} == want and 1 < len(set(want.values())) < len(rows)
+
+
+def test_a_passage_in_many_texts_is_one_set(spark, docs_of, monkeypatch):
+    """Texts of a template a little below the threshold, all with the same frequent shingles, are never compared pair by pair."""
+    rng = random.Random(8)
+    text = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    template = text(120)
+    rows = [(i, " ".join(template + text(16))) for i in range(1500)]
+    rows += [(2000 + i, rows[i * 30][1] + " x") for i in range(40)]
+    compared = []
+    whole = near_dedup.passage_pairs
+    monkeypatch.setattr(near_dedup, "passage_pairs", lambda standing, percent: compared.append(standing.count()) or whole(standing, percent))
+    want = {i: i for i, _ in rows} | {2000 + i: i * 30 for i in range(40)}
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs_of(rows), 85).collect()}
+    assert got == want and sum(compared) <= 5
