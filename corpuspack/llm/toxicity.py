@@ -131,14 +131,14 @@ def placed(text: str, identities=IDENTITIES, n: int = PLACED, salt: int = 0) ->
 
 def fit(
     rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], features: np.ndarray,
-    ridge: float = 1e-4, counter: float = 1.0, steps: int = 800,
+    ridge: float = 1e-4, counter: float = 1.0, steps: int = 800, n_pairs: int | None = None,
 ) -> Model:
     """Logistic regression by accelerated gradient steps.
 
     ``rows``: the positions in ``features`` that each text has. ``pairs``: those of a sentence and of its
     counterfactual. The loss is the mean logistic loss with both labels weighing the same, ``ridge / 2``
     times the squared weights and ``counter / 2`` times the mean squared difference of raw scores in
-    ``pairs``. Last, the bias moves so that a score of 0.5 is the cut with the fewest errors.
+    ``pairs``; of ``n_pairs`` pairs (default: those given) the others have the same features on both sides. Last, the bias moves so that a score of 0.5 is the cut with the fewest errors.
     """
     n, m = len(rows), len(features)
     y = np.asarray(labels, dtype=np.float64)
@@ -147,7 +147,7 @@ def fit(
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (n - y.sum()))
     flat, at = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
     scale = max(1.0, float(np.mean([len(r) for r in rows])))
-    p = len(pairs)
+    p = len(pairs) if n_pairs is None else n_pairs
     swaps = []
     for a, b in pairs:  # what both sentences have cancels out
         a, b = np.setdiff1d(a, b), np.setdiff1d(b, a)
@@ -240,16 +240,23 @@ def train(rows: DataFrame, max_features: int = MAX_FEATURES, identities=IDENTITI
 
         for batch in small_batches(batches):
             own = [at(f.values.to_numpy()) for f in batch.column(1)]
-            swaps = [[{"a": at(s["a"]), "b": at(s["b"])} for s in pairs] for pairs in batch.column(2).to_pylist()]
+            pairs = [[(at(s["a"]), at(s["b"])) for s in own_pairs] for own_pairs in batch.column(2).to_pylist()]
+            # only what one side has and the other has not is fitted to
+            apart = [[{"a": x, "b": y} for a, b in row if len(x := np.setdiff1d(a, b)) + len(y := np.setdiff1d(b, a))] for row in pairs]
             ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(own, ints), pa.array(swaps, pa.list_(pa.struct([("a", ints), ("b", ints)])))], names=["label", "features", "swaps"]
-            )
-
-    small = found.mapInArrow(select, "label int, features array<int>, swaps array<struct<a:array<int>,b:array<int>>>").toArrow()
-    own = [np.asarray(f.values.to_numpy(), dtype=np.int64) for f in small.column("features").combine_chunks()] if len(small) else []
+            swaps, n = pa.array(apart, pa.list_(pa.struct([("a", ints), ("b", ints)]))), pa.array([len(row) for row in pairs], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, ints), swaps, n], names=["label", "features", "swaps", "n"])
+
+    small = found.mapInArrow(select, "label int, features array<int>, swaps array<struct<a:array<int>,b:array<int>>>, n int").toArrow()
+    if not len(small):
+        return fit([], np.zeros(0), [], signed.view(np.uint64))
+    lists = small.column("features").combine_chunks()
+    flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    own = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
     pairs = [(np.array(s["a"], dtype=np.int64), np.array(s["b"], dtype=np.int64)) for row in small.column("swaps").to_pylist() for s in row]
-    return fit(own, np.array(small.column("label").to_pylist()), pairs, chosen, counter=counter) if len(small) else fit([], np.zeros(0), [], signed.view(np.uint64))
+    marked, n_pairs = np.array(small.column("label").to_pylist()), sum(small.column("n").to_pylist())
+    del small
+    return fit(own, marked, pairs, chosen, counter=counter, n_pairs=n_pairs)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
