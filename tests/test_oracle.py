@@ -15,9 +15,9 @@ def test_query_matches_oracle(spark, name):
 
 
 def test_every_query_has_an_oracle():
-    """Queries of the language-model operators that SQL cannot express have brute-force tests instead."""
+    """Queries that SQL cannot express have brute-force tests instead; subword ids are held against the library."""
     assert set(E.oracle_sql()) <= set(E.queries())
-    assert set(QUERIES) <= set(E.oracle_sql())
+    assert set(QUERIES) - set(E.oracle_sql()) == {"subword_ids", "subword_shards"}
 
 
 def test_entry_runs(spark):
