@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -128,6 +128,15 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, table_terms:
     return df.withColumn("hashes", subset_hashes("_kept")).withColumn("fingerprint", as_text(F.col("hashes"))).drop("_kept")
 
 
+def _numbers_of_tasks(spark: SparkSession, parts: int) -> list[int]:
+    """For each of ``parts`` shuffle partitions a number that is dealt to it, so that as many groups share no task."""
+    tried = spark.range(parts * (8 + 2 * parts.bit_length())).select(F.col("id").cast("int").alias("number"))
+    tried = tried.groupBy(F.pmod(F.hash("number"), F.lit(parts)).alias("task")).agg(F.min("number").alias("number"))
+    found = {r["task"]: r["number"] for r in tried.collect()}  # ``parts`` rows
+    spare = iter(sorted(set(range(-parts, 0))))
+    return [found[t] if t in found else next(spare) for t in range(parts)]
+
+
 def compare_with_edits(docs: DataFrame, band: tuple[float, float] = BAND, table_terms: int = TABLE_TERMS) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likenesses.
 
@@ -138,7 +147,7 @@ def compare_with_edits(docs: DataFrame, band: tuple[float, float] = BAND, table_
 
     The documents are dealt into ranges of the order by quantiles of narrow keys. Each range gets
     a copy of the row that follows it, so the next text is read inside the range and every text
-    moves once.
+    moves once, each range to a task of its own.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -154,10 +163,12 @@ def compare_with_edits(docs: DataFrame, band: tuple[float, float] = BAND, table_
     firsts = F.from_json(F.lit(json.dumps([{"has": k[0], "id": k[1], "hash": k[2]} for k in heads[1:]])), "array<struct<has:boolean,id:bigint,hash:bigint>>")
     table = lexicon(docs.select("text"), band)
     own = with_kept_terms(keyed, {"text": "_kept"}, table, table_terms).withColumn("hashes", subset_hashes("_kept")).drop("_kept")
-    # A key's range: how many heads of later ranges are not below it.
-    dealt = own.withColumn("part", F.size(F.filter(firsts, lambda f: f >= F.col("key")))).withColumn("ghost", F.lit(False))
+    # A key's range: how many heads of later ranges are not below it. It goes by a number that hashes to a task of its own.
+    numbers = _numbers_of_tasks(spark, parts)
+    at = F.size(F.filter(firsts, lambda f: f >= F.col("key")))
+    dealt = own.withColumn("part", F.get(F.array(*[F.lit(n) for n in numbers]), at)).withColumn("ghost", F.lit(False))
     follows = spark.createDataFrame(
-        [(i, *heads[(i + 1) % len(heads)]) for i in range(len(heads))], "part int, has boolean, id long, hash long"
+        [(numbers[i], *heads[(i + 1) % len(heads)]) for i in range(len(heads))], "part int, has boolean, id long, hash long"
     ).select("part", F.struct("has", "id", "hash").alias("key"))
     ids = sorted({k[1] for k in heads})
     near = keyed.filter(F.col("doc_id").isin(ids) | F.col("doc_id").isNull())

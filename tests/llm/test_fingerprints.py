@@ -75,3 +75,11 @@ def test_odd_rows(spark, docs_of):
     assert sorted((r["doc_id"] or 0, r["n_chars"]) for r in got) == [(0, 5), (1, 10), (1, 18), (1, 18), (5, 8)]
     assert fingerprints.compare_with_edits(docs_of([])).count() == 0
     assert check([(4, "single document")], fingerprints.compare_with_edits(docs_of([(4, "single document")])).collect())[4]["near_next"] == 1.0
+
+
+@pytest.mark.parametrize("parts", [1, 8, 200])
+def test_ranges_share_no_task(spark, parts):
+    numbers = fingerprints._numbers_of_tasks(spark, parts)
+    assert len(set(numbers)) == len(numbers) == parts
+    rows = spark.createDataFrame([(n,) for n in numbers], "part int").repartition(parts, "part")
+    assert max(len(p) for p in rows.rdd.glom().collect()) == 1
