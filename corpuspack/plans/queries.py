@@ -19,7 +19,7 @@ from corpuspack.functions.tokens import ByteTokenizer
 from corpuspack.operators import instruct, mixture, packing, scores, window_reads, windows
 from corpuspack.plans import jobs
 from corpuspack.session import materialize, scratch_dir
-from corpuspack.sources import binshards, registry, sinks, tokenshards
+from corpuspack.sources import binshards, registry, sinks, tokenshards, versions
 from corpuspack.sources.registry import BENCHMARK_SCHEMA, CONVERSATIONS_SCHEMA, DOCUMENTS_SCHEMA, fixture_docs, spread, table
 from corpuspack.streaming import incremental, ordered
 
@@ -364,35 +364,50 @@ def window_tokens_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("sample_id", "source", "shard_idx", "start", F.array_join("x", ",").alias("x"), F.array_join("y", ",").alias("y"))
 
 
-def _ordered_files(spark: SparkSession, sf_dir: str, n: int = 4) -> str:
-    """``documents`` written by Spark as ``n`` files, one after the other in ``doc_id`` order."""
+#: Bytes of text in a file that a query writes from a table, about. A file is one task's work.
+FILE_BYTES = 64 << 20
+
+
+def _files_of(docs: DataFrame, text: str = "text", least: int = 1) -> int:
+    """How many files the texts of ``docs`` are dealt over, ``least`` at least; of a larger table there are more, not larger ones."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(least, -(-int(size) // FILE_BYTES))
+
+
+def _ordered_files(spark: SparkSession, sf_dir: str, n: int = 4) -> tuple[str, int]:
+    """``documents`` written by Spark as ``n`` sets of files, one after the other in ``doc_id`` order; the folder, and the files of
+    each set. A small table has one file in a set."""
     docs = table(spark, sf_dir, "documents", DOCUMENTS_SCHEMA)
     cuts = docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.0)
-    out, low = _fresh(spark, "stream-src"), None
-    for high in [*cuts, None]:
+    files = -(-_files_of(docs) // n)
+    out, low, store = _fresh(spark, "stream-src"), None, versions.HadoopStore(spark)
+    for k, high in enumerate([*cuts, None], 1):
         part = docs.filter(F.lit(True) if low is None else F.col("doc_id") > low)
         part = part.filter(F.lit(True) if high is None else F.col("doc_id") <= high)
-        part.coalesce(1).sortWithinPartitions("doc_id").write.mode("append").parquet(out)
+        part.repartition(files, "doc_id").sortWithinPartitions("doc_id").write.mode("append").parquet(out)
+        # a trigger takes so many files, so a set must not have fewer (tasks without rows write none)
+        for _ in range(k * files - sum(name.endswith(".parquet") for name in store.names(out))):
+            spark.createDataFrame([], DOCUMENTS_SCHEMA).write.mode("append").parquet(out)
         low = high
-    return out
+    return out, files
 
 
-def _doc_stream(spark: SparkSession, folder: str) -> DataFrame:
-    raw = incremental.read_doc_stream(spark, folder, DOCUMENTS_SCHEMA)
+def _doc_stream(spark: SparkSession, folder: str, files: int) -> DataFrame:
+    raw = incremental.read_doc_stream(spark, folder, DOCUMENTS_SCHEMA, files)
     return raw.select(F.col("lang").alias("source"), F.col("doc_id").alias("doc_seq"), "text")
 
 
 def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S1 + S2: four files as a stream of four triggers; running totals per source (complete mode)."""
+    """S1 + S2: four sets of files as a stream of four triggers; running totals per source (complete mode)."""
     name = f"stream_totals_{uuid.uuid4().hex[:8]}"
-    counts = incremental.token_stream(_doc_stream(spark, _ordered_files(spark, sf_dir)))
+    counts = incremental.token_stream(_doc_stream(spark, *_ordered_files(spark, sf_dir)))
     incremental.start_totals(counts, name, targets=TARGETS).awaitTermination()
     return spark.table(name)
 
 
 def _streamed(spark: SparkSession, sf_dir: str, targets) -> DataFrame:
     out = _fresh(spark, "stream-pack")
-    docs = _doc_stream(spark, _ordered_files(spark, sf_dir))
+    docs = _doc_stream(spark, *_ordered_files(spark, sf_dir))
     seg = incremental.stream_pack(spark, docs, out, SHARD_TOKENS, targets, BATCH_DOCS, BUCKET_DOCS)
     return seg.select("source", "shard_idx", "pos", "doc_seq", F.array_join("tokens", ",").alias("tokens_csv"))
 
@@ -442,8 +457,9 @@ def stream_progress_reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_corpus_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2 + B1: the documents as JSON lines in ordered files, scanned with their stream order."""
     out = _fresh(spark, "corpus-json")
-    docs = spark.read.parquet(_ordered_files(spark, sf_dir)).select(F.col("text").alias("content"), "doc_id")
-    docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.json(f"{out}/train")
+    folder, files = _ordered_files(spark, sf_dir)
+    docs = spark.read.parquet(folder).select(F.col("text").alias("content"), "doc_id")
+    docs.repartitionByRange(4 * files, "doc_id").sortWithinPartitions("doc_id").write.json(f"{out}/train")
     scanned = registry.read_source(spark, "the-stack", out, fmt="json")
     return scanned.select("source", "doc_seq", "text")
 

@@ -120,3 +120,24 @@ def test_restart_goes_on_with_its_own_batches(spark, tmp_out):
     seg, batch = app.segments(spark), Q.packed(spark, SF).segments()
     assert seg.select(COLS).exceptAll(batch.select(COLS)).count() == 0
     assert batch.select(COLS).exceptAll(seg.select(COLS)).count() == 0
+
+
+def test_sets_of_files_grow_in_number(spark, monkeypatch):
+    """A larger table has more files in a set, not larger ones; each trigger still takes one whole set."""
+    monkeypatch.setattr(Q, "FILE_BYTES", 100_000)
+    folder, files = Q._ordered_files(spark, SF)
+    names = sorted((os.path.join(folder, f) for f in os.listdir(folder) if f.endswith(".parquet")), key=os.path.getmtime)
+    assert files > 1 and len(names) == 4 * files
+    ids = [[r.doc_id for r in spark.read.parquet(*names[k : k + files]).collect()] for k in range(0, len(names), files)]
+    assert all(max(a) < min(b) for a, b in zip(ids, ids[1:])) and sum(map(len, ids)) == 1000
+    sizes = [spark.read.parquet(n).agg(F.sum(F.octet_length("text"))).first()[0] or 0 for n in names]
+    assert max(sizes) < 4 * 100_000
+
+
+def test_sets_of_files_without_rows_keep_their_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Q, "FILE_BYTES", 10)
+    rows = [(k, "x" * 30, "en", "s", 30) for k in (0, 1, 2, 3)]
+    spark.createDataFrame(rows, DOCUMENTS_SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    folder, files = Q._ordered_files(spark, str(tmp_path))
+    assert files == 3 and sum(f.endswith(".parquet") for f in os.listdir(folder)) == 4 * files
+    assert [tuple(r) for r in Q.stream_totals(spark, str(tmp_path)).select("source", "n_docs", "n_tokens").collect()] == [("en", 4, 124)]
