@@ -6,8 +6,9 @@ encoded once, by its merge ranks, and the documents' ids are put together again
 handed to an encoder.
 
 The join is safe from skew: the most frequent pre-tokens, whatever share of the corpus they are, are a table of
-bounded size that is broadcast; only occurrences of the others are shuffled, by pre-token, and of these none is
-frequent. Long pre-tokens travel as digests. Documents are put together by one exchange of their ids.
+bounded size that is broadcast, and become ids where the document is; only occurrences of the others are shuffled, by
+pre-token, and of these none is frequent. Long pre-tokens travel as digests. Documents are put together by one exchange
+of their ids: a row with all its frequent pre-tokens, and a row for each of the others.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -147,22 +150,78 @@ class DictionaryTokenizer(Tokenizer):
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["key", "n", "ids"])
 
         pieces = docs.select(F.explode(pre_tokens(F.col("text"), self.added)).alias("piece"))
-        counts = pieces.groupBy(_key(F.col("piece")).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.any_value("piece").alias("piece"))
+        counts = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).select(_key(F.col("piece")).alias("key"), "n", "piece")
         return materialize(counts.mapInArrow(encode, "key STRING, n BIGINT, ids ARRAY<INT>"), "pre-tokens")
 
-    def tokenize_table(self, docs: DataFrame) -> DataFrame:
-        """``source, doc_seq, n_tokens, tokens`` of non-empty documents, each closed by the end-of-document id."""
-        docs = docs.select("source", "doc_seq", "text")
+    def parts(self, docs: DataFrame) -> DataFrame:
+        """``source, doc_seq, pos, sizes, ids``: a row at ``pos`` -1 for each document, with the sizes of its pre-tokens (-1: not a
+        frequent one) and the ids of the frequent ones, and a row for each of the others, with its place and ids."""
         dictionary = self.dictionary(docs)
         most = dictionary.select("key", "ids", "n", F.size("ids").alias("_size")).orderBy(F.col("n").desc(), "key").limit(TOP)
         within = F.sum("_size").over(Window.orderBy(F.col("n").desc(), "key"))  # TOP rows at most
         frequent = materialize(most.withColumn("_upto", within).filter(F.col("_upto") <= TOP_IDS).select("key", "ids"), "frequent")
-        rare = dictionary.select("key", "ids").join(F.broadcast(frequent.select("key")), "key", "left_anti")
-        pieces = docs.select("source", "doc_seq", F.posexplode(pre_tokens(F.col("text"), self.added)).alias("pos", "piece"))
-        pieces = pieces.select("source", "doc_seq", "pos", _key(F.col("piece")).alias("key"))
-        often = pieces.join(F.broadcast(frequent), "key")  # its size is bounded by TOP and TOP_IDS
-        seldom = pieces.join(F.broadcast(frequent.select("key")), "key", "left_anti").join(rare, "key")
-        placed = often.unionByName(seldom).groupBy("source", "doc_seq").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("_p"))
-        ids = F.array_append(F.flatten(F.transform("_p", lambda p: p["ids"])), F.lit(self.eos_id))
-        out = placed.select("source", "doc_seq", ids.alias("tokens"))
-        return out.select("source", "doc_seq", F.size("tokens").cast("bigint").alias("n_tokens"), "tokens")
+        shared = self.spark.sparkContext.broadcast(frequent.toArrow())  # its size is bounded by TOP and TOP_IDS
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, ids = (shared.value.column(c).combine_chunks() for c in ("key", "ids"))
+            for batch in batches:
+                own = batch.column(2)
+                found = ids.take(pc.index_in(own.flatten(), value_set=keys))
+                starts = _starts(own)
+                columns = pa.ListArray.from_arrays(starts, pc.fill_null(pc.list_value_length(found), -1)), pa.ListArray.from_arrays(_starts(found)[starts], found.flatten())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["source", "doc_seq", "sizes", "ids"])
+
+        pieces = docs.select("source", "doc_seq", pre_tokens(F.col("text"), self.added).alias("_p"))
+        whole = pieces.select("source", "doc_seq", F.transform("_p", _key).alias("_p")).filter(F.size("_p") > 0)
+        whole = whole.mapInArrow(look_up, "source STRING, doc_seq BIGINT, sizes ARRAY<INT>, ids ARRAY<INT>")
+        known = F.broadcast(frequent.select("key"))
+        rare = dictionary.select("key", "ids").join(known, "key", "left_anti")
+        seldom = pieces.select("source", "doc_seq", F.posexplode("_p").alias("pos", "piece")).select("source", "doc_seq", "pos", _key(F.col("piece")).alias("key"))
+        seldom = seldom.join(known, "key", "left_anti").join(rare, "key").withColumn("sizes", F.lit(None).cast("array<int>"))
+        return whole.withColumn("pos", F.lit(-1)).unionByName(seldom.drop("key"))
+
+    def tokenize_table(self, docs: DataFrame) -> DataFrame:
+        """``source, doc_seq, n_tokens, tokens`` of non-empty documents, each closed by the end-of-document id."""
+        eos = self.eos_id
+
+        def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                tokens = [np.append(ids, eos).astype(np.int32) for ids in put_together(batch.column(2))]
+                sizes = np.array([len(t) for t in tokens], np.int64)
+                flat = pa.array(np.concatenate([np.empty(0, np.int32), *tokens]))
+                starts = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                columns = [*batch.columns[:2], pa.array(sizes), pa.ListArray.from_arrays(starts, flat)]
+                yield pa.RecordBatch.from_arrays(columns, names=["source", "doc_seq", "n_tokens", "tokens"])
+
+        parts = self.parts(docs.select("source", "doc_seq", "text"))
+        placed = parts.groupBy("source", "doc_seq").agg(F.collect_list(F.struct("pos", "sizes", "ids")).alias("_p"))
+        return placed.mapInArrow(close, "source STRING, doc_seq BIGINT, n_tokens BIGINT, tokens ARRAY<INT>")
+
+
+def _starts(lists: pa.ListArray) -> np.ndarray:
+    """Where each list begins in the flattened values, and their end; a null one has none."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+
+
+def put_together(documents: pa.ListArray) -> Iterator[np.ndarray]:
+    """The ids of each document from its rows of ``parts``. Texts that share a key are one document, merged by place."""
+    rows = documents.flatten()
+    pos, sizes, ids = rows.field("pos").to_numpy(), rows.field("sizes"), rows.field("ids")
+    of, size_at, id_at = _starts(documents), _starts(sizes), _starts(ids)
+    sizes, ids = sizes.flatten().to_numpy(), ids.flatten().to_numpy()
+    own = lambda r: ids[id_at[r] : id_at[r + 1]]
+    for low, high in zip(of, of[1:]):
+        texts = low + np.flatnonzero(pos[low:high] < 0)
+        others = sorted((r for r in range(low, high) if pos[r] >= 0), key=lambda r: pos[r]) if high - low > len(texts) else []
+        before = {r: np.concatenate([[0], np.cumsum(np.maximum(sizes[size_at[r] : size_at[r + 1]], 0))]) for r in texts if others or len(texts) > 1}
+        if len(texts) > 1:
+            merged = [(pos[r], own(r).tolist()) for r in others]
+            for r in texts:
+                merged += [(k, own(r)[a:b].tolist()) for k, (a, b) in enumerate(zip(before[r], before[r][1:])) if sizes[size_at[r] + k] >= 0]
+            yield np.array([t for _, piece in sorted(merged) for t in piece], np.int32)
+        elif others:
+            places = np.repeat(before[texts[0]][pos[others]], [id_at[r + 1] - id_at[r] for r in others])
+            yield np.insert(own(texts[0]), places, np.concatenate([own(r) for r in others]))
+        else:
+            yield own(texts[0])

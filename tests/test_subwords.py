@@ -101,3 +101,22 @@ def test_other_definitions_are_refused(spark):
         Merges(json.dumps({**spec, "normalizer": {"type": "NFC"}}))
     with pytest.raises(ValueError, match="end-of-document"):
         DictionaryTokenizer(json.dumps(spec), "</s>", spark)
+
+
+def test_frequent_pieces_do_not_travel(spark, tokenizer, monkeypatch):
+    """A document is one row on its way, and a row more for each occurrence of a piece outside the broadcast table."""
+    docs = spark.createDataFrame([("s", i, "a b a b " * 40 + f"w{i}x") for i in range(6)], "source string, doc_seq bigint, text string")
+    assert tokenizer.parts(docs).count() == 6
+    monkeypatch.setattr(subwords, "TOP", 2)  # " a" and " b"
+    assert {r.pos for r in tokenizer.parts(docs).collect()} == {-1, 0, 160, 161, 162}
+
+
+def test_texts_of_one_key_are_merged_by_place(spark, tokenizer, library, monkeypatch):
+    """Keys should not repeat; where they do, the texts' pieces at each place follow one another, by their ids."""
+    texts = ["one two three", "four two"]
+    ids = [[library.encode(p, add_special_tokens=False).ids for p in t.replace(" ", "| ").split("|")] for t in texts]
+    want = [t for _, piece in sorted((k, piece) for own in ids for k, piece in enumerate(own)) for t in piece] + [tokenizer.eos_id]
+    docs = spark.createDataFrame([(None, 7, t) for t in [*texts, None, ""]], "source string, doc_seq bigint, text string")
+    for top in (100_000, 1):
+        monkeypatch.setattr(subwords, "TOP", top)
+        assert ids_of(tokenizer.tokenize_table(docs)) == {(None, 7): want}
