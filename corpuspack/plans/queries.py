@@ -547,12 +547,13 @@ CORPORA = {"fineweb-edu": "en", "fineweb-2-kor": "de", "the-stack": "fr"}
 BUDGET_SHARE = 10_000
 
 
-def _corpora(spark: SparkSession, sf_dir: str, per_file: int = 4) -> dict[str, str]:
+def _corpora(spark: SparkSession, sf_dir: str, least: int = 4) -> dict[str, str]:
     """``documents`` by language as the registered corpora: ordered Parquet files with small row groups."""
     out, docs = _fresh(spark, "corpora"), table(spark, sf_dir, "documents", DOCUMENTS_SCHEMA)
     for name, lang in CORPORA.items():
-        own = docs.filter(F.col("lang") == lang).select("doc_id", F.col("text").alias(registry.lookup(name).text_field))
-        own = own.repartitionByRange(per_file, "doc_id").sortWithinPartitions("doc_id").drop("doc_id")
+        text = registry.lookup(name).text_field
+        own = docs.filter(F.col("lang") == lang).select("doc_id", F.col("text").alias(text))
+        own = own.repartitionByRange(_files_of(own, text, least), "doc_id").sortWithinPartitions("doc_id").drop("doc_id")
         own.write.option("parquet.block.size", 1 << 16).parquet(f"{out}/{name}/train")
     return {name: f"{out}/{name}" for name in CORPORA}
 
@@ -586,7 +587,7 @@ def prepared_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     step("shards", TARGETS["de"], SHARD_TOKENS // 2)
     step("whole", None, SHARD_TOKENS)
     more = table(spark, sf_dir, "documents", DOCUMENTS_SCHEMA).filter("lang = 'es'").select("text")
-    more.coalesce(1).write.mode("append").parquet(f"{one['fineweb-2-kor']}/train")
+    more.write.mode("append").parquet(f"{one['fineweb-2-kor']}/train")
     step("grown", None, SHARD_TOKENS)
     return spark.createDataFrame(rows, "step BIGINT, what STRING, wrote BOOLEAN, n_shards BIGINT, n_tokens BIGINT")
 

@@ -109,3 +109,17 @@ def test_chat_and_pair_scans(spark, tmp_out):
     prefs = registry.read_preference_pairs(spark, f"{tmp_out}/prefs")
     out = instruct.preference_pairs(prefs).first()
     assert out.chosen_text.endswith("good<|im_end|>\n") and not out.chosen_truncated
+
+
+def test_corpora_of_more_text_have_more_files(spark, monkeypatch):
+    """The files that queries write as registered corpora grow in number, not in size, and give the same shards."""
+    import os
+
+    from corpuspack.plans import queries as Q
+
+    sf, counts = "/root/testdata/sf0.001", {}
+    for size in (64 << 20, 10_000):
+        monkeypatch.setattr(Q, "FILE_BYTES", size)
+        own = Q._corpora(spark, sf)["fineweb-edu"]
+        counts[size] = sum(f.endswith(".parquet") for f in os.listdir(f"{own}/train"))
+    assert counts[64 << 20] == 4 < counts[10_000]
