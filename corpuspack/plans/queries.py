@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuspack.functions import templates
@@ -423,24 +423,36 @@ def stream_shards_partial_targets(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 FILE_SCHEMA = "doc_id BIGINT, text STRING"
-ARRIVAL = (2, 0, 3, 1)  # four files of each source, in this order of arrival
+ARRIVAL = (2, 0, 3, 1)  # four sets of files of each source, in this order of arrival
 
 
-def _files_out_of_order(spark: SparkSession, sf_dir: str) -> str:
-    """``documents`` written by Spark as four numbered files of each source, the numbers in the order ``ARRIVAL``."""
+def _files_out_of_order(spark: SparkSession, sf_dir: str, files: int = 1) -> str:
+    """``documents`` written by Spark as numbered files of each source: four sets of ``files``, the sets in the order ``ARRIVAL``.
+
+    A source's files are numbered without gaps, whether or not it has documents in every set's range of ``doc_id``."""
     docs = table(spark, sf_dir, "documents", DOCUMENTS_SCHEMA)
-    cuts = docs.approxQuantile("doc_id", [k / 4 for k in range(1, 4)], 0.0)
-    number = sum((F.col("doc_id") > c).cast("int") for c in cuts) if cuts else F.lit(0)
+    n = 4 * files
+    cuts = docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.0)
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
+    placed = docs.select("doc_id", "text", F.col("lang").alias("source"), place.alias("_place"))
+    placed = placed.filter("doc_id is not null") if cuts else placed
+    number = F.row_number().over(Window.partitionBy("source").orderBy("_place")) - 1  # a row for each file
+    numbers = materialize(placed.select("source", "_place").distinct().withColumn("seq", number), "file-numbers")
     out = _fresh(spark, "stream-files")
     for k in ARRIVAL:
-        part = docs.filter(number == k).select("doc_id", "text", F.col("lang").alias("source"), F.lit(k).alias("seq"))
-        part.repartition("source").write.mode("append").partitionBy("source", "seq").parquet(out)
+        part, own = (df.filter(F.col("_place").between(k * files, k * files + files - 1)) for df in (placed, numbers))
+        own = F.broadcast(own.withColumnsRenamed({"source": "_source", "_place": "_own"}))
+        part = part.join(own, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_place") == F.col("_own")))
+        part = part.select("doc_id", "text", "source", "seq").repartition(4 * files, "source", "seq")
+        part.write.mode("append").partitionBy("source", "seq").parquet(out)
     return out
 
 
 def _ordered(spark: SparkSession, sf_dir: str, targets) -> ordered.OrderedAppender:
-    files = _files_out_of_order(spark, sf_dir)
-    return ordered.pack_files_in_order(spark, files, _fresh(spark, "ordered"), FILE_SCHEMA, SHARD_TOKENS, targets, BATCH_DOCS)
+    docs = table(spark, sf_dir, "documents", DOCUMENTS_SCHEMA)
+    files = -(-_files_of(docs) // 4)
+    folder = _files_out_of_order(spark, sf_dir, files)
+    return ordered.pack_files_in_order(spark, folder, _fresh(spark, "ordered"), FILE_SCHEMA, SHARD_TOKENS, targets, BATCH_DOCS, 4 * files)
 
 
 def stream_shards_reordered(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,8 @@ RELEASED = (
     "source STRING, file_seq BIGINT, path STRING, n_docs BIGINT, n_tokens BIGINT, first_doc BIGINT, first_token BIGINT, n_held BIGINT, n_late BIGINT"
 )
 SEGMENTS = "source STRING, shard_idx INT, pos BIGINT, doc_seq BIGINT, n_tokens BIGINT, tokens ARRAY<INT>, rank BIGINT, doc_end BIGINT"
+#: Files of more tokens, or of more documents than a bucket, are placed by more than one task.
+FILE_TOKENS = 1 << 27
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -175,13 +177,13 @@ class OrderedAppender:
         raw = spark.read.schema(self.schema).format(self.fmt).load([r["path"] for r in files])
         raw = raw.select(F.col("_metadata.file_path").alias("path"), F.col(self.doc_seq).alias("doc_seq"), "text")
         docs = packing.with_token_counts(packing.nonempty(raw), self.tokenizer)
-        if max(r["n_docs"] for r in files) <= packing.DEFAULT_BUCKET_DOCS:
+        if max(r["n_docs"] for r in files) <= packing.DEFAULT_BUCKET_DOCS and max(r["n_tokens"] for r in files) <= FILE_TOKENS:
             before = Window.partitionBy("path").orderBy("doc_seq").rowsBetween(Window.unboundedPreceding, -1)
             docs = docs.select("*", F.count(F.lit(1)).over(before).alias("rank"), F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("offset"))
         else:  # a file too large for one task
             bucket, levels = packing.auto_buckets(docs)
             docs = packing.exclusive_prefix_sums(docs, ["path"], "doc_seq", packing.offset_weights(), bucket, levels)
-        return docs.join(own, "path").select(
+        return docs.join(F.broadcast(own), "path").select(
             "source", "doc_seq", "text", "n_tokens", (F.col("rank") + F.col("first_doc")).alias("rank"), (F.col("offset") + F.col("first_token")).alias("offset")
         )
 
@@ -260,7 +262,7 @@ class OrderedAppender:
         df = self.spark.read.schema(f"{SEGMENTS}, batch_id BIGINT").parquet(f"{self.out_dir}/segments").filter(F.col("batch_id") < batches)
         at = F.col("shard_idx").cast("bigint") * self.shard_tokens + F.col("pos")
         n = F.least(F.col("n_tokens"), F.col("_kept") - at)
-        kept = df.join(cuts, "source").filter(at < F.col("_kept")).select(*columns, n.alias("_n"))
+        kept = df.join(F.broadcast(cuts), "source").filter(at < F.col("_kept")).select(*columns, n.alias("_n"))
         return kept.select("source", "shard_idx", "pos", "doc_seq", F.col("_n").alias("n_tokens"), F.slice("tokens", 1, F.col("_n").cast("int")).alias("tokens"))
 
     def progress(self) -> DataFrame:

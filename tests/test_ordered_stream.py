@@ -142,3 +142,44 @@ def test_query_arrival_is_really_out_of_order(spark):
     files = [os.path.join(d, f) for d, _, names in os.walk(f"{root}/source=en") for f in names if f.endswith(".parquet")]
     by_time = sorted(files, key=os.path.getmtime)
     assert [int(p.split("seq=")[1].split("/")[0]) for p in by_time] == list(Q.ARRIVAL)
+
+
+def documents(spark, at, rows):
+    spark.createDataFrame([(k, text, lang, "s", len(text)) for k, text, lang in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
+    return at
+
+
+def test_sources_without_documents_in_a_range_have_no_gap(spark, tmp_out, monkeypatch):
+    """A source's files are numbered one after the other, and its documents lie in more files as they grow."""
+    monkeypatch.setattr(Q, "TARGETS", {"en": None, "es": None})
+    at = documents(spark, tmp_out, [(k, "abc", "es" if k in (0, 11) else "en") for k in range(12)])
+    want = {(0, "97,98,99,256"), (11, "97,98,99,256")}
+    for size in (64 << 20, 5):
+        monkeypatch.setattr(Q, "FILE_BYTES", size)
+        got = Q.stream_shards_reordered(spark, at).filter("source = 'es'").collect()
+        assert {(r.doc_seq, r.tokens_csv) for r in got} == want and {r.pos for r in got} == {0, 4}
+
+
+def test_a_file_of_few_long_documents_is_placed_by_more_tasks(spark, tmp_out, monkeypatch):
+    write_file(spark, f"{tmp_out}/src", 0, 0, 10**9)
+    called = []
+    shared = ordered.packing.exclusive_prefix_sums
+    monkeypatch.setattr(ordered, "FILE_TOKENS", 1000)
+    monkeypatch.setattr(ordered.packing, "exclusive_prefix_sums", lambda *a, **k: called.append(a) or shared(*a, **k))
+    app = ordered.pack_files_in_order(spark, f"{tmp_out}/src", f"{tmp_out}/out", SCHEMA, S, TARGETS, B)
+    assert called and rows(app.segments()) == batch_rows(spark)
+
+
+def test_query_files_grow_in_number(spark, monkeypatch):
+    root = Q._files_out_of_order(spark, SF, 5)
+    numbers = sorted(int(d.split("=")[1]) for d in os.listdir(f"{root}/source=en") if d.startswith("seq="))
+    assert numbers == list(range(20))
+
+
+def test_a_source_is_not_one_tasks_read(spark, tmp_out, capsys):
+    """The cuts are broadcast: no exchange brings all segments of a source together."""
+    write_file(spark, f"{tmp_out}/src", 0, 0, 60)
+    app = ordered.pack_files_in_order(spark, f"{tmp_out}/src", f"{tmp_out}/out", SCHEMA, S, TARGETS, B)
+    app.segments().explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
