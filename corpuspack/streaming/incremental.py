@@ -107,7 +107,7 @@ class ShardAppender:
     def _state(self, spark: SparkSession, before: int) -> tuple[DataFrame, DataFrame, int | None]:
         prior = [b for b in self._done_batches() if b < before]
         if not prior:
-            return (spark.createDataFrame([], STATE_SCHEMA), spark.createDataFrame([], STAGED_SCHEMA), None)
+            return (F.broadcast(spark.createDataFrame([], STATE_SCHEMA)), spark.createDataFrame([], STAGED_SCHEMA), None)
         last = prior[-1]
         state = spark.read.schema(STATE_SCHEMA).parquet(self._path("manifest", last))
         staged = spark.read.schema(STAGED_SCHEMA).parquet(self._path("staging", last))
@@ -182,13 +182,14 @@ class ShardAppender:
             F.when(F.coalesce(F.col("_r"), F.lit(False)), F.col("_k"))
             .when(reached_now, kept_now).cast("bigint").alias("kept"),
         )
-        # One row per source: local up to a bound, a written table beyond it. The joins below
-        # broadcast it only if the planner finds it small.
-        new_state, _ = packing.small_table(new_state, f"stream-state-{batch_id}")
+        # One row per source: local up to a bound and then broadcast (else a source's rows would
+        # all go to one task), a written table beyond it.
+        new_state, small = packing.small_table(new_state, f"stream-state-{batch_id}")
+        given = F.broadcast if small else lambda df: df
 
         # Write the pieces between the old and the new committed position.
         bounds = new_state.select("source", F.col("committed").alias("kept_tokens"))
-        writable = live.join(bounds, "source")
+        writable = live.join(given(bounds), "source")
         if isinstance(self.tokenizer, ByteTokenizer):
             # as in the batch split: cut the UTF-8 bytes per piece, encode only the piece
             seg = packing.shard_pieces(writable.withColumn("_bytes", F.encode("text", "UTF-8")), S)
@@ -205,9 +206,9 @@ class ShardAppender:
         ).write.mode("overwrite").parquet(self._path("segments", batch_id))
 
         # Stage what is not committed yet; then record the state (last: marks the batch done).
-        hold = live.join(bounds, "source").filter(
+        hold = live.join(given(bounds), "source").filter(
             F.col("offset") + F.col("n_tokens") > F.col("kept_tokens")
-        ).join(new_state.select("source", "reached"), "source").filter(~F.col("reached"))
+        ).join(given(new_state.select("source", "reached")), "source").filter(~F.col("reached"))
         hold.select("source", "doc_seq", "text", "n_tokens", "rank", "offset").write.mode("overwrite").parquet(
             self._path("staging", batch_id)
         )
